@@ -73,15 +73,18 @@ def _equal_run(ws: Column, at: Column) -> tuple[Column, Column]:
 
 def _matches(texts: DataFrame, block: DataFrame) -> DataFrame:
     """key, n_words and, where an anchor's windows occur, lo and hi (positions of hit words) and item_id; a row without hit for each text."""
+    # "" is no word: it leads every text and has an anchor of its own, so that the join keeps one row of each text
     led = texts.select("doc_id", "__text", F.size("ws").alias("n_words"), "ws", F.posexplode(F.concat(F.array(F.lit("")), F.col("ws"))).alias("at1", "word"))
+    first = block.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).alias("least"))
     at = F.col("at1") - 1
     fits = (at + F.size("part") - F.col("before") >= F.col("least")) & (F.col("n_words") >= F.col("least"))
     next_one = F.col("gap").isNull() | F.coalesce(F.get(F.col("ws"), F.when(at + F.col("gap") >= 0, at + F.col("gap"))) == F.col("also"), F.lit(False))
-    near = led.join(F.broadcast(block.withColumnRenamed("word", "__anchor")), (F.col("word") == F.col("__anchor")) & fits & next_one, "left").filter(F.col("__anchor").isNotNull() | (F.col("at1") == 0))
+    near = led.join(F.broadcast(block.unionByName(first, allowMissingColumns=True).withColumnRenamed("word", "__anchor")), (F.col("word") == F.col("__anchor")) & ((F.col("at1") == 0) | (fits & next_one)))
     left, right = _equal_run(F.col("ws"), at)
-    sized = near.withColumn("__run", F.when(F.col("__anchor").isNotNull(), F.struct(left.alias("left"), right.alias("right"))))
+    # no filter on what is verified: Spark would move it into the join, which then could not be compiled
+    sized = near.withColumn("__run", F.when(F.col("at1") > 0, F.struct(left.alias("left"), right.alias("right"))))
     hit = F.col("__run.left") + F.col("__run.right") + 1 >= F.col("least")
-    return sized.filter((F.col("at1") == 0) | hit).select("doc_id", "__text", "n_words", F.when(hit, F.struct((at - F.col("__run.left")).alias("lo"), (at + F.col("__run.right")).alias("hi"))).alias("run"), F.when(hit, F.col("item_id")).alias("item_id"))
+    return sized.select("doc_id", "__text", "n_words", F.when(hit, F.struct((at - F.col("__run.left")).alias("lo"), (at + F.col("__run.right")).alias("hi"))).alias("run"), F.when(hit, F.col("item_id")).alias("item_id"))
 
 
 def covered(runs: Column) -> Column:
