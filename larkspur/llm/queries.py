@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, fingerprint, licenses, line_dedup, packing, pii, quality, token_counts, toxicity
+from larkspur.llm import decontaminate, fingerprint, licenses, line_dedup, near_join, packing, pii, quality, token_counts, toxicity
 from larkspur.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.edited_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
