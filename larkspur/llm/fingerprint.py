@@ -93,18 +93,18 @@ def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     itself. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     n_shingles, edited_containment.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sk", sketch(F.col("text"), k))
-    half = F.length("text").cast("long")
-    halves = docs.select("doc_id", F.expr("coalesce(length(text), 0) div 2").alias("half")).groupBy("doc_id").agg(F.max("half").alias("half"))
-    nexts = successors(docs, "doc_id")
-    wanted = nexts.join(halves, nexts["doc_id"].eqNullSafe(halves["doc_id"])).select(nexts["doc_id"].alias("of"), F.col("next"), "half")
-    heads = own.join(wanted, own["doc_id"].eqNullSafe(wanted["next"])).select("of", F.struct(F.expr("substring(text, 1, int(half))").alias("text"), "sk").alias("head"))
-    head = heads.groupBy("of").agg(F.min("head").alias("head"))
-    both = own.join(head, own["doc_id"].eqNullSafe(head["of"])).select(
-        "doc_id",
-        half.alias("n_chars"),
+    place = lambda c: [F.coalesce(c.cast("long"), F.lit(0)).alias("k1"), c.isNull().alias("k2")]
+    # both joins read the same columns of it, so Spark deals the texts out once; doc_id is made again from k1 and k2
+    own = docs.select(F.coalesce("text", F.lit("")).alias("text"), *place(F.col("doc_id")))
+    halves = docs.select("doc_id", F.expr("coalesce(length(text), 0) div 2").alias("half")).groupBy("doc_id").agg(F.max("half").alias("half")).select("half", *place(F.col("doc_id")))
+    wanted = successors(docs, "doc_id").select("next", *place(F.col("doc_id"))).join(halves, ["k1", "k2"]).select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), "half", *place(F.col("next")))
+    # only texts and beginnings travel; sketches are made where they are needed
+    heads = own.join(wanted, ["k1", "k2"]).select(F.col("of1").alias("k1"), F.col("of2").alias("k2"), F.struct(F.expr("substring(text, 1, int(half))").alias("text"), sketch(F.col("text"), k).alias("sk")).alias("head"))
+    both = own.join(heads.groupBy("k1", "k2").agg(F.min("head").alias("head")), ["k1", "k2"]).select(
+        F.when(~F.col("k2"), F.col("k1")).alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
         F.expr("concat(substring(text, 1, int(length(text) - length(text) div 2)), substring(head.text, 1, int(length(text) div 2)))").alias("edited"),
-        "sk",
+        sketch(F.col("text"), k).alias("sk"),
         F.col("head.sk").alias("next_sk"),
     )
     done = both.withColumn("edited_sk", sketch(F.col("edited"), k))
