@@ -20,9 +20,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_each: in
     aren't learned from. Which rows: those of the smallest hash of doc_id.
     """
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("__y")).dropDuplicates(["doc_id"])
-    texts = docs.filter(~held_out(F.col("doc_id")) & (F.length("text") <= max_chars)).select("doc_id", "text").join(known, "doc_id")
-    ranked = texts.withColumn("__h", F.xxhash64("doc_id"))
-    rows = [r for y in (0, 1) for r in ranked.filter(F.col("__y") == y).orderBy("__h", "doc_id", "text").limit(max_each).collect()]
+    counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
+    # about as many hashes as are wanted lie below the cut, so no task gives the driver more than its share
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    cut = F.coalesce(*[F.when(F.col("__y") == y, F.lit(1.2 * max_each / n + 100 / n)) for y, n in counts.items()], F.lit(0.0))
+    chosen = known.withColumn("__h", part).filter(F.col("__h") <= cut)
+    texts = docs.filter(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = sorted(texts.collect(), key=lambda r: (r["__h"], r["doc_id"], r["text"]))
+    rows = [r for y in (0, 1) for r in [x for x in rows if x["__y"] == y][:max_each]]
     rows.sort(key=lambda r: (r["__h"], r["doc_id"], r["text"]))
     return [r["text"] for r in rows], np.array([r["__y"] for r in rows], dtype=np.float64)
 
