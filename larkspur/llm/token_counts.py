@@ -1,6 +1,6 @@
 """Edit-aware token counts: a segment tree of part sizes for each document.
 
-A document's leaves are its parts (``tokens.cut``: pre-tokens up to the next space), each with its characters and tokens.
+A document's leaves are its parts (``Encoder.leaves``: pre-tokens up to the next space), each with its characters and tokens.
 Leaves lie in blocks, and a segment tree over the blocks holds their sums. An edit replaces the characters from ``start``
 to ``end``: the tree is descended to the leaves that the edit touches, the leaf before joins them where the edit begins a
 leaf (what it puts there may continue that leaf's last pre-token), only that stretch is encoded again, its leaves take
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import mapped
-from larkspur.llm.tokens import Encoder, cut, encoder, vocabulary_path
+from larkspur.llm.tokens import Encoder, encoder, vocabulary_path
 
 LEAVES = 64
 EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
@@ -32,21 +32,23 @@ EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
 class TokenTree:
     """A text, its leaves in blocks, and the sums of characters and tokens over them."""
 
-    def __init__(self, text: str, encode: Encoder, leaves: tuple[list[int], list[int]] | None = None):
+    def __init__(self, text: str, encode: Encoder, leaves: tuple[np.ndarray, np.ndarray] | None = None):
         self.text, self.encode, self.encoded_chars = text, encode, 0
-        chars, tokens = leaves or self._leaves(text)
-        self.blocks = [(chars[i : i + LEAVES], tokens[i : i + LEAVES]) for i in range(0, max(1, len(chars)), LEAVES)]
+        self.blocks = self._in_blocks(*(leaves or self._leaves(text)))
         self._build()
 
-    def _leaves(self, text: str) -> tuple[list[int], list[int]]:
+    @staticmethod
+    def _in_blocks(chars: np.ndarray, tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(chars[i : i + LEAVES], tokens[i : i + LEAVES]) for i in range(0, max(1, len(chars)), LEAVES)]
+
+    def _leaves(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         self.encoded_chars += len(text)
-        parts = cut(text)
-        return list(map(len, parts)), [len(b) >> 2 for b in self.encode.many([parts])[0]]
+        return self.encode.leaves(text)
 
     def _build(self) -> None:
         self.size = 1 << max(0, (len(self.blocks) - 1).bit_length())
         pad = [(0, 0)] * (self.size - len(self.blocks))
-        self.sums = [(0, 0)] * self.size + [(sum(c), sum(t)) for c, t in self.blocks] + pad
+        self.sums = [(0, 0)] * self.size + [(int(c.sum()), int(t.sum())) for c, t in self.blocks] + pad
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
@@ -68,11 +70,9 @@ class TokenTree:
                 before += self.sums[i][0]
                 i += 1
         block = i - self.size
-        for k, n in enumerate(self.blocks[block][0]):
-            if at < before + n:
-                return block, k, before
-            before += n
-        return block, 0, before
+        ends = before + np.cumsum(self.blocks[block][0])
+        k = int(np.searchsorted(ends, at, side="right"))
+        return (block, k, int(ends[k - 1]) if k else before) if k < len(ends) else (block, 0, before)
 
     def edit(self, start: int, end: int, text: str | None) -> None:
         """Put ``text`` in the place of the characters from ``start`` up to ``end``."""
@@ -82,29 +82,29 @@ class TokenTree:
         if low == start and start:
             block, leaf, low = self._find(start - 1)
         last_block, last_leaf, high = self._find(max(start, end - 1))
-        high += (self.blocks[last_block][0] or [0])[last_leaf]
+        high += int(self.blocks[last_block][0][last_leaf]) if len(self.blocks[last_block][0]) else 0
         new = self._leaves(self.text[low:start] + text + self.text[end:high])
         self.text = self.text[:start] + text + self.text[end:]
         was = self.blocks[block], self.blocks[last_block]
-        merged = tuple(was[0][k][:leaf] + new[k] + was[1][k][last_leaf + 1 :] for k in (0, 1))
+        merged = tuple(np.concatenate([was[0][k][:leaf], new[k], was[1][k][last_leaf + 1 :]]) for k in (0, 1))
         if last_block == block and len(merged[0]) <= 4 * LEAVES:
             self.blocks[block] = merged
             i = self.size + block
-            self.sums[i] = (sum(merged[0]), sum(merged[1]))
+            self.sums[i] = (int(merged[0].sum()), int(merged[1].sum()))
             while i > 1:
                 i //= 2
                 self._sum(i)
         else:  # blocks went or one grew too long: the others stay as they are
-            self.blocks[block : last_block + 1] = [tuple(x[i : i + LEAVES] for x in merged) for i in range(0, max(1, len(merged[0])), LEAVES)]
+            self.blocks[block : last_block + 1] = self._in_blocks(*merged)
             self._build()
 
     def to_bytes(self) -> bytes:
-        leaves = np.array([[n for b in self.blocks for n in b[k]] for k in (0, 1)], dtype="<u4")
-        return zlib.compress(leaves.tobytes(), 1)
+        leaves = [np.concatenate([b[k] for b in self.blocks]) for k in (0, 1)]
+        return zlib.compress(np.stack(leaves).astype("<u4").tobytes(), 1)
 
     @classmethod
     def from_bytes(cls, text: str, tree: bytes, encode: Encoder) -> TokenTree:
-        chars, tokens = np.frombuffer(zlib.decompress(tree), dtype="<u4").reshape(2, -1).tolist()
+        chars, tokens = np.frombuffer(zlib.decompress(tree), dtype="<u4").reshape(2, -1).astype(np.int64)
         return cls(text, encode, (chars, tokens))
 
 
