@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import unfenced
+from larkspur.sources.shared import written
 
 #: What a model is asked to answer with.
 ANSWER = "entities array<struct<id:string,name:string,type:string,description:string,properties:map<string,string>>>, relations array<struct<id:string,source:string,target:string,type:string,description:string,properties:map<string,string>>>"
@@ -69,15 +70,16 @@ def neighbours(relations: DataFrame) -> DataFrame:
 def reached(relations: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """query_id, id, hops: entities at most ``hops`` (0 and less: 2) relations from a query's seeds (query_id, id).
 
-    Each round joins only what the last one found.
+    Each round joins only what the last one found, and is a table of its own, so plans don't grow with the rounds.
     """
     hops = hops if hops > 0 else 2
     edges = neighbours(relations).select("id", "other").distinct()
-    seen = seeds.select("query_id", "id").distinct().withColumn("hops", F.lit(0))
-    frontier = seen
+    seen = frontier = written(seeds.select("query_id", "id").distinct().withColumn("hops", F.lit(0)), "seeds")
     for h in range(1, hops + 1):
         new = frontier.join(edges, "id").select("query_id", F.col("other").alias("id")).distinct()
-        frontier = new.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("hops", F.lit(h))
+        frontier = written(new.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("hops", F.lit(h)), f"hop{h}")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

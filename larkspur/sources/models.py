@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from larkspur.functions.text import tokenize
 from larkspur.functions.vectors import l2_normalized
@@ -153,7 +154,7 @@ def embed_chunks(chunks: DataFrame, embed: Embedder, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*names, "embedding"])
 
     own = chunks.select(*names)
-    return mapped(own, run, own.schema.add("embedding", "array<float>"))
+    return mapped(own, run, StructType([*own.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
 @dataclass
