@@ -121,8 +121,8 @@ def verdicts(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFra
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = verdicts(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("__doc"), "text_key")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("text_key")), "left_anti")
+    bad = verdicts(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__key"]), "left_anti")
 
 
 #: Words of a text in DuckDB, as an array, and the windows of the items.

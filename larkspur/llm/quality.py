@@ -9,7 +9,7 @@ Labels are of documents. The field first learns with all lines of a document lab
 documents that the field finds good are relabelled (never all of a document's) and it learns again.
 
 Defined cases: a null text is an empty one; a text without lines that hold something has one empty line; repeated rows get
-the same score; without labels of both kinds every document scores 1.
+the same score; without labels of both kinds every document scores 1 (but for rounding).
 """
 
 from __future__ import annotations

@@ -60,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op7_license_scan": licenses.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op4_near_join": near_join.SQL, "op7_license_scan": licenses.SQL, "op9_decontaminate": decontaminate.SQL}
