@@ -6,9 +6,9 @@ equal sets form one class and are a single set from there on, so copies cost not
 A run starts with all sets in one bucket. It samples tokens that sets share: in every bucket a set picks the two of its
 tokens that come first in the order of a hash of the run and the level, and goes to the bucket of each. Two sets of
 similarity 0.8 agree on at least one of the two with probability 0.96 at each level. Buckets of one set go, buckets of at
-most ``LEAF`` sets are compared by brute force, larger ones are split again. A bucket that took most of its parent's sets
-isn't worth splitting, since its sets resemble each other: it is compared too, in pairs of blocks. ``RUNS`` runs miss a
-pair with probability below 0.001.
+most ``LEAF`` sets are compared by brute force, larger ones are split again. Buckets that keep most of their parent's sets for
+``STREAK`` levels aren't worth splitting, since their sets resemble each other: they are compared too, in pairs of
+blocks. ``RUNS`` runs miss a pair that meets in small buckets with probability below 0.001.
 
 Sets that look alike (signatures of the picked tokens, sizes) are joined to candidate components, and within a component
 every pair is compared exactly, again in pairs of blocks, by matrix products over shared tokens. No pair becomes a row:
@@ -38,10 +38,13 @@ from larkspur.llm.common import NEAR, SHINGLE, mapped, written
 RUNS = 3
 LEVELS = 6
 PICKS = 2
-LEAF = 256
+#: Sets of a block; two blocks are compared in one task, so a bucket of no more needs no splitting.
 BLOCK = 256
-#: A child bucket with more than this share of its parent's sets is compared as it is.
+LEAF = 2 * BLOCK
+#: A bucket that took more than this share of its parent's sets, as its parent did of its own and so on for so many
+#: levels, holds sets that resemble each other and is compared as it is. (One level may be a frequent token's chance.)
 DENSE = 0.5
+STREAK = 3
 #: Signatures (one token for each run and level) that agree, at least, where two sets are worth an exact comparison.
 ALIKE = 8
 CACHE_WORDS = 500_000
@@ -134,17 +137,22 @@ def leaves(sets: DataFrame) -> DataFrame:
     found = []
     tokens = [F.struct(F.lit(r).alias("run"), _pick(r, 0, k).alias("token")) for r in range(RUNS) for k in range(PICKS)]
     rows = sets.select("set_key", F.explode(F.array(*tokens)).alias("t")).select("set_key", F.col("t.run").alias("run"), F.xxhash64("t.run", "t.token").alias("path"), F.lit(0).cast("long").alias("parent"))
+    rows = rows.withColumn("streak", F.lit(0))
     for level in range(1, LEVELS + 1):
-        counts = rows.dropDuplicates(["path", "set_key"]).groupBy("run", "path").agg(F.count("*").alias("count"), F.max("parent").alias("parent")).filter(F.col("count") > 1)
-        kept = written(rows.drop("parent").dropDuplicates(["path", "set_key"]).join(counts, ["run", "path"]), f"level{level}")
-        dense = (F.col("count") <= LEAF) | (F.col("count") > DENSE * F.col("parent")) & (F.col("parent") > 0)
+        rows = rows.dropDuplicates(["path", "set_key"])
+        counts = rows.groupBy("run", "path").agg(F.count("*").alias("count"), F.max("parent").alias("parent"), F.max("streak").alias("streak")).filter(F.col("count") > 1)
+        streak = F.when((F.col("parent") > 0) & (F.col("count") > DENSE * F.col("parent")), F.col("streak") + 1).otherwise(0)
+        kept = written(rows.drop("parent", "streak").join(counts.withColumn("streak", streak).drop("parent"), ["run", "path"]), f"level{level}")
+        small = (F.col("count") <= LEAF) | (F.col("streak") >= STREAK)
         last = level == LEVELS
-        found.append(kept.filter(F.lit(True) if last else dense).select("path", "set_key", "count"))
-        large = kept.filter(~dense)
+        found.append(kept.filter(F.lit(True) if last else small).select("path", "set_key", "count"))
+        large = kept.filter(~small)
         if last or large.isEmpty():
             break
-        each = F.array(*[F.struct(F.lit(r).alias("run"), _pick(r, level, k).alias("token")) for r in range(RUNS) for k in range(PICKS)])
-        rows = large.join(sets.select("set_key", "picks"), "set_key").select("set_key", "run", "path", "count", F.explode(F.filter(each, lambda t: t["run"] == F.col("run"))).alias("t")).select("set_key", "run", F.xxhash64("path", "t.token").alias("path"), F.col("count").alias("parent"))
+        each = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(k).alias("k"), _pick(r, level, k).alias("token")) for r in range(RUNS) for k in range(PICKS)])
+        # what resembles each other meets again by one pick; a second would only multiply it
+        own = F.explode(F.filter(each, lambda t: (t["run"] == F.col("run")) & ((t["k"] == 0) | (F.col("streak") == 0)))).alias("t")
+        rows = large.join(sets.select("set_key", "picks"), "set_key").select("set_key", "run", "path", "count", "streak", own).select("set_key", "run", F.xxhash64("path", "t.token").alias("path"), F.col("count").alias("parent"), "streak")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -213,25 +221,28 @@ def alike(sets: DataFrame, buckets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in moved], pa.binary()), pa.array([keys[i] for i in root[moved]], pa.binary())], names=["a", "b"])
 
     rows = _in_blocks(buckets.join(sets, "set_key").select("path", "set_key", "count", "n", "picks"), ["path"], "count").drop("count")
-    return mapped(rows.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two"), run, "a binary, b binary").distinct()
+    return mapped(rows.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two", "set_key"), run, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, label: every node of an undirected graph with the smallest node that it is connected with.
+    """node, label: every node of an undirected graph with a node that is the same for all that it is connected with.
 
-    Labels go to neighbours and then jump to their label's label, so the rounds grow with the logarithm of the longest
-    path; each round is a table in the shared folder.
+    In each round every node is merged into the smallest of its neighbours and itself, and edges go on between what is
+    left. Nodes are hashes, so a round leaves a fraction of them and the rounds grow with the logarithm of the largest
+    component; each round is a table in the shared folder.
     """
     both = written(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
-    labels = written(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "labels")
+    labels = None
     while True:
-        around = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("low")).withColumnRenamed("x", "node")
-        lower = labels.join(around, "node").select("node", "label", F.least("label", "low").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        new = written(lower.join(jump, "low").select("node", "label", F.least("low", "next").alias("new")), "labels")
-        done = new.filter(F.col("new") != F.col("label")).isEmpty()
-        labels = new.select("node", F.col("new").alias("label"))
-        if done:
+        step = written(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "step")
+        if labels is None:
+            labels = step
+        else:
+            to = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            labels = written(labels.join(to, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        x, y = (step.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
+        both = written(both.join(x, "x").join(y, "y").filter(F.col("lx") != F.col("ly")).select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct(), "edges")
+        if both.isEmpty():
             return labels
 
 
@@ -272,7 +283,7 @@ def exact_links(inside: DataFrame, near: float = NEAR) -> DataFrame:
                 )
 
     rows = _in_blocks(inside.select(F.xxhash64("component").alias("c"), "set_key", "size", "tokens", "count"), ["c"], "count").drop("count")
-    return mapped(rows.repartition("c", "one", "two").sortWithinPartitions("c", "one", "two"), run, "set_key binary, n_docs long, n_texts long, root binary")
+    return mapped(rows.repartition("c", "one", "two").sortWithinPartitions("c", "one", "two", "set_key"), run, "set_key binary, n_docs long, n_texts long, root binary")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -290,15 +301,16 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, near: float = NEAR) -> DataFrame:
-    """doc_id, text_key, class_id, copy_id, n_links, n_texts of each document, one row each.
+    """doc_id, text_key, class_id, copy_id, n_links, n_texts, kept of each document, one row each.
 
     class_id: the smallest doc_id of all documents that links lead to, over any number of steps; copy_id: the smallest of
     those with an equal set; n_links: how many other documents it is linked to (similarity of at least ``near``);
-    n_texts: how many other sets.
+    n_texts: how many other sets; kept: whether it is its class's first (smallest doc_id, null last, then text_key).
     """
     rows = written(described(docs), "sets")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     sets = written(
-        rows.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("size"), F.min("doc_id").alias("copy_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.max(F.struct("n", "picks")).alias("p")).select("set_key", "size", "copy_id", "one", "p.n", "p.picks"),
+        rows.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("size"), F.min(place).alias("one"), F.max(F.struct("n", "picks")).alias("p")).select("set_key", "size", "one", "p.n", "p.picks"),
         "classes",
     )
     plain = sets.select("set_key", "n", "picks")
@@ -310,14 +322,39 @@ def near_classes(docs: DataFrame, near: float = NEAR) -> DataFrame:
     links = found.groupBy("set_key").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"))
     of = components(found.select("set_key", "root"), "set_key", "root").select(F.col("node").alias("set_key"), "label")
     named = sets.join(of, "set_key", "left").join(links, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    first = named.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    full = written(named.join(first, "label").select("set_key", "class_id", "copy_id", (F.col("size") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts")), "answers")
+    first = named.groupBy("label").agg(F.min("one").alias("first"))
+    n_links, n_texts = F.col("size") - 1 + F.coalesce("n_docs", F.lit(0)), F.coalesce("n_texts", F.lit(0))
+    full = written(named.join(first, "label").select("set_key", "first", F.col("one.doc_id").alias("copy_id"), n_links.alias("n_links"), n_texts.alias("n_texts")), "answers")
     zero = F.lit(0).cast("long")
-    return rows.select("doc_id", "text_key", "set_key").join(full, "set_key", "left").select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_texts", zero).alias("n_texts"))
+    kept = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_key").eqNullSafe(F.col("first.text_key")))
+    return rows.select("doc_id", "text_key", "set_key").join(full, "set_key", "left").select(
+        "doc_id", "text_key", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_texts", zero).alias("n_texts"), kept.alias("kept")
+    )
 
 
 def one_of_each(docs: DataFrame, near: float = NEAR) -> DataFrame:
-    """The documents, of each class only the one of the smallest doc_id (of equal rows one)."""
-    classes = near_classes(docs, near)
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]), "left_anti").dropDuplicates(["doc_id"])
+    """The documents, of each class only the first; of rows with the same doc_id and text one."""
+    classes = written(near_classes(docs, near).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "kept"), "kept")
+    gone = classes.filter(~F.col("kept")).select("__doc", "__key").distinct()
+    left = docs.withColumn("__text", F.xxhash64("text"))
+    left = left.join(gone, left["doc_id"].eqNullSafe(gone["__doc"]) & left["__text"].eqNullSafe(gone["__key"]), "left_anti")
+    if not classes.filter("kept").groupBy("__doc", "__key").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "__text"])
+    return left.drop("__text")
+
+
+#: The same over small tables in DuckDB, from shared shingles.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws FROM documents),
+sh AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END s FROM w),
+keyed AS (SELECT doc_id, s, md5(array_to_string(list_sort(s), '|')) k FROM sh),
+reps AS (SELECT k, min(doc_id) copy_id, count(*) size, any_value(s) s, len(any_value(s)) n FROM keyed WHERE k IS NOT NULL GROUP BY k),
+tok AS (SELECT copy_id, n, unnest(s) t FROM reps),
+pairs AS (SELECT a.copy_id x, b.copy_id y FROM tok a JOIN tok b ON a.t = b.t AND a.copy_id < b.copy_id GROUP BY a.copy_id, b.copy_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-6),
+edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT copy_id x, copy_id y FROM reps UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y),
+class AS (SELECT x, min(y) class_id FROM reach GROUP BY x),
+links AS (SELECT e.x, sum(r.size) n_docs, count(*) n_texts FROM edges e JOIN reps r ON r.copy_id = e.y GROUP BY e.x)
+SELECT k.doc_id, coalesce(c.class_id, k.doc_id) AS class_id, coalesce(r.copy_id, k.doc_id) AS copy_id, CAST(coalesce(r.size - 1 + coalesce(l.n_docs, 0), 0) AS BIGINT) AS n_links, CAST(coalesce(l.n_texts, 0) AS BIGINT) AS n_texts, coalesce(c.class_id, k.doc_id) = k.doc_id AS kept
+FROM keyed k LEFT JOIN reps r ON r.k = k.k LEFT JOIN class c ON c.x = r.copy_id LEFT JOIN links l ON l.x = r.copy_id
+"""
