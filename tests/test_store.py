@@ -185,3 +185,13 @@ def test_batches(spark):
     rows = spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)], "g string, i int, text string")
     got = [r.batch for r in batches(rows, "g", "i", 3, 12).orderBy("i").collect()]
     assert got == [n for n, p in enumerate(plain) for _ in p]
+
+
+def test_shared_tables(spark):
+    from larkspur.sources.shared import discard, written
+
+    t = written(spark.range(3), "numbers")
+    assert t.count() == 3
+    discard(t, t, spark.range(1))
+    with pytest.raises(Exception):
+        spark.read.parquet(t.inputFiles()[0]).count()
