@@ -32,8 +32,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_each: in
     return [r["text"] for r in rows], np.array([r["__y"] for r in rows], dtype=np.float64)
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The cut that errs least, both labels counting alike, in the middle of the gap where it lies; 0.5 without both labels."""
+def best_threshold(scores: np.ndarray, labels: np.ndarray, weight_one: float = 0.5) -> float:
+    """The cut that errs least, in the middle of the gap where it lies; 0.5 without both labels.
+
+    ``weight_one``: what the share of label 1 below the cut counts, the share of label 0 above it counting the rest.
+    """
     ones, zeros = labels == 1, labels == 0
     if not ones.any() or not zeros.any():
         return 0.5
@@ -42,7 +45,7 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     below_one = np.concatenate([[0], np.cumsum(y == 1)]) / ones.sum()
     above_zero = 1 - np.concatenate([[0], np.cumsum(y == 0)]) / zeros.sum()
     edges = np.concatenate([[0.0], (s[1:] + s[:-1]) / 2, [1.0]])
-    wrong = below_one + above_zero
+    wrong = weight_one * below_one + (1 - weight_one) * above_zero
     wrong[1:-1][s[1:] == s[:-1]] = np.inf
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     return float(np.clip(edges[best[len(best) // 2]], 1e-6, 1 - 1e-6))
