@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, line_dedup, near_join, packing, quality
-from larkspur.llm.common import written
+from larkspur.llm.common import discard, written
 from larkspur.plans.tables import table
 
 
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
+        discard(before)
     return docs

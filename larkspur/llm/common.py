@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from functools import cache
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from larkspur.sources.shared import discard, written
+from larkspur.sources.shipping import mapped
+
+__all__ = ["BETWEEN_WORDS", "NEAR", "SHINGLE", "ascii_lower", "discard", "held_out", "let", "mapped", "shingle_hashes", "words", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -52,39 +49,3 @@ def shingle_hashes(word_list: Column, size: int = SHINGLE) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the documents whose labels no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-@cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="larkspur-")
-
-
-_shipped: set[str] = set()
-
-
-def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow(run, schema)``, with this package sent to executors that may not have it installed."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="larkspur-code-")  # the driver serves it to executors until it ends
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        with zipfile.ZipFile(at := f"{folder}/{root.name}.zip", "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(at)
-        _shipped.add(context.applicationId)
-    return df.mapInArrow(run, schema)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, which cuts its lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import NEAR, SHINGLE, mapped, written
+from larkspur.llm.common import NEAR, SHINGLE, discard, mapped, written
 
 RUNS = 3
 LEVELS = 6
@@ -132,9 +132,12 @@ def _in_blocks(rows: DataFrame, key: list[str], count: str) -> DataFrame:
     )
 
 
-def leaves(sets: DataFrame) -> DataFrame:
-    """path, set_key, count: the buckets whose sets are to be compared. ``sets``: set_key, n, picks of distinct sets."""
-    found = []
+def leaves(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(path, set_key, count of the buckets whose sets are to be compared; the tables that it reads).
+
+    ``sets``: set_key, n, picks of distinct sets.
+    """
+    found, tables = [], []
     tokens = [F.struct(F.lit(r).alias("run"), _pick(r, 0, k).alias("token")) for r in range(RUNS) for k in range(PICKS)]
     rows = sets.select("set_key", F.explode(F.array(*tokens)).alias("t")).select("set_key", F.col("t.run").alias("run"), F.xxhash64("t.run", "t.token").alias("path"), F.lit(0).cast("long").alias("parent"))
     rows = rows.withColumn("streak", F.lit(0))
@@ -143,6 +146,7 @@ def leaves(sets: DataFrame) -> DataFrame:
         counts = rows.groupBy("run", "path").agg(F.count("*").alias("count"), F.max("parent").alias("parent"), F.max("streak").alias("streak")).filter(F.col("count") > 1)
         streak = F.when((F.col("parent") > 0) & (F.col("count") > DENSE * F.col("parent")), F.col("streak") + 1).otherwise(0)
         kept = written(rows.drop("parent", "streak").join(counts.withColumn("streak", streak).drop("parent"), ["run", "path"]), f"level{level}")
+        tables.append(kept)
         small = (F.col("count") <= LEAF) | (F.col("streak") >= STREAK)
         last = level == LEVELS
         found.append(kept.filter(F.lit(True) if last else small).select("path", "set_key", "count"))
@@ -156,7 +160,7 @@ def leaves(sets: DataFrame) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out, tables
 
 
 def _groups(batches: Iterable[pa.RecordBatch], n_key: int) -> Iterator[pa.Table]:
@@ -235,14 +239,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = None
     while True:
         step = written(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "step")
+        x, y = (step.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
+        old, both = both, written(both.join(x, "x").join(y, "y").filter(F.col("lx") != F.col("ly")).select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct(), "edges")
+        discard(old)
         if labels is None:
             labels = step
         else:
             to = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = written(labels.join(to, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
-        x, y = (step.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
-        both = written(both.join(x, "x").join(y, "y").filter(F.col("lx") != F.col("ly")).select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct(), "edges")
+            old, labels = labels, written(labels.join(to, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            discard(old, step)
         if both.isEmpty():
+            discard(both)
             return labels
 
 
@@ -314,17 +321,21 @@ def near_classes(docs: DataFrame, near: float = NEAR) -> DataFrame:
         "classes",
     )
     plain = sets.select("set_key", "n", "picks")
-    labels = components(alike(plain, leaves(plain)))
+    buckets, tables = leaves(plain)
+    labels = components(alike(plain, buckets))
+    discard(*tables)
     sized = written(labels.join(labels.groupBy("label").agg(F.count("*").alias("count")), "label").select(F.col("label").alias("component"), F.col("node").alias("set_key"), "count"), "components")
     members = sized.join(sets.select("set_key", "size", "one.doc_id", "one.text_key"), "set_key")
     tokens = written(_texts(docs, members.select("set_key", "doc_id", "text_key")), "tokens")
     found = written(exact_links(members.select("component", "set_key", "size", "count").join(tokens, "set_key"), near), "links")
+    discard(labels, tokens)
     links = found.groupBy("set_key").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"))
-    of = components(found.select("set_key", "root"), "set_key", "root").select(F.col("node").alias("set_key"), "label")
-    named = sets.join(of, "set_key", "left").join(links, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    of = components(found.select("set_key", "root"), "set_key", "root")
+    named = sets.join(of.select(F.col("node").alias("set_key"), "label"), "set_key", "left").join(links, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     first = named.groupBy("label").agg(F.min("one").alias("first"))
     n_links, n_texts = F.col("size") - 1 + F.coalesce("n_docs", F.lit(0)), F.coalesce("n_texts", F.lit(0))
     full = written(named.join(first, "label").select("set_key", "first", F.col("one.doc_id").alias("copy_id"), n_links.alias("n_links"), n_texts.alias("n_texts")), "answers")
+    discard(sets, sized, found, of)
     zero = F.lit(0).cast("long")
     kept = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_key").eqNullSafe(F.col("first.text_key")))
     return rows.select("doc_id", "text_key", "set_key").join(full, "set_key", "left").select(
