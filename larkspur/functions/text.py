@@ -86,7 +86,7 @@ def yaml_values(c: Column) -> Column:
 
 def csv_values(c: Column) -> Column:
     """All fields, split at every comma, trimmed, less one pair of quotes around each."""
-    bare = lambda f: F.when(f.rlike(r'^".*"$'), F.substr(f, F.lit(2), F.greatest(F.length(f) - 2, F.lit(0)))).otherwise(f)
+    bare = lambda f: F.when(f.rlike(r'(?s)^"(.*")?$'), F.substr(f, F.lit(2), F.greatest(F.length(f) - 2, F.lit(0)))).otherwise(f)
     fields = F.transform(F.split(c, r"[,\n]"), lambda f: bare(F.regexp_replace(f, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")))
     return clean_text(F.array_join(F.filter(fields, lambda f: f != ""), " "))
 
