@@ -51,6 +51,13 @@ def duration(seconds: float) -> str:
     return f"{s // 60}m{s % 60}s" if s < 3600 else f"{s // 3600}h{s % 3600 // 60}m"
 
 
+def progress(done: int, total: int, seconds: float, failed: int = 0) -> str:
+    """How far an ingestion is: chunks done and failed batches, chunks a second, and the time that is left at that rate."""
+    rate = done / seconds if seconds > 0 else 0.0
+    left = duration((total - done) / rate) if rate else "unknown"
+    return f"{done}/{total} chunks, {failed} failed batches, {rate:.1f} chunks/s, {left} left"
+
+
 def text_table(rows: list[dict], columns: dict[str, int]) -> str:
     """Rows as lines of columns of fixed widths."""
     line = lambda cells: "  ".join(str(c).ljust(w) for c, w in zip(cells, columns.values(), strict=True)).rstrip()

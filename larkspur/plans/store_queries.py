@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import unique_strings
 from larkspur.operators import graph, hierarchy, listing
 from larkspur.operators.listing import DocumentQuery
 from larkspur.plans import corpus
@@ -44,6 +45,39 @@ def list_count(spark: SparkSession, sf: str) -> DataFrame:
     return listing.count_documents(corpus.documents(spark, sf), DocumentQuery(filters={"status": ["indexed"]}, limit=1))
 
 
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.documents(spark, sf).filter(F.col("id") == 7).select(*_LISTED)
+
+
+def documents_at_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of exactly these paths, newest first."""
+    return listing.list_documents(corpus.documents(spark, sf), DocumentQuery(filters={"path": ["src1/1.txt", "src2/22.txt", "1.txt"]})).select("id", "file_path", "created_at")
+
+
+def hits_placeholder(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks with their document's name, or a placeholder where it is gone."""
+    hits = corpus.chunks(spark, sf).select("id", "document_id")
+    return listing.with_document(hits, corpus.live_documents(spark, sf), "(unknown)").select("id", "document_name", "file_path")
+
+
+def document_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each conversation's turns in order as one text."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text")
+    return hierarchy.joined_chunks(turns)
+
+
+def unique_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn's words once, in the order of first appearance."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(unique_strings(F.split("text", " ")), " ").alias("words"))
+
+
+def orphan_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations whose ends both exist once every third supplier is gone, by type of source."""
+    entities, relations = corpus.graph(spark, sf)
+    kept = entities.filter(~((F.col("type") == "supplier") & (F.regexp_extract("id", r"\d+$", 0).cast("long") % 3 == 0)))
+    return graph.checked_relations(relations, kept)[0].groupBy(F.substring_index("source", "-", 1).alias("kind")).agg(F.count("*").alias("relations"))
+
+
 def chunk_by_index(spark: SparkSession, sf: str) -> DataFrame:
     return listing.chunk_at(corpus.chunks(spark, sf), corpus.documents(spark, sf), 3, 0).select("id", "document_id", "label")
 
@@ -191,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_documents, scan_live_chunks, list_search, list_filter_in, list_page, list_offset, list_count, chunk_by_index, chunks_of_document, embedded_only, orphan_chunks, orphan_count, gc_survivors,
-        cascade_survivors, skip_duplicates, force_replace, status_update, wiki_list_indexes, wiki_list_entries, wiki_update, kg_find, kg_neighbors, kg_checked, kg_link, kg_subgraph, kg_subgraph_relations, kg_upsert, hier_build, hier_search, embed_batches,
+        point_lookup, documents_at_path, hits_placeholder, document_texts, unique_words, orphan_relations, cascade_survivors, skip_duplicates, force_replace, status_update, wiki_list_indexes, wiki_list_entries, wiki_update, kg_find, kg_neighbors, kg_checked, kg_link, kg_subgraph, kg_subgraph_relations, kg_upsert, hier_build, hier_search, embed_batches,
     )
 }
 
@@ -220,6 +254,13 @@ SQL = {
     "list_page": f"{_D} SELECT id, created_at FROM docs ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 50",
     "list_offset": f"{_D} SELECT id FROM docs ORDER BY created_at DESC, id DESC OFFSET 40",
     "list_count": f"{_D} SELECT count(*) AS total FROM docs WHERE status = 'indexed'",
+    "point_lookup": f"{_D} SELECT * FROM docs WHERE id = 7",
+    "documents_at_path": f"{_D} SELECT id, file_path, created_at FROM docs WHERE file_path IN ('src1/1.txt', 'src2/22.txt', '1.txt') ORDER BY created_at DESC, id DESC",
+    "hits_placeholder": f"{_D} SELECT vec_id AS id, coalesce(name, '(unknown)') AS document_name, coalesce(file_path, '(unknown)') AS file_path FROM embeddings e LEFT JOIN {_LIVE} d ON d.id = e.vec_id",
+    "document_texts": "SELECT conv_id AS document_id, string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "unique_words": """WITH w AS (SELECT conv_id, turn, w, min(i) i FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) w, generate_subscripts(string_split(text, ' '), 1) i FROM conversations) WHERE w <> '' GROUP BY conv_id, turn, w)
+ SELECT c.conv_id, c.turn, coalesce(string_agg(w, ' ' ORDER BY i), '') AS words FROM conversations c LEFT JOIN w USING (conv_id, turn) GROUP BY c.conv_id, c.turn""",
+    "orphan_relations": "SELECT 'nation' AS kind, count(*) AS relations FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_suppkey % 3 <> 0",
     "chunk_by_index": "SELECT vec_id AS id, vec_id AS document_id, label FROM embeddings WHERE vec_id = 3 AND vec_id IN (SELECT doc_id FROM documents)",
     "chunks_of_document": "SELECT conv_id AS document_id, turn AS chunk_index, text FROM conversations WHERE conv_id = 1 ORDER BY turn",
     "embedded_only": "SELECT doc_id AS id, len(embedding) AS dimension FROM documents JOIN embeddings ON vec_id = doc_id",

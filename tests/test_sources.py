@@ -147,6 +147,7 @@ def test_sinks(tmp_path):
     assert [sinks.masked(x) for x in ("", "12345678", "123456789")] == ["(not set)", "****", "1234...6789"]
     assert [sinks.duration(s) for s in (5, 125, 3720)] == ["5s", "2m5s", "1h2m"]
     assert json.loads(sinks.search_json("<q>", [])) == {"query": "<q>", "count": 0, "results": []} and "<q>" in sinks.search_json("<q>", [])
+    assert sinks.progress(50, 100, 10) == "50/100 chunks, 0 failed batches, 5.0 chunks/s, 10s left" and sinks.progress(0, 9, 0, 1).endswith("unknown left")
     sinks.export_text("é", f"{tmp_path}/x")
     assert (tmp_path / "x").read_bytes() == "é".encode()
 
