@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import io
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -12,20 +11,25 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from larkspur.sources.shared import shared_dir
+
 _sent: set[str] = set()
 
 
 def send_package(spark: SparkSession) -> None:
-    """Give executors this package, once a session."""
+    """Give executors this package, once a session, from the shared folder."""
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="larkspur-code-")  # the driver serves it until it ends
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(at := f"{folder}/{root.name}.zip", "w") as z:
+    root, data = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
+    at = f"{shared_dir(spark)}/larkspur/code-{uuid.uuid4().hex}/{root.name}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(data.getvalue()))
+    stream.close()
     context.addPyFile(at)
     _sent.add(context.applicationId)
 
