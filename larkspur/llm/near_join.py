@@ -30,7 +30,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import NEAR, SHINGLE, discard, mapped, written
@@ -138,14 +138,19 @@ def leaves(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     ``sets``: set_key, n, picks of distinct sets.
     """
     found, tables = [], []
-    tokens = [F.struct(F.lit(r).alias("run"), _pick(r, 0, k).alias("token")) for r in range(RUNS) for k in range(PICKS)]
-    rows = sets.select("set_key", F.explode(F.array(*tokens)).alias("t")).select("set_key", F.col("t.run").alias("run"), F.xxhash64("t.run", "t.token").alias("path"), F.lit(0).cast("long").alias("parent"))
-    rows = rows.withColumn("streak", F.lit(0))
+
+    def own_picks(level: int, picks: int) -> Column:
+        return F.array_distinct(F.array(*[F.struct(F.lit(r).alias("run"), _pick(r, level, k).alias("token")) for r in range(RUNS) for k in range(picks)]))
+
+    first = sets.select("set_key", F.explode(own_picks(0, PICKS)).alias("t"))
+    rows = first.select("set_key", "t.run", F.xxhash64("t.run", "t.token").alias("path"), F.lit(0).cast("long").alias("parent"), F.lit(0).alias("streak"))
     for level in range(1, LEVELS + 1):
-        rows = rows.dropDuplicates(["path", "set_key"])
         counts = rows.groupBy("run", "path").agg(F.count("*").alias("count"), F.max("parent").alias("parent"), F.max("streak").alias("streak")).filter(F.col("count") > 1)
         streak = F.when((F.col("parent") > 0) & (F.col("count") > DENSE * F.col("parent")), F.col("streak") + 1).otherwise(0)
-        kept = written(rows.drop("parent", "streak").join(counts.withColumn("streak", streak).drop("parent"), ["run", "path"]), f"level{level}")
+        # a table of its own, so that Spark can split the rows of a frequent token's bucket in the join
+        counts = written(counts.select("run", "path", "count", streak.alias("streak")), f"counts{level}")
+        kept = written(rows.drop("parent", "streak").join(counts, ["run", "path"]), f"level{level}")
+        discard(counts, rows)
         tables.append(kept)
         small = (F.col("count") <= LEAF) | (F.col("streak") >= STREAK)
         last = level == LEVELS
@@ -153,10 +158,11 @@ def leaves(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         large = kept.filter(~small)
         if last or large.isEmpty():
             break
-        each = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(k).alias("k"), _pick(r, level, k).alias("token")) for r in range(RUNS) for k in range(PICKS)])
         # what resembles each other meets again by one pick; a second would only multiply it
-        own = F.explode(F.filter(each, lambda t: (t["run"] == F.col("run")) & ((t["k"] == 0) | (F.col("streak") == 0)))).alias("t")
-        rows = large.join(sets.select("set_key", "picks"), "set_key").select("set_key", "run", "path", "count", "streak", own).select("set_key", "run", F.xxhash64("path", "t.token").alias("path"), F.col("count").alias("parent"), "streak")
+        picks = F.when(F.col("streak") == 0, own_picks(level, PICKS)).otherwise(own_picks(level, 1))
+        own = F.explode(F.filter(picks, lambda t: t["run"] == F.col("run"))).alias("t")
+        children = large.join(sets.select("set_key", "picks"), "set_key").select("set_key", "run", "path", "count", "streak", own)
+        rows = written(children.select("set_key", "run", F.xxhash64("path", "t.token").alias("path"), F.col("count").alias("parent"), "streak"), f"children{level}")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
