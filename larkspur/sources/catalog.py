@@ -70,6 +70,16 @@ class Catalog:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(new, self._path, options)
 
+    def vacuum(self) -> int:
+        """Delete versions and manifests that the manifest doesn't name; their number. For when nobody reads old ones."""
+        named = {*self._manifest().values(), "manifest.json"}
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        old = [f.getPath() for f in self._fs.listStatus(base) if f.getPath().getName() not in named] if self._fs.exists(base) else []
+        old = [p for p in old if p.getName().partition("-")[0] in (*SCHEMAS, "manifest")]
+        for p in old:
+            self._fs.delete(p, True)
+        return len(old)
+
     def table(self, name: str) -> DataFrame:
         version = self._manifest().get(name)
         if version is None:

@@ -100,6 +100,13 @@ def test_status_paths_and_close(catalog):
         catalog.table("documents")
 
 
+def test_vacuum(catalog):
+    assert catalog.vacuum() == 0
+    for i in range(3):
+        catalog.add_documents([{"id": str(i), "name": "n", "file_path": f"p/{i}"}])
+    assert catalog.vacuum() == 2 and catalog.vacuum() == 0 and catalog.table("documents").count() == 3
+
+
 def test_ingest_skips_and_replaces(catalog, spark):
     docs = spark.createDataFrame([("d1", "f", "p/f")], "id string, name string, file_path string")
     parts = spark.createDataFrame([("d1", 0, "one", [0.5]), ("d1", 1, "two", [0.5]), ("else", 0, "no", [0.1])], "document_id string, chunk_index int, text string, embedding array<float>")
