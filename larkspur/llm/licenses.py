@@ -1,8 +1,9 @@
 r"""License scans: sentences become identifiers, identifier sequences meet ordered rules.
 
-A text is split into sentences at line feeds and after sentence ends; each is normalised (lower case, runs of anything
-but a-z and 0-9 to one space, trimmed) and looked up among the known license sentences. What is found, in order, is the
-text's identifier sequence; a sentence that isn't known breaks it. The rules are tried in order, longer texts before
+A text is split into pieces at line feeds and after sentence ends; each is normalised (lower case, runs of anything but
+a-z and 0-9 to one space, trimmed). A known license sentence is one piece or several in a row, as line wraps, ':', ';' and
+'v.' inside of a sentence make them; longer sentences are looked for before shorter ones. What is found, in order, is the
+text's identifier sequence; a piece that belongs to no known sentence breaks it, unless it is blank or a list's marker. The rules are tried in order, longer texts before
 short references; a rule takes the identifiers that it matches, so a three-clause text isn't a two-clause one as well.
 
 Defined cases: a null text is an empty one; a text without known sentences has no license, category "none".
@@ -56,7 +57,7 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 #: One of these words stands in every known sentence.
-ANCHORS = r"licen[sc]e|permission|copyright|warranty|redistribut|public domain|rights reserved"
+ANCHORS = r"licen[sc]e|permission|copyright|warranty|redistribut|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved"
 
 #: License, category and the identifiers that say it, in order of trial.
 RULES = (
@@ -86,6 +87,9 @@ RULES = (
 #: From the strictest on.
 CATEGORIES = ("restricted", "copyleft", "permissive")
 SENTENCE_END = r"(?<=[.!?;:])[ \t\r\f]+|[\r\f]*\n[ \t\r\f]*"
+#: A list's marker before a piece, and one that is a piece (normalised).
+MARKER = r"^[^A-Za-z0-9(]*\(?[0-9A-Za-z]{1,2}\)[ \t]+"
+MARKER_ALONE = "[0-9]{1,2}|[a-z]"
 
 
 def _pattern(ids: tuple[str, ...]) -> str:
@@ -97,9 +101,14 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's sentences in order, "" for sentences that aren't known."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.transform(F.split(F.trim(text), SENTENCE_END, -1), lambda s: F.coalesce(F.try_element_at(known, normalised(s)), F.lit("")))
+    """The identifiers of a text's sentences in order, "" for pieces of what isn't known."""
+    pieces = F.transform(F.split(F.trim(text), SENTENCE_END, -1), lambda s: normalised(F.regexp_replace(s, MARKER, "")))
+    # between line feeds stand pieces and, in the place of those that make a known sentence, its identifier in brackets
+    marked = F.concat(F.lit("\n"), F.array_join(F.array_remove(pieces, ""), "\n"), F.lit("\n"))
+    for sentence in sorted(SENTENCES, key=len, reverse=True):
+        marked = F.regexp_replace(marked, "(?<=\n)" + sentence.replace(" ", "[ \n]") + "(?=\n)", f"<{SENTENCES[sentence]}>")
+    parts = F.filter(F.split(marked, "\n", -1), lambda s: (s != "") & ~s.rlike(f"^({MARKER_ALONE})$"))
+    return F.transform(parts, lambda s: F.when(s.startswith("<"), F.translate(s, "<>", "")).otherwise(""))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

@@ -109,6 +109,72 @@ def test_licenses(spark):
     assert all(re.search(licenses.ANCHORS, s) for s in licenses.SENTENCES)
     assert {i for _, _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES.values())
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licenses_of_real_texts(spark):
+    hashed = lambda t: "".join(f"# {line}\r\n" for line in t.split("\n"))
+    whole = {
+        MIT: ("MIT", "mit-grant,mit-notice,as-is"), BSD: ("BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-endorse"),
+        BSD[: BSD.index("3.")].replace("1.", "(a)").replace("2.", "(b)"): ("BSD-2-Clause", "bsd-grant,bsd-source,bsd-binary"), GPL: ("GPL-3.0", "gpl3-grant,gpl-warranty"),
+        APACHE: ("Apache-2.0", "apache-grant,apache-terms,apache-copy"), MPL: ("MPL-2.0", "mpl2-ref"), "This is free and unencumbered software released into the public\ndomain.": ("Unlicense", "unlicense"),
+        "This work is licensed under the GNU General Public License, version\n3.": ("GPL-3.0", "gpl3-ref"), "Copyright 2020 A. All rights\nreserved.": ("Proprietary", "reserved"),
+    }
+    tags = {"MIT": ("MIT", "mit-ref"), "Apache-2.0": ("Apache-2.0", "apache-ref"), "GPL-3.0-only": ("GPL-3.0", "gpl3-ref"), "GPL-3.0-or-later": ("GPL-3.0", "gpl3-ref"), "GPL-2.0-only": ("GPL-2.0", "gpl2-ref")}
+    whole |= {f"// SPDX-License-Identifier: {tag}\nint x;": want for tag, want in tags.items()}
+    values = [*whole, *map(hashed, whole), "int y; SPDX-License-Identifier: MITRE", BSD.replace("2. ", "2. Not known.\n")]
+    got = [(r.licenses, r.sentence_ids) for r in licenses.digest(licenses.scan_licenses(texts(spark, values))).orderBy("doc_id").collect()]
+    assert got == [*whole.values(), *whole.values(), ("", ""), ("", "bsd-grant,bsd-source,bsd-binary,bsd-endorse")]
+
+
 
 def test_licenses_odd(spark):
     got = licenses.digest(licenses.scan_licenses(odd_documents(spark))).collect()
