@@ -8,7 +8,8 @@ tokens that come first in the order of a hash of the run and the level, and goes
 similarity 0.8 agree on at least one of the two with probability 0.96 at each level. Buckets of one set go, buckets of at
 most ``LEAF`` sets are compared by brute force, larger ones are split again. Buckets that keep most of their parent's sets for
 ``STREAK`` levels aren't worth splitting, since their sets resemble each other: they are compared too, in pairs of
-blocks. ``RUNS`` runs miss a pair that meets in small buckets with probability below 0.001.
+blocks. Runs are repeated until a pair of similarity 0.8 meets with probability of at least ``RECALL`` wherever it lies,
+that is, even if all its buckets are large on every level.
 
 Sets that look alike (signatures of the picked tokens, sizes) are joined to candidate components, and within a component
 every pair is compared exactly, again in pairs of blocks, by matrix products over shared tokens. No pair becomes a row:
@@ -23,6 +24,7 @@ and is no class's name while there is another.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
@@ -35,9 +37,22 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import NEAR, SHINGLE, discard, mapped, written
 
-RUNS = 3
 LEVELS = 6
 PICKS = 2
+#: The least probability with which two sets of similarity NEAR meet in a bucket that is compared.
+RECALL = 0.999
+
+
+def missed(near: float = NEAR, levels: int = LEVELS) -> float:
+    """The probability that a run parts two sets of this similarity on one of so many levels, at most.
+
+    They part on a level if no pick is shared. That is likeliest if one set holds the other: the other's picks are then both
+    among what only it has. A level's picks are the same on all paths of a run, so paths don't help each other.
+    """
+    return 1 - (1 - (1 - near) ** PICKS) ** levels
+
+
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(missed()))
 #: Sets of a block; two blocks are compared in one task, so a bucket of no more needs no splitting.
 BLOCK = 256
 LEAF = 2 * BLOCK
@@ -46,7 +61,7 @@ LEAF = 2 * BLOCK
 DENSE = 0.5
 STREAK = 3
 #: Signatures (one token for each run and level) that agree, at least, where two sets are worth an exact comparison.
-ALIKE = 8
+ALIKE = 4 * RUNS * LEVELS // 9
 CACHE_WORDS = 500_000
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -139,10 +154,10 @@ def leaves(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """
     found, tables = [], []
 
-    def own_picks(level: int, picks: int) -> Column:
-        return F.array_distinct(F.array(*[F.struct(F.lit(r).alias("run"), _pick(r, level, k).alias("token")) for r in range(RUNS) for k in range(picks)]))
+    def own_picks(level: int) -> Column:
+        return F.array_distinct(F.array(*[F.struct(F.lit(r).alias("run"), _pick(r, level, k).alias("token")) for r in range(RUNS) for k in range(PICKS)]))
 
-    first = sets.select("set_key", F.explode(own_picks(0, PICKS)).alias("t"))
+    first = sets.select("set_key", F.explode(own_picks(0)).alias("t"))
     rows = first.select("set_key", "t.run", F.xxhash64("t.run", "t.token").alias("path"), F.lit(0).cast("long").alias("parent"), F.lit(0).alias("streak"))
     for level in range(1, LEVELS + 1):
         counts = rows.groupBy("run", "path").agg(F.count("*").alias("count"), F.max("parent").alias("parent"), F.max("streak").alias("streak")).filter(F.col("count") > 1)
@@ -158,9 +173,7 @@ def leaves(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         large = kept.filter(~small)
         if last or large.isEmpty():
             break
-        # what resembles each other meets again by one pick; a second would only multiply it
-        picks = F.when(F.col("streak") == 0, own_picks(level, PICKS)).otherwise(own_picks(level, 1))
-        own = F.explode(F.filter(picks, lambda t: t["run"] == F.col("run"))).alias("t")
+        own = F.explode(F.filter(own_picks(level), lambda t: t["run"] == F.col("run"))).alias("t")
         children = large.join(sets.select("set_key", "picks"), "set_key").select("set_key", "run", "path", "count", "streak", own)
         rows = written(children.select("set_key", "run", F.xxhash64("path", "t.token").alias("path"), F.col("count").alias("parent"), "streak"), f"children{level}")
     out = found[0]

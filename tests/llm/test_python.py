@@ -324,6 +324,27 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert [(got[i].n_links, got[i].class_id) for i in range(260)] == classes_by_brute_force(values)
 
 
+def test_pairs_in_a_template_crowd_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "BLOCK", 8)
+    monkeypatch.setattr(near_join, "LEAF", 16)
+    rnd = random.Random(12)
+    word = lambda: f"w{rnd.randint(0, 10**9)}"
+    template, values = [word() for _ in range(164)], []
+    for _ in range(300):
+        shared = [word() for _ in range(18)]
+        values += [" ".join([*template, *shared, *(word() for _ in range(22))]) for _ in "ab"]
+    assert all(0.8 <= jaccard(shingles_of(a), shingles_of(b)) < 0.81 for a, b in zip(values[::2], values[1::2], strict=True))
+    rows = near_join.described(texts(spark, values)).cache()
+    name = {bytes(r.set_key): r.doc_id for r in rows.collect()}
+    buckets, _ = near_join.leaves(rows.select("set_key", "n", "picks"))
+    met = {}
+    for r in buckets.collect():
+        met.setdefault(name[bytes(r.set_key)], set()).add(r.path)
+    apart = [i for i in range(0, 600, 2) if not met.get(i, set()) & met.get(i + 1, set())]
+    assert len(apart) <= 1, len(apart)
+    assert near_join.missed() ** near_join.RUNS <= 1 - near_join.RECALL
+
+
 def test_near_odd(spark):
     got = near_join.near_classes(odd_documents(spark)).collect()
     assert len(got) == len(TEXTS)
