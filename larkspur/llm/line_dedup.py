@@ -4,7 +4,8 @@ Each distinct line is a pair of hashes. Its sites are counted by a HyperLogLog s
 one small sketch a line and task, however hot the line; lines whose estimate is near the threshold get an exact distinct
 count. A line is boilerplate from ``min_sites`` sites. Documents lose their boilerplate lines, except that a document of
 which those are more than ``most_removed`` of the characters keeps its whole text: that is a copy, not a page with
-boilerplate around it, and removing copies is the near-duplicate join's work.
+boilerplate around it, and removing copies is the near-duplicate join's work. With ``proven`` only those are spared that it
+names as copies of each other; all others lose their boilerplate lines, even if nothing is left.
 
 Defined cases: a null text is an empty one (one empty line); lines are what stands between line feeds, compared byte by
 byte; lines of white space only are never boilerplate; a null site counts for no line; repeated rows are treated alike;
@@ -13,6 +14,8 @@ an empty table has no boilerplate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,21 +53,29 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return sure.unionByName(exact)
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, most_removed: float = MOST_REMOVED) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, most_removed: float = MOST_REMOVED, proven: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The documents with n_lines, n_boilerplate (lines), whole_copy (kept for that reason) and n_removed; text is what stays.
 
-    Own columns of those names are replaced.
+    Own columns of those names are replaced. ``proven`` gets doc_id and text of the documents that would be spared and gives
+    doc_id and text_key (xxhash64 of the text) of those that are copies.
     """
     spread = written(boilerplate(docs, site, min_sites).select("k1", "k2"), "boilerplate")
     few = spread.count() <= MAX_BROADCAST_LINES
     key = [F.col("doc_id").alias("__doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text")]
     own = docs.select(*key, F.explode(_counted_lines(F.col("text"))).alias("line")).select("__doc", "__text", *_keys(F.col("line")))
     hits = own.join(F.broadcast(spread) if few else spread, ["k1", "k2"]).groupBy("__doc", "__text").agg(F.collect_set("k1").alias("__bad"))
+    if proven:
+        hits = written(hits, "hits")
     named = docs.drop("n_lines", "n_boilerplate", "whole_copy", "n_removed")
     joined = named.join(hits, named["doc_id"].eqNullSafe(hits["__doc"]) & (F.xxhash64(F.coalesce(named["text"], F.lit(""))) == hits["__text"]), "left")
     lines = joined.withColumn("__lines", _lines(F.col("text"))).withColumn("__kept", F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda line: ~F.array_contains(F.col("__bad"), F.xxhash64(line)))))
     total, stays = F.length(F.array_join("__lines", "")), F.length(F.array_join("__kept", ""))
     judged = lines.withColumn("__copy", (total - stays) > most_removed * total)
+    if proven:
+        copies = proven(judged.filter("__copy").select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+        copies = written(copies.withColumn("__proven", F.lit(True)), "copies")
+        judged = judged.join(copies, judged["doc_id"].eqNullSafe(copies["__id"]) & (F.xxhash64("text") == copies["__key"]), "left")
+        judged = judged.withColumn("__copy", F.col("__copy") & F.col("__proven").isNotNull())
     out = F.when(F.col("__copy") | F.col("__bad").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     extra = {
         "n_lines": F.size("__lines").cast("long"),

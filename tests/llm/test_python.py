@@ -400,6 +400,20 @@ def test_pipeline(spark):
     check_pieces(result, [(r.doc_id, r.text) for r in last])
 
 
+def test_pipeline_spares_only_copies(spark):
+    import corpus_pipeline as p
+
+    line = "Subscribe to our newsletter and follow us on all channels today"
+    copy = "The very same story of many words stands on each of these sites\nand it has a second line that is as long as that"
+    values = [f"{line}\nown {i} text" for i in range(9)] + [copy] * 8 + [f"{line}\n{copy}", line]
+    docs = p.without_boilerplate(spark, texts(spark, values, [f"s{i % 9}" for i in range(len(values))]), SMALL)
+    got = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+    want = [f"own {i} text" for i in range(9)] + [copy] * 8 + ["", ""]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+    left = p.one_of_each(spark, docs, SMALL)
+    assert sorted(r.text for r in left.collect()) == sorted([*want[:9], copy, "", ""])
+
+
 def test_pipeline_takes_odd_documents(spark):
     import corpus_pipeline as p
 
