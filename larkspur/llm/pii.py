@@ -80,13 +80,20 @@ class Kind:
         return F.lit(True)
 
 
+#: Countries by the length of their IBANs, so that a word after one isn't taken for a part of it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FO|FI|GL|NL|SD|FK", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK|MN", 21: "HR|LI|LV|CH", 22: "BH|BG|CR|GE|DE|IE|ME|RS|GB|VA", 23: "GI|IQ|IL|TL|AE|OM|SO",
+    24: "AD|CZ|MD|PK|RO|SA|SK|ES|SE|TN|VG", 25: "PT|ST|LY", 26: "IS|TR", 27: "FR|GR|IT|MC|SM|BI|DJ", 28: "AL|AZ|CY|DO|GT|HU|LB|PL|BY|SV|NI", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join([*(f"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for size, countries in IBAN_LENGTHS.items()), "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"])
+
 #: In the order in which spans of one start are listed.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, r"mail|contact|write|kontakt|correo|courriel|schreib"),
     Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|host|server|address|adresse|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.6, r"card|visa|master|amex|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"phone|\btel|call|mobil|fax|anruf|appel|llam"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", 0.6, r"iban|account|bank|konto|compte|cuenta", False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", "", 0.6, r"iban|account|bank|konto|compte|cuenta", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, r"\bssn\b|social security", False),
 )
 

@@ -86,6 +86,13 @@ def test_pii_scores(spark):
     assert got[2][0].text == "DE89 3704 0044 0532 0130 00"
 
 
+def test_ibans_before_other_words(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR1420041010050500013M02606"]
+    values = [f"IBAN: {iban} {after}" for iban in ibans for after in ("BIC COBADEFFXXX", "2024", "B", "")]
+    got = {r.doc_id: [s.text for s in r.spans if s.kind == "iban"] for r in pii.find_pii(texts(spark, values)).collect()}
+    assert [got[i] for i in range(len(values))] == [[iban] for iban in ibans for _ in range(4)]
+
+
 def test_pii_odd(spark):
     evil = texts(spark, ["x@" + "a." * 40_000 + "b", "z" * 60_000 + "@", "+1" + "(" * 60_000, "1 " * 40_000, None])
     assert [r.n_email for r in pii.digest(pii.find_pii(evil)).orderBy("doc_id").collect()] == [1, 0, 0, 0, 0]
