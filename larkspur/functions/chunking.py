@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import clean_edges, let, sentences
+from larkspur.functions.text import clean_edges, folded, let, sentences
 
 _WORD_GAP = r"[\s\x{85}\p{Z}]+"
 
@@ -41,17 +41,19 @@ def _tail(text: Column, overlap: int) -> Column:
 
 def _packed(parts: Column, glue: str, tokens: int) -> Column:
     """Parts joined by ``glue`` as long as they stay within ``tokens``."""
+    return _buffers(F.filter(parts, lambda p: p != ""), glue, tokens, lambda _, p: p)
 
-    def step(s: Column, p: Column) -> Column:
-        joined = F.concat(s["b"], F.lit(glue), p)
-        return (
-            F.when(s["b"] == "", F.struct(s["o"].alias("o"), p.alias("b")))
-            .when(_too_long(joined, tokens), F.struct(F.concat(s["o"], F.array(s["b"])).alias("o"), p.alias("b")))
-            .otherwise(F.struct(s["o"].alias("o"), joined.alias("b")))
-        )
 
-    init = F.struct(F.array().cast("array<string>").alias("o"), F.lit("").alias("b"))
-    return F.aggregate(F.filter(parts, lambda p: p != ""), init, step, lambda s: F.when(s["b"] == "", s["o"]).otherwise(F.concat(s["o"], F.array(s["b"]))))
+def _buffers(parts: Column, glue: str, tokens: int, begin) -> Column:
+    """Parts in buffers joined by ``glue`` as long as they stay within ``tokens``; ``begin`` (last buffer, part): the next one's beginning."""
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, p: Column) -> tuple[Column, Column]:
+        joined = F.concat(held, F.lit(glue), p)
+        full = (held != "") & _too_long(joined, tokens)
+        return F.when(held == "", p).when(full, begin(held, p)).otherwise(joined), F.when(full, F.array(held)).otherwise(none)
+
+    return folded(parts, "string", F.lit(""), step, lambda held: F.when(held == "", none).otherwise(F.array(held)))
 
 
 def _within(text: Column, tokens: int) -> Column:
@@ -64,21 +66,12 @@ def _within(text: Column, tokens: int) -> Column:
 def chunks(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
     """The chunks of a text in order; null and empty texts have none."""
     parts = F.filter(F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), options.separator), clean_edges), lambda p: p != "")
-    glue = F.lit("\n\n")
+    glue = "\n\n"
 
     def carried(b: Column, p: Column) -> Column:
-        return let(_tail(clean_edges(b), options.overlap), lambda t: F.when(t == "", p).otherwise(F.concat(t, glue, p)))
-
-    def step(s: Column, p: Column) -> Column:
-        joined = F.concat(s["b"], glue, p)
-        return (
-            F.when(s["b"] == "", F.struct(s["o"].alias("o"), p.alias("b")))
-            .when(_too_long(joined, options.max_tokens), F.struct(F.concat(s["o"], F.array(s["b"])).alias("o"), carried(s["b"], p).alias("b")))
-            .otherwise(F.struct(s["o"].alias("o"), joined.alias("b")))
-        )
-
-    init = F.struct(F.array().cast("array<string>").alias("o"), F.lit("").alias("b"))
-    buffers = F.aggregate(parts, init, step, lambda s: F.when(s["b"] == "", s["o"]).otherwise(F.concat(s["o"], F.array(s["b"]))))
+        return let(_tail(clean_edges(b), options.overlap), lambda t: F.when(t == "", p).otherwise(F.concat(t, F.lit(glue), p)))
+
+    buffers = _buffers(parts, glue, options.max_tokens, carried)
     return F.flatten(F.transform(buffers, lambda b: _within(clean_edges(b), options.hard_tokens)))
 
 

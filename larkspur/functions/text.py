@@ -23,6 +23,35 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Items of a fold that are put out together.
+_AT_ONCE = 256
+
+
+def folded(items: Column, kind: str, start: Column, step, end=None) -> Column:
+    """What a fold over an array puts out, as one array of ``kind``.
+
+    ``start``: the first state; ``step`` (state, item): the next state and an array of what goes out; ``end`` (state): an
+    array of what is left. Output is gathered in blocks, so a long array isn't copied at each of its items.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        state, out = step(acc["s"], item)
+        return F.struct(F.concat(acc["o"], out).alias("o"), state.alias("s"))
+
+    def block(xs: Column, acc: Column, b: Column) -> Column:
+        inner = F.aggregate(F.slice(xs, b * _AT_ONCE + 1, F.lit(_AT_ONCE)), F.struct(none.alias("o"), acc["s"].alias("s")), one)
+        return let(inner, lambda r: F.struct(F.concat(acc["o"], F.array(r["o"])).alias("o"), r["s"].alias("s")))
+
+    def whole(xs: Column) -> Column:
+        numbers = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _AT_ONCE).cast("int"))).otherwise(F.array().cast("array<int>"))
+        first = F.struct(F.array().cast(f"array<array<{kind}>>").alias("o"), start.alias("s"))
+        last = lambda acc: F.flatten(acc["o"]) if end is None else F.concat(F.flatten(acc["o"]), end(acc["s"]))
+        return F.aggregate(numbers, first, lambda acc, b: block(xs, acc, b), last)
+
+    return let(items, whole)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(c, UPPER, LOWER)
@@ -44,14 +73,13 @@ def remove_tag(c: Column, tag: str) -> Column:
     start, end = f"<{tag}", f"</{tag}>"
     parts = F.split(c, f"(?=<{tag})|(?={end})")
 
-    def step(s: Column, p: Column) -> Column:
+    def step(depth: Column, p: Column) -> tuple[Column, Column]:
         opens, closes = F.startswith(p, F.lit(start)), F.startswith(p, F.lit(end))
-        depth = s["depth"] + F.when(opens, 1).when(closes & (s["depth"] > 0), -1).otherwise(0)
-        shown = F.when((s["depth"] == 0) & ~opens, p).when((s["depth"] == 1) & closes, F.substr(p, F.lit(len(end) + 1))).otherwise("")
-        return F.struct(depth.alias("depth"), F.concat(s["out"], F.array(shown)).alias("out"))
+        now = depth + F.when(opens, 1).when(closes & (depth > 0), -1).otherwise(0)
+        shown = F.when((depth == 0) & ~opens, p).when((depth == 1) & closes, F.substr(p, F.lit(len(end) + 1))).otherwise("")
+        return now, F.array(shown)
 
-    init = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
-    return F.when(F.contains(c, F.lit(start)), F.aggregate(parts, init, step, lambda s: F.array_join(s["out"], ""))).otherwise(c)
+    return F.when(F.contains(c, F.lit(start)), F.array_join(folded(parts, "string", F.lit(0), step), "")).otherwise(c)
 
 
 def strip_tags(c: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import folded
+
 MAX_TEXTS = 100
 MAX_TOKENS = 30_000
 
@@ -33,19 +35,20 @@ def in_batches(texts: list[str], most: int = MAX_TEXTS, budget: int = MAX_TOKENS
 def batch_numbers(sizes: Column, most: int = MAX_TEXTS, budget: int = MAX_TOKENS) -> Column:
     """The batch (from 0) of each text, from the array of their estimated tokens."""
 
-    def step(s: Column, n: Column) -> Column:
+    def step(s: Column, n: Column) -> tuple[Column, Column]:
         full = (s["held"] >= most) | ((s["held"] > 0) & (s["tokens"] + n > budget))
         batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, F.lit(1)).otherwise(s["held"] + 1).alias("held"), F.when(full, n).otherwise(s["tokens"] + n).alias("tokens"), F.concat(s["out"], F.array(batch)).alias("out")
-        )
+        return F.struct(batch.alias("batch"), F.when(full, F.lit(1)).otherwise(s["held"] + 1).alias("held"), F.when(full, n).otherwise(s["tokens"] + n).alias("tokens")), F.array(batch)
 
-    init = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("held"), F.lit(0).cast("long").alias("tokens"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(sizes, init, step, lambda s: s["out"])
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("held"), F.lit(0).cast("long").alias("tokens"))
+    return folded(sizes, "int", start, step)
 
 
 def batches(rows: DataFrame, group: str, order: str, most: int = MAX_TEXTS, budget: int = MAX_TOKENS) -> DataFrame:
-    """group, order, batch: the batch of each of a group's texts in order."""
+    """group, order, batch: the batch of each of a group's texts in order.
+
+    Batches follow from all that comes before in the group, so a task holds the largest group's sizes (not its texts).
+    """
     size = F.floor(F.octet_length("text") / 4).cast("long")
     listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, size.alias("n")))).alias("__l"))
     numbered = listed.withColumn("__b", batch_numbers(F.transform("__l", lambda x: x["n"]), most, budget))
