@@ -8,10 +8,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-import zlib
 from xml.etree import ElementTree
 from xml.parsers import expat
 
+from larkspur.sources import pdf
+
 
 class EncryptedPdfError(ValueError):
     """The document needs a password."""
@@ -107,99 +108,14 @@ def legacy_doc_text(data: bytes) -> str:
     return text
 
 
-# PDF: objects, streams and text operators, as far as documents use plain or deflated streams and simple encodings.
-
-_OBJECT = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+[0-9*]*|<<|>>", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def pdf_encrypted(data: bytes) -> bool:
-    """Whether a trailer or cross-reference stream names an encryption dictionary."""
-    trailers = [data[m.end() : m.end() + 4096] for m in re.finditer(rb"\btrailer\b", data)]
-    streams = [m[3] for m in _OBJECT.finditer(data) if b"/XRef" in m[3][:2048]]
-    return any(b"/Encrypt" in t.split(b"startxref")[0] for t in trailers) or any(b"/Encrypt" in s.split(b"stream")[0] for s in streams)
-
-
-def _inflated(body: bytes) -> bytes:
-    found = _STREAM.search(body)
-    if not found:
-        return b""
-    raw = found[1]
-    if b"/FlateDecode" in body[: found.start()]:
-        return zlib.decompressobj().decompress(raw)
-    return raw
-
-
-def _objects(data: bytes) -> dict[int, bytes]:
-    objects = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
-    for body in list(objects.values()):
-        if b"/ObjStm" in body.split(b"stream")[0]:
-            content = _inflated(body)
-            first = int((re.search(rb"/First\s+(\d+)", body) or [0, b"0"])[1])
-            head = list(map(int, content[:first].split()))
-            for number, (a, z) in zip(head[::2], zip(head[1::2], [*head[3::2], len(content) - first], strict=True), strict=True):
-                objects.setdefault(number, content[first + a : first + z])
-    return objects
-
-
-def _string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        data = re.sub(rb"\\([0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]), token[1:-1])
-        data = re.sub(rb"\\(\r?\n)?(.?)", lambda m: b"" if m[1] else _ESCAPES.get(m[2], m[2]), data, flags=re.S)
-    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
-
-
-def _page_lines(content: bytes) -> list[str]:
-    """Lines of text of a page's content; a move to another line ends one."""
-    lines, line, waiting = [], [], []
-
-    def end() -> None:
-        if (text := "".join(line).strip()) != "":
-            lines.append(text)
-        line.clear()
-
-    for block in re.findall(rb"\bBT\b(.*?)\bET\b", content, re.S):
-        for m in _TOKEN.finditer(block):
-            t = m[0]
-            if t[:1] in b"(<" and t not in (b"<<", b">>"):
-                waiting.append(_string(t))
-            elif t in (b"Tj", b"TJ"):
-                line.extend(waiting)
-                waiting.clear()
-            elif t in (b"'", b'"'):
-                end()
-                line.extend(waiting)
-                waiting.clear()
-            elif t in (b"Td", b"TD", b"T*", b"Tm"):
-                end()
-            elif t[:1].isalpha():
-                waiting.clear()
-        end()
-    return lines
-
-
-def pdf_text(data: bytes) -> tuple[str, int]:
-    """(text, pages that couldn't be read): lines of each page, a blank line between pages."""
-    if pdf_encrypted(data):
-        raise EncryptedPdfError("the PDF is encrypted and needs a password")
-    objects = _objects(data)
-    pages = [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page(?![A-Za-z])", b)]
-    if not pages:
+def pdf_text(data: bytes) -> pdf.PdfText:
+    """A PDF's text: lines of each page, a blank line between pages. One without text is an error that says why."""
+    try:
+        found = pdf.read(data)
+    except PermissionError as e:
+        raise EncryptedPdfError(str(e)) from e
+    if not found.pages:
         raise ParseError("the PDF has no pages")
-    texts, unreadable = [], 0
-    for page in pages:
-        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
-        try:
-            content = b"\n".join(_inflated(objects[int(n)]) for n in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])) if refs else b""
-            if lines := _page_lines(content):
-                texts.append("\n".join(lines))
-        except (zlib.error, KeyError, ValueError):
-            unreadable += 1
-    if not texts:
-        raise ParseError("the PDF has no text" + (f"; {unreadable} pages can't be read" if unreadable else ""))
-    return "\n\n".join(texts), unreadable
+    if not found.text:
+        raise ParseError("the PDF has no text" + (f"; {found.unreadable} of {found.pages} pages can't be read" if found.unreadable else ""))
+    return found

@@ -74,8 +74,8 @@ def parse_binary(path: str, data: bytes) -> tuple:
             text = data.decode(errors="replace") if found is None else found
             return path, text, "", ".xml", False, OK, None
         if kind == ".pdf":
-            text, unreadable = office.pdf_text(data)
-            return path, text, "", kind, False, OK, f"{unreadable} pages can't be read" if unreadable else None
+            found = office.pdf_text(data)
+            return path, found.text, "", kind, found.decrypted, OK, f"{found.unreadable} pages can't be read" if found.unreadable else None
         read = {".docx": office.docx_text, ".xlsx": office.xlsx_text, ".pptx": office.pptx_text, ".doc": office.legacy_doc_text}[kind]
         return path, read(data), "", kind, False, OK, None
     except office.EncryptedPdfError as e:

@@ -1,5 +1,6 @@
 """Parsers of generated files, models with stand-in services, settings, commands, streams."""
 
+import hashlib
 import io
 import json
 import zipfile
@@ -10,7 +11,9 @@ import pytest
 from larkspur.plans import cli, sinks
 from larkspur.plans import config as settings
 from larkspur.sources import models, office, parsers
+from larkspur.sources import pdf as pdf_reader
 from larkspur.sources.catalog import Catalog
+from larkspur.sources.ciphers import Aes, rc4
 from larkspur.streaming.ingest import follow_folder
 
 
@@ -22,8 +25,8 @@ def archive(**members):
     return data.getvalue()
 
 
-def pdf(*pages, packed=False, encrypted=False, broken=None):
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [] >>"]
+def pdf(*pages, packed=False, extra=b"", broken=None):
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] >>" % b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(len(pages)))]
     for i, lines in enumerate(pages):
         content = b"BT /F1 12 Tf 72 700 Td " + b" 0 -14 Td ".join(b"(%s) Tj" % x for x in lines) + b" ET"
         if packed:
@@ -32,8 +35,16 @@ def pdf(*pages, packed=False, encrypted=False, broken=None):
             content = b"\x00broken"
         head = b"<< /Length %d%s >>" % (len(content), b" /Filter /FlateDecode" if packed or broken == i else b"")
         objects += [b"<< /Type /Page /Contents %d 0 R >>" % (len(objects) + 2), head + b"\nstream\n" + content + b"\nendstream"]
+    return pdf_of(objects, extra)
+
+
+def pdf_of(objects, extra=b""):
     body = b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in enumerate(objects, 1))
-    return b"%PDF-1.4\n" + body + b"trailer << /Root 1 0 R" + (b" /Encrypt 9 0 R" if encrypted else b"") + b" >>\nstartxref\n0\n%%EOF"
+    return b"%PDF-1.4\n" + body + b"trailer << /Root 1 0 R" + extra + b" >>\nstartxref\n0\n%%EOF"
+
+
+def stream(content, head=b""):
+    return b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(content), head, content)
 
 
 def test_office():
@@ -48,15 +59,84 @@ def test_office():
     assert office.legacy_doc_text(b"\x01" + b"long text " * 12 + b"\x00<?xml ver\x00abc") == ("long text " * 12).strip()
 
 
+def read(data):
+    found = office.pdf_text(data)
+    return found.text, found.unreadable
+
+
 def test_pdf():
-    assert office.pdf_text(pdf([b"one", b"t\\(w\\)o"], [b"three"])) == ("one\nt(w)o\n\nthree", 0)
-    assert office.pdf_text(pdf([b"caf\\351"], packed=True)) == ("café", 0)
-    assert office.pdf_text(pdf([b"x"], [b"y"], broken=0)) == ("y", 1)
-    for bad in (pdf(), pdf([b""])):
+    assert read(pdf([b"one", b"t\\(w\\)o"], [b"three"])) == ("one\nt(w)o\n\nthree", 0)
+    assert read(pdf([b"caf\\351"], packed=True)) == ("café", 0)
+    assert read(pdf([b"x"], [b"y"], broken=0)) == ("y", 1)
+    assert read(pdf([b"x"], extra=b" /Encrypt 99 0 R")) == ("x", 0)  # what it names isn't there
+    for bad in (pdf(), pdf([b""]), b"", b"%PDF-1.4 nothing", pdf([b"x"], broken=0)):
         with pytest.raises(office.ParseError):
             office.pdf_text(bad)
+
+
+def test_pdf_order_fonts_and_places():
+    tree = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [6 0 R 3 0 R 6 0 R] /Resources << /Font << /F1 8 0 R /F2 9 0 R >> >> >>", b"<< /Type /Page /Contents 4 0 R >>"]
+    second = b"BT /F1 10 Tf 1 0 0 1 200 500 Tm (right) Tj 1 0 0 1 50 500 Tm (left) Tj 1 0 0 1 50 600 Tm [(to) -50 (p) -600 (line)] TJ 12 TL T* (next) Tj ET BT /F2 10 Tf 50 100 Td <00010002> Tj ET"
+    codes = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <4E2D> endbfchar 1 beginbfrange <0002> <0005> <6587> endbfrange"
+    objects = [*tree, stream(second), b"null", b"<< /Type /Page /Contents [7 0 R] >>", stream(b"q 1 0 0 1 0 9 cm BT /F1 9 Tf 5 5 Td (first \\101\\200) Tj ET Q")]
+    objects += [b"<< /Type /Font /Encoding << /Differences [65 /Adieresis 128 /Euro /uni0416] >> >>", b"<< /Type /Font /Subtype /Type0 /ToUnicode 10 0 R >>", stream(codes)]
+    assert read(pdf_of(objects)) == ("first Ä€\n\ntop line\nnext\nleft right\n中文", 0)
+
+
+def test_pdf_object_streams_and_changes():
+    inner = b"1 0 2 34 <</Type /Catalog /Pages 2 0 R >>  << /Type /Pages /Kids [4 0 R] >>"
+    first = inner.index(b"<<")
+    packed = zlib.compress(inner)
+    data = b"%PDF-1.5\n3 0 obj\n" + stream(packed, b" /Type /ObjStm /N 2 /First %d /Filter /FlateDecode" % first) + b"\nendobj\n4 0 obj\n<< /Type /Page /Contents 5 0 R >>\nendobj\n"
+    old, new = (b"5 0 obj\n" + stream(b"BT (%s) Tj ET" % t) + b"\nendobj\n" for t in (b"old", b"new"))
+    assert read(data + old + new + b"6 0 obj\n" + stream(b"", b" /Type /XRef /Root 1 0 R") + b"\nendobj\nstartxref\n0\n%%EOF") == ("new", 0)
+
+
+def test_ciphers():
+    for bits, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        aes = Aes(bytes(range(bits)))
+        assert aes.cbc_encrypted(bytes(16), bytes.fromhex("00112233445566778899aabbccddeeff")).hex() == want
+        data = bytes(range(160))
+        assert aes.cbc_decrypted(b"x" * 16, aes.cbc_encrypted(b"x" * 16, data)) == data
+    assert rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+
+
+def locked(method, password=b""):
+    """A PDF of one page, encrypted by the rules for one method, with ``password``."""
+    pad = lambda p: (p + pdf_reader._FILL)[:32]
+    key, content, ids = b"k" * 32, b"BT (secret words) Tj ET", b"0123456789abcdef"
+    filled = lambda d: d + bytes([16 - len(d) % 16]) * (16 - len(d) % 16)
+    text = lambda b: b"<" + b.hex().encode() + b">"
+    if method == "AESV3":
+        u = pdf_reader.Security._hash(b"validate" if not password else b"other", 6) + b"validate" + b"key salt"
+        ue = Aes(pdf_reader.Security._hash(b"key salt", 6)).cbc_encrypted(bytes(16), key)
+        said = b"/V 5 /R 6 /StmF /S /CF << /S << /CFM /AESV3 >> >> /O <00> /U %s /UE %s" % (text(u), text(ue))
+        hidden = b"i" * 16 + Aes(key).cbc_encrypted(b"i" * 16, filled(content))
+    else:
+        revision, size = {"RC4-40": (2, 5), "RC4-128": (3, 16), "AESV2": (4, 16)}[method]
+        key = hashlib.md5(pad(password) + b"o" * 32 + (0xFFFFFFFC).to_bytes(4, "little") + ids).digest()
+        for _ in range(50 if revision > 2 else 0):
+            key = hashlib.md5(key[:size]).digest()
+        key = key[:size]
+        u = rc4(key, pdf_reader._FILL) if revision == 2 else hashlib.md5(pdf_reader._FILL + ids).digest()
+        for n in range(20 if revision > 2 else 0):
+            u = rc4(bytes(b ^ n for b in key), u)
+        said = b"/V %d /R %d /Length %d /P -4 /O %s /U %s" % (1 if size == 5 else 4 if method == "AESV2" else 2, revision, size * 8, text(b"o" * 32), text(u.ljust(32, b"\0")))
+        said += b" /StmF /S /CF << /S << /CFM /AESV2 >> >>" if method == "AESV2" else b""
+        own = hashlib.md5(key + (4).to_bytes(3, "little") + bytes(2) + (b"sAlT" if method == "AESV2" else b"")).digest()[: min(16, size + 5)]
+        hidden = b"i" * 16 + Aes(own).cbc_encrypted(b"i" * 16, filled(content)) if method == "AESV2" else rc4(own, content)
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] >>", b"<< /Type /Page /Contents 4 0 R >>", stream(hidden), b"<< /Filter /Standard %s >>" % said]
+    return pdf_of(objects, b" /Encrypt 5 0 R /ID [%s %s]" % (text(ids), text(ids)))
+
+
+@pytest.mark.parametrize("method", ["RC4-40", "RC4-128", "AESV2", "AESV3"])
+def test_encrypted_pdf(method):
+    found = office.pdf_text(locked(method))
+    assert found.text == "secret words" and found.decrypted
+    assert parsers.parse_binary("a.pdf", locked(method))[4] is True
     with pytest.raises(office.EncryptedPdfError):
-        office.pdf_text(pdf([b"x"], encrypted=True))
+        office.pdf_text(locked(method, b"user's own"))
+
 
 
 def test_files(spark, tmp_path):
@@ -64,7 +144,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.html").write_text("<title>T</title><p>x</p><script>y</script>")
     (tmp_path / "c.xml").write_text("<a>q<b>r</b></a>")
     (tmp_path / "d.pdf").write_bytes(pdf([b"p"], [b"q"]))
-    (tmp_path / "e.pdf").write_bytes(pdf([b"p"], encrypted=True))
+    (tmp_path / "e.pdf").write_bytes(locked("RC4-128", b"user's"))
     (tmp_path / "f.docx").write_bytes(b"not a zip")
     (tmp_path / "g").write_text("no extension")
     (tmp_path / "h.py").write_text("def f():\n\n    pass")
@@ -159,7 +239,7 @@ def test_commands(spark, tmp_path):
     run("config", "set", "storage.path", f"file://{tmp_path}/store")
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "leaf.txt").write_text("\n\n".join(f"Photosynthesis in leaf {i} makes sugar." for i in range(8)))
-    (tmp_path / "in" / "bad.pdf").write_bytes(pdf([b"p"], encrypted=True))
+    (tmp_path / "in" / "bad.pdf").write_bytes(locked("RC4-128", b"user's"))
     added = run("add", f"file://{tmp_path}/in", "--chunk-size", "30", "--overlap", "2")
     assert added.startswith("1 documents added") and "encrypted" in added
     assert run("add", f"file://{tmp_path}/in").startswith("0 documents") and run("add", "--force", f"file://{tmp_path}/in", "--chunk-size", "30").startswith("1 documents")
