@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import unfenced
+from larkspur.operators.bounded import in_blocks, sent
+from larkspur.sources.models import ask
 from larkspur.sources.shared import written
 
+#: Names that meet the entities at once.
+BLOCK = 4096
+
 #: What a model is asked to answer with.
 ANSWER = "entities array<struct<id:string,name:string,type:string,description:string,properties:map<string,string>>>, relations array<struct<id:string,source:string,target:string,type:string,description:string,properties:map<string,string>>>"
 
@@ -42,15 +49,34 @@ def parsed_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return entities, checked_relations(rows("relations"), entities)[0], bad
 
 
+def build_graph(chunks: DataFrame, complete: Callable[[str], str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relations, bad answers) that a model finds in chunks (document_id, chunk_index, text).
+
+    Every chunk is asked about once, by the tasks that hold them; the answers are a table, from which all three come. Of
+    chunks without usable answer the document and what went wrong stay, the others go on.
+    """
+    order = F.struct(F.col("document_id").cast("string"), F.col("chunk_index").cast("long"))
+    asked = chunks.select("document_id", order.alias("seq"), entity_prompt(F.col("document_id").cast("string"), F.col("text")).alias("prompt"))
+    return parsed_answers(written(ask(asked, complete).drop("prompt"), "answers"))
+
+
+def names_asked(queries: DataFrame, complete: Callable[[str], str]) -> DataFrame:
+    """query_id, name: the entities that a model finds named in each query (query_id, query); none where its answer is no list."""
+    asked = queries.select("query_id", name_prompt(F.col("query")).alias("prompt"))
+    answers = written(ask(asked, complete).select("query_id", "answer"), "names")
+    return answers.select("query_id", F.explode(F.from_json(unfenced(F.col("answer")), "array<string>")).alias("name")).filter(F.trim("name") != "").distinct()
+
+
 def find_entities(entities: DataFrame, name: str) -> DataFrame:
     """Entities whose name contains ``name``, whatever the case."""
     return entities.filter(F.contains(F.lower("name"), F.lit(name.lower())))
 
 
 def link_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
-    """query_id, id: entities whose name contains one of a query's names (query_id, name; few enough to broadcast)."""
+    """query_id, id: entities whose name contains one of a query's names (query_id, name), ASCII or not, whatever the case."""
     wanted = names.select("query_id", F.lower("name").alias("__name")).filter(F.col("__name") != "")
-    return entities.join(F.broadcast(wanted), F.contains(F.lower("name"), F.col("__name"))).select("query_id", "id").distinct()
+    linked = lambda some: entities.join(F.broadcast(some), F.contains(F.lower("name"), F.col("__name"))).select("query_id", "id").distinct()
+    return in_blocks(wanted, BLOCK, linked).distinct()
 
 
 def outgoing(relations: DataFrame, entity_id: str) -> DataFrame:
@@ -76,7 +102,8 @@ def reached(relations: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     edges = neighbours(relations).select("id", "other").distinct()
     seen = frontier = written(seeds.select("query_id", "id").distinct().withColumn("hops", F.lit(0)), "seeds")
     for h in range(1, hops + 1):
-        new = frontier.join(edges, "id").select("query_id", F.col("other").alias("id")).distinct()
+        # a small frontier is sent to the edges, so that an entity with very many of them isn't one task's; else Spark splits it
+        new = edges.join(sent(frontier), "id").select("query_id", F.col("other").alias("id")).distinct()
         frontier = written(new.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("hops", F.lit(h)), f"hop{h}")
         if frontier.isEmpty():
             break
@@ -96,10 +123,25 @@ def subgraph(entities: DataFrame, relations: DataFrame, seeds: DataFrame, hops:
 
 
 def search_graph(entities: DataFrame, relations: DataFrame, names: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The subgraphs around the entities that a query's names (of a model) link to; nothing where none does."""
+    """The subgraphs around the entities that a query's names link to; nothing where none does."""
     return subgraph(entities, relations, link_entities(entities, names), hops)
 
 
-def entity_prompt(text: Column) -> Column:
-    """What a model is asked of a chunk."""
-    return F.concat(F.lit("List the entities and relations of this text as JSON with the keys entities and relations:\n"), text)
+def ask_graph(entities: DataFrame, relations: DataFrame, queries: DataFrame, complete: Callable[[str], str], hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """search_graph() of questions (query_id, query), whose names a model finds."""
+    return search_graph(entities, relations, names_asked(queries, complete), hops)
+
+
+def entity_prompt(document_id: Column, text: Column) -> Column:
+    """What a model is asked of a chunk: one JSON object."""
+    shape = (
+        '{"entities": [{"id": ..., "name": ..., "type": "person, organization, concept ...", "description": ...}],'
+        ' "relations": [{"id": ..., "source": "an entity\'s id", "target": "an entity\'s id", "type": "is_a, part_of, relates_to ...", "description": ...}]}'
+    )
+    told = F.concat(F.lit("List the key entities of the text below and how they relate, as JSON of this form:\n" + shape + "\nUse ids of the form doc_"), document_id, F.lit("_entity_N and doc_"), document_id)
+    return F.concat(told, F.lit("_rel_N, each for one thing.\n\nText:\n"), text)
+
+
+def name_prompt(query: Column) -> Column:
+    """What a model is asked of a question: a JSON array of names."""
+    return F.concat(F.lit('Which entities does this question name? Answer with a JSON array of their names alone, like ["one", "another"].\n\nQuestion: '), query)

@@ -16,6 +16,7 @@ from larkspur.operators.retrieval import Retriever, SearchOptions
 from larkspur.plans import config as settings
 from larkspur.plans import sinks
 from larkspur.sources.catalog import Catalog, NotFoundError
+from larkspur.sources.shared import discard, written
 from larkspur.sources.models import HttpEmbedder, HttpEvaluator, HttpReranker, HttpRewriter, HttpWebSearch, embed_chunks, heuristic_evaluator, rule_rewriter
 from larkspur.sources.parsers import OK, read_files
 from larkspur.streaming.ingest import as_documents
@@ -123,16 +124,16 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
 
 def add(args, catalog: Catalog, config: settings.Config) -> str:
     options = ChunkOptions(args.chunk_size or config.chunking.max_tokens, config.chunking.overlap if args.overlap is None else args.overlap)
-    parsed = read_files(catalog.spark, args.path).cache()
+    parsed = written(read_files(catalog.spark, args.path), "parsed")
     bad = [f"{r.path}: {r.status}: {r.error}" for r in parsed.filter(F.col("status") != OK).select("path", "status", "error").limit(20).collect()]
     docs = as_documents(parsed)
     chunks = chunk_documents(docs, options)
     e = config.embedding
     if e.api_key:
         chunks = embed_chunks(chunks, HttpEmbedder(e.url, e.model, e.api_key, e.max_batch))
-    n = catalog.ingest(docs, chunks, force=args.force, keyword_only=not e.api_key)
-    parsed.unpersist()
-    return "\n".join([f"{n} documents added", *bad])
+    done = catalog.ingest_measured(docs, chunks, force=args.force, keyword_only=not e.api_key)
+    discard(parsed)
+    return "\n".join([f"{done.documents} documents added", sinks.progress(done.chunks, done.chunks, done.seconds, 0), *bad])
 
 
 def search(args, catalog: Catalog, config: settings.Config) -> str:

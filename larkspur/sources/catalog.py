@@ -1,17 +1,25 @@
 """Tables of documents, chunks and wiki entries that can be changed, on plain Parquet.
 
-A change writes whole new versions of the tables it touches and then replaces a manifest that names the versions, so
-readers see all of it or nothing. There is one writer at a time. The manifest lies beside the tables and goes through
-Spark's file system, so any store will do.
+A table is a log of parts: an insert adds a folder of rows, a deletion adds a folder of keys that hide rows of the parts
+before it, an update is both. So a change costs what it changes, however long the table; ``compact`` folds a log into one
+part, ``vacuum`` deletes what no manifest needs any more. A manifest names every table's log; manifests are numbered, the
+last one holds, and a change puts the next one, so readers see all of it or nothing.
+
+There can be several writers. Changes that don't depend on what was read are put after whatever came first; of those that
+do (ingestion, updates, deletions by what is found) the later one notices and is made again.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import UTC, datetime
+from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,65 +34,178 @@ SCHEMAS = {
 INDEXING, INDEXED, FAILED = "indexing", "indexed", "failed"
 
 
+#: Keys up to which a deletion's keys are broadcast to readers; above, the join is left to Spark.
+MAX_BROADCAST_KEYS = 1_000_000
+#: Entries of a log from which ``compact`` is worth it.
+LONG_LOG = 40
+ATTEMPTS = 8
+
+T = TypeVar("T")
+Log = list[dict]
+
+
+@dataclass(frozen=True)
+class Ingested:
+    """What an ingestion has done."""
+
+    documents: int
+    chunks: int
+    seconds: float
+
+    @property
+    def rate(self) -> float:
+        """Chunks a second."""
+        return self.chunks / self.seconds if self.seconds > 0 else 0.0
+
+
 class NotFoundError(LookupError):
     """What was asked for isn't there."""
 
 
+class ConflictError(RuntimeError):
+    """Another writer was first, again and again."""
+
+
 class Catalog:
     """The tables under one base path."""
 
     def __init__(self, spark: SparkSession, base: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC)):
         self.spark, self.base, self.clock, self.closed = spark, base.rstrip("/"), clock, False
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/manifest.json")
-        self._path, self._fs = path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
 
     def close(self) -> None:
         self.closed = True
 
     # versions
 
-    def _manifest(self) -> dict[str, str]:
+    def _listed(self) -> list:
+        return [f.getPath() for f in self._fs.listStatus(self._at(""))] if self._fs.exists(self._at("")) else []
+
+    def version(self) -> int:
+        """The number of the last manifest; 0 where there is none."""
         if self.closed:
             raise RuntimeError("the catalog is closed")
-        if not self._fs.exists(self._path):
+        numbers = [p.getName().removeprefix("manifest-").removesuffix(".json") for p in self._listed()]
+        return max((int(n) for n in numbers if n.isdigit()), default=0)
+
+    def _logs(self, version: int) -> dict[str, Log]:
+        if not version:
             return {}
-        stream = self._fs.open(self._path)
+        stream = self._fs.open(self._at(f"manifest-{version:012d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
-    def _commit(self, changed: dict[str, DataFrame]) -> None:
-        """Write new versions, then put a manifest that names them in the old one's place."""
-        manifest = self._manifest()
-        for name, df in changed.items():
-            manifest[name] = f"{name}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.base}/{manifest[name]}")
-        jvm = self.spark._jvm
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.base}/manifest-{uuid.uuid4().hex}.json")
+    def _written(self, df: DataFrame, name: str) -> str:
+        folder = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.base}/{folder}")
+        return folder
+
+    def _rows(self, df: DataFrame, name: str) -> dict:
+        """An entry that adds rows."""
+        return {"add": self._written(df, name)}
+
+    def _keys(self, keys: DataFrame | list, name: str, column: str = "id") -> dict:
+        """An entry that hides the rows of these keys (of a list, or the only column of a table)."""
+        if not isinstance(keys, DataFrame):
+            keys = self.spark.createDataFrame([(k,) for k in keys], f"{column} string")
+        folder = self._written(keys.toDF(column).distinct(), name)
+        return {"hide": folder, "by": column, "keys": self.spark.read.parquet(f"{self.base}/{folder}").count()}
+
+    def _commit(self, entries: dict[str, Log], seen: int | None = None) -> None:
+        """Put entries behind the tables' logs. ``seen``: the version that they depend on; any other one is a conflict."""
+        for _ in range(ATTEMPTS):
+            version = self.version()
+            if seen is not None and version != seen:
+                break
+            logs = self._logs(version)
+            if self._put(version + 1, {**logs, **{name: logs.get(name, []) + log for name, log in entries.items()}}):
+                return
+        raise ConflictError(f"version {seen or self.version()} isn't the last one any more")
+
+    def _put(self, version: int, logs: dict[str, Log]) -> bool:
+        """Whether this manifest came to be the one of that number."""
+        jvm, new = self.spark._jvm, self._at(f"manifest-{uuid.uuid4().hex}.json")
         stream = self._fs.create(new, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.write(bytearray(json.dumps(logs).encode()))
         stream.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path.toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, self._path, options)
+        to = self._at(f"manifest-{version:012d}.json")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(new, to, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def _again(self, change: Callable[[int], T]) -> T:
+        """``change(version)`` that depends on that version, until no other writer comes between."""
+        for _ in range(ATTEMPTS):
+            try:
+                return change(self.version())
+            except ConflictError:
+                continue
+        raise ConflictError("other writers were always first")
+
+    def compact(self, *names: str) -> None:
+        """One part for each of the tables (all whose log is long, if none is named)."""
+
+        def change(seen: int) -> None:
+            logs = self._logs(seen)
+            some = [n for n in names or logs if n in logs and len(logs[n]) > (1 if names else LONG_LOG)]
+            if some and not self._put(seen + 1, logs | {n: [self._rows(self.table(n, seen), n)] for n in some}):
+                raise ConflictError(f"version {seen} isn't the last one any more")
+
+        self._again(change)
 
     def vacuum(self) -> int:
-        """Delete versions and manifests that the manifest doesn't name; their number. For when nobody reads old ones."""
-        named = {*self._manifest().values(), "manifest.json"}
-        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        old = [f.getPath() for f in self._fs.listStatus(base) if f.getPath().getName() not in named] if self._fs.exists(base) else []
-        old = [p for p in old if p.getName().partition("-")[0] in (*SCHEMAS, "manifest")]
+        """Delete parts and manifests that the last manifest doesn't name; their number. For when nobody reads or writes."""
+        version = self.version()
+        named = {x for log in self._logs(version).values() for e in log for x in (e.get("add"), e.get("hide"))} | {f"manifest-{version:012d}.json"}
+        old = [p for p in self._listed() if p.getName() not in named and p.getName().partition("-")[0] in (*SCHEMAS, "manifest")]
         for p in old:
             self._fs.delete(p, True)
         return len(old)
 
-    def table(self, name: str) -> DataFrame:
-        version = self._manifest().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{version}")
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A table as it is now, or was at a version."""
+        out, parts = None, []
+
+        def read() -> DataFrame:
+            new = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.base}/{p}" for p in parts])
+            return new if out is None else out.unionByName(new)
+
+        for entry in self._logs(self.version() if version is None else version).get(name, []):
+            if "add" in entry:
+                parts.append(entry["add"])
+                continue
+            if parts:
+                out, parts = read(), []
+            if out is not None and entry["keys"]:
+                keys = self.spark.read.parquet(f"{self.base}/{entry['hide']}")
+                out = out.join(F.broadcast(keys) if entry["keys"] <= MAX_BROADCAST_KEYS else keys, entry["by"], "left_anti").select(*out.columns)
+        if parts:
+            out = read()
+        return self.spark.createDataFrame([], SCHEMAS[name]) if out is None else out
+
+    def _updated(self, name: str, changes: DataFrame) -> None:
+        """Rows of the ids of ``changes`` get its other columns; ids that aren't there don't matter."""
+
+        def change(seen: int) -> None:
+            own, rows = [c for c in changes.columns if c != "id"], self.table(name, seen)
+            new = rows.drop(*own).join(changes, "id").withColumn("updated_at", F.lit(self.clock())).select(*rows.columns)
+            added = self._rows(new, name)
+            there = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{added['add']}").select("id")
+            if not there.isEmpty():
+                self._commit({name: [self._keys(there, name), added]}, seen)
+
+        self._again(change)
 
     def _shaped(self, rows: DataFrame | list[dict], name: str) -> DataFrame:
         """Rows in a table's columns; those that are missing are null, ids and times that are null are made."""
@@ -100,15 +221,15 @@ class Catalog:
 
     def add_documents(self, rows: DataFrame | list[dict]) -> None:
         new = self._shaped(rows, "documents")
-        new = new.withColumn("id", F.coalesce("id", F.sha2(F.concat_ws("|", "file_path", "name"), 256)))
-        self._commit({"documents": self.table("documents").unionByName(new)})
+        self._commit({"documents": [self._rows(new.withColumn("id", F.coalesce("id", F.sha2(F.concat_ws("|", "file_path", "name"), 256))), "documents")]})
 
     def set_status(self, document_id: str, status: str, error: str | None = None) -> None:
         """Of an unknown document nothing changes."""
-        own = F.col("id") == document_id
-        docs = self.table("documents")
-        put = lambda c, v: F.when(own, v).otherwise(F.col(c))
-        self._commit({"documents": docs.withColumns({"status": put("status", F.lit(status)), "error": put("error", F.lit(error)), "updated_at": put("updated_at", F.lit(self.clock()))})})
+        self.set_statuses(self.spark.createDataFrame([(document_id, status, error)], "id string, status string, error string"))
+
+    def set_statuses(self, changes: DataFrame) -> None:
+        """The statuses and errors of many documents (id, status, error) as one change."""
+        self._updated("documents", changes.select("id", "status", "error"))
 
     def document(self, document_id: str):
         return self.table("documents").filter(F.col("id") == document_id).first()
@@ -117,13 +238,21 @@ class Catalog:
         """Documents of exactly this path, newest first."""
         return self.table("documents").filter(F.col("file_path") == path).orderBy(F.desc("created_at"), F.desc("id"))
 
-    def delete_documents(self, ids: list[str]) -> int:
+    def delete_documents(self, ids: list[str] | DataFrame) -> int:
         """Delete documents and their chunks; the number of chunks that went. Unknown ids don't matter."""
-        docs, chunks = self.table("documents"), self.table("chunks")
-        gone = chunks.filter(F.col("document_id").isin(*ids)).count() if ids else 0
-        if ids:
-            self._commit({"documents": docs.filter(~F.col("id").isin(*ids)), "chunks": chunks.filter(~F.col("document_id").isin(*ids))})
-        return gone
+        if not isinstance(ids, DataFrame):
+            if not ids:
+                return 0
+            ids = self.spark.createDataFrame([(i,) for i in ids], "id string")
+
+        def change(seen: int) -> int:
+            by_id = self._keys(ids, "documents")
+            keys = self.spark.read.parquet(f"{self.base}/{by_id['hide']}")
+            gone = self.table("chunks", seen).join(keys.withColumnRenamed("id", "document_id"), "document_id", "left_semi").count()
+            self._commit({"documents": [by_id], "chunks": [self._keys(keys, "chunks", "document_id")]}, seen)
+            return gone
+
+        return self._again(change)
 
     def delete_document(self, document_id: str) -> int:
         return self.delete_documents([document_id])
@@ -144,7 +273,7 @@ class Catalog:
             return
         if not new.join(self.table("documents").select(F.col("id").alias("document_id")), "document_id", "left_anti").isEmpty():
             raise ValueError("a chunk's document doesn't exist")
-        self._commit({"chunks": self.table("chunks").unionByName(new)})
+        self._commit({"chunks": [self._rows(new, "chunks")]})
 
     def live_chunks(self) -> DataFrame:
         return live_chunks(self.table("chunks"), self.table("documents"))
@@ -154,44 +283,66 @@ class Catalog:
 
     def delete_orphans(self) -> int:
         """Delete chunks whose document is gone; their number."""
-        n = self.count_orphans()
-        if n:
-            self._commit({"chunks": self.live_chunks().select(*self.table("chunks").columns)})
-        return n
+
+        def change(seen: int) -> int:
+            lost = orphan_chunks(self.table("chunks", seen), self.table("documents", seen))
+            n = lost.count()
+            if n:
+                self._commit({"chunks": [self._keys(lost.select("document_id"), "chunks", "document_id")]}, seen)
+            return n
+
+        return self._again(change)
 
     # ingestion
 
     def ingest(self, documents: DataFrame, chunks: DataFrame, force: bool = False, keyword_only: bool = False) -> int:
+        """How many documents ingest_measured() has added."""
+        return self.ingest_measured(documents, chunks, force, keyword_only).documents
+
+    def ingest_measured(self, documents: DataFrame, chunks: DataFrame, force: bool = False, keyword_only: bool = False) -> Ingested:
         """Documents with their chunks as one change, indexed; documents of a path that is there already are skipped.
 
-        ``force``: they replace all of that path instead. ``keyword_only``: chunks get no vectors. The number added.
-        If anything fails, nothing has changed.
+        ``force``: they replace all of that path instead. ``keyword_only``: chunks get no vectors. If anything fails,
+        nothing has changed.
         """
-        new, old = self._shaped(documents, "documents"), self.table("documents")
-        new = new.withColumn("id", F.coalesce("id", F.sha2(F.concat_ws("|", "file_path", "name"), 256))).withColumn("status", F.lit(INDEXED))
-        old_chunks, paths = self.table("chunks"), old.select("file_path").distinct()
-        if force:
-            replaced = old.join(new.select("file_path").distinct(), "file_path", "left_semi").select("id")
-            old = old.join(replaced, "id", "left_anti").select(*new.columns)
-            old_chunks = old_chunks.join(replaced.withColumnRenamed("id", "document_id"), "document_id", "left_anti").select(*old_chunks.columns)
-        else:
-            new = new.join(paths, "file_path", "left_anti").select(*old.columns)
-        added = self._shaped(chunks, "chunks").withColumn("id", F.coalesce("id", F.sha2(F.concat_ws("|", "document_id", "chunk_index"), 256)))
-        added = added.join(new.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*old_chunks.columns)
+        asked = self._shaped(documents, "documents")
+        asked = asked.withColumn("id", F.coalesce("id", F.sha2(F.concat_ws("|", "file_path", "name"), 256))).withColumn("status", F.lit(INDEXED))
+        parts = self._shaped(chunks, "chunks").withColumn("id", F.coalesce("id", F.sha2(F.concat_ws("|", "document_id", "chunk_index"), 256)))
         if keyword_only:
-            added = added.withColumn("embedding", F.lit(None).cast("array<float>"))
-        n = new.count()
-        if n:
-            self._commit({"documents": old.unionByName(new), "chunks": old_chunks.unionByName(added)})
-        return n
+            parts = parts.withColumn("embedding", F.lit(None).cast("array<float>"))
+
+        began = time.monotonic()
+
+        def change(seen: int) -> Ingested:
+            old = self.table("documents", seen)
+            new = asked if force else asked.join(old.select("file_path").distinct(), "file_path", "left_anti").select(*old.columns)
+            added = self._rows(new, "documents")
+            new = self.spark.read.schema(SCHEMAS["documents"]).parquet(f"{self.base}/{added['add']}")
+            n = new.count()
+            if not n:
+                return Ingested(0, 0, time.monotonic() - began)
+            logs: dict[str, Log] = {"documents": [added], "chunks": [self._rows(parts.join(new.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*parts.columns), "chunks")]}
+            if force:
+                replaced = old.join(new.select("file_path").distinct(), "file_path", "left_semi").select("id")
+                hidden = self._keys(replaced, "documents")
+                keys = self.spark.read.parquet(f"{self.base}/{hidden['hide']}")
+                logs = {"documents": [hidden, added], "chunks": [self._keys(keys, "chunks", "document_id"), *logs["chunks"]]}
+            self._commit(logs, seen)
+            n_chunks = self.spark.read.parquet(f"{self.base}/{logs['chunks'][-1]['add']}").count()
+            return Ingested(n, n_chunks, time.monotonic() - began)
+
+        return self._again(change)
 
     # wiki
 
     def add_index(self, title: str, description: str = "", index_id: str | None = None) -> str:
         index_id = index_id or uuid.uuid4().hex
-        self._commit({"wiki_indexes": self.table("wiki_indexes").unionByName(self._shaped([{"id": index_id, "title": title, "description": description}], "wiki_indexes"))})
+        self.add_indexes([{"id": index_id, "title": title, "description": description}])
         return index_id
 
+    def add_indexes(self, rows: DataFrame | list[dict]) -> None:
+        self._commit({"wiki_indexes": [self._rows(self._shaped(rows, "wiki_indexes"), "wiki_indexes")]})
+
     def index(self, index_id: str):
         return self.table("wiki_indexes").filter(F.col("id") == index_id).first()
 
@@ -200,16 +351,21 @@ class Catalog:
 
     def delete_index(self, index_id: str) -> None:
         """Delete an index and its entries."""
-        self._commit({"wiki_entries": self.table("wiki_entries").filter(F.col("index_id") != index_id), "wiki_indexes": self.table("wiki_indexes").filter(F.col("id") != index_id)})
+        self._commit({"wiki_entries": [self._keys([index_id], "wiki_entries", "index_id")], "wiki_indexes": [self._keys([index_id], "wiki_indexes")]})
 
     def add_entry(self, index_id: str, title: str, body: str, entry_id: str | None = None) -> str:
-        if self.index(index_id) is None:
-            raise NotFoundError(f"no index {index_id}")
         entry_id = entry_id or uuid.uuid4().hex
-        row = {"id": entry_id, "index_id": index_id, "title": title, "body": body}
-        self._commit({"wiki_entries": self.table("wiki_entries").unionByName(self._shaped([row], "wiki_entries"))})
+        self.add_entries([{"id": entry_id, "index_id": index_id, "title": title, "body": body}])
         return entry_id
 
+    def add_entries(self, rows: DataFrame | list[dict]) -> None:
+        """All entries or none; their indexes must exist."""
+        new = self._shaped(rows, "wiki_entries")
+        lost = new.join(self.table("wiki_indexes").select(F.col("id").alias("index_id")), "index_id", "left_anti").select("index_id").first()
+        if lost is not None:
+            raise NotFoundError(f"no index {lost.index_id}")
+        self._commit({"wiki_entries": [self._rows(new, "wiki_entries")]})
+
     def entry(self, entry_id: str):
         return self.table("wiki_entries").filter(F.col("id") == entry_id).first()
 
@@ -217,15 +373,17 @@ class Catalog:
         """An index's entries, newest first."""
         if self.index(index_id) is None:
             raise NotFoundError(f"no index {index_id}")
-        return self.table("wiki_entries").filter(F.col("index_id") == index_id).orderBy(F.desc("created_at"), F.desc("id"))
+        return self.all_entries().filter(F.col("index_id") == index_id)
+
+    def all_entries(self) -> DataFrame:
+        """Every index's entries, newest first."""
+        return self.table("wiki_entries").join(self.table("wiki_indexes").select(F.col("id").alias("index_id")), "index_id", "left_semi").orderBy("index_id", F.desc("created_at"), F.desc("id"))
 
     def update_entry(self, entry_id: str, title: str, body: str) -> None:
         """Of an unknown entry nothing changes; an id must be given."""
         if not entry_id:
             raise ValueError("an entry's id is needed")
-        own = F.col("id") == entry_id
-        put = lambda c, v: F.when(own, v).otherwise(F.col(c))
-        self._commit({"wiki_entries": self.table("wiki_entries").withColumns({"title": put("title", F.lit(title)), "body": put("body", F.lit(body)), "updated_at": put("updated_at", F.lit(self.clock()))})})
+        self._updated("wiki_entries", self.spark.createDataFrame([(entry_id, title, body)], "id string, title string, body string"))
 
     def delete_entry(self, entry_id: str) -> None:
-        self._commit({"wiki_entries": self.table("wiki_entries").filter(F.col("id") != entry_id)})
+        self._commit({"wiki_entries": [self._keys([entry_id], "wiki_entries")]})

@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
-from larkspur.functions.text import tokenize
+from larkspur.functions.text import let, tokenize
 from larkspur.functions.vectors import l2_normalized
 from larkspur.operators.corrective import HIGH, LOW, UNCERTAIN
 from larkspur.sources.batching import MAX_TEXTS, in_batches
@@ -31,9 +31,9 @@ Embedder = Callable[[list[str]], list[list[float]]]
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A unit vector of a text's tokens: each counts where its hash points, up or down. Native, deterministic."""
-    ts = tokenize(text)
-    at = lambda i: F.aggregate(F.filter(ts, lambda w: F.pmod(F.xxhash64(w), F.lit(size)) == i), F.lit(0.0), lambda s, w: s + F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    return l2_normalized(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at))
+    signed = F.transform(tokenize(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("by")))
+    total = lambda ts, i: F.aggregate(ts, F.lit(0.0), lambda s, w: s + F.when(w["at"] == i, w["by"]).otherwise(0.0))
+    return let(signed, lambda ts: l2_normalized(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: total(ts, i))))
 
 
 class HttpError(RuntimeError):
@@ -157,6 +157,25 @@ def embed_chunks(chunks: DataFrame, embed: Embedder, text: str = "text") -> Data
     return mapped(own, run, StructType([*own.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
+def ask(rows: DataFrame, complete: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
+    """``rows`` with answer, and error where there is none: each task asks for its rows; a failure is its row's."""
+    at = rows.columns.index(prompt)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            answers, errors = [], []
+            for text in b.column(at).to_pylist():
+                try:
+                    answers.append(complete(text))
+                    errors.append(None)
+                except Exception as e:
+                    answers.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[*b.schema.names, "answer", "error"])
+
+    return mapped(rows, run, StructType([*rows.schema.fields, StructField("answer", StringType()), StructField("error", StringType())]))
+
+
 @dataclass
 class HttpReranker:
     """A cross-encoder service: rows in the order of its scores; indexes that aren't rows are left out."""

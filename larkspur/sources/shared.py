@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+_runs: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """spark.checkpoint.dir, else the folder that checkpoints go to, else one in the warehouse: all of them shared."""
+    asked = spark.conf.get("spark.checkpoint.dir", None)
+    if not asked:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        asked = set_dir.get() if set_dir.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/.shared"
+    return asked.rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; what is left in it goes when the driver's Python ends."""
+    folder = f"{shared_dir(spark)}/larkspur/{spark.sparkContext.applicationId}"
+    if folder not in _runs:
+        _runs[folder] = spark
+    return folder
+
+
+@atexit.register
+def _drop_runs() -> None:
+    for folder, spark in _runs.items():
+        try:
+            _delete(spark, folder)
+        except Exception:  # noqa: S110  the application has ended before its driver
+            pass
 
 
-@cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="larkspur-")
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, which cuts its lineage and outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
@@ -33,5 +55,4 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more; others are left alone."""
     for t in tables:
         if at := t.__dict__.pop("shared_path", None):
-            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(t.sparkSession, at)

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from larkspur.sources.shared import shared_dir
+from larkspur.sources.shared import run_dir
 
 _sent: set[str] = set()
 
@@ -25,7 +25,7 @@ def send_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    at = f"{shared_dir(spark)}/larkspur/code-{uuid.uuid4().hex}/{root.name}.zip"
+    at = f"{run_dir(spark)}/code-{uuid.uuid4().hex}/{root.name}.zip"
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     stream.write(bytearray(data.getvalue()))

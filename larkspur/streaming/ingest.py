@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from larkspur.functions.chunking import ChunkOptions, chunk_documents
 from larkspur.sources.catalog import Catalog
 from larkspur.sources.parsers import OK, parse_files
+from larkspur.sources.shared import discard, written
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -22,8 +23,11 @@ def as_documents(parsed: DataFrame) -> DataFrame:
 
 def ingest_files(catalog: Catalog, files: DataFrame, options: ChunkOptions = ChunkOptions(), force: bool = False) -> int:
     """Files (path, content) as documents and chunks for keyword search, one change of the catalog; how many were new."""
-    docs = as_documents(parse_files(files)).dropDuplicates(["id"])
-    return catalog.ingest(docs, chunk_documents(docs, options), force=force, keyword_only=True)
+    # parsed once, though documents and chunks are made of it
+    docs = written(as_documents(parse_files(files)).dropDuplicates(["id"]), "parsed")
+    n = catalog.ingest(docs, chunk_documents(docs, options), force=force, keyword_only=True)
+    discard(docs)
+    return n
 
 
 def follow_folder(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str, options: ChunkOptions = ChunkOptions(), force: bool = False) -> StreamingQuery:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import graph, hierarchy, listing
 from larkspur.operators.listing import DocumentQuery, page_offset, parse_filters
 from larkspur.sources.batching import batches, in_batches
-from larkspur.sources.catalog import Catalog, NotFoundError
+from larkspur.sources.catalog import Catalog, ConflictError, NotFoundError
 from larkspur.sources.models import hashed_embedding
 
 DOCS = [("1", "annual-report.pdf", "docs/annual-report.pdf", "pdf", "indexed", 1), ("2", "meeting-notes.md", "notes/meeting-notes.md", "md", "indexed", 2), ("3", "50%_off.txt", "docs/50%_off.txt", "txt", "failed", 3)]
@@ -82,7 +82,7 @@ def test_cascade_and_orphans(catalog):
         catalog.delete_checked("zzz")
     assert catalog.delete_checked("a") == 3
     assert [r.id for r in catalog.table("chunks").collect()] == ["4"] and [r.id for r in catalog.table("documents").collect()] == ["b"]
-    catalog._commit({"documents": catalog.table("documents").filter("id <> 'b'")})
+    catalog._commit({"documents": [catalog._keys(["b"], "documents")]})
     assert catalog.count_orphans() == 1 and catalog.live_chunks().count() == 0
     assert catalog.delete_orphans() == 1 and catalog.delete_orphans() == 0
 
@@ -105,12 +105,66 @@ def test_vacuum(catalog):
     for i in range(3):
         catalog.add_documents([{"id": str(i), "name": "n", "file_path": f"p/{i}"}])
     assert catalog.vacuum() == 2 and catalog.vacuum() == 0 and catalog.table("documents").count() == 3
+    catalog.compact("documents", "chunks")
+    assert catalog.vacuum() == 4 and catalog.vacuum() == 0 and catalog.table("documents").count() == 3
+
+
+def _parts(catalog, name):
+    return [e.get("add") or e.get("hide") for e in catalog._logs(catalog.version()).get(name, [])]
+
+
+def test_changes_add_parts(catalog, spark):
+    catalog.add_documents([{"id": str(i), "name": "n", "file_path": f"p/{i}"} for i in range(5)])
+    catalog.add_chunks([chunk(f"c{i}", str(i % 5)) for i in range(10)])
+    documents, chunks = _parts(catalog, "documents"), _parts(catalog, "chunks")
+    catalog.set_status("3", "failed", "why")
+    catalog.delete_document("4")
+    catalog.add_documents([{"id": "4", "name": "again", "file_path": "p/4"}])
+    assert _parts(catalog, "documents")[:1] == documents and _parts(catalog, "chunks")[:1] == chunks  # nothing was written anew
+    assert {(r.id, r.name, r.status, r.error) for r in catalog.table("documents").collect()} == {*((str(i), "n", None, None) for i in range(3)), ("3", "n", "failed", "why"), ("4", "again", None, None)}
+    assert catalog.table("chunks").count() == 8 and catalog.table("chunks", 2).count() == 10
+    before = sorted(catalog.table("documents").collect())
+    catalog.compact("documents")
+    assert sorted(catalog.table("documents").collect()) == before and len(_parts(catalog, "documents")) == 1
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = (Catalog(spark, f"file://{tmp_path}/store", Clock()) for _ in "ab")
+    one.add_documents([{"id": "a", "name": "a", "file_path": "p/a"}])
+    put, late = one._put, []
+
+    def meanwhile(version, logs):
+        if not late:  # another writer puts its manifest between this one's reading and writing
+            late.append(version)
+            two.add_documents([{"id": "b", "name": "b", "file_path": "p/b"}])
+        return put(version, logs)
+
+    one._put = meanwhile
+    one.add_documents([{"id": "c", "name": "c", "file_path": "p/c"}])
+    assert late and {r.id for r in one.table("documents").collect()} == {"a", "b", "c"}
+    late.clear()
+    docs = spark.createDataFrame([("x", "b2", "p/b"), ("y", "d", "p/d")], "id string, name string, file_path string")
+    parts = spark.createDataFrame([("x", 0, "t"), ("y", 0, "t")], "document_id string, chunk_index int, text string")
+    two.delete_document("b")
+
+    def first(version, logs):
+        if not late:
+            late.append(version)
+            two.ingest(docs.filter("id = 'x'"), parts)
+        return put(version, logs)
+
+    one._put = first
+    assert one.ingest(docs, parts) == 1  # the other's path is seen after all
+    assert {r.id for r in one.table("documents").collect()} == {"a", "c", "x", "y"} and one.table("chunks").count() == 2
+    with pytest.raises(ConflictError):
+        one._commit({"documents": []}, seen=1)
 
 
 def test_ingest_skips_and_replaces(catalog, spark):
     docs = spark.createDataFrame([("d1", "f", "p/f")], "id string, name string, file_path string")
     parts = spark.createDataFrame([("d1", 0, "one", [0.5]), ("d1", 1, "two", [0.5]), ("else", 0, "no", [0.1])], "document_id string, chunk_index int, text string, embedding array<float>")
-    assert catalog.ingest(docs, parts) == 1 and catalog.ingest(docs, parts) == 0
+    done = catalog.ingest_measured(docs, parts)
+    assert (done.documents, done.chunks) == (1, 2) and done.seconds > 0 and done.rate == done.chunks / done.seconds and catalog.ingest(docs, parts) == 0
     assert catalog.table("chunks").count() == 2 and catalog.document("d1").status == "indexed"
     again = docs.withColumn("id", F.lit("d2"))
     assert catalog.ingest(again, parts.withColumn("document_id", F.lit("d2")), force=True, keyword_only=True) == 1
@@ -169,6 +223,25 @@ def test_graph_from_answers(spark):
     assert [r.id for r in rs.collect()] == ["r"] and [r.document_id for r in bad.collect()] == ["d3"]
 
 
+def test_graph_by_a_model(spark):
+    chunks = spark.createDataFrame([("d1", 0, "A knows B"), ("d1", 1, "fails"), ("d2", 0, "A again")], "document_id string, chunk_index int, text string")
+
+    def complete(prompt):
+        if "Question:" in prompt:
+            return '```json\n["know-a", ""]\n```' if "who" in prompt else "no idea"
+        if "fails" in prompt:
+            raise RuntimeError("out of reach")
+        name = "KNOW-A2" if "again" in prompt else "KNOW-A"
+        return '{"entities": [{"id": "a", "name": "%s"}, {"id": "b", "name": "B"}], "relations": [{"id": "r", "source": "a", "target": "b"}]}' % name
+
+    entities, relations, bad = graph.build_graph(chunks, complete)
+    assert {r.id: (r.name, r.properties["document_id"]) for r in entities.collect()} == {"a": ("KNOW-A2", "d2"), "b": ("B", "d2")}
+    assert [r.id for r in relations.collect()] == ["r"] and [(r.document_id, "out of reach" in r.error) for r in bad.collect()] == [("d1", True)]
+    asked = spark.createDataFrame([(0, "who is A"), (1, "nothing")], "query_id long, query string")
+    found, links = graph.ask_graph(entities, relations, asked, complete, 1)
+    assert {(r.query_id, r.id) for r in found.collect()} == {(0, "a"), (0, "b")} and [(r.query_id, r.id) for r in links.collect()] == [(0, "r")]
+
+
 def test_hierarchy(spark):
     texts = spark.createDataFrame([("d1", "Cats purr. Cats sleep.\n\nDogs bark! They run."), ("d2", "Stocks fell. Bonds rose.")], "document_id string, text string")
     nodes = hierarchy.build_nodes(texts, lambda c: hashed_embedding(c, 64)).cache()
