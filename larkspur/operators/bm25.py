@@ -1,7 +1,8 @@
 """BM25 over a set of chunks, for many queries at once.
 
-Postings of all chunks are one explode; they meet the queries' terms right after it, so only matching postings are
-shuffled. Statistics come from all chunks of the set, matching or not.
+The chunks are read and tokenized once: postings meet the queries' terms right after the explode, so only matching ones are
+shuffled, and with one more row a chunk, which has its length, they are a table that all statistics come from. What is sent
+to all tasks is counted first.
 """
 
 from __future__ import annotations
@@ -10,11 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokenize
+from larkspur.operators.bounded import sent
+from larkspur.sources.shared import written
 
 K1 = 1.5
 B = 0.75
-#: Distinct query terms up to which the terms are broadcast; above, the join is left to Spark.
-MAX_BROADCAST_TERMS = 100_000
 
 
 def term_frequencies(chunks: DataFrame, id_column: str = "id") -> DataFrame:
@@ -38,23 +39,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, id_column: str = "id", small_queries: bool = True) -> DataFrame:
-    """query_id, id, score of every chunk that has a term of the query.
+def matching_postings(chunks: DataFrame, terms: DataFrame, id_column: str = "id") -> DataFrame:
+    """id, term, tf, dl of the terms (term) that are looked for, and of each chunk a row of the term "", which no text has."""
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    led = chunks.select(F.col(id_column).alias("id"), tokenize(F.col("text")).alias("__ts")).select("id", F.size("__ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "__ts")).alias("term"))
+    return led.join(sent(wanted), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
-    ``small_queries``: the queries' terms are known to be few (``MAX_BROADCAST_TERMS``); they are counted where unsure.
-    """
-    terms = query_terms(queries)
-    small_queries = small_queries or terms.select("term").distinct().limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    send = F.broadcast if small_queries else (lambda x: x)
-    wanted = terms.select("term").distinct()
-    listed = chunks.select(F.col(id_column).alias("id"), tokenize(F.col("text")).alias("__ts")).select("id", F.size("__ts").alias("dl"), F.explode("__ts").alias("term"))
-    tf = listed.join(send(wanted), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    df = document_frequencies(tf)
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, id_column: str = "id") -> DataFrame:
+    """query_id, id, score of every chunk that has a term of the query."""
+    terms = written(query_terms(queries), "terms")
+    postings = written(matching_postings(chunks, terms, id_column), "postings")
+    tf = postings.filter(F.col("term") != "")
     # one row of statistics
-    weighed = df.crossJoin(F.broadcast(corpus_statistics(chunks))).select("term", "avgdl", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    statistics = postings.filter(F.col("term") == "").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighed = document_frequencies(tf).crossJoin(F.broadcast(statistics)).select("term", "avgdl", idf.alias("idf"))
     of_query = terms.join(weighed, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(send(of_query), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    return tf.join(sent(of_query), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
@@ -64,5 +67,5 @@ def ranked(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "id", small_queries: bool = True) -> DataFrame:
-    return ranked(bm25_scores(chunks, queries, id_column, small_queries), k)
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "id") -> DataFrame:
+    return ranked(bm25_scores(chunks, queries, id_column), k)

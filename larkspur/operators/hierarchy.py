@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import index_paragraphs, index_sentences
 from larkspur.functions.vectors import cosine
+from larkspur.operators.bounded import in_blocks, sent
 from larkspur.operators.fusion import first_of_text
 
 SUMMARY, PARAGRAPH, SENTENCE = 0, 1, 2
@@ -19,10 +20,15 @@ MAX_SUMMARY = 500
 MAX_PARAGRAPH = 2000
 #: What a paragraph's score is worth where sentences don't fill the result.
 FILL = 0.95
+#: Queries that meet the top layer at once.
+BLOCK = 4096
 
 
 def joined_chunks(chunks: DataFrame) -> DataFrame:
-    """document_id, text: a document's chunks in order, each followed by a line feed."""
+    """document_id, text: a document's chunks in order, each followed by a line feed.
+
+    A document's text is one value, so a task holds the largest document; documents are dealt out by their id.
+    """
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: F.concat(x["text"], F.lit("\n")))
     return chunks.groupBy("document_id").agg(F.array_join(parts, "").alias("text"))
 
@@ -61,9 +67,11 @@ def nodes_of(nodes: DataFrame, document_id=None, layer: int | None = None) -> Da
 def _best(nodes: DataFrame, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
     """The ``k`` nodes most like each query, of the children of ``within`` (query_id, id) where given."""
     if within is None:
-        pairs = nodes.crossJoin(F.broadcast(queries))  # one layer against the few queries of a batch
-    else:
-        pairs = nodes.join(within.select("query_id", F.col("id").alias("parent")), "parent").join(F.broadcast(queries), "query_id")
+        return in_blocks(queries, BLOCK, lambda some: _ranked(nodes.crossJoin(F.broadcast(some)), k))
+    return _ranked(nodes.join(sent(within.select("query_id", F.col("id").alias("parent"))), "parent").join(sent(queries), "query_id"), k)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     scored = pairs.select("query_id", "id", "document_id", "layer", "text", F.round(cosine(F.col("embedding"), F.col("query_vec")), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k).drop("__n")

@@ -61,6 +61,18 @@ def multi_query_bm25(chunks: DataFrame, variants: DataFrame, k: int = 5) -> Data
     return bm25.ranked(scores.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
 
+def multi_query_vectors(chunks: DataFrame, variants: DataFrame, k: int = 5, most: int = 16, by_rank: bool = False) -> DataFrame:
+    """``variants``: query_id (a whole number), variant (from 0, below ``most``), query_vec. All in one search.
+
+    A chunk's best score over a query's variants counts, or, ``by_rank``, the reciprocal ranks of its variants' lists.
+    """
+    named = variants.select((F.col("query_id") * most + F.col("variant")).alias("query_id"), "query_vec")
+    found = vector_search.vector_search(chunks, named, wide(k)).withColumn("query_id", F.floor(F.col("query_id") / most).cast("long"))
+    if by_rank:
+        return fusion.reciprocal_rank_fusion(found, found.limit(0), k=k)
+    return bm25.ranked(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+
+
 def with_fallback(hits: DataFrame, other: DataFrame, k: int = 5, when: tuple[str, ...] = (corrective.LOW,)) -> DataFrame:
     """Lists judged as one of ``when`` united with ``other`` results (query_id, id, score); the rest as they are."""
     weak = corrective.judged(hits).filter(F.col("quality").isin(*when)).select("query_id")

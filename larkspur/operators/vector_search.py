@@ -1,13 +1,13 @@
 """Exact vector search: every query against every vector.
 
-Query vectors come in blocks of at most ``BLOCK``; a block is broadcast, each batch of vectors meets it in one matrix
-product, and only each batch's best ``k`` leave the task. ``native_scores`` is the same in column expressions.
+Queries are taken in blocks of about ``BLOCK``. A block is sent to all tasks, each batch of vectors meets it in one matrix
+product, and a task keeps the best ``k`` for each query over all its batches. With more blocks than one, the results of a
+block are written before the next one is read, so the driver holds one block at a time, however many queries there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,47 +16,73 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.vectors import cosine
 from larkspur.operators.bm25 import ranked
+from larkspur.operators.bounded import in_blocks
 from larkspur.sources.shipping import mapped
 
+#: Queries of a block, and vectors that meet it at once.
 BLOCK = 4096
-
-
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    held: list = []
-    for row in queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vec").toLocalIterator():
-        held.append(row)
-        if len(held) == BLOCK:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def _scored(chunks: DataFrame, block: list, k: int, threshold: float | None, cosines: bool) -> DataFrame:
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in {len(r.query_vec) for r in block if r.query_vec}:
-        rows = [r for r in block if r.query_vec and len(r.query_vec) == size]
-        by_size[size] = np.array([r.query_id for r in rows]), _unit(np.array([r.query_vec for r in rows], dtype=np.float64), cosines)
-    shared = chunks.sparkSession.sparkContext.broadcast(by_size)
+SLICE = 8192
+FOUND = "query_id long, id long, score double"
+
+
+def _matrices(block: DataFrame, cosines: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The block's queries by the length of their vectors: ids and rows."""
+    rows = [r for r in block.select(F.col("query_id").cast("long"), "query_vec").collect() if r.query_vec]
+    by_size = {n: [r for r in rows if len(r.query_vec) == n] for n in {len(r.query_vec) for r in rows}}
+    return {n: (np.array([r.query_id for r in own]), _unit(np.array([r.query_vec for r in own], dtype=np.float64), cosines)) for n, own in by_size.items()}
+
+
+def best_of(found: np.ndarray, k: int, digits: int) -> np.ndarray:
+    """Of rows (query, id, score) the ``k`` best of each query by rounded score, then id."""
+    if not len(found):
+        return found
+    order = np.lexsort((found["id"], -np.round(found["score"], digits), found["query"]))
+    found = found[order]
+    first = np.flatnonzero(np.concatenate([[True], found["query"][1:] != found["query"][:-1]]))
+    place = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
+    return found[place < k]
+
+
+def _scored(chunks: DataFrame, block: DataFrame, k: int | None, threshold: float | None, cosines: bool, digits: int) -> DataFrame:
+    """The ``k`` best of each task for each query, or all pairs from the threshold on."""
+    shared = chunks.sparkSession.sparkContext.broadcast(_matrices(block, cosines))
+    row = np.dtype([("query", np.int64), ("id", np.int64), ("score", np.float64)])
+
+    def pairs(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        vectors, ids = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
+        offsets = vectors.offsets.to_numpy()
+        sizes, flat = np.diff(offsets), vectors.values.to_numpy(zero_copy_only=False)
+        for size, (query_ids, q) in shared.value.items():
+            own = np.flatnonzero(sizes == size)
+            if not len(own):
+                continue
+            scores = q @ _unit(flat[offsets[:-1][own][:, None] + np.arange(size)].astype(np.float64), cosines).T
+            least = np.full((len(q), 1), -np.inf) if threshold is None else np.full((len(q), 1), threshold)
+            if k is not None:
+                at = max(0, len(own) - k)
+                least = np.maximum(least, np.partition(scores, at, axis=1)[:, [at]])
+            at_q, at_v = np.nonzero(scores >= least - 1e-9)
+            out = np.empty(len(at_q), dtype=row)
+            out["query"], out["id"], out["score"] = query_ids[at_q], ids[own[at_v]], scores[at_q, at_v]
+            yield out
+
+    def batch(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[c].copy()) for c in ("query", "id", "score")], names=["query_id", "id", "score"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, dtype=row)
         for b in batches:
-            vectors, ids = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
-            sizes = np.diff(vectors.offsets.to_numpy())
-            flat = vectors.values.to_numpy(zero_copy_only=False)
-            starts = vectors.offsets.to_numpy()[:-1]
-            for size, (query_ids, q) in shared.value.items():
-                own = np.flatnonzero(sizes == size)
-                if not len(own):
-                    continue
-                v = _unit(flat[starts[own][:, None] + np.arange(size)].astype(np.float64), cosines)
-                scores = q @ v.T
-                least = np.partition(scores, max(0, len(own) - k), axis=1)[:, [max(0, len(own) - k)]]
-                at_q, at_v = np.nonzero(scores >= (least if threshold is None else np.maximum(least, threshold)) - 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[at_q]), pa.array(ids[own[at_v]]), pa.array(scores[at_q, at_v])], names=["query_id", "id", "score"])
+            for part in (b.slice(i, SLICE) for i in range(0, b.num_rows, SLICE)):
+                for found in pairs(part):
+                    if k is None:
+                        yield batch(found)
+                    else:
+                        held = best_of(np.concatenate([held, found]), k, digits)
+        if k is not None:
+            yield batch(held)
 
     asked = chunks.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("embedding").isNotNull())
-    return mapped(asked, run, "query_id long, id long, score double")
+    return mapped(asked, run, FOUND)
 
 
 def _unit(m: np.ndarray, cosines: bool) -> np.ndarray:
@@ -72,14 +98,17 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold:
     Vectors that are null, empty or of another length don't answer; scores below ``threshold`` don't count, nor do
     those that aren't above 0. ``cosines``: cosine similarity, else the inner product.
     """
-    parts = [_scored(chunks, block, k, threshold, cosines) for block in _blocks(queries)]
-    if not parts:
-        return chunks.sparkSession.createDataFrame([], "query_id long, id long, score double, rank long")
-    scores = reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", digits))
+    scores = in_blocks(queries, BLOCK, lambda block: _scored(chunks, block, k, threshold, cosines, digits)).withColumn("score", F.round("score", digits))
     return ranked(scores if threshold is None else scores.filter(F.col("score") >= threshold), k, digits)
 
 
+def similar_pairs(chunks: DataFrame, queries: DataFrame, threshold: float, cosines: bool = True, digits: int = 9) -> DataFrame:
+    """query_id, id, score of all pairs of equal length whose rounded score is at least ``threshold``."""
+    scores = in_blocks(queries, BLOCK, lambda block: _scored(chunks, block, None, threshold - 10.0**-digits, cosines, digits))
+    return scores.withColumn("score", F.round("score", digits)).filter(F.col("score") >= threshold)
+
+
 def native_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score of all pairs of equal length, as column expressions; for few queries."""
-    pairs = chunks.select("id", "embedding").crossJoin(F.broadcast(queries.select("query_id", "query_vec")))
+    """query_id, id, score of all pairs of equal length, as column expressions: every pair is a row, for few of them."""
+    pairs = chunks.select("id", "embedding").crossJoin(queries.select("query_id", "query_vec"))
     return pairs.filter(F.size("embedding") == F.size("query_vec")).select("query_id", "id", cosine(F.col("embedding"), F.col("query_vec")).alias("score"))

@@ -32,7 +32,7 @@ def test_bm25_exact(spark, chunks):
 
 
 def test_bm25_cjk_and_limits(spark, chunks):
-    got = bm25.bm25_search(chunks, queries(spark, "机器", "", "learning"), 2, small_queries=False).collect()
+    got = bm25.bm25_search(chunks, queries(spark, "机器", "", "learning"), 2).collect()
     assert [(r.query_id, r.id) for r in got if r.query_id == 0] == [(0, 4)]
     assert len([r for r in got if r.query_id == 2]) == 2 and not [r for r in got if r.query_id == 1]
 
@@ -69,6 +69,36 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     assert sorted(vector_search.vector_search(e, q, 3).collect()) == whole
 
 
+def test_tasks_keep_only_their_best(spark):
+    same = spark.range(0, 30_000, 1, 2).select("id", F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("embedding"))
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query_vec array<double>")
+    assert vector_search._scored(same, q, 4, None, True, 9).count() == 8  # ties are many, what leaves a task isn't
+    assert [(r.id, r.score) for r in vector_search.vector_search(same, q, 4).orderBy("rank").collect()] == [(0, 1.0), (3, 1.0), (6, 1.0), (9, 1.0)]
+    pairs = vector_search.similar_pairs(same, q, 0.9)
+    assert pairs.count() == 10_000 and pairs.agg(F.min("score")).first()[0] == 1.0
+
+
+def test_large_sides_are_not_sent(spark, chunks, monkeypatch):
+    from larkspur.operators import bounded
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = spark.range(3).withColumnRenamed("id", "k")
+    assert "Broadcast" in plan(spark.range(9).join(bounded.sent(few), F.col("id") == F.col("k")))
+    want = sorted(bm25.bm25_search(chunks, queries(spark, "machine learning", "recipes"), 3).collect())
+    monkeypatch.setattr(bounded.sent, "__defaults__", (0,))
+    assert sorted(bm25.bm25_search(chunks, queries(spark, "machine learning", "recipes"), 3).collect()) == want
+
+
+def test_bm25_reads_chunks_once(spark, tmp_path, monkeypatch):
+    from larkspur.operators import bm25 as module
+
+    made = []
+    monkeypatch.setattr(module, "written", lambda df, name: made.append((name, df._jdf.queryExecution().executedPlan().toString())) or df.cache())
+    spark.createDataFrame(CHUNKS, SCHEMA).write.parquet(f"{tmp_path}/chunks")
+    found = module.bm25_search(spark.read.parquet(f"{tmp_path}/chunks"), queries(spark, "machine"), 3)
+    assert found.count() == 2 and dict(made)["postings"].count("FileScan parquet") == 1
+
+
 def test_rrf_numbers(spark):
     a = spark.createDataFrame([(0, "a", 1), (0, "b", 2)], "query_id long, id string, rank long")
     b = spark.createDataFrame([(0, "b", 1), (0, "c", 2)], "query_id long, id string, rank long")
