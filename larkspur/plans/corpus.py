@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.plans.tables import table
+from larkspur.plans.tables import spread, table
 
 #: Queries are the rows whose id is divisible by this.
 EVERY = 20
@@ -30,7 +30,13 @@ DOCUMENTS = """docs AS (SELECT d.doc_id AS id, 'doc-' || d.doc_id AS name, d.sou
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """One chunk for each document: id, document_id, chunk_index, text."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), "text")
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations as chunks: id, document_id, chunk_index, text."""
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text")
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,8 @@ from larkspur.plans.text_queries import TOKENS
 K = 5
 WIDE = retrieval.wide(K)
 THRESHOLD = 0.2
+#: The document that scoped searches are about.
+DOCUMENT = 5
 
 
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,9 +24,14 @@ def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_doc_scoped(spark: SparkSession, sf: str) -> DataFrame:
-    """Among the documents of each query's own residue of 20 only: statistics are of those."""
-    scoped = corpus.texts(spark, sf).filter(F.col("document_id") % corpus.EVERY == 0)
-    return bm25.bm25_search(scoped, corpus.text_queries(spark, sf), K)
+    """Among the chunks of one document only (DOCUMENT, a conversation): statistics are of those."""
+    scoped = corpus.turns(spark, sf).filter(F.col("document_id") == DOCUMENT)
+    return bm25.bm25_search(scoped, _turn_queries(spark, sf), K)
+
+
+def _turn_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The first turns of conversations as queries."""
+    return corpus.turns(spark, sf).filter((F.col("chunk_index") == 0) & (F.col("document_id") % corpus.EVERY == 0)).select(F.col("document_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _variants(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,8 +54,34 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.keyword_search(corpus.texts(spark, sf), "and the", K, mode="phrase")
 
 
+def keyword_any_term(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates that have one of the words."""
+    return listing.keyword_candidates(corpus.texts(spark, sf), "Where the contract ends").select("id")
+
+
+def keyword_raw_like(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates that match a LIKE pattern."""
+    return listing.keyword_candidates(corpus.texts(spark, sf), "The_%and", "raw_like").select("id")
+
+
 def cosine_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return vector_search.native_scores(corpus.chunks(spark, sf), corpus.vector_queries(spark, sf)).select("query_id", "id", F.round("score", 6).alias("score"))
+    """All pairs from a similarity on."""
+    return vector_search.similar_pairs(corpus.chunks(spark, sf), corpus.vector_queries(spark, sf), THRESHOLD)
+
+
+def _vector_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Each query twice: its vector, and the vector with every second number left out."""
+    half = F.transform("query_vec", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.lit(0).cast("float")))
+    return corpus.vector_queries(spark, sf).select("query_id", F.posexplode(F.array("query_vec", half)).alias("variant", "query_vec"))
+
+
+def vector_multi_query(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.multi_query_vectors(corpus.chunks(spark, sf), _vector_variants(spark, sf), K)
+
+
+def vector_multi_query_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """The variants' lists merged by their ranks."""
+    return retrieval.multi_query_vectors(corpus.chunks(spark, sf), _vector_variants(spark, sf), K, by_rank=True)
 
 
 def vector_search_(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,8 +102,9 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_doc_scoped(spark: SparkSession, sf: str) -> DataFrame:
-    scoped = corpus.hybrid_chunks(spark, sf).filter(F.col("document_id") % corpus.EVERY == 0)
-    return retrieval.hybrid_search(scoped, corpus.hybrid_queries(spark, sf), K, THRESHOLD)
+    """Among the chunks of one document: here a label's vectors, with the texts of their numbers."""
+    labels = corpus.chunks(spark, sf).filter(F.col("label") == DOCUMENT).select("id")
+    return retrieval.hybrid_search(corpus.hybrid_chunks(spark, sf).join(labels, "id", "left_semi"), corpus.hybrid_queries(spark, sf), K, THRESHOLD)
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,8 +144,8 @@ def quality_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corrective_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Lists that are LOW get other results beside theirs: here those of the next vector's query."""
-    hits = vector_search.vector_search(corpus.chunks(spark, sf).filter(F.col("id") % corpus.EVERY != 0), corpus.vector_queries(spark, sf), K)
+    """Lists that aren't HIGH get other results beside theirs: here those of the next vector's query."""
+    hits = vector_search.vector_search(corpus.chunks(spark, sf), corpus.vector_queries(spark, sf), K)
     other = corpus.vector_queries(spark, sf).select("query_id", (F.col("query_id") + 1).alias("id"), F.lit(0.5).alias("score"), F.lit(1).cast("long").alias("rank"))
     return retrieval.with_fallback(hits, other, K, when=(corrective.LOW, corrective.UNCERTAIN))
 
@@ -136,7 +170,7 @@ def hits_json(spark: SparkSession, sf: str) -> DataFrame:
     return hits_as_json(listing.with_document(hits, corpus.live_documents(spark, sf)).select("query_id", "rank", "document_id", "document_name", "file_path"))
 
 
-QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_search, cosine_scores, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
+QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
 
 
 def _bm25(texts: str, queries: str, name: str = "") -> str:
@@ -150,14 +184,15 @@ def _bm25(texts: str, queries: str, name: str = "") -> str:
  scored{name} AS (SELECT query_id, id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf{name} JOIN df{name} USING (term) JOIN qt{name} USING (term), st{name} GROUP BY query_id, id)"""
 
 
-def _top(table_name: str, k: int, least: str = "score > 0") -> str:
-    return f"""SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(score, 9) AS score FROM {table_name}) WHERE {least}) WHERE rank <= {k}"""
+def _top(table_name: str, k: int, least: str = "score > 0", name: str = "query_id") -> str:
+    return f"""SELECT {name}, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY {name} ORDER BY score DESC, id) AS rank FROM (SELECT {name}, id, round(score, 9) AS score FROM {table_name}) WHERE {least}) WHERE rank <= {k}"""
 
 
 TEXTS = "SELECT doc_id AS id, text FROM documents"
 TEXT_QUERIES = "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 20 = 0"
 COSINES = "cos AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)"
 DOTS = "cos AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)"
+VARIANTS = """var AS (SELECT q.vec_id * 16 + v AS variant_id, e.vec_id AS id, list_cosine_similarity(CASE v WHEN 0 THEN q.embedding::DOUBLE[] ELSE list_transform(q.embedding::DOUBLE[], lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE 0 END) END, e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e, (VALUES (0), (1)) t(v) WHERE q.vec_id % 20 = 0)"""
 _HYBRID_TEXTS = "SELECT d.doc_id AS id, d.text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"
 _HYBRID_QUERIES = "SELECT item_id AS query_id, b.text AS query FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE item_id % 20 = 0"
 
@@ -174,17 +209,21 @@ _HITS = "hits AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document_id, te
 
 SQL = {
     "bm25_search": f"WITH {_bm25(TEXTS, TEXT_QUERIES)} {_top('scored', K)}",
-    "bm25_doc_scoped": f"WITH {_bm25(TEXTS + ' WHERE doc_id % 20 = 0', TEXT_QUERIES)} {_top('scored', K)}",
+    "bm25_doc_scoped": f"WITH {_bm25(f'SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE conv_id = {DOCUMENT}', 'SELECT conv_id AS query_id, text AS query FROM conversations WHERE turn = 0 AND conv_id % 20 = 0')} {_top('scored', K)}",
+    "keyword_any_term": f"SELECT doc_id AS id FROM documents WHERE list_has_any({TOKENS}, ['where', 'the', 'contract', 'ends'])",
+    "keyword_raw_like": "SELECT doc_id AS id FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the_%and%'",
+    "vector_multi_query": f"WITH {VARIANTS}, wide AS ({_top('var', WIDE, name='variant_id')}), best AS (SELECT variant_id // 16 AS query_id, id, max(score) AS score FROM wide GROUP BY 1, 2) {_top('best', K)}",
+    "vector_multi_query_ranks": f"WITH {VARIANTS}, wide AS ({_top('var', WIDE, name='variant_id')}), fused AS (SELECT variant_id // 16 AS query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM wide GROUP BY 1, 2) {_top('fused', K)}",
     "bm25_multi_query": f"""WITH {_bm25(TEXTS, TEXT_QUERIES, 'a')}, {_bm25(TEXTS, f"SELECT query_id, regexp_replace(query, '^[^.]*[.]', '') AS query FROM ({TEXT_QUERIES})", 'b')},
  best AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM scoreda UNION ALL SELECT * FROM scoredb) GROUP BY query_id, id) {_top('best', K)}""",
     "keyword_prefilter": "SELECT doc_id AS id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'and the')",
     "keyword_search": f"""WITH {_bm25(TEXTS + " WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'and the')", "SELECT 0::BIGINT AS query_id, 'and the' AS query")} {_top('scored', K)}""",
-    "cosine_scores": f"WITH {COSINES} SELECT query_id, id, round(score, 6) AS score FROM cos",
+    "cosine_scores": f"WITH {COSINES} SELECT query_id, id, round(score, 9) AS score FROM cos WHERE round(score, 9) >= {THRESHOLD}",
     "vector_search": f"WITH {COSINES} {_top('cos', K, f'score > 0 AND score >= {THRESHOLD}')}",
     "vector_topk_dot": f"WITH {DOTS} {_top('cos', K)}",
     "l2_normalize": "WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * 3) v FROM embeddings), u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) u FROM e) SELECT id, round(sqrt(list_dot_product(u, u)), 9) AS norm, round(list_sum(u), 6) AS total FROM u",
     "hybrid_search": _hybrid(),
-    "hybrid_doc_scoped": _hybrid(" WHERE {} % 20 = 0"),
+    "hybrid_doc_scoped": _hybrid(f" WHERE label = {DOCUMENT}"),
     "rrf_fusion": f"WITH {COSINES}, a AS ({_top('cos', WIDE)}), fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM a UNION ALL SELECT query_id, id, {WIDE + 1} - rank FROM a) GROUP BY query_id, id) {_top('fused', K)}",
     "dedupe_keep_best": f"WITH {_HITS} SELECT id, round(max(s), 6)::DOUBLE AS score FROM (SELECT id, score::DOUBLE s FROM hits UNION ALL SELECT id, score::DOUBLE + CASE WHEN id % 2 = 0 THEN 0.25 ELSE -0.25 END FROM hits) GROUP BY id",
     "dedupe_first_wins": f"WITH {_HITS} SELECT id, document_id, round(score, 6)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY document_id, text ORDER BY score DESC, id) n FROM hits) WHERE n = 1",
@@ -195,7 +234,7 @@ SQL = {
  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS INTEGER) AS variant, query FROM u""",
     "quality_label": f"""WITH {COSINES}, hits AS ({_top('cos', K)}), f AS (SELECT query_id, max(score) top_score, avg(CASE WHEN rank <= 3 THEN score END) mean_score, count(*) n_hits FROM hits GROUP BY query_id)
  SELECT query_id, round(top_score, 6) AS top_score, round(mean_score, 6) AS mean_score, n_hits, CASE WHEN top_score >= 0.6 AND mean_score >= 0.6 AND n_hits >= 2 THEN 'HIGH' WHEN top_score <= 0.1 AND mean_score <= 0.15 THEN 'LOW' ELSE 'UNCERTAIN' END AS quality FROM f""",
-    "corrective_union": f"""WITH {COSINES}, hits AS ({_top('(SELECT * FROM cos WHERE id % 20 <> 0)', K)}), f AS (SELECT query_id, max(score) top_score, avg(CASE WHEN rank <= 3 THEN score END) mean_score, count(*) n FROM hits GROUP BY query_id),
+    "corrective_union": f"""WITH {COSINES}, hits AS ({_top('cos', K)}), f AS (SELECT query_id, max(score) top_score, avg(CASE WHEN rank <= 3 THEN score END) mean_score, count(*) n FROM hits GROUP BY query_id),
  weak AS (SELECT query_id FROM f WHERE NOT (top_score >= 0.6 AND mean_score >= 0.6 AND n >= 2)),
  united AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM hits UNION ALL SELECT query_id, query_id + 1, 0.5 FROM weak) GROUP BY query_id, id) {_top("united", K)}""",
     "rerank": f"""WITH {_bm25(TEXTS, TEXT_QUERIES)}, pool AS ({_top('scored', 15)}),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from larkspur.operators import graph, hierarchy, listing
 from larkspur.operators.listing import DocumentQuery
 from larkspur.plans import corpus
 from larkspur.plans.tables import table
+from larkspur.plans.text_queries import EDGES
 from larkspur.sources.batching import batches
+from larkspur.sources.catalog import Catalog
+from larkspur.sources.shared import run_dir
 
 _LISTED = ("id", "name", "file_path", "doc_type", "status", "created_at")
 
@@ -105,47 +110,81 @@ def gc_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return listing.live_chunks(corpus.chunks(spark, sf), corpus.live_documents(spark, sf)).groupBy("label").agg(F.count("*").alias("chunks"))
 
 
+def _catalog(spark: SparkSession) -> Catalog:
+    """A catalog of its own in this run's folder."""
+    return Catalog(spark, f"{run_dir(spark)}/catalog-{uuid.uuid4().hex}")
+
+
+def _text_id(df: DataFrame, column: str = "id") -> DataFrame:
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
 def cascade_survivors(spark: SparkSession, sf: str) -> DataFrame:
     """What is left when conversations of an even number go with their turns."""
-    turns = table(spark, sf, "conversations")
-    gone = turns.select("conv_id").distinct().filter(F.col("conv_id") % 2 == 0)
-    return turns.join(gone, "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    store, turns = _catalog(spark), corpus.turns(spark, sf)
+    of = turns.select(F.col("document_id").alias("id")).distinct().withColumn("file_path", F.concat(F.lit("conversation/"), "id"))
+    store.add_documents(_text_id(of.withColumn("name", F.col("file_path"))))
+    store.add_chunks(_text_id(_text_id(turns), "document_id"))
+    store.delete_documents(_text_id(of.filter(F.col("id") % 2 == 0)).select("id"))
+    return store.live_chunks().groupBy(F.col("document_id").cast("long").alias("conv_id")).agg(F.count("*").alias("turns"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """One chunk for each document: its name."""
+    return docs.select(F.col("id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("name").alias("text"))
+
+
+#: What is added to an id for another one of the same path.
+_AGAIN = 1_000_000_000
 
 
 def skip_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    """Files whose path isn't there yet: all documents against those of an even id."""
-    docs = corpus.documents(spark, sf)
-    return docs.join(docs.filter(F.col("id") % 2 == 0).select("file_path"), "file_path", "left_anti").select("id", "file_path")
+    """What an ingestion of all documents adds where those of an even number are already there."""
+    store, docs = _catalog(spark), corpus.documents(spark, sf)
+    there = docs.filter(F.col("id") % 2 == 0).withColumn("id", F.col("id") + _AGAIN)
+    store.ingest(_text_id(there), _named(there))
+    store.ingest(_text_id(docs), _named(docs))
+    return store.table("documents").select(F.col("id").cast("long").alias("id"), "file_path").filter(F.col("id") < _AGAIN)
 
 
 def force_replace(spark: SparkSession, sf: str) -> DataFrame:
     """Documents after those of German paths came again under new ids."""
-    docs = corpus.documents(spark, sf).select("id", "file_path", "doc_type")
-    new = docs.filter(F.col("doc_type") == "de").withColumn("id", F.col("id") + 1_000_000_000)
-    return docs.join(new.select("file_path"), "file_path", "left_anti").unionByName(new).select("id", "file_path", "doc_type")
+    store, docs = _catalog(spark), corpus.documents(spark, sf)
+    new = docs.filter(F.col("doc_type") == "de").withColumn("id", F.col("id") + _AGAIN)
+    store.ingest(_text_id(docs), _named(docs))
+    store.ingest(_text_id(new), _named(new), force=True)
+    return store.table("documents").select(F.col("id").cast("long").alias("id"), "file_path", "doc_type")
 
 
 def status_update(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.documents(spark, sf).select("id", F.when(F.col("id") % 10 == 0, F.lit("failed")).otherwise(F.col("status")).alias("status"))
+    store, docs = _catalog(spark), _text_id(corpus.documents(spark, sf))
+    store.add_documents(docs)
+    store.set_statuses(docs.filter(F.col("id").cast("long") % 10 == 0).select("id", F.lit("failed").alias("status"), F.lit("every tenth").alias("error")))
+    return store.table("documents").select(F.col("id").cast("long").alias("id"), "status")
 
 
-def _indexes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("title"), F.count("*").alias("entries"))
+def _wiki(spark: SparkSession, sf: str) -> Catalog:
+    """Conversations as indexes, their turns as entries; ids are padded, so that they sort like numbers."""
+    store, turns = _catalog(spark), table(spark, sf, "conversations")
+    index, entry = F.format_string("%012d", F.col("conv_id").cast("long")), F.format_string("%012d-%06d", F.col("conv_id").cast("long"), F.col("turn").cast("long"))
+    store.add_indexes(turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"), F.count("*").cast("string").alias("description")).select(index.alias("id"), "title", "description"))
+    store.add_entries(turns.select(entry.alias("id"), index.alias("index_id"), F.col("role").alias("title"), F.col("text").alias("body")))
+    return store
 
 
 def wiki_list_indexes(spark: SparkSession, sf: str) -> DataFrame:
-    return _indexes(spark, sf).orderBy("title", "id")
+    return _wiki(spark, sf).indexes().select(F.col("id").cast("long").alias("id"), "title", F.col("description").cast("long").alias("entries"))
 
 
 def wiki_list_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Every index's entries, newest first."""
-    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("index_id"), F.col("turn").alias("id"), F.col("role").alias("title"), F.col("text").alias("body"))
-    return turns.join(_indexes(spark, sf).select(F.col("id").alias("index_id")), "index_id", "left_semi").orderBy("index_id", F.desc("id"))
+    return _wiki(spark, sf).all_entries().select(F.col("index_id").cast("long").alias("index_id"), F.substring_index("id", "-", -1).cast("long").alias("id"), "title", "body")
 
 
 def wiki_update(spark: SparkSession, sf: str) -> DataFrame:
-    own = (F.col("conv_id") == 1) & (F.col("turn") == 0)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(own, F.lit("new title")).otherwise(F.col("role")).alias("title"), F.when(own, F.lit("new body")).otherwise(F.col("text")).alias("body"))
+    store = _wiki(spark, sf)
+    store.update_entry(f"{1:012d}-{0:06d}", "new title", "new body")
+    return store.table("wiki_entries").select(F.col("index_id").cast("long").alias("conv_id"), F.substring_index("id", "-", -1).cast("long").alias("turn"), "title", "body")
 
 
 def kg_find(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,5 +320,17 @@ SQL = {
     "kg_subgraph": f"{_REACH.format(2)} SELECT CAST(query_id AS BIGINT) AS query_id, id, CAST(hops AS BIGINT) AS hops FROM reach",
     "kg_subgraph_relations": f"{_REACH.format(1)} SELECT DISTINCT CAST(query_id AS BIGINT) AS query_id, r.id FROM reach JOIN relations r ON r.source = reach.id OR r.target = reach.id",
     "kg_upsert": f"WITH {corpus.GRAPH} SELECT id, CASE WHEN type = 'nation' THEN lower(name) ELSE name END AS name, type FROM entities",
+    "hier_build": rf"""WITH t AS (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) t FROM conversations GROUP BY conv_id),
+ blocks AS (SELECT conv_id, list_filter(list_transform(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda p: {EDGES.format("p")}), lambda p: p <> '') ps FROM t),
+ cut AS (SELECT conv_id, flatten(list_transform(ps, lambda p: CASE WHEN octet_length(encode(p)) > 2000 THEN list_transform(range(1, length(p) + 1, 2000), lambda i: substr(p, i, 2000)) ELSE [p] END)) ps FROM blocks),
+ paragraphs AS (SELECT conv_id, unnest(ps) text, conv_id || '-p' || (generate_subscripts(ps, 1) - 1) id FROM cut),
+ told AS (SELECT conv_id, id parent, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？])([ \n])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {EDGES.format("x")}), lambda x: x <> '') ss FROM paragraphs),
+ sentences AS (SELECT conv_id, parent, unnest(ss) text, parent || '-s' || (generate_subscripts(ss, 1) - 1) id FROM told)
+ SELECT conv_id || '-summary' AS id, conv_id AS document_id, 0::BIGINT AS layer, substr(t, 1, 500) AS text, NULL::VARCHAR AS parent FROM t
+ UNION ALL SELECT id, conv_id, 1, text, conv_id || '-summary' FROM paragraphs UNION ALL SELECT id, conv_id, 2, text, parent FROM sentences""",
+    "embed_batches": """WITH RECURSIVE t AS (SELECT conv_id, turn, octet_length(encode(text)) // 4 n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) i FROM conversations),
+ f AS (SELECT conv_id, turn, i, 1 held, n tokens, 0 batch FROM t WHERE i = 1
+  UNION ALL SELECT t.conv_id, t.turn, t.i, CASE WHEN held >= 4 OR tokens + t.n > 120 THEN 1 ELSE held + 1 END, CASE WHEN held >= 4 OR tokens + t.n > 120 THEN t.n ELSE tokens + t.n END, batch + CASE WHEN held >= 4 OR tokens + t.n > 120 THEN 1 ELSE 0 END FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)
+ SELECT conv_id, turn, CAST(batch AS BIGINT) AS batch FROM f""",
     "hier_search": f"WITH {_TREE} SELECT query_id, id, document_id, CAST(layer AS BIGINT) AS layer, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM whole) WHERE rank <= 3",
 }

@@ -8,3 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` under ``sf_dir``; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes for each core up to which a table is dealt out anew.
+LITTLE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows dealt out to all cores, since it may be a single split; of a large one Spark's splits will do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * LITTLE else df
