@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import ascii_lower
 
-#: Filter keys and the column that each asks for.
+#: Filter keys and the column that each asks for.
 FILTERS = {"status": "status", "type": "doc_type", "doc_type": "doc_type", "name": "name", "path": "file_path", "file_path": "file_path"}
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.plans import search_queries, store_queries, text_queries
+from larkspur.plans import file_queries, search_queries, store_queries, text_queries
 
-_PARTS = (text_queries, search_queries, store_queries)
+_PARTS = (text_queries, file_queries, search_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

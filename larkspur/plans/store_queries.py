@@ -222,6 +222,39 @@ def kg_subgraph_relations(spark: SparkSession, sf: str) -> DataFrame:
     return graph.search_graph(entities, relations, _names(spark, sf), 1)[1].select("query_id", "id")
 
 
+def _first_word(prompt: str) -> str:
+    """What stands in for a model: of a chunk's text the first word as an entity, of a question the last one as a name."""
+    import json
+    import re
+
+    if "Question: " in prompt:
+        return json.dumps([prompt.rpartition(" ")[2]])
+    said = re.match(r"[^ \n]*", prompt.partition("Text:\n")[2])[0]
+    first = {"id": said[:1], "name": said}
+    return f"```json\n{json.dumps({'entities': [first, {'id': 'all', 'name': 'All'}], 'relations': [{'id': 'in ' + said[:1], 'source': said[:1], 'target': 'all'}, {'id': 'lost', 'source': 'all', 'target': 'nobody'}]})}\n```"
+
+
+def _built(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    turns = corpus.turns(spark, sf).filter(F.regexp_extract("text", r"^[^ \n]*", 0) != "")
+    return graph.build_graph(turns.select("document_id", "chunk_index", "text"), _first_word)[:2]
+
+
+def kg_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities that a model finds in all turns: the last answer of an id stays, with its conversation."""
+    return _built(spark, sf)[0].select("id", "name", F.col("properties")["document_id"].alias("document_id"))
+
+
+def kg_build_relations(spark: SparkSession, sf: str) -> DataFrame:
+    return _built(spark, sf)[1].select("id", "source", "target")
+
+
+def kg_ask(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities around what questions name, a relation deep."""
+    entities, relations = corpus.graph(spark, sf)
+    asked = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("What lies in "), "r_name").alias("query"))
+    return graph.ask_graph(entities, relations, asked, _first_word, 1)[0].select("query_id", "id", F.col("hops").cast("long").alias("hops"))
+
+
 def kg_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Entities that come twice: the later name stays."""
     entities = corpus.graph(spark, sf)[0]
@@ -264,10 +297,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_documents, scan_live_chunks, list_search, list_filter_in, list_page, list_offset, list_count, chunk_by_index, chunks_of_document, embedded_only, orphan_chunks, orphan_count, gc_survivors,
-        point_lookup, documents_at_path, hits_placeholder, document_texts, unique_words, orphan_relations, cascade_survivors, skip_duplicates, force_replace, status_update, wiki_list_indexes, wiki_list_entries, wiki_update, kg_find, kg_neighbors, kg_checked, kg_link, kg_subgraph, kg_subgraph_relations, kg_upsert, hier_build, hier_search, embed_batches,
+        point_lookup, documents_at_path, hits_placeholder, document_texts, unique_words, orphan_relations, cascade_survivors, skip_duplicates, force_replace, status_update, wiki_list_indexes, wiki_list_entries, wiki_update, kg_find, kg_neighbors, kg_checked, kg_link, kg_subgraph, kg_subgraph_relations, kg_build, kg_build_relations, kg_ask, kg_upsert, hier_build, hier_search, embed_batches,
     )
 }
 
+_WORDS = "words AS (SELECT conv_id, turn, regexp_extract(text, '^[^ \\n]*') w FROM conversations WHERE regexp_extract(text, '^[^ \\n]*') <> '')"
 _D = f"WITH {corpus.DOCUMENTS}"
 _LIVE = "(SELECT * FROM docs WHERE id % 7 <> 0)"
 _TREE = """first AS (SELECT label, min(vec_id) AS top FROM embeddings GROUP BY label),
@@ -319,6 +353,9 @@ SQL = {
     "kg_link": f"WITH {corpus.GRAPH} SELECT DISTINCT CAST(r_regionkey AS BIGINT) AS query_id, e.id FROM region r JOIN entities e ON contains(lower(e.name), lower(r.r_name))",
     "kg_subgraph": f"{_REACH.format(2)} SELECT CAST(query_id AS BIGINT) AS query_id, id, CAST(hops AS BIGINT) AS hops FROM reach",
     "kg_subgraph_relations": f"{_REACH.format(1)} SELECT DISTINCT CAST(query_id AS BIGINT) AS query_id, r.id FROM reach JOIN relations r ON r.source = reach.id OR r.target = reach.id",
+    "kg_build": f"WITH {_WORDS} SELECT w[1:1] AS id, arg_max(w, row(CAST(conv_id AS VARCHAR), turn)) AS name, arg_max(CAST(conv_id AS VARCHAR), row(CAST(conv_id AS VARCHAR), turn)) AS document_id FROM words GROUP BY 1 UNION ALL SELECT 'all', 'All', arg_max(CAST(conv_id AS VARCHAR), row(CAST(conv_id AS VARCHAR), turn)) FROM words",
+    "kg_build_relations": f"WITH {_WORDS} SELECT DISTINCT 'in ' || w[1:1] AS id, w[1:1] AS source, 'all' AS target FROM words",
+    "kg_ask": f"{_REACH.format(1)} SELECT CAST(query_id AS BIGINT) AS query_id, id, CAST(hops AS BIGINT) AS hops FROM reach",
     "kg_upsert": f"WITH {corpus.GRAPH} SELECT id, CASE WHEN type = 'nation' THEN lower(name) ELSE name END AS name, type FROM entities",
     "hier_build": rf"""WITH t AS (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) t FROM conversations GROUP BY conv_id),
  blocks AS (SELECT conv_id, list_filter(list_transform(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda p: {EDGES.format("p")}), lambda p: p <> '') ps FROM t),
