@@ -1,12 +1,15 @@
 r"""License scans: sentences become identifiers, identifier sequences meet ordered rules.
 
-A text is split into pieces at line feeds and after sentence ends; each is normalised (lower case, runs of anything but
-a-z and 0-9 to one space, trimmed). A known license sentence is one piece or several in a row, as line wraps, ':', ';' and
-'v.' inside of a sentence make them; longer sentences are looked for before shorter ones. What is found, in order, is the
-text's identifier sequence; a piece that belongs to no known sentence breaks it, unless it is blank or a list's marker. The rules are tried in order, longer texts before
-short references; a rule takes the identifiers that it matches, so a three-clause text isn't a two-clause one as well.
-
-Defined cases: a null text is an empty one; a text without known sentences has no license, category "none".
+A text is normalised (lower case, runs of anything but a-z and 0-9 to one space, so that line wraps, comment marks and
+punctuation don't matter), and what differs between copies of a license is put in one form. A known sentence is found
+wherever its words stand in a row, the longest that begins at a word first; all of them are one pattern that shares the
+beginnings. The identifiers found, in order, are the text's sequence; words that belong to no known sentence break it, but
+for list markers (a letter or a number of up to two digits). The rules are tried in order, longer texts before shorter
+ones and before references; a rule takes the identifiers that it matches, so a three-clause text isn't a two-clause one as
+well. "All rights reserved" counts only where nothing else is found.
+
+Defined cases: a null or empty text has no license, category "none", and so has a text without known sentences; a text of
+any length is read whole; repeated rows are answered alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,105 +18,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import let
+from larkspur.llm.license_catalog import ANCHORS, FORMS, rules, sentences
 
-#: Sentences of well-known licenses and of the usual references to them, normalised.
-SENTENCES = {
-    "released under the mit license": "mit-ref",
-    "licensed under the mit license": "mit-ref",
-    "this project is licensed under the mit license": "mit-ref",
-    "spdx license identifier mit": "mit-ref",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
-    "licensed under the apache license version 2 0": "apache-ref",
-    "licensed under the apache license version 2 0 the license": "apache-grant",
-    "you may not use this file except in compliance with the license": "apache-terms",
-    "you may obtain a copy of the license at": "apache-copy",
-    "spdx license identifier apache 2 0": "apache-ref",
-    "this work is licensed under the gnu general public license version 3": "gpl3-ref",
-    "licensed under the gnu general public license version 3": "gpl3-ref",
-    "spdx license identifier gpl 3 0 only": "gpl3-ref",
-    "spdx license identifier gpl 3 0 or later": "gpl3-ref",
-    "this work is licensed under the gnu general public license version 2": "gpl2-ref",
-    "spdx license identifier gpl 2 0 only": "gpl2-ref",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
-    "licensed under the gnu lesser general public license version 3": "lgpl3-ref",
-    "licensed under the gnu affero general public license version 3": "agpl3-ref",
-    "licensed under the mozilla public license version 2 0": "mpl2-ref",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-ref",
-    "licensed under cc by 4 0": "cc-by-ref",
-    "licensed under cc by sa 4 0": "cc-by-sa-ref",
-    "licensed under cc by nc 4 0": "cc-by-nc-ref",
-    "licensed under cc by nd 4 0": "cc-by-nd-ref",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-ref",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-ref",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-ref",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-    "all rights reserved": "reserved",
-}
-#: One of these words stands in every known sentence.
-ANCHORS = r"licen[sc]e|permission|copyright|warranty|redistribut|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved"
-
-#: License, category and the identifiers that say it, in order of trial.
-RULES = (
-    ("MIT", "permissive", ("mit-grant", "mit-notice", "as-is")),
-    ("MIT", "permissive", ("mit-grant", "mit-notice")),
-    ("BSD-3-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
-    ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("GPL-3.0", "copyleft", ("gpl3-grant", "gpl-warranty")),
-    ("Apache-2.0", "permissive", ("apache-grant", "apache-terms", "apache-copy")),
-    ("Apache-2.0", "permissive", ("apache-grant", "apache-terms")),
-    ("MIT", "permissive", ("mit-ref",)),
-    ("Apache-2.0", "permissive", ("apache-ref",)),
-    ("Apache-2.0", "permissive", ("apache-grant",)),
-    ("GPL-3.0", "copyleft", ("gpl3-ref",)),
-    ("GPL-3.0", "copyleft", ("gpl3-grant",)),
-    ("GPL-2.0", "copyleft", ("gpl2-ref",)),
-    ("LGPL-3.0", "copyleft", ("lgpl3-ref",)),
-    ("AGPL-3.0", "copyleft", ("agpl3-ref",)),
-    ("MPL-2.0", "copyleft", ("mpl2-ref",)),
-    ("CC-BY-4.0", "permissive", ("cc-by-ref",)),
-    ("CC-BY-SA-4.0", "copyleft", ("cc-by-sa-ref",)),
-    ("CC-BY-NC-4.0", "restricted", ("cc-by-nc-ref",)),
-    ("CC-BY-ND-4.0", "restricted", ("cc-by-nd-ref",)),
-    ("Unlicense", "permissive", ("unlicense",)),
-    ("Proprietary", "restricted", ("reserved",)),
-)
+SENTENCES = sentences()
+RULES = rules()
 #: From the strictest on.
 CATEGORIES = ("restricted", "copyleft", "permissive")
-SENTENCE_END = r"(?<=[.!?;:])[ \t\r\f]+|[\r\f]*\n[ \t\r\f]*"
-#: A list's marker before a piece, and one that is a piece (normalised).
-MARKER = r"^[^A-Za-z0-9(]*\(?[0-9A-Za-z]{1,2}\)[ \t]+"
-MARKER_ALONE = "[0-9]{1,2}|[a-z]"
+#: What may stand between two sentences of a sequence.
+MARKERS = "^ (?:(?:[0-9]{1,2}|[a-z]) )*$"
 
 
-def _pattern(ids: tuple[str, ...]) -> str:
-    return "".join(f"<{i}>" for i in ids)
+def _shared(known: list[list[str]]) -> str:
+    """A pattern of all these word sequences that tries longer ones first; common beginnings are written once."""
+    by_word: dict[str, list[list[str]]] = {}
+    for ws in known:
+        if ws:
+            by_word.setdefault(ws[0], []).append(ws[1:])
+    parts = []
+    for word, rests in by_word.items():
+        rest = _shared([r for r in rests if r])
+        parts.append(word + (f"(?: {rest})?" if rest and [] in rests else f" {rest}" if rest else ""))
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+
 
+PATTERN = f"(?<= ){_shared([s.split() for s in SENTENCES])}(?= )"
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
+def _pattern(ids: tuple[str, ...]) -> str:
+    return "".join(f"<{i}>" for i in ids)
 
-def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's sentences in order, "" for pieces of what isn't known."""
-    pieces = F.transform(F.split(F.trim(text), SENTENCE_END, -1), lambda s: normalised(F.regexp_replace(s, MARKER, "")))
-    # between line feeds stand pieces and, in the place of those that make a known sentence, its identifier in brackets
-    marked = F.concat(F.lit("\n"), F.array_join(F.array_remove(pieces, ""), "\n"), F.lit("\n"))
-    for sentence in sorted(SENTENCES, key=len, reverse=True):
-        marked = F.regexp_replace(marked, "(?<=\n)" + sentence.replace(" ", "[ \n]") + "(?=\n)", f"<{SENTENCES[sentence]}>")
-    parts = F.filter(F.split(marked, "\n", -1), lambda s: (s != "") & ~s.rlike(f"^({MARKER_ALONE})$"))
-    return F.transform(parts, lambda s: F.when(s.startswith("<"), F.translate(s, "<>", "")).otherwise(""))
+
+def normalised(text: Column) -> Column:
+    """The words of a text in their one form, a space before, between and after them."""
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
+    for pattern, to in FORMS:
+        out = F.regexp_replace(out, pattern, to)
+    return out
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (known ones), matches (array of license, category, times in the order of the rules), n_known."""
-    rules = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(kind).alias("category"), F.lit(_pattern(ids)).alias("pattern")) for name, kind, ids in RULES])
+    tried = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(kind).alias("category"), F.lit(_pattern(ids)).alias("pattern")) for name, kind, ids in RULES[:-1]])
+    named = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     none = F.array().cast("array<struct<license:string,category:string,times:int>>")
 
     def step(state: Column, rule: Column) -> Column:
@@ -122,13 +68,20 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         hit = F.array(F.struct(rule["license"].alias("license"), rule["category"].alias("category"), times.alias("times")))
         return F.struct(rest.alias("rest"), F.when(times > 0, F.concat(state["found"], hit)).otherwise(state["found"]).alias("found"))
 
-    def matched(ids: Column) -> Column:
-        sequence = F.array_join(F.transform(ids, lambda i: F.when(i == "", "|").otherwise(F.concat(F.lit("<"), i, F.lit(">")))), "")
-        return F.aggregate(rules, F.struct(sequence.alias("rest"), none.alias("found")), step, lambda s: s["found"])
+    def matched(ids: Column, gaps: Column) -> Column:
+        sequence = F.array_join(F.transform(ids, lambda i, n: F.concat(F.when(F.get(gaps, n).rlike(MARKERS), "").otherwise("|"), F.lit("<"), i, F.lit(">"))), "")
+        found = F.aggregate(tried, F.struct(sequence.alias("rest"), none.alias("found")), step, lambda s: s["found"])
+        last = F.filter(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">")) == _pattern(RULES[-1][2]))
+        reserved = F.array(F.struct(F.lit(RULES[-1][0]).alias("license"), F.lit(RULES[-1][1]).alias("category"), F.size(last).alias("times")))
+        return let(found, lambda f: F.when((F.size(f) == 0) & (F.size(last) > 0), reserved).otherwise(f))
+
+    def scanned(words: Column) -> Column:
+        ids = F.transform(F.regexp_extract_all(words, F.lit(PATTERN), F.lit(0)), lambda s: F.element_at(named, s))
+        return let(ids, lambda i: F.struct(i.alias("known"), F.when(F.size(i) > 0, matched(i, F.split(words, PATTERN, -1))).otherwise(none).alias("found")))
 
+    nothing = F.struct(F.array().cast("array<string>").alias("known"), none.alias("found"))
     text = F.coalesce("text", F.lit(""))
-    ids = F.when(F.lower(text).rlike(ANCHORS), sentence_ids(text)).otherwise(F.array().cast("array<string>"))
-    each = docs.select("doc_id", let(ids, lambda i: F.struct(F.array_remove(i, "").alias("known"), F.when(F.exists(i, lambda x: x != ""), matched(i)).otherwise(none).alias("found"))).alias("__s"))
+    each = docs.select("doc_id", F.when(F.lower(text).rlike(ANCHORS), let(normalised(text), scanned)).otherwise(nothing).alias("__s"))
     return each.select("doc_id", F.col("__s.known").alias("sentence_ids"), F.col("__s.found").alias("matches"), F.size("__s.known").cast("long").alias("n_known"))
 
 
@@ -143,19 +96,27 @@ def _is(category: str):
 
 
 def _sql() -> str:
+    """Another way to the same rows: every known sentence is looked for in every text by itself, what lies in a longer one goes."""
     known = ",\n".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    steps = "seqs"
-    for k, (_, _, ids) in enumerate(RULES):
-        steps = f"(SELECT *, replace(s{k}, '{_pattern(ids)}', '|') s{k + 1} FROM {steps})"
-    names = ", ".join(f"CASE WHEN s{k} <> s{k + 1} THEN '{name}' END" for k, (name, _, _) in enumerate(RULES))
-    case = " ".join(f"WHEN {' OR '.join(f's{k} <> s{k + 1}' for k, r in enumerate(RULES) if r[1] == c)} THEN '{c}'" for c in CATEGORIES)
+    tried = ",\n".join(f"({k}, '{name}', '{kind}', '{_pattern(ids)}')" for k, (name, kind, ids) in enumerate(RULES[:-1]))
+    words = "' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' '"
+    for pattern, to in FORMS:
+        words = f"regexp_replace({words}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    case = " ".join(f"WHEN list_contains(kinds, '{c}') THEN '{c}'" for c in CATEGORIES)
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}),
-marked AS (SELECT doc_id, regexp_split_to_array(regexp_replace(trim(coalesce(text, '')), '([.!?;:])[ \t\r\f]+', '\1' || chr(10), 'g'), '[\r\f]*\n[ \t\r\f]*') parts FROM documents),
-sentences AS (SELECT doc_id, unnest(parts) s, generate_subscripts(parts, 1) i FROM marked),
-named AS (SELECT doc_id, i, k.id FROM sentences LEFT JOIN known k ON k.sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
-seqs AS (SELECT doc_id, count(id) n_known, coalesce(string_agg(id, ',' ORDER BY i), '') sentence_ids, string_agg(coalesce('<' || id || '>', '|'), '' ORDER BY i) s0 FROM named GROUP BY doc_id)
-SELECT doc_id, n_known, sentence_ids, array_to_string(list_sort(list_distinct([{names}])), ',') licenses, CASE {case} ELSE 'none' END AS category FROM {steps}
+WITH RECURSIVE known(s, id) AS (VALUES {known}),
+tried(k, name, kind, pattern) AS (VALUES {tried}),
+norm AS (SELECT doc_id, {words} t FROM documents),
+within AS (SELECT doc_id, t, s, id FROM norm JOIN known ON contains(t, ' ' || s || ' ')),
+places AS (SELECT * FROM (SELECT doc_id, t, s, id, unnest(range(1, length(t) - length(s))) p FROM within) WHERE substr(t, p, length(s) + 2) = ' ' || s || ' '),
+outer_ones AS (SELECT * FROM places a WHERE NOT EXISTS (SELECT 1 FROM places b WHERE b.doc_id = a.doc_id AND b.p <= a.p AND b.p + length(b.s) >= a.p + length(a.s) AND length(b.s) > length(a.s))),
+spaced AS (SELECT doc_id, id, p, substr(t, lag(p + length(s) + 1, 1, 1) OVER w, p + 1 - lag(p + length(s) + 1, 1, 1) OVER w) gap FROM outer_ones WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+listed AS (SELECT doc_id, count(*) n_known, string_agg(id, ',' ORDER BY p) sentence_ids, string_agg(CASE WHEN regexp_full_match(gap, ' (([0-9]{{1,2}}|[a-z]) )*') THEN '' ELSE '|' END || '<' || id || '>', '' ORDER BY p) seq, list_contains(list(id), '{RULES[-1][2][0]}') reserved FROM spaced GROUP BY doc_id),
+steps(k, doc_id, seq, names, kinds) AS (SELECT 0, doc_id, seq, []::VARCHAR[], []::VARCHAR[] FROM listed UNION ALL
+ SELECT s.k + 1, doc_id, replace(seq, pattern, '|'), CASE WHEN contains(seq, pattern) THEN list_append(names, r.name) ELSE names END, CASE WHEN contains(seq, pattern) THEN list_append(kinds, kind) ELSE kinds END FROM steps s JOIN tried r ON r.k = s.k),
+judged AS (SELECT doc_id, CASE WHEN len(names) = 0 AND reserved THEN ['{RULES[-1][0]}'] ELSE names END names, CASE WHEN len(names) = 0 AND reserved THEN ['{RULES[-1][1]}'] ELSE kinds END kinds FROM steps JOIN listed USING (doc_id) WHERE k = {len(RULES) - 1})
+SELECT d.doc_id, coalesce(n_known, 0) n_known, coalesce(sentence_ids, '') sentence_ids, coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') licenses, CASE {case} ELSE 'none' END AS category
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN judged USING (doc_id)
 """
 
 
