@@ -6,27 +6,31 @@ equal sets form one class and are a single set from there on, so copies cost not
 A run starts with all sets in one bucket. It samples tokens that sets share: in every bucket a set picks the two of its
 tokens that come first in the order of a hash of the run and the level, and goes to the bucket of each. Two sets of
 similarity 0.8 agree on at least one of the two with probability 0.96 at each level. Buckets of one set go, buckets of at
-most ``LEAF`` sets are compared by brute force, larger ones are split again. Buckets that keep most of their parent's sets for
-``STREAK`` levels aren't worth splitting, since their sets resemble each other: they are compared too, in pairs of
-blocks. Runs are repeated until a pair of similarity 0.8 meets with probability of at least ``RECALL`` wherever it lies,
-that is, even if all its buckets are large on every level.
-
-Sets that look alike (signatures of the picked tokens, sizes) are joined to candidate components, and within a component
-every pair is compared exactly, again in pairs of blocks, by matrix products over shared tokens. No pair becomes a row:
-a block gives each of its sets the number of its links and the root of what it is linked to.
-
-Everything that tasks hold is bounded by two blocks; what is decided between steps is a table in the shared folder.
+most ``LEAF`` sets are compared by brute force, larger ones are split again. A large bucket whose sets resemble each other
+on average isn't worth splitting: all of it is to be compared. Its average similarity takes one pass and no pair: every
+set carries one bit of each of its signatures, and sums of bits say how often two sets of the bucket agree. Runs are
+repeated until a pair of similarity 0.8 meets with probability of at least ``RECALL`` wherever it lies, that is, even if
+all its buckets are large on every level.
+
+Sets that look alike (signatures of the picked tokens, sizes) are joined to candidate components, a crowd of sets that
+resemble each other at once, and within a component every pair is compared exactly, in pairs of blocks, by matrix
+products over shared tokens. A block is one row of at most about ``BLOCK`` sets and ``BLOCK_TOKENS`` tokens (of one set, if
+that has more), and no pair of sets becomes a row: a block pair gives each of its sets the number of its links and the
+root of what it is linked to. Everything that tasks hold is bounded by two blocks; what is decided between steps is a
+table in the shared folder.
 
 Defined cases: null and empty texts and texts without words have no set, no link and a class of their own; equal sets are
 linked with similarity 1; repeated rows are documents like others (and copies of each other); a null doc_id stays null
-and is no class's name while there is another.
+and is no class's name while there is another; doc_id is a whole number or a string of one; a text of any length is a set
+of its own size, and the largest one bounds a task's memory from below.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -53,13 +57,17 @@ def missed(near: float = NEAR, levels: int = LEVELS) -> float:
 
 
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(missed()))
-#: Sets of a block; two blocks are compared in one task, so a bucket of no more needs no splitting.
+#: Sets and tokens of a block; two blocks are compared in one task, so a bucket of no more sets needs no splitting.
 BLOCK = 256
+BLOCK_TOKENS = 1 << 18
 LEAF = 2 * BLOCK
-#: A bucket that took more than this share of its parent's sets, as its parent did of its own and so on for so many
-#: levels, holds sets that resemble each other and is compared as it is. (One level may be a frequent token's chance.)
+#: Rows that a task compares, about.
+TASK_ROWS = 1 << 14
+#: Sets up to which those whose texts are needed are sent to the documents; beyond, both are dealt out.
+MOST_SENT = 200_000
+#: Average similarity from which a large bucket is compared as it is: splitting hardly thins it, since two of its sets share
+#: one of their two picks more often than not, on every level, and its pairs of similarity NEAR are a good part of all.
 DENSE = 0.5
-STREAK = 3
 #: Signatures (one token for each run and level) that agree, at least, where two sets are worth an exact comparison.
 ALIKE = 4 * RUNS * LEVELS // 9
 CACHE_WORDS = 500_000
@@ -110,27 +118,52 @@ def picks(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def mixed_signatures(first_picks: np.ndarray) -> np.ndarray:
+    """Hashes of RUNS * LEVELS signatures; 16 bits of each are its mark."""
+    mixed = first_picks * _MULTIPLY
+    mixed ^= mixed >> np.uint64(33)
+    return mixed * _PLACES[0]
+
+
+def one_bit_each(mixed: np.ndarray) -> int:
+    """A bit of each signature: unlike signatures agree in it as often as not."""
+    return int((mixed >> np.uint64(17) & np.uint64(1)) @ (np.uint64(1) << np.arange(len(mixed), dtype=np.uint64)))
+
+
+def average_similarity(count: Column, bits: Column) -> Column:
+    """Aggregate: of two sets of a group, from how often their bits agree."""
+    ones = [F.sum(F.shiftright(bits, i).bitwiseAND(F.lit(1))).cast("double") / count for i in range(RUNS * LEVELS)]
+    agree = sum((o * o + (1 - o) * (1 - o) for o in ones[1:]), ones[0] * ones[0] + (1 - ones[0]) * (1 - ones[0])) / len(ones)
+    return 2 * agree - 1
+
+
 def _binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, set_key (null: no words), n, picks (little-endian) of each document: one row each."""
+    """doc_id, text_key, set_key (null: no words), n, picks, marks (little-endian), bits of each document: one row each."""
+    names = ["doc_id", "text_key", "set_key", "n", "picks", "marks", "bits"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                keys, sizes, chosen = [], [], []
+                keys, sizes, chosen, marks, bits = [], [], [], [], []
                 for t in _binary(part.column(2)):
                     s = token_set(t)
+                    own = picks(s) if len(s) else None
                     keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sizes.append(len(s))
-                    chosen.append(picks(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(chosen, pa.binary())], names=["doc_id", "text_key", "set_key", "n", "picks"])
+                    chosen.append(own.tobytes() if len(s) else None)
+                    mixed = mixed_signatures(own[:, 0]) if len(s) else None
+                    marks.append((mixed >> np.uint64(48)).astype("<u2").tobytes() if len(s) else None)
+                    bits.append(one_bit_each(mixed) if len(s) else None)
+                columns = pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(chosen, pa.binary()), pa.array(marks, pa.binary()), pa.array(bits, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return mapped(asked, run, "doc_id long, text_key long, set_key binary, n long, picks binary")
+    return mapped(asked, run, "doc_id long, text_key long, set_key binary, n long, picks binary, marks binary, bits long")
 
 
 def _pick(run: int, level: int, k: int):
@@ -138,71 +171,121 @@ def _pick(run: int, level: int, k: int):
     return F.expr(f"substring(picks, {at + 1}, 8)")
 
 
-def _in_blocks(rows: DataFrame, key: list[str], count: str) -> DataFrame:
-    """Rows of large groups once for each pair of blocks that theirs is in: key, first and second block, own block."""
-    n = F.ceil(F.col(count) / BLOCK).cast("int")
-    placed = rows.withColumn("__n", F.when(F.col(count) > 2 * BLOCK, n).otherwise(F.lit(1))).withColumn("own", F.pmod(F.xxhash64("set_key", F.lit(5)), F.col("__n")).cast("int"))
-    return placed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select(
-        *key, F.least("own", "__other").alias("one"), F.greatest("own", "__other").alias("two"), *[c for c in rows.columns if c not in key], "own"
-    )
+def _in_blocks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Blocks of the groups' rows, each once for every block pair of its group: key, one and two (the pair), own, rows.
 
+    ``rows``: key, set_key, ``columns`` and __n, the number of the group's blocks.
+    """
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("set_key", F.lit(5)), F.col("__n")).cast("int"))
+    blocks = dealt.groupBy(key, "own", "__n").agg(F.array_sort(F.collect_list(F.struct("set_key", *columns))).alias("rows"))
+    paired = blocks.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    paired = paired.select(key, F.least("own", "__other").alias("one"), F.greatest("own", "__other").alias("two"), "own", "rows")
+    return paired.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two", "own")
+
+
+Compare = Callable[[np.ndarray, list[pa.Array]], pa.RecordBatch | None]
 
-def leaves(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(path, set_key, count of the buckets whose sets are to be compared; the tables that it reads).
 
-    ``sets``: set_key, n, picks of distinct sets.
+def _compared(rows: DataFrame, n_rows: int, key: str, columns: list[str], n_blocks: Column, compare: Compare, schema: str) -> DataFrame:
+    """What ``compare`` gives for each group of one block, row by row, and for each block pair of the others.
+
+    It gets a square matrix of the pairs of rows that it is to answer for, and set_key and ``columns`` of the rows.
+    ``n_blocks`` is the same for all rows of a group. Tasks follow from ``n_rows``, how many rows there are, since comparing
+    them takes much longer than their bytes would say.
     """
-    found, tables = [], []
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // TASK_ROWS))
+    placed = rows.withColumn("__n", n_blocks.cast("int"))
+    whole = placed.filter("__n = 1").select(key, "set_key", *columns).repartition(tasks, key).sortWithinPartitions(key, "set_key")
+
+    def run(groups: Callable) -> Callable:
+        return lambda batches: (out for g in groups(batches) if (out := compare(*g)) is not None)
+
+    return mapped(whole, run(_groups), schema).unionByName(mapped(_in_blocks(placed.filter("__n > 1"), key, columns), run(_pairs), schema))
+
+
+def leaves(sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(path, set_key, count of the buckets whose sets are to be compared; a, b: sets and the crowds that they are in; the tables that they read).
+
+    ``sets``: set_key, picks, bits of distinct sets.
+    """
+    found, crowds, tables = [], [], []
 
     def own_picks(level: int) -> Column:
         return F.array_distinct(F.array(*[F.struct(F.lit(r).alias("run"), _pick(r, level, k).alias("token")) for r in range(RUNS) for k in range(PICKS)]))
 
-    first = sets.select("set_key", F.explode(own_picks(0)).alias("t"))
-    rows = first.select("set_key", "t.run", F.xxhash64("t.run", "t.token").alias("path"), F.lit(0).cast("long").alias("parent"), F.lit(0).alias("streak"))
+    first = sets.select("set_key", "bits", F.explode(own_picks(0)).alias("t"))
+    rows = first.select("set_key", "bits", "t.run", F.xxhash64("t.run", "t.token").alias("path"))
     for level in range(1, LEVELS + 1):
-        counts = rows.groupBy("run", "path").agg(F.count("*").alias("count"), F.max("parent").alias("parent"), F.max("streak").alias("streak")).filter(F.col("count") > 1)
-        streak = F.when((F.col("parent") > 0) & (F.col("count") > DENSE * F.col("parent")), F.col("streak") + 1).otherwise(0)
+        sized = rows.groupBy("run", "path").agg(F.count("*").alias("count"), average_similarity(F.count("*"), F.col("bits")).alias("similarity")).filter(F.col("count") > 1)
         # a table of its own, so that Spark can split the rows of a frequent token's bucket in the join
-        counts = written(counts.select("run", "path", "count", streak.alias("streak")), f"counts{level}")
-        kept = written(rows.drop("parent", "streak").join(counts, ["run", "path"]), f"level{level}")
+        counts = written(sized.withColumn("crowd", (F.col("count") > LEAF) & (F.col("similarity") >= DENSE)).drop("similarity"), f"counts{level}")
+        kept = written(rows.join(counts, ["run", "path"]), f"level{level}")
         discard(counts, rows)
         tables.append(kept)
-        small = (F.col("count") <= LEAF) | (F.col("streak") >= STREAK)
+        # a crowd is a node of its own, which all its sets are connected with
+        crowds.append(kept.filter("crowd").select(F.col("set_key").alias("a"), F.unhex(F.lpad(F.hex("path"), 16, "0")).alias("b")))
+        large = kept.filter((F.col("count") > LEAF) & ~F.col("crowd"))
         last = level == LEVELS
-        found.append(kept.filter(F.lit(True) if last else small).select("path", "set_key", "count"))
-        large = kept.filter(~small)
+        found.append(kept.filter(F.lit(last) & ~F.col("crowd") | (F.col("count") <= LEAF)).select("path", "set_key", "count"))
         if last or large.isEmpty():
             break
+        if level == 1:  # what is split on any further level is among these
+            pool = written(sets.select("set_key", "picks").join(large.select("set_key").distinct(), "set_key", "left_semi"), "pool")
+            tables.append(pool)
         own = F.explode(F.filter(own_picks(level), lambda t: t["run"] == F.col("run"))).alias("t")
-        children = large.join(sets.select("set_key", "picks"), "set_key").select("set_key", "run", "path", "count", "streak", own)
-        rows = written(children.select("set_key", "run", F.xxhash64("path", "t.token").alias("path"), F.col("count").alias("parent"), "streak"), f"children{level}")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out, tables
+        children = large.join(pool, "set_key").select("set_key", "bits", "run", "path", own)
+        rows = written(children.select("set_key", "bits", "run", F.xxhash64("path", "t.token").alias("path")), f"children{level}")
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, crowds), tables
 
 
-def _groups(batches: Iterable[pa.RecordBatch], n_key: int) -> Iterator[pa.Table]:
-    """Tables of the rows of each group, from batches sorted by their first ``n_key`` columns; groups are bounded."""
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """(pairs to answer for, columns) of the rows of each group, from batches sorted by their first column; groups are bounded."""
     held: list[pa.RecordBatch] = []
     last = None
+
+    def joined() -> tuple[np.ndarray, list[pa.Array]]:
+        whole = pa.Table.from_batches(held)
+        return ~np.eye(len(whole), dtype=bool), [c.combine_chunks() for c in whole.columns[1:]]
+
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(n_key)])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        if last is not None and (keys[:, 0] != last).any():
-            yield pa.Table.from_batches(held)
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        if last is not None and keys[0] != last:
+            yield joined()
             held = []
-        edges = [0, *cuts.tolist(), b.num_rows]
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), b.num_rows]
         for a, z in zip(edges[:-1], edges[1:], strict=True):
             held.append(b.slice(a, z - a))
             if z < b.num_rows:
-                yield pa.Table.from_batches(held)
+                yield joined()
                 held = []
-        last = keys[:, -1]
+        last = keys[-1]
     if held:
-        yield pa.Table.from_batches(held)
+        yield joined()
+
+
+def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """(pairs to answer for, columns) of the rows of each block pair, from batches of _in_blocks()."""
+    last, held = None, []
+
+    def joined() -> tuple[np.ndarray, list[pa.Array]]:
+        own, rows = np.repeat([own for own, _ in held], [len(rows) for _, rows in held]), pa.concat_arrays([rows for _, rows in held])
+        # of two blocks what lies across them, of a block with itself all but the diagonal
+        asked = own[:, None] != own[None, :] if last[1] != last[2] else ~np.eye(len(own), dtype=bool)
+        return asked, [rows.field(i) for i in range(rows.type.num_fields)]
+
+    for b in batches:
+        key, one, two, own = (b.column(i).to_numpy() for i in range(4))
+        blocks = b.column(4)
+        for i in range(b.num_rows):
+            if last is not None and last != (key[i], one[i], two[i]):
+                yield joined()
+                held = []
+            last = key[i], one[i], two[i]
+            held.append((own[i], blocks[i].values))
+    if held:
+        yield joined()
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -217,34 +300,27 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _across(one: np.ndarray, two: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Which pairs of rows a block pair answers for: those within its only block, or those across its two."""
-    apart = own[:, None] != own[None, :]
-    return apart if one != two else ~np.eye(len(own), dtype=bool)
-
-
 def alike(sets: DataFrame, buckets: DataFrame) -> DataFrame:
     """a, b (set keys): sets that look alike, as stars around the first of those that are connected in a bucket."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, 3):
-            keys = g.column("set_key").to_pylist()
-            if len(keys) < 2:
-                continue
-            marks = np.frombuffer(b"".join(g.column("picks").to_pylist()), dtype=np.uint64).reshape(len(keys), -1)[:, ::PICKS]
-            n = g.column("n").to_numpy()
-            near = np.minimum(n[:, None], n[None, :]) >= NEAR * np.maximum(n[:, None], n[None, :])
-            agree = np.zeros(near.shape, dtype=np.int16)
-            for k in range(marks.shape[1]):
-                agree += marks[:, None, k] == marks[None, :, k]
-            near &= (agree >= ALIKE) & _across(g.column("one")[0].as_py(), g.column("two")[0].as_py(), g.column("own").to_numpy())
-            root = _roots(near)
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in moved], pa.binary()), pa.array([keys[i] for i in root[moved]], pa.binary())], names=["a", "b"])
-
-    rows = _in_blocks(buckets.join(sets, "set_key").select("path", "set_key", "count", "n", "picks"), ["path"], "count").drop("count")
-    return mapped(rows.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two", "set_key"), run, "a binary, b binary").distinct()
+    def compare(asked: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch | None:
+        if len(asked) < 2:
+            return None
+        keys, n = columns[0].to_pylist(), columns[1].to_numpy()
+        marks = np.frombuffer(b"".join(columns[2].to_pylist()), dtype="<u2").reshape(len(keys), -1)
+        near = np.minimum(n[:, None], n[None, :]) >= NEAR * np.maximum(n[:, None], n[None, :])
+        agree = np.zeros(near.shape, dtype=np.int16)
+        for k in range(marks.shape[1]):
+            agree += marks[:, None, k] == marks[None, :, k]
+        root = _roots(near & (agree >= ALIKE) & asked)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        if not len(moved):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in moved], pa.binary()), pa.array([keys[i] for i in root[moved]], pa.binary())], names=["a", "b"])
+
+    rows = buckets.join(sets, "set_key").select("path", "set_key", "count", "n", "marks")
+    n_blocks = F.when(F.col("count") > LEAF, F.ceil(F.col("count") / BLOCK)).otherwise(1)
+    return _compared(rows, buckets.count(), "path", ["n", "marks"], n_blocks, compare, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -272,48 +348,58 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def exact_links(inside: DataFrame, near: float = NEAR) -> DataFrame:
-    """set_key, n_docs, n_texts, root: links within each block pair of a component.
-
-    ``inside``: component, set_key, size (documents of the set), tokens (little-endian), count (sets of the component).
+def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of the sets share: a square matrix."""
+    n = list(map(len, sets))
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    of, shared = np.repeat(np.arange(len(n)), n), times[number] > 1
+    number, of = (np.cumsum(times > 1) - 1)[number[shared]], of[shared]
+    order = np.argsort(number, kind="stable")
+    number, of = number[order], of[order]
+    both = np.zeros((len(n), len(n)), dtype=np.float32)
+    width, at = 4096, 0
+    top = int(number[-1]) + 1 if len(number) else 0
+    for low in range(0, top, width):
+        end = int(np.searchsorted(number, low + width))
+        m = np.zeros((len(n), min(width, top - low)), dtype=np.float32)
+        m[of[at:end], number[at:end] - low] = 1
+        both += m @ m.T
+        at = end
+    return both
+
+
+def exact_links(inside: DataFrame, n_sets: int, near: float = NEAR) -> DataFrame:
+    """set_key, n_docs, n_texts, root: links within each block pair of a component; ``n_sets``: the rows of ``inside``.
+
+    ``inside``: component, set_key, size (documents of the set), tokens (little-endian), count and total (sets and tokens
+    of the component).
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, 3):
-            keys = g.column("set_key").to_pylist()
-            sets = [np.frombuffer(t, dtype=np.uint64) for t in g.column("tokens").to_pylist()]
-            n = np.array(list(map(len, sets)))
-            _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            of, shared = np.repeat(np.arange(len(n)), n), times[number] > 1
-            number = (np.cumsum(times > 1) - 1)[number[shared]]
-            of = of[shared]
-            both = np.zeros((len(n), len(n)), dtype=np.float32)
-            order = np.argsort(number, kind="stable")
-            number, of = number[order], of[order]
-            width, at = 4096, 0
-            top = int(number[-1]) + 1 if len(number) else 0
-            for low in range(0, top, width):
-                end = int(np.searchsorted(number, low + width))
-                m = np.zeros((len(n), min(width, top - low)), dtype=np.float32)
-                m[of[at:end], number[at:end] - low] = 1
-                both += m @ m.T
-                at = end
-            linked = both >= near * (n[:, None] + n[None, :] - both) - 1e-6
-            linked &= _across(g.column("one")[0].as_py(), g.column("two")[0].as_py(), g.column("own").to_numpy())
-            size, root = g.column("size").to_numpy(), _roots(linked)
-            some = np.flatnonzero(linked.any(axis=1))
-            if len(some):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[i] for i in some], pa.binary()), pa.array((linked @ size)[some]), pa.array(linked.sum(axis=1)[some]), pa.array([keys[i] for i in root[some]], pa.binary())],
-                    names=["set_key", "n_docs", "n_texts", "root"],
-                )
-
-    rows = _in_blocks(inside.select(F.xxhash64("component").alias("c"), "set_key", "size", "tokens", "count"), ["c"], "count").drop("count")
-    return mapped(rows.repartition("c", "one", "two").sortWithinPartitions("c", "one", "two", "set_key"), run, "set_key binary, n_docs long, n_texts long, root binary")
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_key, tokens of the wanted sets, made anew from one document of each. ``wanted``: set_key, doc_id, text_key."""
+    def compare(asked: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch | None:
+        keys, size = columns[0].to_pylist(), columns[1].to_numpy()
+        sets = [np.frombuffer(t, dtype=np.uint64) for t in columns[2].to_pylist()]
+        n, both = np.array(list(map(len, sets))), shared_tokens(sets)
+        linked = (both >= near * (n[:, None] + n[None, :] - both) - 1e-6) & asked
+        root = _roots(linked)
+        some = np.flatnonzero(linked.any(axis=1))
+        if not len(some):
+            return None
+        return pa.RecordBatch.from_arrays(
+            [pa.array([keys[i] for i in some], pa.binary()), pa.array((linked @ size)[some]), pa.array(linked.sum(axis=1)[some]), pa.array([keys[i] for i in root[some]], pa.binary())],
+            names=["set_key", "n_docs", "n_texts", "root"],
+        )
+
+    rows = inside.select(F.xxhash64("component").alias("c"), "set_key", "size", "tokens", "count", "total")
+    few = (F.col("count") <= LEAF) & (F.col("total") <= 2 * BLOCK_TOKENS)
+    n_blocks = F.when(few, 1).otherwise(F.ceil(F.greatest(F.col("count") / BLOCK, F.col("total") / BLOCK_TOKENS)))
+    return _compared(rows, n_sets, "c", ["size", "tokens"], n_blocks, compare, "set_key binary, n_docs long, n_texts long, root binary")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """set_key, tokens of the wanted sets, made anew from one document of each. ``wanted``: set_key, doc_id, text_key.
+
+    ``few``: there are so few of them that they can be sent to all tasks, and texts needn't be dealt out.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,7 +408,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([token_set(t).tobytes() for t in _binary(part.column(1))], pa.binary())], names=["set_key", "tokens"])
 
     of = wanted.select("set_key", F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t")).join(of, F.col("t").eqNullSafe(F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
+    of = F.broadcast(of) if few else of
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    rows = rows.join(of, F.col("t").eqNullSafe(F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     return mapped(rows.select("set_key", "text").dropDuplicates(["set_key"]), run, "set_key binary, tokens binary")
 
 
@@ -332,33 +420,43 @@ def near_classes(docs: DataFrame, near: float = NEAR) -> DataFrame:
     class_id: the smallest doc_id of all documents that links lead to, over any number of steps; copy_id: the smallest of
     those with an equal set; n_links: how many other documents it is linked to (similarity of at least ``near``);
     n_texts: how many other sets; kept: whether it is its class's first (smallest doc_id, null last, then text_key).
+    ``near`` is at least NEAR, which the candidates are made for.
     """
+    if near < NEAR:
+        raise ValueError(f"candidates are of similarity {NEAR} or more, not {near}")
     rows = written(described(docs), "sets")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    sets = written(
-        rows.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("size"), F.min(place).alias("one"), F.max(F.struct("n", "picks")).alias("p")).select("set_key", "size", "one", "p.n", "p.picks"),
-        "classes",
-    )
-    plain = sets.select("set_key", "n", "picks")
-    buckets, tables = leaves(plain)
-    labels = components(alike(plain, buckets))
+    own = F.max(F.struct("n", "picks", "marks", "bits"))
+    sets = rows.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("size"), F.min(place).alias("one"), own.alias("p"))
+    sets = written(sets.select("set_key", "size", "one", "p.*"), "classes")
+    buckets, crowds, tables = leaves(sets.select("set_key", "picks", "bits"))
+    labels = components(alike(sets.select("set_key", "n", "marks"), buckets).unionByName(crowds))
     discard(*tables)
-    sized = written(labels.join(labels.groupBy("label").agg(F.count("*").alias("count")), "label").select(F.col("label").alias("component"), F.col("node").alias("set_key"), "count"), "components")
-    members = sized.join(sets.select("set_key", "size", "one.doc_id", "one.text_key"), "set_key")
-    tokens = written(_texts(docs, members.select("set_key", "doc_id", "text_key")), "tokens")
-    found = written(exact_links(members.select("component", "set_key", "size", "count").join(tokens, "set_key"), near), "links")
-    discard(labels, tokens)
+    members = written(labels.withColumnRenamed("node", "set_key").join(sets.select("set_key", "size", "n", "one.doc_id", "one.text_key"), "set_key"), "members")
+    totals = written(members.groupBy("label").agg(F.count("*").alias("count"), F.sum("n").alias("total")), "totals")
+    n_sets = members.count()
+    tokens = written(_texts(docs, members.select("set_key", "doc_id", "text_key"), n_sets <= MOST_SENT), "tokens")
+    inside = members.join(totals, "label").select(F.col("label").alias("component"), "set_key", "size", "count", "total").join(tokens, "set_key")
+    found = written(exact_links(inside, n_sets, near), "links")
+    discard(labels, tokens, members, totals)
     links = found.groupBy("set_key").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"))
     of = components(found.select("set_key", "root"), "set_key", "root")
     named = sets.join(of.select(F.col("node").alias("set_key"), "label"), "set_key", "left").join(links, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     first = named.groupBy("label").agg(F.min("one").alias("first"))
     n_links, n_texts = F.col("size") - 1 + F.coalesce("n_docs", F.lit(0)), F.coalesce("n_texts", F.lit(0))
-    full = written(named.join(first, "label").select("set_key", "first", F.col("one.doc_id").alias("copy_id"), n_links.alias("n_links"), n_texts.alias("n_texts")), "answers")
-    discard(sets, sized, found, of)
+    full = named.join(first, "label").select("set_key", "first", F.col("one.doc_id").alias("copy_id"), n_links.alias("n_links"), n_texts.alias("n_texts"))
+    full = written(full, "answers")
+    discard(sets, found, of)
     zero = F.lit(0).cast("long")
     kept = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_key").eqNullSafe(F.col("first.text_key")))
     return rows.select("doc_id", "text_key", "set_key").join(full, "set_key", "left").select(
-        "doc_id", "text_key", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_texts", zero).alias("n_texts"), kept.alias("kept")
+        "doc_id",
+        "text_key",
+        F.coalesce("first.doc_id", "doc_id").alias("class_id"),
+        F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        F.coalesce("n_links", zero).alias("n_links"),
+        F.coalesce("n_texts", zero).alias("n_texts"),
+        kept.alias("kept"),
     )
 
 
