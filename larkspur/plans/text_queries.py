@@ -68,7 +68,7 @@ QUERIES = {
 _PIECES = "unnest(generate_series(1, greatest(length(p), 1), 200))"
 
 EDGES = r"regexp_replace({}, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g')"
-#: The fold over paragraphs as recursion, and over the sentences of what is longer than a chunk may be (8192 tokens).
+#: The fold over paragraphs as recursion, and over the sentences, then the words of what is longer than a chunk may be (8192 tokens).
 CHUNKS_SQL = rf"""WITH RECURSIVE lines AS (SELECT doc_id, {EDGES.format("unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)))")} p, unnest(range(len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))))) i FROM documents WHERE text IS NOT NULL),
  parts AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) i FROM lines WHERE p <> ''),
  fold AS (SELECT doc_id, i, p b, NULL::VARCHAR done FROM parts WHERE i = 1
@@ -79,8 +79,13 @@ CHUNKS_SQL = rf"""WITH RECURSIVE lines AS (SELECT doc_id, {EDGES.format("unnest(
  told AS (SELECT doc_id, o, unnest(ss) s, generate_subscripts(ss, 1) i FROM long),
  packed AS (SELECT doc_id, o, i, s b, NULL::VARCHAR done FROM told WHERE i = 1
   UNION ALL SELECT f.doc_id, f.o, t.i, CASE WHEN octet_length(encode(b || ' ' || s)) >= 4 * 8193 THEN s ELSE b || ' ' || s END, CASE WHEN octet_length(encode(b || ' ' || s)) >= 4 * 8193 THEN b END FROM packed f JOIN told t ON t.doc_id = f.doc_id AND t.o = f.o AND t.i = f.i + 1),
- pieces AS (SELECT doc_id, o, 0 j, b FROM buffers WHERE octet_length(encode(b)) < 4 * 8193 UNION ALL SELECT doc_id, o, 2 * i, done FROM packed WHERE done IS NOT NULL UNION ALL SELECT doc_id, o, 2 * max(i) + 1, arg_max(b, i) FROM packed GROUP BY doc_id, o)
- SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o, j) - 1 AS chunk_index, b AS text FROM pieces"""
+ told_pieces AS (SELECT doc_id, o, 2 * i j, done b FROM packed WHERE done IS NOT NULL UNION ALL SELECT doc_id, o, 2 * max(i) + 1, arg_max(b, i) FROM packed GROUP BY doc_id, o),
+ words AS (SELECT doc_id, o, j, w, i, sum(octet_length(encode(w)) + 1) OVER (PARTITION BY doc_id, o, j ORDER BY i) c FROM (SELECT doc_id, o, j, unnest(ws) w, generate_subscripts(ws, 1) i FROM (SELECT doc_id, o, j, list_filter(regexp_split_to_array(b, '[\s\x0B\x{{85}}\p{{Z}}]+'), lambda x: x <> '') ws FROM told_pieces WHERE octet_length(encode(b)) >= 4 * 8193))),
+ reach AS (SELECT a.doc_id, a.o, a.j, a.i, max(z.i) hi FROM words a JOIN words z ON z.doc_id = a.doc_id AND z.o = a.o AND z.j = a.j AND z.i >= a.i AND (z.i = a.i OR z.c - 1 - (a.c - octet_length(encode(a.w)) - 1) < 4 * 8193) GROUP BY a.doc_id, a.o, a.j, a.i),
+ jumps AS (SELECT doc_id, o, j, i, hi FROM reach WHERE i = 1 UNION ALL SELECT r.doc_id, r.o, r.j, r.i, r.hi FROM jumps u JOIN reach r ON r.doc_id = u.doc_id AND r.o = u.o AND r.j = u.j AND r.i = u.hi + 1),
+ pieces AS (SELECT doc_id, o, 0 j, 0 k, b FROM buffers WHERE octet_length(encode(b)) < 4 * 8193 UNION ALL SELECT doc_id, o, j, 0, b FROM told_pieces WHERE octet_length(encode(b)) < 4 * 8193
+  UNION ALL SELECT u.doc_id, u.o, u.j, u.i, string_agg(w.w, ' ' ORDER BY w.i) FROM jumps u JOIN words w ON w.doc_id = u.doc_id AND w.o = u.o AND w.j = u.j AND w.i BETWEEN u.i AND u.hi GROUP BY u.doc_id, u.o, u.j, u.i)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o, j, k) - 1 AS chunk_index, b AS text FROM pieces"""
 
 SQL = {
     "chunk_documents": CHUNKS_SQL,
