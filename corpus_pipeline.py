@@ -23,10 +23,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that many sites share; n_chars follows the text.
 
-    What is mostly such lines stays whole only as a near duplicate of another such document, for the join to take.
+    What is mostly such lines stays whole only as a proven copy of another such document, for the join to take.
     """
-    done = line_dedup.dedup_lines(docs, proven=lambda heavy: near_join.near_classes(heavy).filter("n_links > 0"))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
