@@ -9,15 +9,16 @@ windows of the anchor share must stand at its distance, and what is left is veri
 Everything is column expressions and joins. Anchors are broadcast in blocks of at most ``MAX_ANCHORS``, each of at most
 25 words, so what a broadcast holds is bounded; a larger benchmark takes more passes over the documents.
 
-Defined cases: null and empty texts and items have no words; items without words match nothing; repeated rows are
-answered alike; an empty benchmark hits nothing.
+Defined cases: null and empty texts and items have no words; items without words match nothing; repeated rows get as many
+equal answers; texts and items of any length are read whole, a window never carries more than the 25 words around it; an
+empty benchmark hits nothing, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import words, written
@@ -44,22 +45,19 @@ def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     least (words that a match needs), gap and also (distance and text of another word that all its windows share).
     """
     listed = items.select("item_id", words(F.col("text")).alias("ws")).filter(F.size("ws") > 0).distinct().withColumn("item", F.xxhash64("item_id", F.concat_ws(" ", "ws")))
-    each = listed.select("item_id", "item", "ws", F.posexplode("ws").alias("at", "word"))
-    ranked = each.join(rarity(docs, each), "word").select("item_id", "item", "ws", F.struct("n", "word", "at").alias("rank"))
-    by_item = ranked.groupBy("item_id", "item").agg(F.first("ws").alias("ws"), F.array_sort(F.collect_list(F.struct(F.col("rank.at").alias("at"), F.col("rank").alias("rank")))).alias("ranks"))
-    starts = by_item.withColumn("least", F.least(F.lit(window), F.size("ws"))).select("item_id", "item", "ws", "ranks", "least", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("least"))).alias("start"))
-    rarest = starts.withColumn("at", F.array_min(F.transform(F.expr("slice(ranks, start + 1, least)"), lambda r: r["rank"]))["at"])
-    runs = rarest.groupBy("item_id", "item", "at").agg(F.first("ws").alias("ws"), F.first("ranks").alias("ranks"), F.first("least").alias("least"), F.min("start").alias("lo"), F.max("start").alias("hi"))
+    each = listed.select("item_id", "item", F.least(F.lit(window), F.size("ws")).alias("least"), F.size("ws").alias("size"), F.posexplode("ws").alias("at", "word"))
+    ranked = each.join(rarity(docs, each), "word").withColumn("rank", F.struct("n", "word", "at"))
+    # an item is its hash from here on: its id may be null
+    in_order = Window.partitionBy("item").orderBy("at")
+    ahead, around = in_order.rowsBetween(0, window - 1), in_order.rowsBetween(1 - window, window - 1)
+    near = ranked.select("item_id", "item", "least", "size", "at", F.min("rank").over(ahead)["at"].alias("rarest"), F.collect_list(F.struct("at", "rank")).over(around).alias("around"))
+    runs = near.filter(F.col("at") <= F.col("size") - F.col("least")).groupBy("item", "rarest").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    found = runs.withColumnRenamed("rarest", "at").join(near.select("item_id", "item", "least", "at", "around"), ["item", "at"])
+    part = F.transform(F.filter("around", lambda r: r["at"].between(F.col("lo"), F.col("hi") + F.col("least") - 1)), lambda r: r["rank"]["word"])
     # all its windows cover the words from hi to lo + least - 1
-    shared = F.filter(F.transform(F.expr("slice(ranks, hi + 1, lo + least - hi)"), lambda r: r["rank"]), lambda r: r["at"] != F.col("at"))
-    return runs.withColumn("second", F.array_min(shared)).select(
-        F.expr("ws[at]").alias("word"),
-        F.col("item_id").alias("item_id"),
-        (F.col("at") - F.col("lo")).alias("before"),
-        F.expr("slice(ws, lo + 1, hi - lo + least)").alias("part"),
-        "least",
-        (F.col("second.at") - F.col("at")).alias("gap"),
-        F.col("second.word").alias("also"),
+    shared = F.transform(F.filter("around", lambda r: r["at"].between(F.col("hi"), F.col("lo") + F.col("least") - 1) & (r["at"] != F.col("at"))), lambda r: r["rank"])
+    return found.select("item_id", "least", (F.col("at") - F.col("lo")).alias("before"), part.alias("part"), F.array_min(shared).alias("second"), "at").select(
+        F.expr("part[before]").alias("word"), "item_id", "before", "part", "least", (F.col("second.at") - F.col("at")).alias("gap"), F.col("second.word").alias("also")
     )
 
 
@@ -72,7 +70,7 @@ def _equal_run(ws: Column, at: Column) -> tuple[Column, Column]:
 
 
 def _matches(texts: DataFrame, block: DataFrame) -> DataFrame:
-    """key, n_words and, where an anchor's windows occur, lo and hi (positions of hit words) and item_id; a row without hit for each text."""
+    """key, n_words, lead and, where an anchor's windows occur, lo and hi (positions of hit words) and item_id; a lead row without hit for each text."""
     # "" is no word: it leads every text and has an anchor of its own, so that the join keeps one row of each text
     led = texts.select("doc_id", "__text", F.size("ws").alias("n_words"), "ws", F.posexplode(F.concat(F.array(F.lit("")), F.col("ws"))).alias("at1", "word"))
     first = block.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).alias("least"))
@@ -84,7 +82,7 @@ def _matches(texts: DataFrame, block: DataFrame) -> DataFrame:
     # no filter on what is verified: Spark would move it into the join, which then could not be compiled
     sized = near.withColumn("__run", F.when(F.col("at1") > 0, F.struct(left.alias("left"), right.alias("right"))))
     hit = F.col("__run.left") + F.col("__run.right") + 1 >= F.col("least")
-    return sized.select("doc_id", "__text", "n_words", F.when(hit, F.struct((at - F.col("__run.left")).alias("lo"), (at + F.col("__run.right")).alias("hi"))).alias("run"), F.when(hit, F.col("item_id")).alias("item_id"))
+    return sized.select("doc_id", "__text", "n_words", (F.col("at1") == 0).alias("lead"), F.when(hit, F.struct((at - F.col("__run.left")).alias("lo"), (at + F.col("__run.right")).alias("hi"))).alias("run"), F.when(hit, F.col("item_id")).alias("item_id"))
 
 
 def covered(runs: Column) -> Column:
@@ -99,18 +97,21 @@ def covered(runs: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_anchors: int = MAX_ANCHORS) -> DataFrame:
-    """doc_id, text_key, n_words, runs (array of lo, hi word positions), item_ids (sorted array), one row for each doc_id and text."""
+    """doc_id, text_key, n_words, runs (array of lo, hi word positions), item_ids (sorted array), one row for each of ``docs``."""
     marks = written(anchors(docs, items, window), "anchors")
     n = marks.count()
     blocks = max(1, -(-n // max_anchors))
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"), words(F.col("text")).alias("ws"))
     parts = [_matches(texts, marks if blocks == 1 else marks.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b)) for b in range(blocks)]
     found = reduce(DataFrame.unionByName, parts)
-    return found.groupBy("doc_id", F.col("__text").alias("text_key")).agg(
+    answers = found.groupBy("doc_id", F.col("__text").alias("text_key")).agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_set("run")).alias("runs"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"),
+        (F.sum(F.col("lead").cast("int")) / blocks).cast("int").alias("times"),
     )
+    # rows that repeat a doc_id and its text were answered together
+    return answers.withColumn("__each", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "__each")
 
 
 def verdicts(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -121,7 +122,7 @@ def verdicts(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFra
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = verdicts(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+    bad = verdicts(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__key"]), "left_anti")
 
 
