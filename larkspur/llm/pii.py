@@ -6,10 +6,11 @@ kinds count from a score of ``KEEP``: an IBAN whose mod-97 check holds gets ther
 has no checksum, only beside words that say so.
 
 Positions come from the lengths of what lies between matches, so each text is read once for each kind and no row leaves
-its task. The patterns are possessive, so a text of any length neither backtracks nor overflows the stack.
+its task. The patterns are possessive and none begins inside of a run that it has failed on, so a text of any length is read
+in time linear in it, without overflowing the stack.
 
-Defined cases: a null text is an empty one and has no spans; positions are code points, the end exclusive; repeated rows
-are answered alike.
+Defined cases: a null or empty text has no spans; positions are code points, the end exclusive; very long texts, and runs of
+a megabyte of digits in them, are read whole; repeated rows are answered alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ _IBAN = "|".join([*(f"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for
 #: In the order in which spans of one start are listed.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, r"mail|contact|write|kontakt|correo|courriel|schreib"),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|host|server|address|adresse|login"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|host|server|address|adresse|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.6, r"card|visa|master|amex|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"phone|\btel|call|mobil|fax|anruf|appel|llam"),
     Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", "", 0.6, r"iban|account|bank|konto|compte|cuenta", False),
@@ -163,3 +164,21 @@ def digest(found: DataFrame) -> DataFrame:
 
     counts = [count(k) for k in base]
     return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"))
+
+
+#: The base kinds' columns over small tables in DuckDB: spans from what lies between matches, validated by list functions.
+BASE_SQL = r"""
+WITH kinds(kind, rank) AS (VALUES ('email', 0), ('ip', 1), ('card', 2), ('phone', 3)),
+texts AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+found AS (SELECT doc_id, kind, rank, t, CASE kind WHEN 'email' THEN regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') WHEN 'ip' THEN regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') WHEN 'card' THEN regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') ELSE regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') END ms FROM texts, kinds),
+gaps AS (SELECT doc_id, kind, rank, ms, CASE kind WHEN 'email' THEN regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') WHEN 'ip' THEN regexp_split_to_array(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') WHEN 'card' THEN regexp_split_to_array(t, '[0-9]([\x20-]?[0-9])+') ELSE regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]') END gs FROM found WHERE len(ms) > 0),
+each AS (SELECT doc_id, kind, rank, unnest(ms) m, unnest(gs[1:len(ms)]) g, generate_subscripts(ms, 1) i FROM gaps),
+placed AS (SELECT doc_id, kind, rank, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) e FROM each),
+digits AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') d FROM placed),
+valid AS (SELECT doc_id, kind, rank, CAST(e - length(m) AS BIGINT) s, CAST(e AS BIGINT) e FROM digits WHERE CASE kind WHEN 'email' THEN true
+ WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0
+ WHEN 'card' THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda k: CASE WHEN k % 2 = 0 THEN CAST(d[length(d) - k] AS INTEGER) ELSE CAST(d[length(d) - k] AS INTEGER) * 2 // 10 + CAST(d[length(d) - k] AS INTEGER) * 2 % 10 END)) % 10 = 0
+ ELSE length(d) BETWEEN 10 AND 15 END)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 'email') n_email, count(*) FILTER (WHERE kind = 'ip') n_ip, count(*) FILTER (WHERE kind = 'card') n_card, count(*) FILTER (WHERE kind = 'phone') n_phone,
+ sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (WHERE kind IS NOT NULL), '')) base_sha256 FROM texts t LEFT JOIN valid v USING (doc_id) GROUP BY t.doc_id
+"""
