@@ -1,15 +1,16 @@
-"""Edit-aware token counts: a segment tree of part sizes for each document.
+"""Edit-aware token counts: a segment tree of pre-token sizes for each document.
 
-A document's leaves are its parts (``Encoder.leaves``: pre-tokens up to the next space), each with its characters and tokens.
-Leaves lie in blocks, and a segment tree over the blocks holds their sums. An edit replaces the characters from ``start``
-to ``end``: the tree is descended to the leaves that the edit touches, the leaf before joins them where the edit begins a
-leaf (what it puts there may continue that leaf's last pre-token), only that stretch is encoded again, its leaves take
-the old ones' place, and the sums above change. The leaf after needs no new encoding: it begins with a space and
-something else, which begins a pre-token whatever stands before.
+A document's leaves are its pre-tokens (of any script), each with its characters and tokens. Leaves lie in blocks, and a
+segment tree over the blocks holds their sums. An edit replaces the characters from ``start`` to ``end``: the tree is
+descended to the leaf that holds the last character before which nothing depends on the edit (``Encoder.context`` ahead of
+it), the new text is cut into pre-tokens from there until one ends where an old one behind the edit did, only that stretch
+is encoded again, its leaves take the old ones' place, and the sums on the paths above the blocks touched change. All sums
+are made anew only when the blocks touched have grown to several times their size.
 
 Defined cases: a null text is an empty one of 0 tokens; edits apply in the order given, each to the text that the ones
 before left; positions beyond the text's end are its end, an end before its start is its start; null replacements are
-empty; repeated rows are answered alike.
+empty; a pre-token of any length (a run without blanks) is one leaf; repeated rows are answered alike; an empty table gives
+no rows; doc_id is a whole number or a string of one.
 """
 
 from __future__ import annotations
@@ -34,27 +35,27 @@ class TokenTree:
 
     def __init__(self, text: str, encode: Encoder, leaves: tuple[np.ndarray, np.ndarray] | None = None):
         self.text, self.encode, self.encoded_chars = text, encode, 0
-        self.blocks = self._in_blocks(*(leaves or self._leaves(text)))
-        self._build()
+        if leaves is None:
+            leaves, self.encoded_chars = encode.leaves(text), len(text)
+        self._build(*leaves)
 
-    @staticmethod
-    def _in_blocks(chars: np.ndarray, tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [(chars[i : i + LEAVES], tokens[i : i + LEAVES]) for i in range(0, max(1, len(chars)), LEAVES)]
-
-    def _leaves(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        self.encoded_chars += len(text)
-        return self.encode.leaves(text)
-
-    def _build(self) -> None:
+    def _build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        cuts = range(0, max(1, len(chars)), LEAVES)
+        self.blocks = [(chars[i : i + LEAVES], tokens[i : i + LEAVES]) for i in cuts]
         self.size = 1 << max(0, (len(self.blocks) - 1).bit_length())
-        pad = [(0, 0)] * (self.size - len(self.blocks))
-        self.sums = [(0, 0)] * self.size + [(int(c.sum()), int(t.sum())) for c, t in self.blocks] + pad
-        for i in range(self.size - 1, 0, -1):
-            self._sum(i)
-
-    def _sum(self, i: int) -> None:
-        (a, b), (c, d) = self.sums[2 * i], self.sums[2 * i + 1]
-        self.sums[i] = (a + c, b + d)
+        if len(chars):
+            sums = list(zip(np.add.reduceat(chars, cuts).tolist(), np.add.reduceat(tokens, cuts).tolist(), strict=True))
+        else:
+            sums = [(0, 0)]
+        self.sums = [(0, 0)] * self.size + sums + [(0, 0)] * (self.size - len(self.blocks))
+        self._sum_above(set(range(self.size, 2 * self.size)))
+
+    def _sum_above(self, nodes: set[int]) -> None:
+        """Sums of all nodes on the paths from these to the root."""
+        while nodes := {i // 2 for i in nodes if i > 1}:
+            for i in nodes:
+                (a, b), (c, d) = self.sums[2 * i], self.sums[2 * i + 1]
+                self.sums[i] = (a + c, b + d)
 
     @property
     def n_tokens(self) -> int:
@@ -69,34 +70,51 @@ class TokenTree:
             if at >= before + self.sums[i][0]:
                 before += self.sums[i][0]
                 i += 1
-        block = i - self.size
+        block = min(i - self.size, len(self.blocks) - 1)
         ends = before + np.cumsum(self.blocks[block][0])
         k = int(np.searchsorted(ends, at, side="right"))
         return (block, k, int(ends[k - 1]) if k else before) if k < len(ends) else (block, 0, before)
 
+    def _scanned(self, text: str, low: int, block: int, leaf: int, changed: int, moved: int) -> tuple[list[int], list[int], int, int]:
+        """Sizes of the pre-tokens of the new ``text`` from ``low`` on, and the first block and leaf that stay behind them.
+
+        ``changed``: where what the edit put there ends; ``moved``: by how much what follows it has moved.
+        """
+        chars, tokens, at, old = [], [], low, low
+        for n, t in self.encode.scan(text, low) if low < len(text) else ():
+            chars.append(n)
+            tokens.append(t)
+            at += n
+            while at >= changed and old < at - moved:
+                while leaf >= len(self.blocks[block][0]):
+                    block, leaf = block + 1, 0
+                old += int(self.blocks[block][0][leaf])
+                leaf += 1
+            if at >= changed and old == at - moved:
+                break
+        else:  # nothing of the old text stays
+            block, leaf = len(self.blocks) - 1, len(self.blocks[-1][0])
+        self.encoded_chars += at - low
+        return chars, tokens, block, leaf
+
     def edit(self, start: int, end: int, text: str | None) -> None:
         """Put ``text`` in the place of the characters from ``start`` up to ``end``."""
         start = min(max(start, 0), len(self.text))
         end, text = min(max(end, start), len(self.text)), text or ""
-        block, leaf, low = self._find(start)
-        if low == start and start:
-            block, leaf, low = self._find(start - 1)
-        last_block, last_leaf, high = self._find(max(start, end - 1))
-        high += int(self.blocks[last_block][0][last_leaf]) if len(self.blocks[last_block][0]) else 0
-        new = self._leaves(self.text[low:start] + text + self.text[end:high])
-        self.text = self.text[:start] + text + self.text[end:]
-        was = self.blocks[block], self.blocks[last_block]
-        merged = tuple(np.concatenate([was[0][k][:leaf], new[k], was[1][k][last_leaf + 1 :]]) for k in (0, 1))
-        if last_block == block and len(merged[0]) <= 4 * LEAVES:
-            self.blocks[block] = merged
-            i = self.size + block
-            self.sums[i] = (int(merged[0].sum()), int(merged[1].sum()))
-            while i > 1:
-                i //= 2
-                self._sum(i)
-        else:  # blocks went or one grew too long: the others stay as they are
-            self.blocks[block : last_block + 1] = self._in_blocks(*merged)
-            self._build()
+        new = self.text[:start] + text + self.text[end:]
+        first, leaf, low = self._find(max(0, start - self.encode.context)) if start else (0, 0, 0)
+        chars, tokens, last, rest = self._scanned(new, low, first, leaf, start + len(text), len(new) - len(self.text))
+        self.text = new
+        merged = [np.concatenate([self.blocks[first][k][:leaf], np.array(x, dtype=np.int64), self.blocks[last][k][rest:]]) for k, x in ((0, chars), (1, tokens))]
+        touched = range(first, last + 1)
+        if len(merged[0]) > 4 * LEAVES * len(touched):
+            self._build(*(np.concatenate([*(b[k] for b in self.blocks[:first]), merged[k], *(b[k] for b in self.blocks[last + 1 :])]) for k in (0, 1)))
+            return
+        parts = zip(*(np.array_split(m, len(touched)) for m in merged), strict=True)
+        for i, (c, t) in zip(touched, parts, strict=True):
+            self.blocks[i] = c, t
+            self.sums[self.size + i] = int(c.sum()), int(t.sum())
+        self._sum_above({self.size + i for i in touched})
 
     def to_bytes(self) -> bytes:
         leaves = [np.concatenate([b[k] for b in self.blocks]) for k in (0, 1)]

@@ -4,8 +4,9 @@ Texts are encoded by tiktoken where the same vocabulary lies beside the tokenize
 several times as fast. Its time grows with the square of an unbroken run, so texts with long runs are left to the
 tokenizer itself.
 
-A space that something other than white space follows always begins a pre-token, whatever stands before it, so a text can
-be cut there and its parts encoded one by one. ``leaves`` cuts it there from its ids alone.
+A text is cut into pre-tokens by the published pattern, from left to right, and each is encoded by itself. Where one begins
+decides all that follows, and what stands a few characters further on doesn't matter to it, so a text can be scanned anew
+from any pre-token on.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ import numpy as np
 #: Characters of a text that needn't be looked through, and of a run that is long.
 LONG_TEXT = 4096
 LONG_RUN = 500
+#: Pre-tokens whose sizes a process keeps, and their characters at most.
+KEPT = 500_000
+KEPT_LENGTH = 64
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,20 +35,23 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts by one vocabulary file; strings of special tokens in a text are ordinary text."""
+    """Ids of texts by one vocabulary file, as its tokenizer gives them; a special token's string in a text is that token."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.by_ranks = _ranks(path)
-        self._chars: np.ndarray | None = None
-        self._leads: np.ndarray | None = None
+        self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.parts = pretokens(public_tokenizers.PATTERN, self.special)
+        #: Characters before an edit that may decide how what stands before them is cut.
+        self.context = max([3, *(len(t) + 2 for t in self.special)])
+        self.sizes = _Sizes(self)
 
     def encode(self, text: str) -> list[int]:
-        if self.by_ranks and not _long_runs(text):
+        if self.by_ranks and not _long_runs(text) and not any(t in text for t in self.special):
             return self.by_ranks.encode_ordinary(text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -53,33 +60,48 @@ class Encoder:
         for text in texts:
             yield array("I", self.encode(text)).tobytes() if text else b""
 
-    def _learn_tokens(self) -> None:
-        """For each id the characters that begin in it, and whether it begins with a space and a visible ASCII sign."""
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._chars, self._leads = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool)
-        of = _bytes_of_signs()
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            data = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
-            self._chars[i] = sum(b & 0xC0 != 0x80 for b in data)
-            self._leads[i] = len(data) > 1 and data[0] == 0x20 and 0x20 < data[1] < 0x7F
+    def scan(self, text: str, start: int = 0) -> Iterator[tuple[int, int]]:
+        """(characters, tokens) of the pre-tokens from ``start`` on, which is where one begins."""
+        for m in self.parts.finditer(text, start):
+            part = m[0]
+            yield len(part), self.sizes[part]
 
     def leaves(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(characters, tokens) of the parts that a text is cut into before a space that a visible ASCII sign follows."""
-        if not text:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        if self._chars is None:
-            self._learn_tokens()
-        ids = np.array(self.encode(text), dtype=np.int64)
-        starts = np.flatnonzero(self._leads[ids])
-        starts = starts if len(starts) and starts[0] == 0 else np.concatenate([[0], starts])
-        return np.add.reduceat(self._chars[ids], starts), np.diff(np.append(starts, len(ids)))
-
-
-def _bytes_of_signs() -> dict[str, int]:
-    """Which byte each sign of a byte-level vocabulary stands for: visible ones for themselves, the rest from U+0100 on."""
-    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
-    hidden = [b for b in range(256) if b not in visible]
-    return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(hidden)}
+        """(characters, tokens) of a text's pre-tokens."""
+        parts = self.parts.findall(text)
+        n = len(parts)
+        return np.fromiter(map(len, parts), dtype=np.int64, count=n), np.fromiter(map(self.sizes.__getitem__, parts), dtype=np.int64, count=n)
+
+
+class _Sizes(dict):
+    """How many tokens a pre-token has; short ones are kept."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> int:
+        n = len(self.encoder.encode(part))
+        if len(part) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.clear()
+            self[part] = n
+        return n
+
+
+def pretokens(pattern: str, special: list[str]):
+    """The published pattern of pre-tokens, with Unicode's white space, less and besides the strings of special tokens."""
+    import regex
+
+    pattern = pattern.replace("\\S", "\\P{White_Space}").replace("\\s", "\\p{White_Space}")
+    if special:
+        one = "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))
+        # a special token ends what stands before it, as the end of the text would
+        parts = [f"(?:(?!{one}){p.removeprefix(' ?').removesuffix('+')})+" if p.removeprefix(" ?").startswith("[^") else p for p in pattern.split("|")]
+        parts = [f" ?{new}" if old.startswith(" ?") and old != new else new for old, new in zip(pattern.split("|"), parts, strict=True)]
+        parts = [p.replace("(?!\\P{White_Space})", f"(?!(?!{one})\\P{{White_Space}})") for p in parts]
+        pattern = "|".join([one, *parts])
+    return regex.compile(pattern)
 
 
 def _long_runs(text: str) -> bool:
