@@ -6,7 +6,8 @@ many distinct shingles there are. All of it is column expressions.
 
 Defined cases: a null text is an empty one; a text without words has the empty sketch; two empty sketches have
 resemblance 1, an empty and another one 0; a text of one to four words is a single shingle. With at most ``k`` distinct
-shingles a sketch holds them all and every estimate is exact.
+shingles a sketch holds them all and every estimate is exact. Texts of any length are read whole; a doc_id is a whole number
+or a string of one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +33,17 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def merge_all(sketches: Column, k: int = K) -> Column:
-    """Aggregate: the sketch of a group's union, from an exploded hash column's distinct values or from arrays."""
-    return F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(sketches)))), 1, k)
+def merge_groups(parts: DataFrame, by: list[str], column: str = "sketch", k: int = K) -> DataFrame:
+    """``by`` and ``column``: the sketch of the union of each group's parts, however many there are.
+
+    Hashes are dealt out one by one and made distinct; of each group a task passes on its ``k`` smallest at most.
+    """
+    each = parts.select(*by, F.explode(column).alias("__h")).distinct()
+    smallest = each.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("__h"))).filter(F.col("__n") <= k)
+    merged = smallest.groupBy(*by).agg(F.sort_array(F.collect_list("__h")).alias(column))
+    groups = parts.select(*by).distinct()
+    same = [groups[c].eqNullSafe(merged[c]) for c in by]
+    return groups.join(merged, same, "left").select(*[groups[c] for c in by], F.coalesce(merged[column], F.array().cast("array<bigint>")).alias(column))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -120,3 +129,10 @@ def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
         distinct_shingles(a, k).alias("n_shingles"),
         containment(a, b, k).alias("edited_containment"),
     )
+
+
+#: What needs no sketch, over small tables in DuckDB.
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) f FROM documents)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(f, 1, n // 2)) AS edited_sha256 FROM d
+"""

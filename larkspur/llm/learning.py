@@ -17,7 +17,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_each: in
     """Texts and labels (0 or 1) of at most ``max_each`` rows of each label value, the same ones every time.
 
     Rows that are held out (crc32 of doc_id mod 4 is 2), without label or text, or of more than ``max_chars`` characters
-    aren't learned from. Which rows: those of the smallest hash of doc_id.
+    aren't learned from. Which rows: those of the smallest hash of doc_id; of rows that repeat a doc_id the smallest text.
     """
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("__y")).dropDuplicates(["doc_id"])
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
@@ -26,6 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_each: in
     cut = F.coalesce(*[F.when(F.col("__y") == y, F.lit(1.2 * max_each / n + 100 / n)) for y, n in counts.items()], F.lit(0.0))
     chosen = known.withColumn("__h", part).filter(F.col("__h") <= cut)
     texts = docs.filter(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # rows that repeat a doc_id are one, so that what reaches the driver is bounded
+    texts = texts.groupBy("doc_id", "__y", "__h").agg(F.min("text").alias("text"))
     rows = sorted(texts.collect(), key=lambda r: (r["__h"], r["doc_id"], r["text"]))
     rows = [r for y in (0, 1) for r in [x for x in rows if x["__y"] == y][:max_each]]
     rows.sort(key=lambda r: (r["__h"], r["doc_id"], r["text"]))

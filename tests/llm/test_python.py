@@ -3,12 +3,16 @@
 import itertools
 import random
 import sys
+import types
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 from conftest import SMALL
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, learning, near_join, packing, quality, queries, token_counts, toxicity
@@ -59,6 +63,34 @@ def test_trees_after_edits():
             assert tree.text == text and tree.n_tokens == len(plain_ids(text)) and tree.sums[1][0] == len(text)
 
 
+@pytest.mark.parametrize("sentence", ["Быстрая лиса прыгает через ленивую собаку. ", "Η γρήγορη αλεπού πηδά πάνω από το σκυλί. ", "敏捷的棕色狐狸跳过懒狗，然后回家。", "ähnliche Öfen über Äcker und Übel öde ", "a1b2 'tis we're 12,5 <|endoftext|> x", "  \n \t x "])
+def test_edits_touch_little_in_any_script(sentence):
+    e = encoder(vocabulary_path())
+    tree = token_counts.TokenTree(sentence * 800, e)
+    blocks, sums = list(tree.blocks), list(tree.sums)
+    for at in (0, 1, 7_003, len(tree.text) // 2, len(tree.text) - 1):
+        tree.encoded_chars = 0
+        tree.edit(at, at + 1, "ж")
+        assert tree.encoded_chars < 100 and tree.n_tokens == len(plain_ids(tree.text)) and tree.sums[1][0] == len(tree.text)
+    # only paths have changed
+    assert sum(a is not b for a, b in zip(blocks, tree.blocks, strict=True)) <= 10
+    assert sum(a != b for a, b in zip(sums, tree.sums, strict=True)) <= 10 * len(tree.sums).bit_length()
+
+
+def test_large_edits_rebuild_and_empty_blocks():
+    e, rnd = encoder(vocabulary_path()), random.Random(15)
+    tree = token_counts.TokenTree("some plain words in a row " * 500, e)
+    for a, b, new in ((100, 9_000, ""), (50, 60, "new words " * 4_000), (0, 10**9, ""), (0, 0, "again <|endof"), (13, 13, "text|> x"), (3, 9_000, None)):
+        text = tree.text[:a] + (new or "") + tree.text[b:]
+        tree.edit(a, b, new)
+        assert tree.text == text and tree.n_tokens == len(plain_ids(text))
+    tree = token_counts.TokenTree("", e)
+    for _ in range(400):
+        a = rnd.randint(0, len(tree.text))
+        tree.edit(a, a + rnd.choice([0, 0, 1, 30]), random_text(rnd, 12))
+    assert tree.n_tokens == len(plain_ids(tree.text))
+
+
 def test_edits_touch_little():
     e = encoder(vocabulary_path())
     tree = token_counts.TokenTree("some plain words in a row " * 4000, e)
@@ -131,8 +163,9 @@ def test_packing_round_trip(spark):
 
 def test_packing_blocks_and_odd(spark):
     odd = [(n, t) for n, (_, t) in enumerate(TEXTS)]
-    rows = packing.pack(spark.createDataFrame(odd, "doc_id long, text string"), block=3000).collect()
-    check_pieces(rows, odd)
+    rows = packing.pack(spark.createDataFrame(odd, "doc_id long, text string").coalesce(1), block=3000).collect()
+    sizes = check_pieces(rows, odd)
+    assert sorted(n for n in sizes if n < packing.LENGTH) == [1 << k for k in range(11) if sum(sizes) >> k & 1]
     assert len(packing.pack(odd_documents(spark)).select("doc_id").collect()) >= len(TEXTS)
     assert count(packing.pack(no_documents(spark))) == 0
 
@@ -269,6 +302,81 @@ def test_toxicity_odd(spark):
     assert net.scores(["the of and in is", "le la les des", "der die und", ""])[1].tolist() == [0, 1, 2, 4]
 
 
+# the classifiers' whole queries
+
+
+def sample_by_hand(label, most, longest=learning.MAX_CHARS):
+    """(texts, labels) that a model may learn from, by plain loops over the tables."""
+    text = {r.doc_id: r.text for r in small_rows("documents")}
+    rows = []
+    for r in small_rows("labels"):
+        if r[label] in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and text.get(r.doc_id) is not None and len(text[r.doc_id]) <= longest:
+            place = xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little", signed=True), seed=42) % (1 << 40)
+            rows.append((place, r.doc_id, text[r.doc_id], r[label]))
+    rows.sort()
+    rows = sorted(x for y in (0, 1) for x in [r for r in rows if r[3] == y][:most])
+    return [r[2] for r in rows], np.array([r[3] for r in rows], dtype=float)
+
+
+def small_rows(name):
+    return [types.SimpleNamespace(**r) if name == "documents" else Row(**r) for r in pq.read_table(f"{SMALL}/{name}.parquet").to_pylist()]
+
+
+def check_digest(rows, want, flag):
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(want) and set(got) == set(want)
+    for i, score in want.items():
+        assert got[i].score == pytest.approx(score, abs=1e-5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i].predicted == (got[i].score >= flag)
+
+
+def moved(score, cut, to):
+    return score / cut * to if score < cut else to + (score - cut) / (1 - cut) * (1 - to)
+
+
+def test_op2_like_brute_force(spark):
+    field = quality.fit(*sample_by_hand("quality", quality.MAX_EACH))
+    assert field.weights.any()
+    want = {}
+    for d in small_rows("documents"):
+        x, sizes = quality.line_features(d.text or "")
+        unary = [sum(w * v for w, v in zip(field.weights, row, strict=True)) for row in quality.with_neighbours(x)]
+        n, pair = len(unary), np.exp(field.pair)
+        forward, backward = [[1.0, np.exp(unary[0])]], [[1.0, 1.0]]
+        for u in unary[1:]:  # scaled at every line, which changes no share
+            step = [sum(forward[-1][a] * pair[a][b] for a in (0, 1)) * (np.exp(u) if b else 1.0) for b in (0, 1)]
+            forward.append([v / sum(step) for v in step])
+        for u in unary[:0:-1]:
+            step = [sum(pair[a][b] * (np.exp(u) if b else 1.0) * backward[-1][b] for b in (0, 1)) for a in (0, 1)]
+            backward.append([v / sum(step) for v in step])
+        good = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward[::-1], strict=True)]
+        mean = sum(p * (m + 1) for p, m in zip(good, sizes.tolist(), strict=True)) / sum(m + 1 for m in sizes.tolist())
+        assert len(good) == n
+        want[d.doc_id] = min(1.0, max(0.0, moved(mean, field.cut, quality.KEEP)))
+    check_digest(queries.op2_quality(spark, SMALL).collect(), want, quality.KEEP)
+
+
+def test_op8_like_brute_force(spark):
+    net = toxicity.fit(*sample_by_hand("toxic", learning.MAX_EACH))
+    want = {}
+    for d in small_rows("documents")[::4]:
+        words = toxicity.split_words(d.text or "")
+        vectors = [sum(net.table[b].astype(float) for b in toxicity.buckets(w)) for w in words]
+        total, column = float(net.out[-1]), 0
+        for w, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                at = w * toxicity.FILTERS + f
+                answers = [sum(vectors[i + k] @ net.filters[:, column + k * toxicity.FILTERS + f] for k in range(width)) + net.bias[at] for i in range(len(words) - width + 1)]
+                total += max([0.0, *answers]) * net.out[at]
+            column += width * toxicity.FILTERS
+        votes = [sum(w in own for w in words) for own in toxicity.FUNCTION_WORDS.values()]
+        language = votes.index(max(votes)) if any(votes) else len(votes)
+        want[d.doc_id] = moved(1 / (1 + np.exp(-min(30.0, max(-30.0, total)))), net.cuts[language], toxicity.FLAG)
+    rows = queries.op8_toxicity(spark, SMALL).collect()
+    assert len(rows) == len(small_rows("documents"))
+    check_digest([r for r in rows if r.doc_id in want], want, toxicity.FLAG)
+
+
 # near duplicates
 
 
@@ -336,15 +444,44 @@ def test_pairs_in_a_template_crowd_meet(spark, monkeypatch):
     assert all(0.8 <= jaccard(shingles_of(a), shingles_of(b)) < 0.81 for a, b in zip(values[::2], values[1::2], strict=True))
     rows = near_join.described(texts(spark, values)).cache()
     name = {bytes(r.set_key): r.doc_id for r in rows.collect()}
-    buckets, _ = near_join.leaves(rows.select("set_key", "n", "picks"))
+    buckets, crowds, _ = near_join.leaves(rows.select("set_key", "picks", "bits"))
     met = {}
     for r in buckets.collect():
         met.setdefault(name[bytes(r.set_key)], set()).add(r.path)
+    for r in crowds.collect():
+        met.setdefault(name[bytes(r.a)], set()).add(bytes(r.b))
     apart = [i for i in range(0, 600, 2) if not met.get(i, set()) & met.get(i + 1, set())]
     assert len(apart) <= 1, len(apart)
     assert near_join.missed() ** near_join.RUNS <= 1 - near_join.RECALL
 
 
+def test_crowds_are_found_by_their_bits(spark):
+    rnd = random.Random(13)
+    word = lambda: f"w{rnd.randint(0, 10**9)}"
+    for own, like in ((3, True), (110, False), (200, False)):
+        template = [word() for _ in range(200 - own)]
+        rows = near_join.described(texts(spark, [" ".join([*template, *(word() for _ in range(own))]) for _ in range(100)]))
+        found = rows.agg(near_join.average_similarity(F.count("*"), F.col("bits")).alias("s")).first().s
+        assert (found >= near_join.DENSE) == like and abs(found - (200 - own) / (200 + own)) < 0.2
+
+
+def test_blocks_are_bounded_in_tokens_too(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "BLOCK_TOKENS", 200)
+    rnd = random.Random(14)
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(120)]
+    values = [" ".join([*base, f"x{i}"]) for i in range(30)]
+    inside = near_join.described(texts(spark, values)).selectExpr("set_key", "cast(1 as long) as size", "picks as tokens", "count(*) over () as count", "sum(n) over () as total")
+    blocks = near_join._in_blocks(inside.withColumn("c", F.lit(1)).withColumn("__n", F.ceil(F.col("total") / near_join.BLOCK_TOKENS).cast("int")), "c", ["size", "tokens"]).collect()
+    assert max(len(b.rows) for b in blocks) <= 8 and {(b.one, b.two) for b in blocks} >= {(0, 1)}
+    got = {r.doc_id: r for r in near_join.near_classes(texts(spark, values)).collect()}
+    assert [(got[i].n_links, got[i].class_id) for i in range(30)] == classes_by_brute_force(values)
+
+
+def test_near_refuses_what_it_has_no_candidates_for(spark):
+    with pytest.raises(ValueError, match="0.8"):
+        near_join.near_classes(texts(spark, ["a"]), 0.5)
+
+
 def test_near_odd(spark):
     got = near_join.near_classes(odd_documents(spark)).collect()
     assert len(got) == len(TEXTS)
