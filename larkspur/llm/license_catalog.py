@@ -218,8 +218,8 @@ FORMS = (
     ("this [a-z0-9]+ is made available under the open database", "this holder is made available under the open database"),
     ("\\b(?:(?:licensed|released|distributed|available|published|provided|shared|offered) under|(?:licensed|covered|governed) by) (?:an? |the )?(?:terms (?:and conditions )?of )?(?:an? |the )?", "licensed under "),
 )
-#: One of these stands in every text that has a known sentence.
-ANCHORS = "licen[sc]|permission|copyright|warrant|distribut|advertising|permitted|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|without[^a-z0-9]+restriction|(?:released|distributed|available|published|provided|shared|offered)[^a-z0-9]+under[^a-z0-9]|(?:covered|governed)[^a-z0-9]+by[^a-z0-9]|free[^a-z0-9]+software|cc0|misrepresented|liable|confidential|prohibited|reproduced|you[^a-z0-9]+want|spdx|documentation|derived|commercial[^a-z0-9]+use|exclusive|contributor|exercising"
+#: One of these begins a word in every text that has a known sentence.
+ANCHORS = "(?<![a-z0-9])(?:licen[sc]|permission|copyright|warrant|distribut|advertising|permitted|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|without[^a-z0-9]+restriction|(?:released|distributed|available|published|provided|shared|offered)[^a-z0-9]+under[^a-z0-9]|(?:covered|governed)[^a-z0-9]+by[^a-z0-9]|free[^a-z0-9]+software|cc0|misrepresented|liable|confidential|prohibited|reproduced|you[^a-z0-9]+want|spdx|documentation|derived|commercial[^a-z0-9]+use|exclusive|contributor|exercising)"
 
 
 def _notices() -> dict[str, tuple[str, str]]:
