@@ -14,6 +14,7 @@ from larkspur.functions.text import index_paragraphs, index_sentences
 from larkspur.functions.vectors import cosine
 from larkspur.operators.bounded import in_blocks, sent
 from larkspur.operators.fusion import first_of_text
+from larkspur.sources.shared import written
 
 SUMMARY, PARAGRAPH, SENTENCE = 0, 1, 2
 MAX_SUMMARY = 500
@@ -81,8 +82,9 @@ def hierarchical_search(nodes: DataFrame, queries: DataFrame, k: int = 5) -> Dat
     """query_id, id, document_id, layer, text, score, rank: the best sentences below the best paragraphs below the best
     summaries, filled up with paragraphs at a discount; one row for each document and text.
     """
-    tops = _best(nodes_of(nodes, layer=SUMMARY), queries, k)
-    middles = _best(nodes_of(nodes, layer=PARAGRAPH), queries, 2 * k, tops)
+    # a few rows a query: tables, since they are counted and read more than once
+    tops = written(_best(nodes_of(nodes, layer=SUMMARY), queries, k), "tops")
+    middles = written(_best(nodes_of(nodes, layer=PARAGRAPH), queries, 2 * k, tops), "middles")
     lows = _best(nodes_of(nodes, layer=SENTENCE), queries, k, middles)
     short = queries.select("query_id").join(lows.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("query_id")
     fill = middles.join(short, "query_id", "left_semi").withColumn("score", F.round(F.col("score") * FILL, 9))
