@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, fingerprint, licenses, line_dedup, near_join, packing, pii, quality, token_counts, toxicity
+from larkspur.llm import decontaminate, fill_middle, fingerprint, licenses, line_dedup, near_join, packing, pii, quality, repeats, token_counts, toxicity
 from larkspur.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,10 +54,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def queries() -> dict[str, Query]:
     found = [f for name, f in globals().items() if name.startswith("op")]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op4_near_join": near_join.SQL, "op7_license_scan": licenses.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op4_near_join": near_join.SQL, "op7_license_scan": licenses.SQL, "op9_decontaminate": decontaminate.SQL, "op11_fill_middle": fill_middle.SQL}
