@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, fill_middle, fingerprint, licenses, line_dedup, near_join, packing, pii, quality, repeats, token_counts, toxicity
+from larkspur.llm import collocations, decontaminate, fill_middle, fingerprint, licenses, line_dedup, near_join, packing, pii, quality, repeats, token_counts, toxicity
 from larkspur.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
@@ -68,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op4_near_join": near_join.SQL, "op7_license_scan": licenses.SQL, "op9_decontaminate": decontaminate.SQL, "op11_fill_middle": fill_middle.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op4_near_join": near_join.SQL, "op7_license_scan": licenses.SQL, "op9_decontaminate": decontaminate.SQL, "op11_fill_middle": fill_middle.SQL, "op12_collocations": collocations.sql()}

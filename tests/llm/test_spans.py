@@ -6,9 +6,9 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import SMALL
+from conftest import SMALL, same_rows
 
-from larkspur.llm import fill_middle, queries, repeats
+from larkspur.llm import collocations, fill_middle, queries, repeats
 
 from .odd import TEXTS, count, no_documents, odd_documents, small, texts
 
@@ -143,3 +143,62 @@ def test_a_passage_in_most_documents(spark):
     values = [f"{'head ' * rnd.randint(0, 9)}{i:05d}{passage}{i * 7:06d} tail" for i in range(400)]
     got = repeats.remove_repeats(texts(spark, values), digest=True).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in got] == brute_digest(values, 400)
+
+
+# collocations
+
+
+def brute_phrases(rows, min_count, max_words, top, share=100):
+    """The result's rows, by counting all runs."""
+    runs, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", low):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(ws)
+            runs.update((lang, tuple(ws[i : i + k])) for k in range(1, max_words + 1) for i in range(len(ws) - k + 1))
+    out = {}
+    for (lang, p), a in runs.items():
+        if len(p) < 2 or a < min_count:
+            continue
+        if any(100 * f >= share * a for (g, q), f in runs.items() if g == lang and f >= min_count and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))):
+            continue
+        score, k = min((1000 * a * n[lang] // (runs[lang, p[:k]] * runs[lang, p[k:]]), k) for k in range(1, len(p)))
+        out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), a, runs[lang, p[:k]], runs[lang, p[k:]], n[lang], score))
+    return sorted((lang, i + 1, x[2].decode(), *x[3:]) for lang, found in out.items() for i, x in enumerate(sorted(found)[:top]))
+
+
+def babble(seed, n=150):
+    rnd = random.Random(seed)
+    parts = ["a", "b", "the", "The", "é", "中", "cat sat", "x\ty", " ", "  ", ".", ",", "\n", "\x0b", "!", "one two three four five six", "\x1c", "a.b", "中文"]
+    return [(rnd.choice(["en", "en", "de", None]), rnd.choice([None, ""]) if rnd.random() < 0.05 else " ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("min_count", "max_words", "share", "slots", "keys"), [(3, 5, 100, 1 << 17, 1 << 20), (2, 4, 60, 64, 300), (300, 3, 100, 1 << 12, 100), (1, 2, 100, 1 << 17, 500)])
+def test_collocations_like_brute_force(spark, min_count, max_words, share, slots, keys):
+    rows = babble(min_count, 600 if min_count == 300 else 150)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    got = collocations.mine(docs, min_count, max_words, 40, share, slots, keys)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows, min_count, max_words, 40, share)
+
+
+def test_collocations_like_sql(spark, duck):
+    same_rows(collocations.mine(small(spark), min_count=20), duck.sql(collocations.sql(20)))
+    same_rows(queries.op12_collocations(spark, SMALL), duck.sql(collocations.sql()))
+
+
+def test_collocations_of_odd_rows(spark):
+    rows = [(r.lang, r.text) for r in odd_documents(spark).collect()]
+    got = collocations.mine(odd_documents(spark), min_count=2, slots=1 << 12)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows, 2, 5, 2000)
+    assert collocations.mine(no_documents(spark)).collect() == []
+    with pytest.raises(ValueError, match="two words"):
+        collocations.mine(odd_documents(spark), max_words=1)
+
+
+def test_scores_beyond_64_bits(spark):
+    n, a, left, right = 4 * 10**17, 10**17, 3 * 10**17, 2 * 10**17 + 1
+    counts = spark.createDataFrame([("en", "", n), ("en", "a", left), ("en", "b", right), ("en", "a b", a)], "lang string, phrase string, n long")
+    r = collocations.scored(counts).collect()[0]
+    assert r.score == 1000 * a * n // (left * right) and (r.l, r.r) == (left, right)
