@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import tokenize
+from larkspur.functions.text import term_counts, tokenize
 from larkspur.operators.bounded import sent
 from larkspur.sources.shared import written
 
@@ -19,9 +19,11 @@ B = 0.75
 
 
 def term_frequencies(chunks: DataFrame, id_column: str = "id") -> DataFrame:
-    """id, term, tf, dl (the chunk's tokens)."""
-    listed = chunks.select(F.col(id_column).alias("id"), tokenize(F.col("text")).alias("__ts")).select("id", F.size("__ts").alias("dl"), F.explode("__ts").alias("term"))
-    return listed.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").cast("long").alias("dl"))
+    """id, term, tf, dl (the chunk's tokens); a chunk's terms are counted within its row, so nothing is shuffled."""
+    counted = chunks.select(F.col(id_column).alias("id"), term_counts(F.col("text")).alias("__t"))
+    length = F.aggregate("__t", F.lit(0), lambda s, x: s + x["tf"]).cast("long")
+    each = counted.select("id", length.alias("dl"), F.inline("__t"))
+    return each.select("id", "term", F.col("tf").cast("long").alias("tf"), "dl")
 
 
 def document_frequencies(frequencies: DataFrame) -> DataFrame:

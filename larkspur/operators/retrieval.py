@@ -12,7 +12,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import tokenize
 from larkspur.operators import bm25, corrective, fusion, listing, rewrite, vector_search
+from larkspur.operators.inverted import KeywordIndex
 
 RERANK_WIDER = 3
 
@@ -43,21 +45,26 @@ def keyword_search(chunks: DataFrame, query: str, k: int = 5, mode: str = "any_t
     return bm25.bm25_search(found, queries, k)
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = 0.5) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = 0.5, index: KeywordIndex | None = None) -> DataFrame:
     """Reciprocal rank fusion of vector and BM25 search over the chunks (id, text, embedding) that have a vector.
 
-    ``queries``: query_id, query, query_vec. The threshold is the vector list's; query_id, id, score, rank.
+    ``queries``: query_id, query, query_vec. The threshold is the vector list's; query_id, id, score, rank. ``index``: of
+    just these chunks, whose texts aren't read then.
     """
-    own = listing.embedded(chunks)
+    own, words = listing.embedded(chunks), queries.select("query_id", "query")
     by_vector = vector_search.vector_search(own, queries, wide(k), threshold)
-    by_words = bm25.bm25_search(own, queries.select("query_id", "query"), wide(k))
+    by_words = bm25.bm25_search(own, words, wide(k)) if index is None else index.search(words, wide(k))
     return fusion.reciprocal_rank_fusion(by_vector, by_words, k=k)
 
 
-def multi_query_bm25(chunks: DataFrame, variants: DataFrame, k: int = 5) -> DataFrame:
-    """``variants``: query_id, variant, query. All in one search; a chunk's best raw score over a query's variants counts."""
+def multi_query_bm25(chunks: DataFrame | KeywordIndex, variants: DataFrame, k: int = 5) -> DataFrame:
+    """``variants``: query_id, variant, query. All in one search; a chunk's best raw score over a query's variants counts.
+
+    A chunk among a query's ``k`` best is among those of the variant that it scores best by, so an index gives only these.
+    """
     named = variants.select(F.struct("query_id", "variant").alias("query_id"), "query")
-    scores = bm25.bm25_scores(chunks, named).select("query_id.query_id", "id", "score")
+    found = chunks.search(named, k) if isinstance(chunks, KeywordIndex) else bm25.bm25_scores(chunks, named)
+    scores = found.select("query_id.query_id", "id", "score")
     return bm25.ranked(scores.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
 
@@ -102,6 +109,7 @@ class Retriever:
     ``embed``: texts to vectors; ``rewriter``: (query, most) to queries; ``reranker``: (query, rows) to rows;
     ``evaluator``: (query, rows) to a label; ``web_search``: (query, k) to rows. Rows are dictionaries of id, document_id,
     text and score. A step that fails leaves what it was given, as does an embedding that fails: keywords alone then.
+    ``index``: of the chunks, for keyword searches among all of them; their texts aren't read then.
     """
 
     chunks: DataFrame
@@ -112,9 +120,13 @@ class Retriever:
     web_search: Callable | None = None
     threshold: float = 0.5
     rewrite_limit: int = 3
+    index: KeywordIndex | None = None
 
     def _ranked(self, query: str, options: SearchOptions, k: int) -> DataFrame:
         own = self.chunks if options.document_id is None else self.chunks.filter(F.col("document_id") == F.lit(options.document_id))
+        if self.embed is None and self.index is not None and options.document_id is None and options.mode == "any_term":
+            terms = [r.t for r in self._one(query).select(F.explode(tokenize(F.col("query"))).alias("t")).collect()]  # one query's words
+            return self.index.keyword_search(terms, k)
         if self.embed is None:
             return keyword_search(own, query, k, options.mode) if options.document_id is None else bm25.bm25_search(own, self._one(query), k)
         own = listing.embedded(own)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.plans.tables import spread, table
+from larkspur.operators.inverted import KeywordIndex
+from larkspur.plans.tables import spread, state, table
+from larkspur.sources.shared import run_dir
 
 #: Queries are the rows whose id is divisible by this.
 EVERY = 20
@@ -64,6 +69,27 @@ def hybrid_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
 
 
+_indexes: dict[tuple, KeywordIndex] = {}
+
+
+def _indexed(spark: SparkSession, sf: str, chunks: Callable[[SparkSession, str], DataFrame], *tables: str) -> KeywordIndex:
+    """The index of some chunks, written when it is first asked for and again when a table that they come from has changed."""
+    key = (spark.sparkContext.applicationId, chunks.__name__, *(state(spark, sf, t) for t in tables))
+    if key not in _indexes:
+        _indexes[key] = KeywordIndex.of(chunks(spark, sf), f"{run_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
+def text_index(spark: SparkSession, sf: str) -> KeywordIndex:
+    """The index of texts()."""
+    return _indexed(spark, sf, texts, "documents")
+
+
+def hybrid_index(spark: SparkSession, sf: str) -> KeywordIndex:
+    """The index of hybrid_chunks()."""
+    return _indexed(spark, sf, hybrid_chunks, "documents", "embeddings")
+
+
 def live_documents(spark: SparkSession, sf: str) -> DataFrame:
     """All documents but every seventh, so that chunks without document exist at every size."""
     return documents(spark, sf).filter(F.col("id") % 7 != 0)

@@ -20,7 +20,8 @@ DOCUMENT = 5
 
 
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.bm25_search(corpus.texts(spark, sf), corpus.text_queries(spark, sf), K)
+    """By the collection's inverted index: its texts are read when that is written, not by searches."""
+    return corpus.text_index(spark, sf).search(corpus.text_queries(spark, sf), K)
 
 
 def bm25_doc_scoped(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +43,12 @@ def _variants(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     """Variants of a query searched at once; of each chunk the best raw score counts."""
-    return retrieval.multi_query_bm25(corpus.texts(spark, sf), _variants(spark, sf), K)
+    return retrieval.multi_query_bm25(corpus.text_index(spark, sf), _variants(spark, sf), K)
+
+
+def keyword_any_term_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of the chunks that have one of the words, all by the index."""
+    return corpus.text_index(spark, sf).keyword_search(["where", "the", "contract", "ends"], K)
 
 
 def keyword_prefilter(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +62,7 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_any_term(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates that have one of the words."""
-    return listing.keyword_candidates(corpus.texts(spark, sf), "Where the contract ends").select("id")
+    return corpus.text_index(spark, sf).candidates(["where", "the", "contract", "ends"])
 
 
 def keyword_raw_like(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +104,7 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.hybrid_search(corpus.hybrid_chunks(spark, sf), corpus.hybrid_queries(spark, sf), K, THRESHOLD)
+    return retrieval.hybrid_search(corpus.hybrid_chunks(spark, sf), corpus.hybrid_queries(spark, sf), K, THRESHOLD, corpus.hybrid_index(spark, sf))
 
 
 def hybrid_doc_scoped(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +158,7 @@ def corrective_union(spark: SparkSession, sf: str) -> DataFrame:
 
 def rerank(spark: SparkSession, sf: str) -> DataFrame:
     """BM25's wide pool put in the order of another score: the share of the query's words that the text has."""
-    pool = bm25.bm25_search(corpus.texts(spark, sf), corpus.text_queries(spark, sf), retrieval.RERANK_WIDER * K)
+    pool = corpus.text_index(spark, sf).search(corpus.text_queries(spark, sf), retrieval.RERANK_WIDER * K)
     full = pool.join(corpus.texts(spark, sf).select("id", "text"), "id").join(corpus.text_queries(spark, sf), "query_id")
     share = F.size(F.array_intersect(tokenize(F.col("query")), tokenize(F.col("text")))) / F.greatest(F.size(F.array_distinct(tokenize(F.col("query")))), F.lit(1))
     return bm25.ranked(full.withColumn("score", share), K)
@@ -170,7 +176,7 @@ def hits_json(spark: SparkSession, sf: str) -> DataFrame:
     return hits_as_json(listing.with_document(hits, corpus.live_documents(spark, sf)).select("query_id", "rank", "document_id", "document_name", "file_path"))
 
 
-QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
+QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, keyword_any_term_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
 
 
 def _bm25(texts: str, queries: str, name: str = "") -> str:
@@ -210,6 +216,7 @@ _HITS = "hits AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document_id, te
 SQL = {
     "bm25_search": f"WITH {_bm25(TEXTS, TEXT_QUERIES)} {_top('scored', K)}",
     "bm25_doc_scoped": f"WITH {_bm25(f'SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE conv_id = {DOCUMENT}', 'SELECT conv_id AS query_id, text AS query FROM conversations WHERE turn = 0 AND conv_id % 20 = 0')} {_top('scored', K)}",
+    "keyword_any_term_search": f"""WITH {_bm25(TEXTS + f" WHERE list_has_any({TOKENS}, ['where', 'the', 'contract', 'ends'])", "SELECT 0::BIGINT AS query_id, 'where the contract ends' AS query")} {_top('scored', K)}""",
     "keyword_any_term": f"SELECT doc_id AS id FROM documents WHERE list_has_any({TOKENS}, ['where', 'the', 'contract', 'ends'])",
     "keyword_raw_like": "SELECT doc_id AS id FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the_%and%'",
     "vector_multi_query": f"WITH {VARIANTS}, wide AS ({_top('var', WIDE, name='variant_id')}), best AS (SELECT variant_id // 16 AS query_id, id, max(score) AS score FROM wide GROUP BY 1, 2) {_top('best', K)}",

@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """What tells a table's present files from earlier ones: path, number of files, bytes and time of the last change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*")) if files.getFileStatus(path).isDirectory() else [files.getFileStatus(path)]
+    return str(path), len(found), sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)
+
+
 #: Bytes for each core up to which a table is dealt out anew.
 LITTLE = 32 << 20
 
