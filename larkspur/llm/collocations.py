@@ -2,8 +2,8 @@ r"""Phrase collocation mining: the phrases of each language that are said togeth
 
 1. Sketches: every task counts hashes of runs of 1 to ``max_words`` words in count-min sketches of fixed size, which are
    summed slot by slot. A sketch never counts too little, so runs with a slot below ``min_count`` are no candidates. Runs
-   are counted level by level, and a longer run only where both of its parts one word shorter may be candidates.
-2. Candidates: what all sketches leave is put out once a task, then once.
+   are counted level by level, and a longer run only where its shorter parts may be candidates, as far as that is known.
+2. Candidates: what all sketches leave is put out as sets, a task's and then all.
 3. Automata: candidates are dealt into blocks of at most about ``MOST_KEYS`` bytes, each of which becomes an Aho-Corasick
    automaton for each language, whose keys have blanks at both ends, as do all words of a text. Every shard of the texts
    runs through it and counts all matches, also overlapping ones; the counts are summed.
@@ -20,9 +20,10 @@ texts of any length are read whole; other columns are dropped, whatever their na
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import islice
+from itertools import batched, islice
 from operator import itemgetter
 
 import numpy as np
@@ -42,11 +43,15 @@ SLOTS = 1 << 23
 ROWS = 2
 #: Slots that are summed as one row.
 RANGE = 1 << 16
-#: Bytes of the candidates that are compiled at once.
-MOST_KEYS = 1 << 20
-#: Bytes of texts whose words are hashed at once, and rows that are put out at once.
+#: Bytes of the candidates that are compiled at once: automata take up to sixty times as many.
+MOST_KEYS = 3 << 20
+#: Bytes of texts whose words are hashed at once, phrases that a task keeps, and rows that are put out at once.
 CHUNK = 2 << 20
+MOST_SEEN = 1_000_000
 MOST_ROWS = 50_000
+#: Parts of the hashes by which candidates are united, and phrases whose counts are one row.
+PARTS = 1024
+COUNTS = 1 << 14
 
 _LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n\n")
 _ODD = 0x9E3779B97F4A7C15
@@ -207,18 +212,21 @@ def sketched(docs: DataFrame, levels: tuple[int, ...], known: dict[int, np.ndarr
 
 
 def candidates(docs: DataFrame, flags: dict[int, np.ndarray]) -> DataFrame:
-    """lang, phrase: all runs of words that the sketches don't rule out, once."""
-    sent = docs.sparkSession.sparkContext.broadcast(flags)
+    """lang, phrase: all runs of words that the sketches don't rule out, once.
 
-    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        rows: list[tuple] = []
+    A task's phrases leave it as sets, one for each language and part of the hashes, and sets of a part are united.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(flags)
+    schema = "lang string, part int, phrases string"
 
-        def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["lang", "phrase"])
-            rows.clear()
-            return out
+    def sets(found: dict[tuple, list[str]]) -> Iterator[pa.RecordBatch]:
+        for keys in batched(found, 64):
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(["\n".join(found[k]) for k in keys], pa.string())], names=["lang", "part", "phrases"])
+        found.clear()
 
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        found: dict[tuple, list[str]] = {}
         for w in _words(batches):
             for k in sent.value:
                 at = np.flatnonzero(w.live(k, sent.value))
@@ -226,14 +234,23 @@ def candidates(docs: DataFrame, flags: dict[int, np.ndarray]) -> DataFrame:
                 for x, i in zip(h.tolist(), at[first].tolist(), strict=True):
                     if x not in seen:
                         seen.add(x)
-                        rows.append((w.langs[w.of_text[i]], w.data[w.begin[i] : w.end[i + k - 1]].decode()))
-                if len(rows) >= MOST_ROWS:
-                    yield batch()
-            if len(seen) > 20 * MOST_ROWS:
+                        # a line feed stands in no phrase
+                        found.setdefault((w.langs[w.of_text[i]], x % PARTS), []).append(w.data[w.begin[i] : w.end[i + k - 1]].decode())
+            if len(seen) > MOST_SEEN:
                 seen.clear()
-        yield batch()
+                yield from sets(found)
+        yield from sets(found)
+
+    def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        united: dict[str, set[str]] = {}
+        for b in batches:
+            for lang, phrases in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                united.setdefault(lang, set()).update(phrases.split("\n"))
+        for lang, phrases in united.items():
+            for some in batched(phrases, MOST_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string())], names=["lang", "phrase"])
 
-    return written(mapped(docs, found, "lang string, phrase string").distinct(), "candidates")
+    return written(mapped(mapped(docs, find, schema).repartition("lang", "part"), unite, "lang string, phrase string"), "candidates")
 
 
 class _Automata:
@@ -257,32 +274,47 @@ class _Automata:
         return cls.made[lang]
 
 
-def matches(docs: DataFrame, block: dict[str, list[str]], name: str, words: bool = False) -> DataFrame:
-    """lang, phrase, n: how often each task's texts hold each phrase of a block, overlaps included; ``words``: also all words, as "" ."""
+def matches(docs: DataFrame, block: dict[str, list[str]], name: str) -> DataFrame:
+    """lang, phrase, n: how often the texts hold each phrase of a block, overlaps included, and all words, as "" .
+
+    A task's counts leave it as arrays over ranges of the block's phrases, which are added up range by range.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(block)
+    schema = "lang string, part int, counts binary"
+
+    def row(lang: str, part: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([part], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["lang", "part", "counts"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {lang: np.zeros(len(phrases), dtype=np.int64) for lang, phrases in sent.value.items()}
-        all_words: dict[str, int] = {}
+        words: dict[str, int] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 norm, n = normalized(text.as_py())
-                all_words[lang] = all_words.get(lang, 0) + n
+                words[lang] = words.get(lang, 0) + n
                 if n and lang in counts:
                     found = map(itemgetter(1), _Automata.of(name, lang, sent.value[lang]).iter(norm.decode("latin-1")))
                     while len(some := np.fromiter(islice(found, 1 << 20), dtype=np.int64)):
                         ids, times = np.unique(some, return_counts=True)
                         counts[lang][ids] += times
-        if words:
-            found = {k: v for k, v in all_words.items() if v}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([""] * len(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "n"])
+        for lang, n in words.items():
+            yield row(lang, -1, np.array([n]))
         for lang, c in counts.items():
-            at = np.flatnonzero(c)
-            for i in range(0, len(at), MOST_ROWS):
-                some = at[i : i + MOST_ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([sent.value[lang][j] for j in some], pa.string()), pa.array(c[some])], names=["lang", "phrase", "n"])
+            for part in range(0, len(c), COUNTS):
+                if (some := c[part : part + COUNTS]).any():
+                    yield row(lang, part // COUNTS, some)
+
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for *key, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                counts = np.frombuffer(data, dtype="<i8")
+                sums[tuple(key)] = sums[tuple(key)] + counts if tuple(key) in sums else counts
+        for (lang, part), c in sums.items():
+            phrases = sent.value[lang][part * COUNTS : (part + 1) * COUNTS] if part >= 0 else [""]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(phrases, pa.string()), pa.array(c, pa.int64())], names=["lang", "phrase", "n"])
 
-    return mapped(docs, run, "lang string, phrase string, n long")
+    return mapped(mapped(docs, count, schema).repartition("lang", "part"), total, "lang string, phrase string, n long")
 
 
 def counted(docs: DataFrame, wanted: DataFrame, min_count: int = MIN_COUNT, most_keys: int = MOST_KEYS) -> DataFrame:
@@ -298,9 +330,9 @@ def counted(docs: DataFrame, wanted: DataFrame, min_count: int = MIN_COUNT, most
         # about most_keys bytes
         for r in wanted.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == b).collect():
             block.setdefault(r.lang, []).append(r.phrase)
-        # counted by task, then together: a table, so that no two blocks are in memory
-        total = matches(docs, block, f"{id(wanted)}-{b}-{blocks}", words=b == 0).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        parts.append(written(total.filter((F.col("n") >= min_count) | (F.col("phrase") == "")), "counts"))
+        enough = (F.col("n") >= min_count) & (F.col("phrase") != "") | (F.col("phrase") == "") & (F.col("n") > 0) & F.lit(b == 0)
+        # a table, so that no two blocks are in memory
+        parts.append(written(matches(docs, block, uuid.uuid4().hex).filter(enough), "counts"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -334,10 +366,9 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS
         raise ValueError("a phrase has two words and stands once at least")
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     flags: dict[int, np.ndarray] = {}
-    # two words are counted with one, since most runs of one are kept; then each pass knows more of what can't be
-    for levels in [(1, 2), (3,), *((k, k + 1) for k in range(4, max_words + 1, 2))]:
-        if asked := tuple(k for k in levels if k <= max_words):
-            flags |= sketched(docs, asked, flags, min_count, slots)
+    # runs of three words and more are counted where all pairs in them may be candidates: most aren't
+    for levels in ((1, 2), *(tuple(range(k, min(k + 3, max_words + 1))) for k in range(3, max_words + 1, 3))):
+        flags |= sketched(docs, levels, flags, min_count, slots)
     wanted = candidates(docs, flags)
     counts = written(counted(docs, wanted, min_count, most_keys), "counted")
     discard(wanted)
