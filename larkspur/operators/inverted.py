@@ -1,6 +1,6 @@
 """An inverted index of chunks as tables, and BM25 searches that read the terms' postings only.
 
-A part of an index is a folder, written once for a set of chunks:
+An index is a folder of parts, each written once for a set of chunks:
 
 * ``postings``: term, id, tf, dl, class, document_id, dealt into buckets by the hash of the term (folders, so that a search
   reads only its terms' buckets) and sorted by term, so that row groups are skipped too. A term that very many chunks have
@@ -18,6 +18,7 @@ are those of the chunks that are left.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,8 +30,8 @@ from larkspur.operators.bounded import sent
 from larkspur.sources.shared import written
 
 BUCKETS = 32
-POSTINGS = "term string, id {id}, tf int, dl int, class int, document_id {document}, bucket int"
-BLOCKS = "term string, class int, n long, max_tf int, min_tf int, max_dl int, min_dl int, total_dl long, bucket int"
+POSTINGS = "term string, id {id}, tf int, dl int, class int, document_id {document}, part string, bucket int"
+BLOCKS = "term string, class int, n long, max_tf int, min_tf int, max_dl int, min_dl int, total_dl long, part string, bucket int"
 #: How much lower a bound may be taken, so that what is rounded and summed in another order still lies within it.
 SLACK = 1e-8
 
@@ -53,38 +54,41 @@ def postings_of(chunks: DataFrame, id_column: str = "id") -> DataFrame:
 
 
 def write_part(chunks: DataFrame, folder: str, id_column: str = "id", buckets: int = BUCKETS) -> str:
-    """One part of an index, in ``folder``: the chunks are read and tokenized once."""
+    """One more part of the index in ``folder``; its name. The chunks are read and tokenized once."""
+    name = uuid.uuid4().hex
     rows = postings_of(chunks, id_column).withColumn("bucket", bucket_of(F.col("term"), buckets))
     # dealt by bucket; Spark splits those that are too large for one task
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "class", "id").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    kept = chunks.sparkSession.read.parquet(f"{folder}/postings")
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "class", "id").write.partitionBy("bucket").parquet(f"{folder}/postings/part={name}")
+    kept = chunks.sparkSession.read.schema(rows.schema).parquet(f"{folder}/postings/part={name}")
     blocks = kept.groupBy("bucket", "term", "class").agg(
         F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("tf").alias("min_tf"), F.max("dl").alias("max_dl"), F.min("dl").alias("min_dl"), F.sum(F.when(F.col("term") == "", F.col("dl")).otherwise(0)).alias("total_dl")
     )
-    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "class").write.partitionBy("bucket").parquet(f"{folder}/blocks")
-    return folder
+    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "class").write.partitionBy("bucket").parquet(f"{folder}/blocks/part={name}")
+    return name
 
 
 class KeywordIndex:
-    """Parts of an index, read as one.
+    """Parts of the index in ``folder``, read as one.
 
-    ``generations``: folders of parts by generation, later ones last. ``hidden``: (generation, id) of chunks that are gone.
+    ``generations``: names of parts by generation, later ones last. ``hidden``: (generation, id) of chunks that are gone.
     ``types``: of id and document_id.
     """
 
-    def __init__(self, spark: SparkSession, generations: list[list[str]], hidden: DataFrame | None = None, types: tuple[str, str] = ("string", "string"), buckets: int = BUCKETS):
-        self.spark, self.generations, self.hidden, self.types, self.buckets = spark, [(g, f) for g, f in enumerate(generations) if f], hidden, types, buckets
+    def __init__(self, spark: SparkSession, folder: str, generations: list[list[str]], hidden: DataFrame | None = None, types: tuple[str, str] = ("string", "string"), buckets: int = BUCKETS):
+        self.spark, self.folder, self.hidden, self.types, self.buckets = spark, folder, hidden, types, buckets
+        self.generations = [(g, parts) for g, parts in enumerate(generations) if parts]
 
     @classmethod
     def of(cls, chunks: DataFrame, folder: str, id_column: str = "id", buckets: int = BUCKETS) -> KeywordIndex:
         """An index of one part, written now."""
         types = dict(chunks.dtypes)
-        write_part(chunks, folder, id_column, buckets)
-        return cls(chunks.sparkSession, [[folder]], None, (types[id_column], types.get("document_id", "string")), buckets)
+        return cls(chunks.sparkSession, folder, [[write_part(chunks, folder, id_column, buckets)]], None, (types[id_column], types.get("document_id", "string")), buckets)
 
     def _read(self, name: str, schema: str) -> DataFrame:
         schema = schema.format(id=self.types[0], document=self.types[1])
-        parts = [self.spark.read.schema(schema).parquet(*[f"{f}/{name}" for f in folders]).withColumn("generation", F.lit(g)) for g, folders in self.generations]
+        root = f"{self.folder}/{name}"
+        read = self.spark.read.schema(schema).option("basePath", root)
+        parts = [read.parquet(*[f"{root}/part={p}" for p in some]).withColumn("generation", F.lit(g)) for g, some in self.generations]
         if not parts:
             return self.spark.createDataFrame([], schema).withColumn("generation", F.lit(0))
         return reduce(DataFrame.unionByName, parts)
@@ -99,9 +103,9 @@ class KeywordIndex:
             rows = rows.filter(F.col("bucket").isin(*buckets))
         return rows if self.hidden is None else rows.join(sent(self.hidden), ["generation", "id"], "left_anti")
 
-    def lengths(self) -> DataFrame:
-        """id, document_id, dl of every chunk."""
-        return self.postings([""]).select("id", "document_id", "dl")
+    def lengths(self, generation: bool = False) -> DataFrame:
+        """id, document_id, dl of every chunk, and its ``generation`` if asked for."""
+        return self.postings([""]).select("id", "document_id", "dl", *["generation"] * generation)
 
     def _blocks(self, wanted: DataFrame, buckets: list[int]) -> DataFrame:
         """term, class, n and bounds of the terms ``wanted`` (term) over all parts; of chunks that are gone only the bounds remain."""

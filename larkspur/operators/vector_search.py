@@ -1,8 +1,15 @@
-"""Exact vector search: every query against every vector.
-
-Queries are taken in blocks of about ``BLOCK``. A block is sent to all tasks, each batch of vectors meets it in one matrix
-product, and a task keeps the best ``k`` for each query over all its batches. With more blocks than one, the results of a
-block are written before the next one is read, so the driver holds one block at a time, however many queries there are.
+"""Exact vector search: every query against every vector, as a join of tiles.
+
+Vectors and queries are packed into tiles: rows of up to ``TILE`` vectors of one length as one matrix, with the range of
+their norms. Queries' tiles are a table. Where these are few (at most ``MOST_SENT`` bytes) they are sent to all tasks,
+vectors' tiles are packed in the tasks that read them, and nothing of the vectors is shuffled. Beyond that tiles are joined
+on a grid: a cell is a strip of the vectors' tiles and one of the queries', so a vector travels once for each strip of
+queries, not for each tile of them, and a cell is bounded on both sides. Either way the vectors are read once, however many
+queries there are, and the driver sees counts only.
+
+A pair of tiles is one matrix product. A task keeps the best ``k`` of each query of a strip over all its pairs, and what
+tasks have kept meets in one more aggregation. By inner products, a tile whose greatest norm can't lead above what a task
+already keeps is passed over.
 """
 
 from __future__ import annotations
@@ -14,22 +21,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import cosine
 from larkspur.operators.bm25 import ranked
-from larkspur.operators.bounded import in_blocks
+from larkspur.sources.shared import written
 from larkspur.sources.shipping import mapped
 
-#: Queries of a block, and vectors that meet it at once.
-BLOCK = 4096
-SLICE = 8192
+#: Vectors of a tile.
+TILE = 4096
+#: Bytes of the queries' tiles up to which they are sent to all tasks.
+MOST_SENT = 32 << 20
+#: Tiles of a strip: of queries, and of vectors.
+QUERY_STRIP = 4
+VECTOR_STRIP = 32
+#: Rows of results that a task holds for queries of other strips than the present one.
+MOST_HELD = 1 << 20
 FOUND = "query_id long, id long, score double"
+TILES = "tile long, size int, n int, high double, ids binary, matrix binary"
+
+_ROW = np.dtype([("query", np.int64), ("id", np.int64), ("score", np.float64)])
+
+
+def tiles(vectors: DataFrame, tile: int = TILE) -> DataFrame:
+    """TILES of vectors (id, vector): long ids and numbers of double precision, by the length of the vectors.
+
+    Null and empty vectors are in none. ``high``: the greatest norm of a tile.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            lists, ids = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
+            offsets = lists.offsets.to_numpy()
+            sizes, flat = np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes > 0]):
+                rows = np.flatnonzero(sizes == size)
+                for some in (rows[i : i + tile] for i in range(0, len(rows), tile)):
+                    m = flat[offsets[:-1][some][:, None] + np.arange(size)].astype(np.float64)
+                    columns = (number, pa.int64()), (int(size), pa.int32()), (len(some), pa.int32()), (float(np.sqrt((m * m).sum(axis=1).max())), pa.float64()), (ids[some].astype("<i8").tobytes(), pa.binary()), (m.tobytes(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], names=[c.split()[0] for c in TILES.split(", ")])
+                    number += 1
 
-def _matrices(block: DataFrame, cosines: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The block's queries by the length of their vectors: ids and rows."""
-    rows = [r for r in block.select(F.col("query_id").cast("long"), "query_vec").collect() if r.query_vec]
-    by_size = {n: [r for r in rows if len(r.query_vec) == n] for n in {len(r.query_vec) for r in rows}}
-    return {n: (np.array([r.query_id for r in own]), _unit(np.array([r.query_vec for r in own], dtype=np.float64), cosines)) for n, own in by_size.items()}
+    return mapped(vectors.filter(F.size("vector") > 0), run, TILES)
 
 
 def best_of(found: np.ndarray, k: int, digits: int) -> np.ndarray:
@@ -43,53 +76,98 @@ def best_of(found: np.ndarray, k: int, digits: int) -> np.ndarray:
     return found[place < k]
 
 
-def _scored(chunks: DataFrame, block: DataFrame, k: int | None, threshold: float | None, cosines: bool, digits: int) -> DataFrame:
-    """The ``k`` best of each task for each query, or all pairs from the threshold on."""
-    shared = chunks.sparkSession.sparkContext.broadcast(_matrices(block, cosines))
-    row = np.dtype([("query", np.int64), ("id", np.int64), ("score", np.float64)])
-
-    def pairs(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        vectors, ids = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
-        offsets = vectors.offsets.to_numpy()
-        sizes, flat = np.diff(offsets), vectors.values.to_numpy(zero_copy_only=False)
-        for size, (query_ids, q) in shared.value.items():
-            own = np.flatnonzero(sizes == size)
-            if not len(own):
-                continue
-            scores = q @ _unit(flat[offsets[:-1][own][:, None] + np.arange(size)].astype(np.float64), cosines).T
-            least = np.full((len(q), 1), -np.inf) if threshold is None else np.full((len(q), 1), threshold)
-            if k is not None:
-                at = max(0, len(own) - k)
-                least = np.maximum(least, np.partition(scores, at, axis=1)[:, [at]])
-            at_q, at_v = np.nonzero(scores >= least - 1e-9)
-            out = np.empty(len(at_q), dtype=row)
-            out["query"], out["id"], out["score"] = query_ids[at_q], ids[own[at_v]], scores[at_q, at_v]
-            yield out
+def _unit(m: np.ndarray, cosines: bool) -> np.ndarray:
+    if not cosines:
+        return m
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+class _Best:
+    """What a task keeps of one tile of queries: their ``k`` best so far."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int | None, least: float, digits: int, cosines: bool):
+        self.ids, self.k, self.digits, self.cosines = ids, k, digits, cosines
+        self.matrix = _unit(matrix, cosines)
+        self.norms = np.linalg.norm(self.matrix, axis=1)
+        #: a query_id may stand more than once, with one bound
+        self.each, self.of = np.unique(ids, return_inverse=True)
+        self.bound = np.full(len(self.each), least)
+        self.least = self.bound[self.of]
+        self.held = np.empty(0, dtype=_ROW)
+
+    def meet(self, ids: np.ndarray, matrix: np.ndarray, high: float) -> np.ndarray:
+        """Take in a tile of vectors; without ``k`` the pairs found are given back."""
+        # no product is above the product of the norms
+        may = np.arange(len(self.ids)) if self.cosines else np.flatnonzero(self.norms * high * (1 + 1e-12) >= self.least - 1e-9)
+        if not len(may):
+            return self.held[:0]
+        scores = self.matrix[may] @ _unit(matrix, self.cosines).T
+        least = self.least[may][:, None]
+        if self.k is not None:
+            at = max(0, scores.shape[1] - self.k)
+            least = np.maximum(least, np.partition(scores, at, axis=1)[:, [at]])
+        at_q, at_v = np.nonzero(scores >= least - 1e-9)
+        out = np.empty(len(at_q), dtype=_ROW)
+        out["query"], out["id"], out["score"] = self.ids[may[at_q]], ids[at_v], scores[at_q, at_v]
+        if self.k is None:
+            return out
+        self.held = best_of(np.concatenate([self.held, out]), self.k, self.digits)
+        # queries that have k by now need no less than the last of these
+        queries, first, n = np.unique(self.held["query"], return_index=True, return_counts=True)
+        full = n >= self.k
+        at = np.searchsorted(self.each, queries[full])
+        self.bound[at] = np.maximum(self.bound[at], self.held["score"][first[full] + n[full] - 1])
+        self.least = self.bound[self.of]
+        return out[:0]
+
+
+def _met(pairs: DataFrame, k: int | None, least: float, cosines: bool, digits: int) -> DataFrame:
+    """FOUND of pairs of tiles (strip, q_tile, q_ids, q_matrix, ids, matrix, size, high)."""
 
     def batch(found: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(found[c].copy()) for c in ("query", "id", "score")], names=["query_id", "id", "score"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, dtype=row)
+        held: dict[int, _Best] = {}
+        strip = None
         for b in batches:
-            for part in (b.slice(i, SLICE) for i in range(0, b.num_rows, SLICE)):
-                for found in pairs(part):
-                    if k is None:
-                        yield batch(found)
-                    else:
-                        held = best_of(np.concatenate([held, found]), k, digits)
-        if k is not None:
-            yield batch(held)
-
-    asked = chunks.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("embedding").isNotNull())
-    return mapped(asked, run, FOUND)
-
-
-def _unit(m: np.ndarray, cosines: bool) -> np.ndarray:
-    if not cosines:
-        return m
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+            for row in range(b.num_rows):
+                of, tile, q_ids, q_matrix, ids, matrix, size, high = (c[row] for c in b.columns)
+                if of.as_py() != strip and sum(len(x.held) for x in held.values()) > MOST_HELD:
+                    yield from (batch(x.held) for x in held.values())
+                    held.clear()
+                strip = of.as_py()
+                if tile.as_py() not in held:
+                    own = np.frombuffer(q_ids.as_buffer(), dtype="<i8")
+                    held[tile.as_py()] = _Best(own, np.frombuffer(q_matrix.as_buffer(), dtype=np.float64).reshape(len(own), -1), k, least, digits, cosines)
+                own = np.frombuffer(ids.as_buffer(), dtype="<i8")
+                found = held[tile.as_py()].meet(own, np.frombuffer(matrix.as_buffer(), dtype=np.float64).reshape(len(own), size.as_py()), high.as_py())
+                if len(found):
+                    yield batch(found)
+        yield from (batch(x.held) for x in held.values())
+
+    return mapped(pairs.select("strip", "q_tile", "q_ids", "q_matrix", "ids", "matrix", "size", "high"), run, FOUND)
+
+
+def _scored(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: float | None, cosines: bool, digits: int) -> DataFrame:
+    """The ``k`` best of each task for each query, or all pairs from the threshold on."""
+    named = lambda t: t.select(*[F.col(c).alias(f"q_{c}") for c in ("tile", "ids", "matrix")], F.col("size").alias("q_size"))
+    asked = written(tiles(queries.select(F.col("query_id").cast("long"), F.col("query_vec").cast("array<double>").alias("vector"))), "queries")
+    many = asked.agg(F.count("*"), F.sum(F.col("n") * F.col("size").cast("long") * 8)).first()
+    own = tiles(chunks.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>").alias("vector")))
+    least = -np.inf if threshold is None else threshold
+    if (many[1] or 0) <= MOST_SENT:
+        pairs = own.join(F.broadcast(named(asked)), F.col("size") == F.col("q_size")).withColumn("strip", F.lit(0))
+        return _met(pairs, k, least, cosines, digits)
+    strips = -(-many[0] // QUERY_STRIP)
+    # a table, since its tiles are counted: a copy of the vectors as matrices
+    own = written(own, "vectors")
+    rows = max(1, -(-own.count() // VECTOR_STRIP))
+    across = own.select("*", F.pmod(F.xxhash64("tile"), F.lit(rows)).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip"))
+    down = named(asked).select("*", F.pmod(F.xxhash64("q_tile"), F.lit(strips)).cast("int").alias("q_strip"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("q_row"))
+    cell = (F.col("size") == F.col("q_size")) & (F.col("row") == F.col("q_row")) & (F.col("strip") == F.col("q_strip"))
+    return _met(across.join(down.hint("merge"), cell), k, least, cosines, digits)
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, cosines: bool = True, digits: int = 9) -> DataFrame:
@@ -98,17 +176,11 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold:
     Vectors that are null, empty or of another length don't answer; scores below ``threshold`` don't count, nor do
     those that aren't above 0. ``cosines``: cosine similarity, else the inner product.
     """
-    scores = in_blocks(queries, BLOCK, lambda block: _scored(chunks, block, k, threshold, cosines, digits)).withColumn("score", F.round("score", digits))
+    scores = _scored(chunks, queries, k, threshold, cosines, digits).withColumn("score", F.round("score", digits))
     return ranked(scores if threshold is None else scores.filter(F.col("score") >= threshold), k, digits)
 
 
 def similar_pairs(chunks: DataFrame, queries: DataFrame, threshold: float, cosines: bool = True, digits: int = 9) -> DataFrame:
     """query_id, id, score of all pairs of equal length whose rounded score is at least ``threshold``."""
-    scores = in_blocks(queries, BLOCK, lambda block: _scored(chunks, block, None, threshold - 10.0**-digits, cosines, digits))
+    scores = _scored(chunks, queries, None, threshold - 10.0**-digits, cosines, digits)
     return scores.withColumn("score", F.round("score", digits)).filter(F.col("score") >= threshold)
-
-
-def native_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score of all pairs of equal length, as column expressions: every pair is a row, for few of them."""
-    pairs = chunks.select("id", "embedding").crossJoin(queries.select("query_id", "query_vec"))
-    return pairs.filter(F.size("embedding") == F.size("query_vec")).select("query_id", "id", cosine(F.col("embedding"), F.col("query_vec")).alias("score"))

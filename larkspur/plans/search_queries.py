@@ -43,7 +43,7 @@ def _variants(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     """Variants of a query searched at once; of each chunk the best raw score counts."""
-    return retrieval.multi_query_bm25(corpus.text_index(spark, sf), _variants(spark, sf), K)
+    return retrieval.multi_querybm25_ctes(corpus.text_index(spark, sf), _variants(spark, sf), K)
 
 
 def keyword_any_term_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +179,7 @@ def hits_json(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, keyword_any_term_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
 
 
-def _bm25(texts: str, queries: str, name: str = "") -> str:
+def bm25_ctes(texts: str, queries: str, name: str = "") -> str:
     """CTEs ending in ``scored``: query_id, id, score. ``texts``: id, text; ``queries``: query_id, query."""
     q = TOKENS.replace("(text,", "(query,")
     return f"""tx{name} AS ({texts}), qs{name} AS ({queries}),
@@ -190,7 +190,7 @@ def _bm25(texts: str, queries: str, name: str = "") -> str:
  scored{name} AS (SELECT query_id, id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf{name} JOIN df{name} USING (term) JOIN qt{name} USING (term), st{name} GROUP BY query_id, id)"""
 
 
-def _top(table_name: str, k: int, least: str = "score > 0", name: str = "query_id") -> str:
+def top_rows(table_name: str, k: int, least: str = "score > 0", name: str = "query_id") -> str:
     return f"""SELECT {name}, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY {name} ORDER BY score DESC, id) AS rank FROM (SELECT {name}, id, round(score, 9) AS score FROM {table_name}) WHERE {least}) WHERE rank <= {k}"""
 
 
@@ -204,34 +204,34 @@ _HYBRID_QUERIES = "SELECT item_id AS query_id, b.text AS query FROM benchmark b
 
 
 def _hybrid(where: str = "") -> str:
-    return f"""WITH {_bm25(_HYBRID_TEXTS + where.format('d.doc_id'), _HYBRID_QUERIES)}, {COSINES},
- vec AS ({_top(f"(SELECT * FROM cos WHERE query_id IN (SELECT query_id FROM qs) AND id IN (SELECT id FROM tx))", WIDE, f"score > 0 AND score >= {THRESHOLD}")}),
- kw AS ({_top("scored", WIDE)}),
+    return f"""WITH {bm25_ctes(_HYBRID_TEXTS + where.format('d.doc_id'), _HYBRID_QUERIES)}, {COSINES},
+ vec AS ({top_rows(f"(SELECT * FROM cos WHERE query_id IN (SELECT query_id FROM qs) AND id IN (SELECT id FROM tx))", WIDE, f"score > 0 AND score >= {THRESHOLD}")}),
+ kw AS ({top_rows("scored", WIDE)}),
  fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM vec UNION ALL SELECT * FROM kw) GROUP BY query_id, id)
- {_top("fused", K)}"""
+ {top_rows("fused", K)}"""
 
 
 _HITS = "hits AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document_id, text, length(text) % 10 / 10.0 AS score FROM conversations)"
 
 SQL = {
-    "bm25_search": f"WITH {_bm25(TEXTS, TEXT_QUERIES)} {_top('scored', K)}",
-    "bm25_doc_scoped": f"WITH {_bm25(f'SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE conv_id = {DOCUMENT}', 'SELECT conv_id AS query_id, text AS query FROM conversations WHERE turn = 0 AND conv_id % 20 = 0')} {_top('scored', K)}",
-    "keyword_any_term_search": f"""WITH {_bm25(TEXTS + f" WHERE list_has_any({TOKENS}, ['where', 'the', 'contract', 'ends'])", "SELECT 0::BIGINT AS query_id, 'where the contract ends' AS query")} {_top('scored', K)}""",
+    "bm25_search": f"WITH {bm25_ctes(TEXTS, TEXT_QUERIES)} {top_rows('scored', K)}",
+    "bm25_doc_scoped": f"WITH {bm25_ctes(f'SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE conv_id = {DOCUMENT}', 'SELECT conv_id AS query_id, text AS query FROM conversations WHERE turn = 0 AND conv_id % 20 = 0')} {top_rows('scored', K)}",
+    "keyword_any_term_search": f"""WITH {bm25_ctes(TEXTS + f" WHERE list_has_any({TOKENS}, ['where', 'the', 'contract', 'ends'])", "SELECT 0::BIGINT AS query_id, 'where the contract ends' AS query")} {top_rows('scored', K)}""",
     "keyword_any_term": f"SELECT doc_id AS id FROM documents WHERE list_has_any({TOKENS}, ['where', 'the', 'contract', 'ends'])",
     "keyword_raw_like": "SELECT doc_id AS id FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the_%and%'",
-    "vector_multi_query": f"WITH {VARIANTS}, wide AS ({_top('var', WIDE, name='variant_id')}), best AS (SELECT variant_id // 16 AS query_id, id, max(score) AS score FROM wide GROUP BY 1, 2) {_top('best', K)}",
-    "vector_multi_query_ranks": f"WITH {VARIANTS}, wide AS ({_top('var', WIDE, name='variant_id')}), fused AS (SELECT variant_id // 16 AS query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM wide GROUP BY 1, 2) {_top('fused', K)}",
-    "bm25_multi_query": f"""WITH {_bm25(TEXTS, TEXT_QUERIES, 'a')}, {_bm25(TEXTS, f"SELECT query_id, regexp_replace(query, '^[^.]*[.]', '') AS query FROM ({TEXT_QUERIES})", 'b')},
- best AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM scoreda UNION ALL SELECT * FROM scoredb) GROUP BY query_id, id) {_top('best', K)}""",
+    "vector_multi_query": f"WITH {VARIANTS}, wide AS ({top_rows('var', WIDE, name='variant_id')}), best AS (SELECT variant_id // 16 AS query_id, id, max(score) AS score FROM wide GROUP BY 1, 2) {top_rows('best', K)}",
+    "vector_multi_query_ranks": f"WITH {VARIANTS}, wide AS ({top_rows('var', WIDE, name='variant_id')}), fused AS (SELECT variant_id // 16 AS query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM wide GROUP BY 1, 2) {top_rows('fused', K)}",
+    "bm25_multi_query": f"""WITH {bm25_ctes(TEXTS, TEXT_QUERIES, 'a')}, {bm25_ctes(TEXTS, f"SELECT query_id, regexp_replace(query, '^[^.]*[.]', '') AS query FROM ({TEXT_QUERIES})", 'b')},
+ best AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM scoreda UNION ALL SELECT * FROM scoredb) GROUP BY query_id, id) {top_rows('best', K)}""",
     "keyword_prefilter": "SELECT doc_id AS id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'and the')",
-    "keyword_search": f"""WITH {_bm25(TEXTS + " WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'and the')", "SELECT 0::BIGINT AS query_id, 'and the' AS query")} {_top('scored', K)}""",
+    "keyword_search": f"""WITH {bm25_ctes(TEXTS + " WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'and the')", "SELECT 0::BIGINT AS query_id, 'and the' AS query")} {top_rows('scored', K)}""",
     "cosine_scores": f"WITH {COSINES} SELECT query_id, id, round(score, 9) AS score FROM cos WHERE round(score, 9) >= {THRESHOLD}",
-    "vector_search": f"WITH {COSINES} {_top('cos', K, f'score > 0 AND score >= {THRESHOLD}')}",
-    "vector_topk_dot": f"WITH {DOTS} {_top('cos', K)}",
+    "vector_search": f"WITH {COSINES} {top_rows('cos', K, f'score > 0 AND score >= {THRESHOLD}')}",
+    "vector_topk_dot": f"WITH {DOTS} {top_rows('cos', K)}",
     "l2_normalize": "WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * 3) v FROM embeddings), u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) u FROM e) SELECT id, round(sqrt(list_dot_product(u, u)), 9) AS norm, round(list_sum(u), 6) AS total FROM u",
     "hybrid_search": _hybrid(),
     "hybrid_doc_scoped": _hybrid(f" WHERE label = {DOCUMENT}"),
-    "rrf_fusion": f"WITH {COSINES}, a AS ({_top('cos', WIDE)}), fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM a UNION ALL SELECT query_id, id, {WIDE + 1} - rank FROM a) GROUP BY query_id, id) {_top('fused', K)}",
+    "rrf_fusion": f"WITH {COSINES}, a AS ({top_rows('cos', WIDE)}), fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM a UNION ALL SELECT query_id, id, {WIDE + 1} - rank FROM a) GROUP BY query_id, id) {top_rows('fused', K)}",
     "dedupe_keep_best": f"WITH {_HITS} SELECT id, round(max(s), 6)::DOUBLE AS score FROM (SELECT id, score::DOUBLE s FROM hits UNION ALL SELECT id, score::DOUBLE + CASE WHEN id % 2 = 0 THEN 0.25 ELSE -0.25 END FROM hits) GROUP BY id",
     "dedupe_first_wins": f"WITH {_HITS} SELECT id, document_id, round(score, 6)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY document_id, text ORDER BY score DESC, id) n FROM hits) WHERE n = 1",
     "rewrite_rules": """WITH q AS (SELECT conv_id * 1000 + turn AS query_id, trim(text, ' ' || chr(10)) AS query FROM conversations),
@@ -239,14 +239,14 @@ SQL = {
   UNION ALL SELECT query_id, 3, replace(query, 'is', 'was') FROM q WHERE contains(query, 'is') UNION ALL SELECT query_id, 4, replace(query, 'is', 'be') FROM q WHERE contains(query, 'is')),
  u AS (SELECT query_id, query, min(o) o FROM r WHERE query <> '' GROUP BY query_id, query)
  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS INTEGER) AS variant, query FROM u""",
-    "quality_label": f"""WITH {COSINES}, hits AS ({_top('cos', K)}), f AS (SELECT query_id, max(score) top_score, avg(CASE WHEN rank <= 3 THEN score END) mean_score, count(*) n_hits FROM hits GROUP BY query_id)
+    "quality_label": f"""WITH {COSINES}, hits AS ({top_rows('cos', K)}), f AS (SELECT query_id, max(score) top_score, avg(CASE WHEN rank <= 3 THEN score END) mean_score, count(*) n_hits FROM hits GROUP BY query_id)
  SELECT query_id, round(top_score, 6) AS top_score, round(mean_score, 6) AS mean_score, n_hits, CASE WHEN top_score >= 0.6 AND mean_score >= 0.6 AND n_hits >= 2 THEN 'HIGH' WHEN top_score <= 0.1 AND mean_score <= 0.15 THEN 'LOW' ELSE 'UNCERTAIN' END AS quality FROM f""",
-    "corrective_union": f"""WITH {COSINES}, hits AS ({_top('cos', K)}), f AS (SELECT query_id, max(score) top_score, avg(CASE WHEN rank <= 3 THEN score END) mean_score, count(*) n FROM hits GROUP BY query_id),
+    "corrective_union": f"""WITH {COSINES}, hits AS ({top_rows('cos', K)}), f AS (SELECT query_id, max(score) top_score, avg(CASE WHEN rank <= 3 THEN score END) mean_score, count(*) n FROM hits GROUP BY query_id),
  weak AS (SELECT query_id FROM f WHERE NOT (top_score >= 0.6 AND mean_score >= 0.6 AND n >= 2)),
- united AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM hits UNION ALL SELECT query_id, query_id + 1, 0.5 FROM weak) GROUP BY query_id, id) {_top("united", K)}""",
-    "rerank": f"""WITH {_bm25(TEXTS, TEXT_QUERIES)}, pool AS ({_top('scored', 15)}),
- other AS (SELECT p.query_id, p.id, len(list_intersect(list_distinct(q.ts), list_distinct(t.ts))) / greatest(len(list_distinct(q.ts)), 1) AS score FROM pool p JOIN tok t USING (id) JOIN (SELECT query_id, {TOKENS.replace("(text,", "(query,")} ts FROM qs) q USING (query_id)) {_top('other', K)}""",
-    "hits_enriched": f"""WITH {COSINES}, {corpus.DOCUMENTS}, hits AS ({_top('cos', K)}) SELECT query_id, h.id AS document_id, rank, coalesce(name, '') AS document_name, coalesce(file_path, '') AS file_path FROM hits h LEFT JOIN (SELECT * FROM docs WHERE id % 7 <> 0) d ON d.id = h.id""",
-    "hits_json": f"""WITH {COSINES}, {corpus.DOCUMENTS}, hits AS ({_top('cos', K)}), e AS (SELECT query_id, rank, h.id AS document_id, coalesce(name, '') AS document_name, coalesce(file_path, '') AS file_path FROM hits h LEFT JOIN (SELECT * FROM docs WHERE id % 7 <> 0) d ON d.id = h.id)
+ united AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM hits UNION ALL SELECT query_id, query_id + 1, 0.5 FROM weak) GROUP BY query_id, id) {top_rows("united", K)}""",
+    "rerank": f"""WITH {bm25_ctes(TEXTS, TEXT_QUERIES)}, pool AS ({top_rows('scored', 15)}),
+ other AS (SELECT p.query_id, p.id, len(list_intersect(list_distinct(q.ts), list_distinct(t.ts))) / greatest(len(list_distinct(q.ts)), 1) AS score FROM pool p JOIN tok t USING (id) JOIN (SELECT query_id, {TOKENS.replace("(text,", "(query,")} ts FROM qs) q USING (query_id)) {top_rows('other', K)}""",
+    "hits_enriched": f"""WITH {COSINES}, {corpus.DOCUMENTS}, hits AS ({top_rows('cos', K)}) SELECT query_id, h.id AS document_id, rank, coalesce(name, '') AS document_name, coalesce(file_path, '') AS file_path FROM hits h LEFT JOIN (SELECT * FROM docs WHERE id % 7 <> 0) d ON d.id = h.id""",
+    "hits_json": f"""WITH {COSINES}, {corpus.DOCUMENTS}, hits AS ({top_rows('cos', K)}), e AS (SELECT query_id, rank, h.id AS document_id, coalesce(name, '') AS document_name, coalesce(file_path, '') AS file_path FROM hits h LEFT JOIN (SELECT * FROM docs WHERE id % 7 <> 0) d ON d.id = h.id)
  SELECT query_id, count(*) AS count, '[' || string_agg('{{"rank":' || rank || ',"document_id":' || document_id || ',"document_name":"' || document_name || '","file_path":"' || file_path || '"}}', ',' ORDER BY rank) || ']' AS results FROM e GROUP BY query_id""",
 }

@@ -11,6 +11,7 @@ from larkspur.functions.text import unique_strings
 from larkspur.operators import graph, hierarchy, listing
 from larkspur.operators.listing import DocumentQuery
 from larkspur.plans import corpus
+from larkspur.plans.search_queries import TEXT_QUERIES, bm25_ctes, top_rows
 from larkspur.plans.tables import table
 from larkspur.plans.text_queries import EDGES
 from larkspur.sources.batching import batches
@@ -106,13 +107,33 @@ def orphan_count(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_chunks(spark, sf).agg(F.count("*").alias("orphans"))
 
 
+def _catalog(spark: SparkSession, indexed: bool = False) -> Catalog:
+    """A catalog of its own in this run's folder."""
+    return Catalog(spark, f"{run_dir(spark)}/catalog-{uuid.uuid4().hex}", indexed=indexed)
+
+
+def _with_orphans(spark: SparkSession, sf: str) -> Catalog:
+    """Vectors as chunks of the documents of their number; then every seventh document goes without them."""
+    store, chunks = _catalog(spark), _text_id(_text_id(corpus.chunks(spark, sf)), "document_id")
+    there = chunks.select(F.col("document_id").alias("id")).distinct()
+    store.add_documents(there.select("id", F.concat(F.lit("doc-"), "id").alias("name"), F.concat(F.lit("vectors/"), "id").alias("file_path")))
+    store.add_chunks(chunks.withColumn("text", F.col("label").cast("string")))
+    store.delete_documents(there.filter(F.col("id").cast("long") % 7 == 0), cascade=False)
+    return store
+
+
 def gc_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    return listing.live_chunks(corpus.chunks(spark, sf), corpus.live_documents(spark, sf)).groupBy("label").agg(F.count("*").alias("chunks"))
+    """Chunks by label once a catalog's orphans were deleted."""
+    store = _with_orphans(spark, sf)
+    store.delete_orphans()
+    return store.table("chunks").groupBy(F.col("text").cast("int").alias("label")).agg(F.count("*").alias("chunks"))
 
 
-def _catalog(spark: SparkSession) -> Catalog:
-    """A catalog of its own in this run's folder."""
-    return Catalog(spark, f"{run_dir(spark)}/catalog-{uuid.uuid4().hex}")
+def gc_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog's orphans: counted, deleted, counted again; and what then is left."""
+    store = _with_orphans(spark, sf)
+    found, deleted, left = store.count_orphans(), store.delete_orphans(), store.count_orphans()
+    return store.table("chunks").agg(F.count("*").alias("chunks")).select(F.lit(found).cast("long").alias("orphans"), F.lit(deleted).cast("long").alias("deleted"), F.lit(left).cast("long").alias("left_over"), "chunks")
 
 
 def _text_id(df: DataFrame, column: str = "id") -> DataFrame:
@@ -156,6 +177,44 @@ def force_replace(spark: SparkSession, sf: str) -> DataFrame:
     return store.table("documents").select(F.col("id").cast("long").alias("id"), "file_path", "doc_type")
 
 
+def keyword_only_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with vectors ingested for keywords alone: no chunk keeps its vector."""
+    store, docs = _catalog(spark), corpus.documents(spark, sf)
+    vectors = corpus.chunks(spark, sf).select(F.col("document_id").cast("string"), "embedding")
+    store.ingest(_text_id(docs), _named(docs).join(vectors, "document_id", "left"), keyword_only=True)
+    rows = store.table("chunks")
+    return rows.groupBy(F.col("embedding").isNull().alias("without_vector")).agg(F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents"))
+
+
+def all_or_nothing(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of which some have no document are refused as a whole; what is there is what was there before."""
+    store, docs = _catalog(spark), corpus.documents(spark, sf)
+    store.ingest(_text_id(docs.filter(F.col("id") % 2 == 0)), _named(docs.filter(F.col("id") % 2 == 0)))
+    try:
+        store.add_chunks(_named(docs).withColumn("chunk_index", F.lit(1)))
+        refused = False
+    except ValueError:
+        refused = True
+    return store.table("chunks").groupBy("chunk_index").agg(F.count("*").alias("chunks")).withColumn("refused", F.lit(refused))
+
+
+def indexed_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 by the index that ingestion keeps: documents in two changes, then German ones replaced and French ones deleted."""
+    store, texts = _catalog(spark, indexed=True), table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = texts.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("d/"), "doc_id").alias("file_path"), F.concat(F.lit("d/"), "doc_id").alias("name"), "lang", "text")
+    for odd in (0, 1):
+        some = docs.filter(F.col("id").cast("long") % 2 == odd)
+        store.ingest(some, _bodies(some, ""))
+    german = docs.filter("lang = 'de'").withColumn("id", F.concat(F.lit("new-"), "id"))
+    store.ingest(german, _bodies(german, " again"), force=True)
+    store.delete_documents(docs.filter("lang = 'fr'").select("id"))
+    return store.keyword_index().search(corpus.text_queries(spark, sf), 5)
+
+
+def _bodies(docs: DataFrame, more: str) -> DataFrame:
+    return docs.select("id", F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), F.concat("text", F.lit(more)).alias("text"))
+
+
 def status_update(spark: SparkSession, sf: str) -> DataFrame:
     store, docs = _catalog(spark), _text_id(corpus.documents(spark, sf))
     store.add_documents(docs)
@@ -181,6 +240,15 @@ def wiki_list_entries(spark: SparkSession, sf: str) -> DataFrame:
     return _wiki(spark, sf).all_entries().select(F.col("index_id").cast("long").alias("index_id"), F.substring_index("id", "-", -1).cast("long").alias("id"), "title", "body")
 
 
+def wiki_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries by index once two indexes went with theirs."""
+    store = _wiki(spark, sf)
+    for i in (1, 2):
+        store.delete_index(f"{i:012d}")
+    left = store.table("wiki_entries").groupBy("index_id").agg(F.count("*").alias("entries"))
+    return left.join(store.indexes().select(F.col("id").alias("index_id")), "index_id", "left").select(F.col("index_id").cast("long").alias("conv_id"), "entries")
+
+
 def wiki_update(spark: SparkSession, sf: str) -> DataFrame:
     store = _wiki(spark, sf)
     store.update_entry(f"{1:012d}-{0:06d}", "new title", "new body")
@@ -296,6 +364,7 @@ def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        gc_counts, keyword_only_ingest, all_or_nothing, indexed_ingest, wiki_cascade,
         scan_documents, scan_live_chunks, list_search, list_filter_in, list_page, list_offset, list_count, chunk_by_index, chunks_of_document, embedded_only, orphan_chunks, orphan_count, gc_survivors,
         point_lookup, documents_at_path, hits_placeholder, document_texts, unique_words, orphan_relations, cascade_survivors, skip_duplicates, force_replace, status_update, wiki_list_indexes, wiki_list_entries, wiki_update, kg_find, kg_neighbors, kg_checked, kg_link, kg_subgraph, kg_subgraph_relations, kg_build, kg_build_relations, kg_ask, kg_upsert, hier_build, hier_search, embed_batches,
     )
@@ -339,7 +408,12 @@ SQL = {
     "embedded_only": "SELECT doc_id AS id, len(embedding) AS dimension FROM documents JOIN embeddings ON vec_id = doc_id",
     "orphan_chunks": f"{_D} SELECT vec_id AS id, vec_id AS document_id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM {_LIVE})",
     "orphan_count": f"{_D} SELECT count(*) AS orphans FROM embeddings WHERE vec_id NOT IN (SELECT id FROM {_LIVE})",
-    "gc_survivors": f"{_D} SELECT label, count(*) AS chunks FROM embeddings WHERE vec_id IN (SELECT id FROM {_LIVE}) GROUP BY label",
+    "gc_counts": "SELECT count(*) FILTER (WHERE vec_id % 7 = 0) AS orphans, count(*) FILTER (WHERE vec_id % 7 = 0) AS deleted, 0::BIGINT AS left_over, count(*) FILTER (WHERE vec_id % 7 <> 0) AS chunks FROM embeddings",
+    "keyword_only_ingest": "SELECT true AS without_vector, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM documents",
+    "all_or_nothing": "SELECT 0 AS chunk_index, count(*) AS chunks, true AS refused FROM documents WHERE doc_id % 2 = 0",
+    "indexed_ingest": f"""WITH {bm25_ctes("SELECT CASE lang WHEN 'de' THEN 'new-' ELSE '' END || doc_id AS id, CASE lang WHEN 'de' THEN text || ' again' ELSE text END AS text FROM documents WHERE coalesce(lang, '') <> 'fr'", TEXT_QUERIES)} {top_rows("scored", 5)}""",
+    "wiki_cascade": "SELECT conv_id, count(*) AS entries FROM conversations WHERE conv_id NOT IN (1, 2) GROUP BY conv_id",
+    "gc_survivors": "SELECT label, count(*) AS chunks FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY label",
     "cascade_survivors": "SELECT conv_id, count(*) AS turns FROM conversations WHERE conv_id % 2 <> 0 GROUP BY conv_id",
     "skip_duplicates": f"{_D} SELECT id, file_path FROM docs WHERE id % 2 <> 0",
     "force_replace": f"{_D} SELECT CASE WHEN doc_type = 'de' THEN id + 1000000000 ELSE id END AS id, file_path, doc_type FROM docs",

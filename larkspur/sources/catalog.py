@@ -17,13 +17,16 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 from typing import TypeVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators.inverted import KeywordIndex, write_part
 from larkspur.operators.listing import live_chunks, orphan_chunks
+from larkspur.sources.shared import written
 
 SCHEMAS = {
     "documents": "id string, name string, file_path string, doc_type string, content_type string, status string, error string, created_at timestamp, updated_at timestamp",
@@ -34,8 +37,8 @@ SCHEMAS = {
 INDEXING, INDEXED, FAILED = "indexing", "indexed", "failed"
 
 
-#: Keys up to which a deletion's keys are broadcast to readers; above, the join is left to Spark.
-MAX_BROADCAST_KEYS = 1_000_000
+#: Keys, of all deletions of a table together, up to which they are broadcast to readers; above, the join is left to Spark.
+MAX_BROADCAST_KEYS = 200_000
 #: Entries of a log from which ``compact`` is worth it.
 LONG_LOG = 40
 ATTEMPTS = 8
@@ -67,10 +70,10 @@ class ConflictError(RuntimeError):
 
 
 class Catalog:
-    """The tables under one base path."""
+    """The tables under one base path. ``indexed``: every part of chunks that is added gets its postings beside it."""
 
-    def __init__(self, spark: SparkSession, base: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC)):
-        self.spark, self.base, self.clock, self.closed = spark, base.rstrip("/"), clock, False
+    def __init__(self, spark: SparkSession, base: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC), indexed: bool = False):
+        self.spark, self.base, self.clock, self.closed, self.indexed = spark, base.rstrip("/"), clock, False, indexed
         self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
@@ -81,8 +84,8 @@ class Catalog:
 
     # versions
 
-    def _listed(self) -> list:
-        return [f.getPath() for f in self._fs.listStatus(self._at(""))] if self._fs.exists(self._at("")) else []
+    def _listed(self, name: str = "") -> list:
+        return [f.getPath() for f in self._fs.listStatus(self._at(name))] if self._fs.exists(self._at(name)) else []
 
     def version(self) -> int:
         """The number of the last manifest; 0 where there is none."""
@@ -106,8 +109,11 @@ class Catalog:
         return folder
 
     def _rows(self, df: DataFrame, name: str) -> dict:
-        """An entry that adds rows."""
-        return {"add": self._written(df, name)}
+        """An entry that adds rows, and for chunks of an indexed catalog a part of their index."""
+        entry = {"add": self._written(df, name)}
+        if name == "chunks" and self.indexed:
+            entry["terms"] = write_part(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{entry['add']}"), f"{self.base}/terms")
+        return entry
 
     def _keys(self, keys: DataFrame | list, name: str, column: str = "id") -> dict:
         """An entry that hides the rows of these keys (of a list, or the only column of a table)."""
@@ -169,30 +175,54 @@ class Catalog:
         version = self.version()
         named = {x for log in self._logs(version).values() for e in log for x in (e.get("add"), e.get("hide"))} | {f"manifest-{version:012d}.json"}
         old = [p for p in self._listed() if p.getName() not in named and p.getName().partition("-")[0] in (*SCHEMAS, "manifest")]
+        indexed = {f"part={e['terms']}" for log in self._logs(version).values() for e in log if "terms" in e}
+        for kind in ("postings", "blocks"):
+            old += [p for p in self._listed(f"terms/{kind}") if p.getName() not in indexed]
         for p in old:
             self._fs.delete(p, True)
         return len(old)
 
-    def table(self, name: str, version: int | None = None) -> DataFrame:
-        """A table as it is now, or was at a version."""
-        out, parts = None, []
+    def _parts(self, log: Log, kind: str = "add") -> tuple[list[list[str]], dict[str, DataFrame], int]:
+        """(parts by generation, by column the keys (key, until) that hide rows of generations before ``until``, all keys' number).
 
-        def read() -> DataFrame:
-            new = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.base}/{p}" for p in parts])
-            return new if out is None else out.unionByName(new)
+        A deletion begins a new generation, so a log of any number of them is joined once for each kind of key.
+        """
+        generations: list[list[str]] = [[]]
+        hidden: dict[str, list[DataFrame]] = {}
+        for entry in log:
+            if kind in entry:
+                generations[-1].append(entry[kind])
+            elif entry.get("keys"):
+                key = self.spark.read.schema(f"{entry['by']} string").parquet(f"{self.base}/{entry['hide']}").toDF("__key")
+                hidden.setdefault(entry["by"], []).append(key.withColumn("__until", F.lit(len(generations))))
+                generations.append([])
+        last = {by: reduce(DataFrame.unionByName, keys).groupBy("__key").agg(F.max("__until").alias("__until")) for by, keys in hidden.items()}
+        return generations, last, sum(entry.get("keys", 0) for entry in log)
 
-        for entry in self._logs(self.version() if version is None else version).get(name, []):
-            if "add" in entry:
-                parts.append(entry["add"])
-                continue
-            if parts:
-                out, parts = read(), []
-            if out is not None and entry["keys"]:
-                keys = self.spark.read.parquet(f"{self.base}/{entry['hide']}")
-                out = out.join(F.broadcast(keys) if entry["keys"] <= MAX_BROADCAST_KEYS else keys, entry["by"], "left_anti").select(*out.columns)
-        if parts:
-            out = read()
-        return self.spark.createDataFrame([], SCHEMAS[name]) if out is None else out
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A table as it is now, or was at a version."""
+        generations, hidden, n = self._parts(self._logs(self.version() if version is None else version).get(name, []))
+        parts = [self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.base}/{f}" for f in folders]).withColumn("__generation", F.lit(g)) for g, folders in enumerate(generations) if folders]
+        if not parts:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        out = reduce(DataFrame.unionByName, parts)
+        for by, keys in hidden.items():
+            gone = (F.col(by) == F.col("__key")) & (F.col("__generation") < F.col("__until"))
+            out = out.join(F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys, gone, "left_anti")
+        return out.drop("__generation")
+
+    def keyword_index(self) -> KeywordIndex:
+        """The index of the chunks as they are now, of the parts that ingestion has written; texts aren't read."""
+        log = self._logs(self.version()).get("chunks", [])
+        if any("add" in e and "terms" not in e for e in log):
+            raise ValueError("chunks were added without an index; compact them with indexed=True")
+        generations, hidden, _ = self._parts(log, "terms")
+        index = KeywordIndex(self.spark, f"{self.base}/terms", generations)
+        if not hidden:
+            return index
+        rows = index.lengths(generation=True)
+        gone = [rows.join(keys, (F.col(by) == F.col("__key")) & (F.col("generation") < F.col("__until")), "left_semi").select("generation", "id") for by, keys in hidden.items()]
+        return KeywordIndex(self.spark, f"{self.base}/terms", generations, written(reduce(DataFrame.unionByName, gone).distinct(), "gone"))
 
     def _updated(self, name: str, changes: DataFrame) -> None:
         """Rows of the ids of ``changes`` get its other columns; ids that aren't there don't matter."""
@@ -238,8 +268,11 @@ class Catalog:
         """Documents of exactly this path, newest first."""
         return self.table("documents").filter(F.col("file_path") == path).orderBy(F.desc("created_at"), F.desc("id"))
 
-    def delete_documents(self, ids: list[str] | DataFrame) -> int:
-        """Delete documents and their chunks; the number of chunks that went. Unknown ids don't matter."""
+    def delete_documents(self, ids: list[str] | DataFrame, cascade: bool = True) -> int:
+        """Delete documents and their chunks; the number of chunks that went. Unknown ids don't matter.
+
+        Without ``cascade`` chunks stay, as orphans.
+        """
         if not isinstance(ids, DataFrame):
             if not ids:
                 return 0
@@ -247,6 +280,9 @@ class Catalog:
 
         def change(seen: int) -> int:
             by_id = self._keys(ids, "documents")
+            if not cascade:
+                self._commit({"documents": [by_id]}, seen)
+                return 0
             keys = self.spark.read.parquet(f"{self.base}/{by_id['hide']}")
             gone = self.table("chunks", seen).join(keys.withColumnRenamed("id", "document_id"), "document_id", "left_semi").count()
             self._commit({"documents": [by_id], "chunks": [self._keys(keys, "chunks", "document_id")]}, seen)

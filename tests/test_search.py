@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as v
 from larkspur.operators import bm25, corrective, fusion, listing, retrieval, rewrite, vector_search
+from larkspur.operators.inverted import KeywordIndex
 from larkspur.operators.retrieval import Retriever, SearchOptions
 from larkspur.sources.models import heuristic_evaluator, rule_rewriter
 
@@ -56,17 +57,43 @@ def test_vector_search_guards(spark, chunks):
     q = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [1.0]), (2, None)], "query_id long, query_vec array<float>")
     got = vector_search.vector_search(odd, q, 5, 0.5).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id) for r in got] == [(0, 1), (0, 2), (1, 5)]
-    native = vector_search.native_scores(odd, q.filter("query_id = 0")).filter("score > 0").count()
-    assert native == 2
+    pairs = odd.crossJoin(q.filter("query_id = 0")).filter(F.size("embedding") == F.size("query_vec"))
+    assert pairs.filter(v.cosine(F.col("embedding"), F.col("query_vec")) > 0).count() == 2
     assert vector_search.vector_search(odd, q.limit(0), 5).count() == 0
 
 
-def test_vector_search_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("cosines", [True, False])
+def test_vector_search_by_tiles_and_cells(spark, monkeypatch, cosines):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    q = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    whole = sorted(vector_search.vector_search(e, q, 3).collect())
-    monkeypatch.setattr(vector_search, "BLOCK", 4)
-    assert sorted(vector_search.vector_search(e, q, 3).collect()) == whole
+    longer = F.transform("embedding", lambda x: x * (F.col("id") % 7 + 1))
+    e = e.withColumn("embedding", F.when(F.col("id") % 3 == 0, longer).otherwise(F.slice("embedding", 1, 10))).repartition(5)
+    q = e.filter("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    q = q.unionByName(q.filter("query_id % 10 = 0").withColumn("query_vec", F.reverse("query_vec")))  # two vectors of a query
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    sent = vector_search.vector_search(e, q, 3, None, cosines)
+    pairs = vector_search.similar_pairs(e, q, 0.4, cosines)
+    want, want_pairs = sorted(sent.collect()), sorted(pairs.collect())
+    brute = e.join(q, F.size("embedding") == F.size("query_vec")).select("query_id", "id", F.round((v.cosine if cosines else v.dot)(F.col("embedding"), F.col("query_vec")), 9).alias("score"))
+    assert sorted((r.query_id, r.id, round(r.score, 6)) for r in brute.filter("score >= 0.4").collect()) == [(r.query_id, r.id, round(r.score, 6)) for r in want_pairs]
+    assert plan(sent).count("FileScan parquet") == 2 and "NestedLoop" not in plan(sent) and "Cartesian" not in plan(sent)
+    for name, value in (("TILE", 16), ("MOST_SENT", 0), ("VECTOR_STRIP", 3), ("QUERY_STRIP", 2), ("MOST_HELD", 10)):
+        monkeypatch.setattr(vector_search, name, value)
+    monkeypatch.setattr(vector_search.tiles, "__defaults__", (16,))
+    assert sorted(vector_search.vector_search(e, q, 3, None, cosines).collect()) == want
+    assert sorted(vector_search.similar_pairs(e, q, 0.4, cosines).collect()) == want_pairs
+    assert "NestedLoop" not in plan(vector_search.vector_search(e, q, 3, None, cosines))
+
+
+def test_norms_pass_tiles_over():
+    import numpy as np
+
+    best = vector_search._Best(np.arange(2), np.eye(2), 1, -np.inf, 9, cosines=False)
+    best.meet(np.array([7]), np.array([[9.0, 8.0]]), 12.1)
+    held = best.held.copy()
+    best.meet(np.array([8]), np.array([[np.nan, np.nan]]), 7.9)  # isn't looked at: no norm of it reaches what is kept
+    assert (best.held == held).all() and sorted(best.held["score"]) == [8.0, 9.0]
+    best.meet(np.array([9]), np.array([[1.0, 8.5]]), 8.6)
+    assert sorted(best.held["score"]) == [8.5, 9.0]
 
 
 def test_tasks_keep_only_their_best(spark):
@@ -178,3 +205,54 @@ def test_pipeline(chunks):
     assert set(ids(Retriever(chunks, rewriter=broken).search("networks"))) == {2}
     assert len(Retriever(chunks).search("learning", SearchOptions(top_k=1))) == 1
     assert SearchOptions(threshold=0.0).settled(Retriever(chunks)).threshold == 0.0 and SearchOptions(top_k=0).settled(Retriever(chunks)).top_k == 5
+
+
+# the inverted index
+
+
+def same_hits(a, b):
+    return sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_index_like_scores_of_all(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    index = KeywordIndex.of(docs, f"{tmp_path}/index")
+    asked = docs.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring("text", 1, 300).alias("query"))
+    asked = asked.unionByName(queries(spark, "the the of and", "zzz", "", "the").withColumn("query_id", F.col("query_id") + 1000))
+    for k in (1, 5, 40):
+        assert same_hits(index.search(asked, k), bm25.bm25_search(docs, asked, k))
+    assert same_hits(index.document_frequencies(), bm25.document_frequencies(bm25.term_frequencies(docs)))
+    assert index.statistics().first() == bm25.corpus_statistics(docs).first()
+    assert same_hits(index.keyword_search(["the", "of", "the"], 7), retrieval.keyword_search(docs, "the of the", 7))
+
+
+def test_index_reads_its_terms_only(spark, tmp_path):
+    docs = spark.range(3000).select("id", F.concat(F.lit("common word "), F.when(F.col("id") % 500 == 3, "rare rare find").otherwise("plain"), F.lit(" n"), "id").alias("text"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    index = KeywordIndex.of(spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/index")
+    found = index.search(queries(spark, "rare common"), 3)
+    assert [(r.id, r.rank) for r in found.orderBy("rank").collect()] == [(3, 1), (503, 2), (1003, 3)]
+    plan = index.postings(["rare"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:60] and "EqualTo(term,rare)" in plan
+    read = {f.split("bucket=")[1].split("/")[0] for f in index.postings(["rare"]).select(F.input_file_name().alias("f")).distinct().toPandas().f}
+    assert len(read) == 1
+    # chunks are only ranked that have the term which leads
+    terms = bm25.query_terms(queries(spark, "rare common"))
+    asked, bounds = index.plan(terms, 3)
+    assert {(r.term, r.lead) for r in asked.collect()} == {("rare", True), ("common", False)} and bounds.count() == 1
+
+
+def test_index_of_odd_chunks(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "机器学习 machine"), (4, "..."), (5, "machine " * 3000), (6, "Machine")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    index = KeywordIndex.of(docs, f"{tmp_path}/index")
+    asked = queries(spark, "machine", "机器", "学", "")
+    assert same_hits(index.search(asked, 3), bm25.bm25_search(docs, asked, 3)) and index.lengths().count() == 6
+    none = KeywordIndex.of(docs.limit(0), f"{tmp_path}/none")
+    assert none.search(asked, 3).count() == 0 and none.keyword_search(["machine"], 3).count() == 0
+    assert KeywordIndex(spark, f"{tmp_path}/none", [], types=("bigint", "string")).search(asked, 3).count() == 0
+
+
+def test_retriever_with_an_index(spark, chunks, tmp_path):
+    index = KeywordIndex.of(chunks, f"{tmp_path}/index")
+    assert Retriever(chunks, index=index).search("learning machine") == Retriever(chunks).search("learning machine")

@@ -7,6 +7,7 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.plans import cli, sinks
 from larkspur.plans import config as settings
@@ -273,3 +274,35 @@ def test_stream(spark, tmp_path):
         (folder / f"{i}.txt").write_text(f"text number {i}")
         follow_folder(spark, f"file://{folder}", catalog, f"file://{tmp_path}/cp").awaitTermination()
     assert sorted(r.text for r in catalog.live_chunks().collect()) == ["text number 0", "text number 1"]
+
+
+def test_stream_keeps_the_index(spark, tmp_path):
+    from larkspur.operators import bm25
+
+    folder, catalog = tmp_path / "in", Catalog(spark, f"file://{tmp_path}/base", indexed=True)
+    folder.mkdir()
+    for n in range(3):
+        for i in range(2):
+            (folder / f"{n}-{i}.txt").write_text(f"text number {n * 2 + i} of the batch " + "word " * (n + i))
+        follow_folder(spark, f"file://{folder}", catalog, f"file://{tmp_path}/cp").awaitTermination()
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+
+    def current():
+        chunks, index = catalog.table("chunks"), catalog.keyword_index()
+        assert pairs(index.document_frequencies()) == pairs(bm25.document_frequencies(bm25.term_frequencies(chunks)))
+        assert index.statistics().first() == bm25.corpus_statistics(chunks).first()
+        asked = spark.createDataFrame([(0, "number word"), (1, "batch 3")], "query_id long, query string")
+        assert pairs(index.search(asked, 3)) == pairs(bm25.bm25_search(chunks, asked, 3))
+        return index
+
+    assert sum(len(parts) for _, parts in current().generations) == 3
+    gone = catalog.table("documents").filter(F.col("name").isin("0-1.txt", "2-0.txt")).select("id")
+    assert catalog.delete_documents(gone) == 2 and current().hidden.count() == 2
+    catalog.compact("chunks", "documents")
+    catalog.vacuum()
+    assert current().hidden is None and len(list((tmp_path / "base/terms/postings").iterdir())) == 1
+    with pytest.raises(ValueError, match="without an index"):
+        plain = Catalog(spark, f"file://{tmp_path}/plain")
+        plain.add_documents([{"id": "d", "name": "n", "file_path": "p"}])
+        plain.add_chunks([{"document_id": "d", "chunk_index": 0, "text": "t"}])
+        plain.keyword_index()
