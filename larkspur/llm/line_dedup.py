@@ -7,9 +7,12 @@ for one case: a document of whose distinct lines those are more than ``most_remo
 proven copy of another such document keeps its whole text, because that is a copy, not a page with boilerplate around it,
 and removing copies is the near-duplicate join's work.
 
-A copy is proven by an equal text, or by a text of exactly computed similarity 0.8 or more (five-word shingles). Texts meet
-in buckets of two minima of their shingles' hashes, ``BUCKETS`` of them a text; each bucket has one member that the others
-are compared with, another one in every bucket. Two texts of similarity 0.8 share a bucket with probability 0.9997.
+A copy is proven by an equal text, or by a text of exactly computed similarity 0.8 or more (five-word shingles). First,
+texts meet in buckets of two minima of their shingles' hashes, ``BUCKETS`` of them a text; each bucket has one member that
+the others are compared with, another one in every bucket: that proves nearly all members of large groups, and each costs
+a few comparisons. What isn't proven then is joined with all such texts by prefix: shingles in order of rarity, two texts
+of similarity 0.8 share one among each one's first fifth, and lengths and places in that order bound what they can share.
+So no copy is missed, however alike the crowd around it is.
 
 Defined cases: a null text is an empty one (one empty line); lines are what stands between line feeds, compared byte by
 byte; lines of white space only are never boilerplate; a null site counts for no line; repeated rows are treated alike (and
@@ -69,7 +72,10 @@ def _text_key(text: Column) -> Column:
 
 
 def copies(docs: DataFrame, some: DataFrame, near: float = NEAR) -> DataFrame:
-    """text_key of those of ``some`` (doc_id, text_key, times: rows of ``docs``) whose text another row of ``some`` equals or resembles."""
+    """text_key of those of ``some`` (doc_id, text_key, times: rows of ``docs``) whose text another row of ``some`` equals or resembles.
+
+    Exact: what buckets don't prove is looked for by _prefix_pairs().
+    """
     texts = written(some.groupBy("text_key").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id"))["doc_id"].alias("__doc")), "texts")
     each = written(_each_text(docs, texts.select("__doc", "text_key")).filter(F.size("shingles") > 0), "shingles")
 
@@ -81,14 +87,35 @@ def copies(docs: DataFrame, some: DataFrame, near: float = NEAR) -> DataFrame:
     first = F.min(F.struct(F.xxhash64("text_key", "bucket"), "text_key"))["text_key"]
     # a table of its own, so that Spark can split the rows of a large bucket in the join
     firsts = written(buckets.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1").drop("n"), "firsts")
-    pairs = buckets.join(firsts, "bucket").filter("text_key <> first").select("text_key", "first").distinct()
-    met = pairs.join(each.select(F.col("text_key").alias("first"), F.col("shingles").alias("theirs")), "first").join(each, "text_key")
+    pairs = buckets.join(firsts, "bucket").filter("text_key <> first").select("text_key", F.col("first").alias("other")).distinct()
+    proven = written(_alike(pairs, each, near).unionByName(texts.filter("times > 1").select("text_key")).distinct(), "proven")
+    unproven = written(each.join(proven, "text_key", "left_anti"), "unproven")
+    more = _alike(_prefix_pairs(unproven, each, near), each, near)
+    out = written(proven.unionByName(more).distinct(), "copies")
+    discard(texts, each, buckets, firsts, proven, unproven)
+    return out
+
+
+def _alike(pairs: DataFrame, each: DataFrame, near: float) -> DataFrame:
+    """text_key of both sides of the pairs (text_key, other) that are as similar as ``near``."""
+    met = pairs.join(each.select(F.col("text_key").alias("other"), F.col("shingles").alias("theirs")), "other").join(each, "text_key")
     both = F.size(F.array_intersect("shingles", "theirs"))
     like = met.filter(both >= near * (F.size("shingles") + F.size("theirs") - both) - 1e-6)
-    proven = like.select(F.explode(F.array("text_key", "first")).alias("text_key"))
-    out = written(proven.unionByName(texts.filter("times > 1").select("text_key")).distinct(), "copies")
-    discard(texts, each, buckets, firsts)
-    return out
+    return like.select(F.explode(F.array("text_key", "other")).alias("text_key"))
+
+
+def _prefix_pairs(asked: DataFrame, each: DataFrame, near: float) -> DataFrame:
+    """text_key of ``asked``, other: all pairs with a text of ``each`` (text_key, shingles) that may be as similar as ``near``."""
+    rows = each.select("text_key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rarity = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    in_order = rows.join(rarity, "shingle").groupBy("text_key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    # more of the text than this can't be missing from a text that is as similar
+    first = F.slice("s", F.lit(1), F.least(F.size("s"), F.floor((1 - near) * F.col("n") + 1e-6).cast("int") + 1))
+    prefixes = written(in_order.select("text_key", "n", F.posexplode(first).alias("at", "x")).filter("x.df > 1").select("text_key", "n", "at", F.col("x.shingle").alias("shingle")), "prefixes")
+    theirs = prefixes.select(F.col("text_key").alias("other"), F.col("n").alias("n2"), F.col("at").alias("at2"), "shingle")
+    shared = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + F.least("at", "at2")
+    may = (F.col("text_key") != F.col("other")) & (F.col("n2") >= near * F.col("n") - 1e-6) & (F.col("n") >= near * F.col("n2") - 1e-6) & (shared >= near / (1 + near) * (F.col("n") + F.col("n2")) - 1e-6)
+    return prefixes.join(asked.select("text_key"), "text_key", "left_semi").join(theirs, "shingle").filter(may).select("text_key", "other").distinct()
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, most_removed: float = MOST_REMOVED) -> DataFrame:

@@ -77,6 +77,36 @@ def test_copies_are_proven(spark, monkeypatch):
     assert sum(w[4] for w in want) > 80 and not any(w[4] for w in want[-12:]) and all(w[3] == 1 for w in want[-12:])
 
 
+def test_no_copy_is_lost_in_a_crowd(spark):
+    """2,000 texts that resemble each other by 0.6 and hold pairs at 0.8 to 0.9, and a group whose members resemble its middle only."""
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randint(0, 10**9)}"
+    common, values = [word() for _ in range(154)], []
+    for _ in range(800):
+        values.append(" ".join(common + [word() for _ in range(50)]))
+    for i in range(600):
+        own, n = [word() for _ in range(50)], 22 + i % 27
+        values += [" ".join(common + own), " ".join(common + own[:n] + [word() for _ in range(50 - n)])]
+    middle = [word() for _ in range(300)]
+    for i in range(60):
+        values.append(" ".join(middle[:i] + [word()] + middle[i + 1 : 150 + i] + [word() for _ in range(3)] + middle[153 + i :]))
+    sets = [shingles_of(v) for v in values]
+    seen = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            seen.setdefault(x, []).append(i)
+    near = set()
+    for i, s in enumerate(sets):
+        others = {j for x in s if len(seen[x]) < 500 for j in seen[x] if j != i}
+        if any(jaccard(s, sets[j]) >= 0.8 for j in others):
+            near.add(i)
+    assert 0.55 < jaccard(sets[0], sets[1]) < 0.62 and 600 < len(near) < 1260
+    docs = texts(spark, values)
+    keys = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lit(1).cast("long").alias("times"))
+    found = {r.text_key for r in line_dedup.copies(docs, keys).collect()}
+    assert {r.doc_id for r in keys.collect() if r.text_key in found} == near
+
+
 def test_line_dedup_odd(spark):
     docs = odd_documents(spark)
     for least in (1, 2):
