@@ -291,6 +291,17 @@ def test_toxicity_held_out():
     assert auc(scores, y[1100:]) > 0.97 and ((scores >= toxicity.FLAG) == y[1100:]).mean() > 0.95
 
 
+def test_toxicity_of_real_labels_held_out():
+    """Few labels (about 300) at sf0.01: those held out are told apart."""
+    text = dict(zip(*(pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pydict()[c] for c in ("doc_id", "text")), strict=True))
+    labels = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pydict()
+    rows = [(text[i], y, zlib.crc32(str(i).encode()) % 4 == 2) for i, y in zip(labels["doc_id"], labels["toxic"], strict=True) if i in text and y is not None]
+    learned = [(t, y) for t, y, out in rows if not out and len(t or "") <= learning.MAX_CHARS]
+    net = toxicity.fit([t for t, _ in learned], np.array([y for _, y in learned], dtype=float))
+    scores, y = net.scores([t or "" for t, _, out in rows if out])[0], np.array([y for _, y, out in rows if out])
+    assert auc(scores, y) > 0.9 and (scores[y == 1] >= toxicity.FLAG).mean() > 0.7 and (scores[y == 0] >= toxicity.FLAG).mean() < 0.05
+
+
 def test_toxicity_odd(spark):
     docs, labels = small(spark), small(spark, "labels")
     net = toxicity.learn(docs, labels)
