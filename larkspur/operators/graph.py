@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import unfenced
-from larkspur.operators.bounded import in_blocks, sent
+from larkspur.operators import matching
+from larkspur.operators.bounded import sent
 from larkspur.sources.models import ask
-from larkspur.sources.shared import written
+from larkspur.sources.shared import delete, run_dir, written
 
-#: Names that meet the entities at once.
-BLOCK = 4096
+#: Neighbours of an entity in one row of an adjacency table, about.
+HUB = 10_000
 
 #: What a model is asked to answer with.
 ANSWER = "entities array<struct<id:string,name:string,type:string,description:string,properties:map<string,string>>>, relations array<struct<id:string,source:string,target:string,type:string,description:string,properties:map<string,string>>>"
@@ -73,10 +75,13 @@ def find_entities(entities: DataFrame, name: str) -> DataFrame:
 
 
 def link_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
-    """query_id, id: entities whose name contains one of a query's names (query_id, name), ASCII or not, whatever the case."""
-    wanted = names.select("query_id", F.lower("name").alias("__name")).filter(F.col("__name") != "")
-    linked = lambda some: entities.join(F.broadcast(some), F.contains(F.lower("name"), F.col("__name"))).select("query_id", "id").distinct()
-    return in_blocks(wanted, BLOCK, linked).distinct()
+    """query_id, id: entities whose name contains one of a query's names (query_id, name), ASCII or not, whatever the case.
+
+    Every entity's name runs once through an automaton of the distinct names (of each block of them).
+    """
+    wanted = names.select("query_id", F.lower("name").alias("phrase")).filter(F.col("phrase") != "")
+    found = matching.phrases_in(entities.select("id", F.lower("name").alias("text")), wanted)
+    return found.join(wanted, "phrase").select("query_id", "id").distinct()
 
 
 def outgoing(relations: DataFrame, entity_id: str) -> DataFrame:
@@ -93,21 +98,52 @@ def neighbours(relations: DataFrame) -> DataFrame:
     return forth.unionByName(forth.select(F.col("other").alias("id"), F.col("id").alias("other"), "relation_id"))
 
 
-def reached(relations: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+class Adjacency:
+    """Both directions of relations as a table that is written once: id, others (an array), in buckets by id.
+
+    Hops join what they have reached with it, which is all that is shuffled. An entity of more than ``hub`` neighbours has as
+    many rows as it takes to keep each to about ``hub`` of them, so none is one task's.
+    """
+
+    def __init__(self, relations: DataFrame, hub: int = HUB):
+        self.spark = relations.sparkSession
+        edges = neighbours(relations).select("id", "other").filter(F.col("id").isNotNull() & F.col("other").isNotNull())
+        hubs = edges.groupBy("id").agg(F.count("*").alias("__n")).filter(F.col("__n") > hub)
+        salt = F.pmod(F.xxhash64("other"), F.coalesce(F.ceil(F.col("__n") / hub), F.lit(1)))
+        rows = edges.join(sent(hubs), "id", "left").groupBy("id", salt.alias("salt")).agg(F.collect_set("other").alias("others"))
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.path = f"larkspur_adjacency_{uuid.uuid4().hex}", f"{run_dir(self.spark)}/adjacency-{uuid.uuid4().hex}"
+        rows.select("id", "others").repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").option("path", self.path).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def step(self, frontier: DataFrame) -> DataFrame:
+        """query_id, id of what is one relation away from the frontier's (query_id, id), with repeats."""
+        # a small frontier is sent to the table's readers; a large one is dealt out by id, as the table is already
+        return self.table().join(sent(frontier), "id").select("query_id", F.explode("others").alias("id"))
+
+    def drop(self) -> None:
+        """The table goes; what was reached is in tables of its own."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
+def reached(relations: DataFrame, seeds: DataFrame, hops: int = 2, hub: int = HUB) -> DataFrame:
     """query_id, id, hops: entities at most ``hops`` (0 and less: 2) relations from a query's seeds (query_id, id).
 
     Each round joins only what the last one found, and is a table of its own, so plans don't grow with the rounds.
     """
     hops = hops if hops > 0 else 2
-    edges = neighbours(relations).select("id", "other").distinct()
+    edges = Adjacency(relations, hub)
     seen = frontier = written(seeds.select("query_id", "id").distinct().withColumn("hops", F.lit(0)), "seeds")
     for h in range(1, hops + 1):
-        # a small frontier is sent to the edges, so that an entity with very many of them isn't one task's; else Spark splits it
-        new = edges.join(sent(frontier), "id").select("query_id", F.col("other").alias("id")).distinct()
+        new = edges.step(frontier).distinct()
         frontier = written(new.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("hops", F.lit(h)), f"hop{h}")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    edges.drop()
     return seen
 
 

@@ -11,11 +11,16 @@ _runs: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the folder that checkpoints go to, else one in the warehouse: all of them shared."""
+    """spark.checkpoint.dir, else the folder that checkpoints go to, else one in the warehouse.
+
+    The first two are shared because they were set; a warehouse that lies on the driver's own disk is refused on a cluster.
+    """
     asked = spark.conf.get("spark.checkpoint.dir", None)
     if not asked:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         asked = set_dir.get() if set_dir.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/.shared"
+        if not set_dir.isDefined() and asked.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{asked} isn't shared by driver and executors: set spark.checkpoint.dir to a folder that is")
     return asked.rstrip("/")
 
 
@@ -31,12 +36,13 @@ def run_dir(spark: SparkSession) -> str:
 def _drop_runs() -> None:
     for folder, spark in _runs.items():
         try:
-            _delete(spark, folder)
+            delete(spark, folder)
         except Exception:  # noqa: S110  the application has ended before its driver
             pass
 
 
-def _delete(spark: SparkSession, at: str) -> None:
+def delete(spark: SparkSession, at: str) -> None:
+    """Delete a folder, wherever it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -55,4 +61,4 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more; others are left alone."""
     for t in tables:
         if at := t.__dict__.pop("shared_path", None):
-            _delete(t.sparkSession, at)
+            delete(t.sparkSession, at)

@@ -215,6 +215,39 @@ def test_graph(spark):
     assert {(r.id, r.hops) for r in graph.reached(circle, seeds.filter("id = 'e1'"), 9).collect()} == {("e1", 0), ("e2", 1), ("e4", 1), ("e3", 2)}
 
 
+def test_adjacency_with_a_hub(spark):
+    hub = spark.range(5000).select(F.concat(F.lit("a"), "id").alias("id"), F.lit("hub").alias("source"), F.concat(F.lit("n"), "id").alias("target"))
+    chain = spark.range(4).select(F.concat(F.lit("c"), "id").alias("id"), F.concat(F.lit("n"), "id").alias("source"), F.concat(F.lit("m"), "id").alias("target"))
+    relations = hub.unionByName(chain).unionByName(chain.withColumn("id", F.concat(F.lit("again"), "id")))
+    table = graph.Adjacency(relations, hub=100)
+    rows = table.table().filter("id = 'hub'").select(F.size("others").alias("n")).collect()
+    assert 40 <= len(rows) <= 60 and sum(r.n for r in rows) == 5000 and max(r.n for r in rows) < 200
+    # beyond what is sent, the frontier alone is shuffled: the table is in buckets of its key
+    big = spark.range(20).select(F.lit(0).cast("long").alias("query_id"), F.concat(F.lit("n"), "id").alias("id")).hint("merge")
+    plan = table.table().hint("merge").join(big, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    table.drop()
+    seeds = spark.createDataFrame([(0, "m0"), (1, "hub")], "query_id long, id string")
+    got = graph.reached(relations, seeds, 3, hub=100).groupBy("query_id", "hops").count().collect()
+    assert {(r.query_id, r.hops): r["count"] for r in got} == {(0, 0): 1, (0, 1): 1, (0, 2): 1, (0, 3): 4999, (1, 0): 1, (1, 1): 5000, (1, 2): 4}
+
+
+def test_names_link_without_pairs(spark, monkeypatch):
+    from larkspur.operators import matching
+
+    rows = [("a", "ÉCOLE de la Mer"), ("b", "ocean Mer mer"), ("c", None), ("d", ""), ("e", "x" * 5000 + "needle"), ("f", "aaa")]
+    entities = spark.createDataFrame(rows, "id string, name string")
+    asked = [(0, "mer"), (0, "école"), (1, "NEEDLE"), (2, "aa"), (2, "a"), (3, ""), (4, None), (5, "zzz"), (6, "ocean mer mer "), (7, "mer")]
+    names = spark.createDataFrame(asked, "query_id long, name string")
+    want = {(q, i) for q, n in asked if n for i, t in rows if t and n.lower() in t.lower()}
+    linked = graph.link_entities(entities, names)
+    assert {tuple(r) for r in linked.collect()} == want and linked.count() == len(want)
+    assert "NestedLoop" not in linked._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(matching, "MOST_KEYS", 20)
+    assert {tuple(r) for r in graph.link_entities(entities, names).collect()} == want
+    assert graph.link_entities(entities, names.limit(0)).count() == 0
+
+
 def test_graph_from_answers(spark):
     answers = [("d1", 1, '```json\n{"entities": [{"id": "a", "name": "A", "type": "x"}, {"id": "b", "name": "B", "properties": {"k": "v"}}], "relations": [{"id": "r", "source": "a", "target": "b"}, {"id": "s", "source": "a", "target": "zzz"}]}\n```'), ("d2", 2, '{"entities": [{"id": "a", "name": "A2"}]}'), ("d3", 3, "no json")]
     es, rs, bad = graph.parsed_answers(spark.createDataFrame(answers, "document_id string, seq int, answer string"))
