@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import ascii_lower
+from larkspur.operators.ordering import after_first
 
+#: Rows up to which a page is the end of a list that every task sorts for itself.
+MOST_SORTED = 10_000
 #: Filter keys and the column that each asks for.
 FILTERS = {"status": "status", "type": "doc_type", "doc_type": "doc_type", "name": "name", "path": "file_path", "file_path": "file_path"}
 
@@ -64,12 +67,28 @@ def select_documents(docs: DataFrame, query: DocumentQuery) -> DataFrame:
 
 
 def list_documents(docs: DataFrame, query: DocumentQuery = DocumentQuery()) -> DataFrame:
-    """The page asked for, newest first, ids descending among equals."""
-    found = select_documents(docs, query).orderBy(F.desc("created_at"), F.desc("id"))
+    """The page asked for, newest first, ids descending among equals.
+
+    Near the top of the list the best rows of each task are enough; what lies deep, or has no end, is found by counting
+    ranges of the order, so that no task and not the driver goes through all that comes before.
+    """
+    found, order = select_documents(docs, query), [F.desc("created_at"), F.desc("id")]
+    if query.offset and (not query.limit or query.offset + query.limit > MOST_SORTED):
+        return after_first(found, order, query.offset, query.limit or None)
+    found = found.orderBy(*order)
     found = found.offset(query.offset) if query.offset else found
     return found.limit(query.limit) if query.limit else found
 
 
+def documents_after(docs: DataFrame, last: tuple | None, limit: int, query: DocumentQuery = DocumentQuery()) -> DataFrame:
+    """The next ``limit`` documents after the one of ``last`` (created_at, id), or the first ones: pages that don't count rows."""
+    found = select_documents(docs, query)
+    if last is not None:
+        at, i = (F.lit(x) for x in last)
+        found = found.filter((F.col("created_at") < at) | (F.col("created_at") == at) & (F.col("id") < i))
+    return found.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
 def count_documents(docs: DataFrame, query: DocumentQuery = DocumentQuery()) -> DataFrame:
     """One row, ``total``: all documents asked for, whatever the page."""
     return select_documents(docs, query).agg(F.count("*").alias("total"))

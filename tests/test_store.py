@@ -1,11 +1,12 @@
 """Listing, the catalog and its guards, wiki, graph, hierarchy, batches."""
 
+import random
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import graph, hierarchy, listing
+from larkspur.operators import graph, hierarchy, listing, ordering
 from larkspur.operators.listing import DocumentQuery, page_offset, parse_filters
 from larkspur.sources.batching import batches, in_batches
 from larkspur.sources.catalog import Catalog, ConflictError, NotFoundError
@@ -300,6 +301,58 @@ def test_batches(spark):
     assert got == [n for n, p in enumerate(plain) for _ in p]
 
 
+@pytest.mark.parametrize(("most", "budget", "slice_", "fan"), [(3, 12, 4, 2), (5, 30, 5, 3), (1, 5, 2, 2), (7, 0, 16, 64)])
+def test_batches_over_many_slices(spark, most, budget, slice_, fan):
+    rnd = random.Random(most)
+    groups = {g: [rnd.choice(["", "x" * rnd.randint(0, 9), "y" * rnd.randint(0, 90)]) for _ in range(n)] for g, n in (("a", 1), ("b", 200), (None, 33), ("c", slice_), ("d", 2 * slice_ + 1), ("e", 97))}
+    rows = spark.createDataFrame([(g, i, t) for g, ts in groups.items() for i, t in enumerate(ts)], "grp string, i int, text string").repartition(3)
+    got = {(r.grp, r.i): r.batch for r in batches(rows, "grp", "i", most, budget, slice_, fan).collect()}
+    assert got == {(g, i): n for g, ts in groups.items() for i, n in enumerate(n for n, p in enumerate(in_batches(ts, most, budget)) for _ in p)}
+
+
+def test_one_long_group_is_many_tasks(spark):
+    rows = spark.range(300_000).select(F.lit("g").alias("g"), "id", F.repeat(F.lit("x"), (F.xxhash64("id") % 200 + 200).cast("int")).alias("text"))
+    done = batches(rows, "g", "id", 100, 3000).withColumn("task", F.spark_partition_id())
+    got = done.agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks"), F.max("batch").alias("last")).first()
+    sizes = [r.n for r in rows.orderBy("id").select(F.floor(F.octet_length("text") / 4).alias("n")).collect()]
+    batch, held, tokens, total = 0, 0, 0, 0
+    for n in sizes:
+        if held and (held >= 100 or tokens + n > 3000):
+            batch, held, tokens = batch + 1, 0, 0
+        held, tokens, total = held + 1, tokens + n, total + batch
+    assert (got.n, got.last) == (300_000, batch) and got.tasks > 1 and done.agg(F.sum("batch")).first()[0] == total
+
+
+def test_places_in_an_order(spark):
+    rows = [(i * 7 % 100 // 3, None if i % 9 == 0 else i % 4, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "o int, g int, i int").repartition(7)
+    whole = sorted(rows, key=lambda r: (r[0], r[2]))
+    got = ordering.numbered(df, [F.col("o").asc(), F.col("i").asc()], parts=5).collect()
+    assert {r.i: r.place for r in got} == {r[2]: n for n, r in enumerate(whole)}
+    got = ordering.numbered(df, [F.col("o").desc(), F.col("i").asc()], "g", parts=5).collect()
+    for g in (None, 0, 1, 2, 3):
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[0], r[2]))
+        assert {r.i: r.place for r in got if r.g == g} == {r[2]: n for n, r in enumerate(own)}
+    page = ordering.after_first(df, [F.col("o").asc(), F.col("i").asc()], 37, 20)
+    assert [r.i for r in page.collect()] == [r[2] for r in whole[37:57]]
+    assert [r.i for r in ordering.after_first(df, [F.col("o").asc(), F.col("i").asc()], 90).collect()] == [r[2] for r in whole[90:]]
+    assert ordering.after_first(df, [F.col("o").asc()], 100).count() == 0 and ordering.numbered(df.limit(0), [F.col("o").asc()]).count() == 0
+
+
+def test_deep_pages_are_no_single_task(spark, docs, monkeypatch):
+    whole = [r.id for r in listing.list_documents(docs).collect()]
+    rest = listing.list_documents(docs, DocumentQuery(offset=1))
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in rest.collect()] == whole[1:] and "CollectLimit" not in plan and "TakeOrdered" not in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0]
+    monkeypatch.setattr(listing, "MOST_SORTED", 1)
+    assert [r.id for r in listing.list_documents(docs, DocumentQuery(limit=2, offset=1)).collect()] == whole[1:3]
+    pages, last = [], None
+    while page := listing.documents_after(docs, last, 2).collect():
+        pages += [r.id for r in page]
+        last = (page[-1].created_at, page[-1].id)
+    assert pages == whole
+
+
 def test_shared_tables(spark):
     from larkspur.sources.shared import discard, written
 
