@@ -62,10 +62,10 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, id_column: str = "id") ->
     return tf.join(sent(of_query), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
-def ranked(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """The ``k`` best of each query by score rounded to ``digits``, then id: query_id, id, score, rank."""
+def ranked(scores: DataFrame, k: int, digits: int = 9, positive: bool = True) -> DataFrame:
+    """The ``k`` best of each query by score (above 0 if ``positive``) rounded to ``digits``, then id: query_id, id, score, rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    rounded = scores.filter(F.col("score") > 0).withColumn("score", F.round("score", digits))
+    rounded = (scores.filter(F.col("score") > 0) if positive else scores).withColumn("score", F.round("score", digits))
     return rounded.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 

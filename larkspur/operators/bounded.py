@@ -1,31 +1,23 @@
-"""Joins with a side that is sent to all tasks: counted first, and sent in blocks where it is large."""
+"""Joins with a side that is sent to all tasks: counted and weighed first."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-from larkspur.sources.shared import written
-
-#: Rows up to which a side is sent to all tasks.
+#: Rows and bytes up to which a side is sent to all tasks.
 MOST_SENT = 100_000
-
-
-def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
-    """``df`` marked for broadcasting if it has at most ``most`` rows; else the join is left to Spark."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def block_of(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def in_blocks(queries: DataFrame, size: int, search: Callable[[DataFrame], DataFrame], key: str = "query_id") -> DataFrame:
-    """``search`` of all queries, of about ``size`` at a time; more than one block's results are written one after the other."""
-    blocks = max(1, -(-queries.count() // size))
-    if blocks == 1:
-        return search(queries)
-    return reduce(DataFrame.unionByName, [written(search(queries.filter(block_of(F.col(key), blocks) == b)), "found") for b in range(blocks)])
+MOST_BYTES = 64 << 20
+
+
+def sent(df: DataFrame, most: int = MOST_SENT, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``df`` marked for broadcasting if it has at most ``most`` rows of ``most_bytes`` together; else the join is left to Spark."""
+    # numbers are what rows have many of: eight bytes each; of the others their text is counted
+    wide = [f for f in df.schema.fields if isinstance(f.dataType, (ArrayType, BinaryType, MapType, StringType, StructType))]
+    size = F.lit(8 * (len(df.columns) - len(wide)))
+    for f in wide:
+        text = F.col(f"`{f.name}`") if isinstance(f.dataType, (StringType, BinaryType)) else F.to_json(F.struct(F.col(f"`{f.name}`")))
+        size = size + F.coalesce(F.octet_length(text), F.lit(0))
+    n, total = df.limit(most + 1).agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= most and (total or 0) <= most_bytes else df

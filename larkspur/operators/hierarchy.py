@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import index_paragraphs, index_sentences
 from larkspur.functions.vectors import cosine
-from larkspur.operators.bounded import in_blocks, sent
+from larkspur.operators.bounded import sent
 from larkspur.operators.fusion import first_of_text
+from larkspur.operators.vector_search import nearest
 from larkspur.sources.shared import written
 
 SUMMARY, PARAGRAPH, SENTENCE = 0, 1, 2
@@ -21,8 +22,6 @@ MAX_SUMMARY = 500
 MAX_PARAGRAPH = 2000
 #: What a paragraph's score is worth where sentences don't fill the result.
 FILL = 0.95
-#: Queries that meet the top layer at once.
-BLOCK = 4096
 
 
 def joined_chunks(chunks: DataFrame) -> DataFrame:
@@ -66,9 +65,13 @@ def nodes_of(nodes: DataFrame, document_id=None, layer: int | None = None) -> Da
 
 
 def _best(nodes: DataFrame, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
-    """The ``k`` nodes most like each query, of the children of ``within`` (query_id, id) where given."""
+    """The ``k`` nodes most like each query, of the children of ``within`` (query_id, id) where given.
+
+    Among all nodes of a layer they are found by tiles, of which a task keeps the best; so no pair becomes a row.
+    """
     if within is None:
-        return in_blocks(queries, BLOCK, lambda some: _ranked(nodes.crossJoin(F.broadcast(some)), k))
+        found = nearest(nodes, queries, k).drop("rank")
+        return nodes.select("id", "document_id", "layer", "text").join(sent(found), "id").select("query_id", "id", "document_id", "layer", "text", "score")
     return _ranked(nodes.join(sent(within.select("query_id", F.col("id").alias("parent"))), "parent").join(sent(queries), "query_id"), k)
 
 

@@ -34,14 +34,11 @@ QUERY_STRIP = 4
 VECTOR_STRIP = 32
 #: Rows of results that a task holds for queries of other strips than the present one.
 MOST_HELD = 1 << 20
-FOUND = "query_id long, id long, score double"
-TILES = "tile long, size int, n int, high double, ids binary, matrix binary"
-
-_ROW = np.dtype([("query", np.int64), ("id", np.int64), ("score", np.float64)])
+TILES = "tile long, size int, n int, high double, ids array<{kind}>, matrix binary"
 
 
 def tiles(vectors: DataFrame, tile: int = TILE) -> DataFrame:
-    """TILES of vectors (id, vector): long ids and numbers of double precision, by the length of the vectors.
+    """TILES of vectors (id, vector), by the length of the vectors; ids are whole numbers or strings.
 
     Null and empty vectors are in none. ``high``: the greatest norm of a tile.
     """
@@ -51,18 +48,23 @@ def tiles(vectors: DataFrame, tile: int = TILE) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for b in batches:
-            lists, ids = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
+            lists, ids = b.column(1), b.column(0)
             offsets = lists.offsets.to_numpy()
             sizes, flat = np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)
             for size in np.unique(sizes[sizes > 0]):
                 rows = np.flatnonzero(sizes == size)
                 for some in (rows[i : i + tile] for i in range(0, len(rows), tile)):
                     m = flat[offsets[:-1][some][:, None] + np.arange(size)].astype(np.float64)
-                    columns = (number, pa.int64()), (int(size), pa.int32()), (len(some), pa.int32()), (float(np.sqrt((m * m).sum(axis=1).max())), pa.float64()), (ids[some].astype("<i8").tobytes(), pa.binary()), (m.tobytes(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], names=[c.split()[0] for c in TILES.split(", ")])
+                    columns = (number, pa.int64()), (int(size), pa.int32()), (len(some), pa.int32()), (float(np.sqrt((m * m).sum(axis=1).max())), pa.float64()), (m.tobytes(), pa.binary())
+                    *others, matrix = [pa.array([x], t) for x, t in columns]
+                    yield pa.RecordBatch.from_arrays([*others, pa.ListArray.from_arrays([0, len(some)], ids.take(pa.array(some))), matrix], names=["tile", "size", "n", "high", "ids", "matrix"])
                     number += 1
 
-    return mapped(vectors.filter(F.size("vector") > 0), run, TILES)
+    return mapped(vectors.filter(F.size("vector") > 0), run, TILES.format(kind=dict(vectors.dtypes)["id"]))
+
+
+def _row(ids: np.ndarray) -> np.dtype:
+    return np.dtype([("query", np.int64), ("id", ids.dtype), ("score", np.float64)])
 
 
 def best_of(found: np.ndarray, k: int, digits: int) -> np.ndarray:
@@ -94,10 +96,12 @@ class _Best:
         self.each, self.of = np.unique(ids, return_inverse=True)
         self.bound = np.full(len(self.each), least)
         self.least = self.bound[self.of]
-        self.held = np.empty(0, dtype=_ROW)
+        self.held: np.ndarray | None = None
 
     def meet(self, ids: np.ndarray, matrix: np.ndarray, high: float) -> np.ndarray:
         """Take in a tile of vectors; without ``k`` the pairs found are given back."""
+        if self.held is None:
+            self.held = np.empty(0, dtype=_row(ids))
         # no product is above the product of the norms
         may = np.arange(len(self.ids)) if self.cosines else np.flatnonzero(self.norms * high * (1 + 1e-12) >= self.least - 1e-9)
         if not len(may):
@@ -108,7 +112,7 @@ class _Best:
             at = max(0, scores.shape[1] - self.k)
             least = np.maximum(least, np.partition(scores, at, axis=1)[:, [at]])
         at_q, at_v = np.nonzero(scores >= least - 1e-9)
-        out = np.empty(len(at_q), dtype=_ROW)
+        out = np.empty(len(at_q), dtype=self.held.dtype)
         out["query"], out["id"], out["score"] = self.ids[may[at_q]], ids[at_v], scores[at_q, at_v]
         if self.k is None:
             return out
@@ -123,10 +127,12 @@ class _Best:
 
 
 def _met(pairs: DataFrame, k: int | None, least: float, cosines: bool, digits: int) -> DataFrame:
-    """FOUND of pairs of tiles (strip, q_tile, q_ids, q_matrix, ids, matrix, size, high)."""
+    """query_id, id, score of pairs of tiles (strip, q_tile, q_ids, q_matrix, ids, matrix, size, high)."""
+    kind = dict(pairs.dtypes)["ids"].removeprefix("array<").removesuffix(">")
 
     def batch(found: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found[c].copy()) for c in ("query", "id", "score")], names=["query_id", "id", "score"])
+        ids = pa.array(found["id"].tolist(), pa.string() if kind == "string" else pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(found["query"].copy()), ids, pa.array(found["score"].copy())], names=["query_id", "id", "score"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Best] = {}
@@ -139,23 +145,24 @@ def _met(pairs: DataFrame, k: int | None, least: float, cosines: bool, digits: i
                     held.clear()
                 strip = of.as_py()
                 if tile.as_py() not in held:
-                    own = np.frombuffer(q_ids.as_buffer(), dtype="<i8")
+                    own = q_ids.values.to_numpy(zero_copy_only=False)
                     held[tile.as_py()] = _Best(own, np.frombuffer(q_matrix.as_buffer(), dtype=np.float64).reshape(len(own), -1), k, least, digits, cosines)
-                own = np.frombuffer(ids.as_buffer(), dtype="<i8")
+                own = ids.values.to_numpy(zero_copy_only=False)
                 found = held[tile.as_py()].meet(own, np.frombuffer(matrix.as_buffer(), dtype=np.float64).reshape(len(own), size.as_py()), high.as_py())
                 if len(found):
                     yield batch(found)
         yield from (batch(x.held) for x in held.values())
 
-    return mapped(pairs.select("strip", "q_tile", "q_ids", "q_matrix", "ids", "matrix", "size", "high"), run, FOUND)
+    return mapped(pairs.select("strip", "q_tile", "q_ids", "q_matrix", "ids", "matrix", "size", "high"), run, f"query_id long, id {kind}, score double")
 
 
 def _scored(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: float | None, cosines: bool, digits: int) -> DataFrame:
     """The ``k`` best of each task for each query, or all pairs from the threshold on."""
     named = lambda t: t.select(*[F.col(c).alias(f"q_{c}") for c in ("tile", "ids", "matrix")], F.col("size").alias("q_size"))
-    asked = written(tiles(queries.select(F.col("query_id").cast("long"), F.col("query_vec").cast("array<double>").alias("vector"))), "queries")
+    asked = written(tiles(queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vec").cast("array<double>").alias("vector"))), "queries")
     many = asked.agg(F.count("*"), F.sum(F.col("n") * F.col("size").cast("long") * 8)).first()
-    own = tiles(chunks.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>").alias("vector")))
+    kind = "string" if dict(chunks.dtypes)["id"] == "string" else "long"
+    own = tiles(chunks.select(F.col("id").cast(kind).alias("id"), F.col("embedding").cast("array<double>").alias("vector")))
     least = -np.inf if threshold is None else threshold
     if (many[1] or 0) <= MOST_SENT:
         pairs = own.join(F.broadcast(named(asked)), F.col("size") == F.col("q_size")).withColumn("strip", F.lit(0))
@@ -180,6 +187,11 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold:
     return ranked(scores if threshold is None else scores.filter(F.col("score") >= threshold), k, digits)
 
 
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, cosines: bool = True, digits: int = 9) -> DataFrame:
+    """vector_search() whatever the scores are, also below 0."""
+    return ranked(_scored(chunks, queries, k, None, cosines, digits), k, digits, positive=False)
+
+
 def similar_pairs(chunks: DataFrame, queries: DataFrame, threshold: float, cosines: bool = True, digits: int = 9) -> DataFrame:
     """query_id, id, score of all pairs of equal length whose rounded score is at least ``threshold``."""
     scores = _scored(chunks, queries, None, threshold - 10.0**-digits, cosines, digits)

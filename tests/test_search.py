@@ -84,6 +84,26 @@ def test_vector_search_by_tiles_and_cells(spark, monkeypatch, cosines):
     assert "NestedLoop" not in plan(vector_search.vector_search(e, q, 3, None, cosines))
 
 
+def test_nearest_by_names(spark):
+    rows = [(f"n{i:02d}", [float(i % 5) - 2, 1.0]) for i in range(30)] + [("zero", [0.0, 0.0]), ("other", [1.0]), ("none", None)]
+    nodes = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "query_id long, query_vec array<double>")
+    got = vector_search.nearest(nodes, asked, 20).orderBy("query_id", "rank").collect()
+    names = lambda of: [r[0] for r in sorted((r for r in rows if r[0][0] == "n" and r[0] != "none"), key=lambda r: (-of * r[1][0] / math.hypot(*r[1]), r[0]))]
+    zero = lambda xs: sorted([*xs[12:18], "zero"])
+    for q, sign in ((0, 1), (1, -1)):
+        own = names(sign)
+        assert [r.id for r in got if r.query_id == q] == [*own[:12], *zero(own), *own[18:]][:20]
+
+
+def test_what_is_sent_is_weighed(spark):
+    from larkspur.operators import bounded
+
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(4).select("id", F.array_repeat(F.lit(1.5), 1000).alias("v"), F.lit("x" * 100).alias("t"))
+    assert "broadcast" in plan(bounded.sent(wide)) and "broadcast" not in plan(bounded.sent(wide, most_bytes=10_000)) and "broadcast" not in plan(bounded.sent(wide, 3))
+
+
 def test_norms_pass_tiles_over():
     import numpy as np
 
@@ -112,7 +132,7 @@ def test_large_sides_are_not_sent(spark, chunks, monkeypatch):
     few = spark.range(3).withColumnRenamed("id", "k")
     assert "Broadcast" in plan(spark.range(9).join(bounded.sent(few), F.col("id") == F.col("k")))
     want = sorted(bm25.bm25_search(chunks, queries(spark, "machine learning", "recipes"), 3).collect())
-    monkeypatch.setattr(bounded.sent, "__defaults__", (0,))
+    monkeypatch.setattr(bounded.sent, "__defaults__", (0, 0))
     assert sorted(bm25.bm25_search(chunks, queries(spark, "machine learning", "recipes"), 3).collect()) == want
 
 
