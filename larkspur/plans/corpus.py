@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.inverted import KeywordIndex
+from larkspur.operators.skipping import TextFilters, write_filters
 from larkspur.plans.tables import spread, state, table
 from larkspur.sources.shared import run_dir
 
@@ -90,6 +91,21 @@ def hybrid_index(spark: SparkSession, sf: str) -> KeywordIndex:
     return _indexed(spark, sf, hybrid_chunks, "documents", "embeddings")
 
 
+_filtered: dict[tuple, tuple[str, TextFilters]] = {}
+
+
+def filtered_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, TextFilters]:
+    """texts() in files by ranges of their ids, and the files' filters, written when first asked for."""
+    key = (spark.sparkContext.applicationId, state(spark, sf, "documents"))
+    if key not in _filtered:
+        folder = f"{run_dir(spark)}/filtered-{uuid.uuid4().hex}"
+        texts(spark, sf).repartitionByRange(16, "id").write.parquet(f"{folder}/texts")
+        write_filters(spark.read.parquet(f"{folder}/texts"), f"{folder}/filters")
+        _filtered[key] = f"{folder}/texts", TextFilters(spark, f"{folder}/filters")
+    path, filters = _filtered[key]
+    return spark.read.parquet(path), filters
+
+
 def live_documents(spark: SparkSession, sf: str) -> DataFrame:
     """All documents but every seventh, so that chunks without document exist at every size."""
     return documents(spark, sf).filter(F.col("id") % 7 != 0)

@@ -70,6 +70,18 @@ def keyword_raw_like(spark: SparkSession, sf: str) -> DataFrame:
     return listing.keyword_candidates(corpus.texts(spark, sf), "The_%and", "raw_like").select("id")
 
 
+def phrase_by_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that hold the beginning of a benchmark item: only files whose filters may have it are read."""
+    asked = table(spark, sf, "benchmark").filter("item_id = 0").select(F.substring("text", 1, 60).alias("t")).first().t
+    texts, filters = corpus.filtered_texts(spark, sf)
+    return filters.containing(texts, asked).select("id")
+
+
+def like_by_filters(spark: SparkSession, sf: str) -> DataFrame:
+    texts, filters = corpus.filtered_texts(spark, sf)
+    return filters.like(texts, "idiot%scum_").select("id")
+
+
 def cosine_scores(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs from a similarity on."""
     return vector_search.similar_pairs(corpus.chunks(spark, sf), corpus.vector_queries(spark, sf), THRESHOLD)
@@ -176,7 +188,7 @@ def hits_json(spark: SparkSession, sf: str) -> DataFrame:
     return hits_as_json(listing.with_document(hits, corpus.live_documents(spark, sf)).select("query_id", "rank", "document_id", "document_name", "file_path"))
 
 
-QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, keyword_any_term_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
+QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, phrase_by_filters, like_by_filters, keyword_any_term_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
 
 
 def bm25_ctes(texts: str, queries: str, name: str = "") -> str:
@@ -216,6 +228,8 @@ _HITS = "hits AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document_id, te
 SQL = {
     "bm25_search": f"WITH {bm25_ctes(TEXTS, TEXT_QUERIES)} {top_rows('scored', K)}",
     "bm25_doc_scoped": f"WITH {bm25_ctes(f'SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE conv_id = {DOCUMENT}', 'SELECT conv_id AS query_id, text AS query FROM conversations WHERE turn = 0 AND conv_id % 20 = 0')} {top_rows('scored', K)}",
+    "phrase_by_filters": "SELECT doc_id AS id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), (SELECT translate(substr(text, 1, 60), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark WHERE item_id = 0))",
+    "like_by_filters": "SELECT doc_id AS id FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%idiot%scum_%'",
     "keyword_any_term_search": f"""WITH {bm25_ctes(TEXTS + f" WHERE list_has_any({TOKENS}, ['where', 'the', 'contract', 'ends'])", "SELECT 0::BIGINT AS query_id, 'where the contract ends' AS query")} {top_rows('scored', K)}""",
     "keyword_any_term": f"SELECT doc_id AS id FROM documents WHERE list_has_any({TOKENS}, ['where', 'the', 'contract', 'ends'])",
     "keyword_raw_like": "SELECT doc_id AS id FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the_%and%'",

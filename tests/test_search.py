@@ -9,6 +9,7 @@ from larkspur.functions import vectors as v
 from larkspur.operators import bm25, corrective, fusion, listing, retrieval, rewrite, vector_search
 from larkspur.operators.inverted import KeywordIndex
 from larkspur.operators.retrieval import Retriever, SearchOptions
+from larkspur.operators.skipping import TextFilters, literals, write_filters
 from larkspur.sources.models import heuristic_evaluator, rule_rewriter
 
 CHUNKS = [(1, 10, 0, "machine learning is a subset", [1.0, 0.0, 0.0]), (2, 10, 1, "deep learning neural networks", [0.9, 0.1, 0.0]), (3, 11, 0, "cooking recipes for learning the machine", None), (4, 12, 0, "机器学习算法", [0.0, 1.0, 0.0])]
@@ -276,3 +277,45 @@ def test_index_of_odd_chunks(spark, tmp_path):
 def test_retriever_with_an_index(spark, chunks, tmp_path):
     index = KeywordIndex.of(chunks, f"{tmp_path}/index")
     assert Retriever(chunks, index=index).search("learning machine") == Retriever(chunks).search("learning machine")
+
+
+# filters of files
+
+
+def files_read(df):
+    """What the scan of a plan that has run says."""
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            plan.append(node.executedPlan())
+        elif node.metrics().contains("numFiles"):
+            found.append(node.metrics().apply("numFiles").value())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return sum(found)
+
+
+def test_rare_strings_read_few_files(spark, tmp_path):
+    words = F.concat_ws(" ", *[F.concat(F.lit("wd"), F.xxhash64("id", F.lit(i)) % 50) for i in range(20)])
+    rows = spark.range(0, 4000, 1, 8).select("id", F.when(F.col("id") == 3000, F.concat(words, F.lit(" Zyx-Needle naïve 针"))).otherwise(words).alias("text"))
+    rows.write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    write_filters(texts, f"{tmp_path}/filters")
+    filters = TextFilters(spark, f"{tmp_path}/filters")
+    assert filters.files([]).count() == filters.files(["wd1"]).count() == 8 and filters.files(["zyx-needle"]).count() == 1
+    for hit in (filters.containing(texts, "ZYX-needle naï"), filters.like(texts, "needle%针"), filters.like(texts, "Zyx_Needle"), filters.containing(texts, "needle naïve 针")):
+        assert files_read(hit) == 1 and [r.id for r in hit.collect()] == [3000]
+    none = filters.containing(texts, "nowhere to be found")
+    assert none.count() == 0 and files_read(none) == 0
+    assert filters.containing(texts, "wd").count() == 4000 and files_read(filters.containing(texts, "wd")) == 8
+    # another part comes with its own filters
+    spark.createDataFrame([(9999, "a needle again"), (9998, None), (9997, "")], "id long, text string").coalesce(1).write.parquet(f"{tmp_path}/more")
+    write_filters(spark.read.parquet(f"{tmp_path}/more"), f"{tmp_path}/filters")
+    both = spark.read.parquet(f"{tmp_path}/texts", f"{tmp_path}/more")
+    hit = filters.containing(both, "needle")
+    assert files_read(hit) == 2 and {r.id for r in hit.collect()} == {3000, 9999}
+
+
+def test_literals_of_patterns():
+    assert literals("abc%de_f") == ["abc", "de", "f"] and literals(r"a\%b") == ["a", "b"] and literals("%_") == [] and literals("abc\\") == ["abc"]
