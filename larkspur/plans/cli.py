@@ -130,10 +130,12 @@ def add(args, catalog: Catalog, config: settings.Config) -> str:
     chunks = chunk_documents(docs, options)
     e = config.embedding
     if e.api_key:
-        chunks = embed_chunks(chunks, HttpEmbedder(e.url, e.model, e.api_key, e.max_batch))
-    done = catalog.ingest_measured(docs, chunks, force=args.force, keyword_only=not e.api_key)
+        chunks = embed_chunks(chunks, HttpEmbedder(e.url, e.model, e.api_key, e.max_batch), tolerant=True)
+    with sinks.Watch(catalog.spark, lambda line: print(line, file=sys.stderr)):
+        done = catalog.ingest_measured(docs, chunks, force=args.force, keyword_only=not e.api_key)
     discard(parsed)
-    return "\n".join([f"{done.documents} documents added", sinks.progress(done.chunks, done.chunks, done.seconds, 0), *bad])
+    lost = [f"{done.dropped} documents left out, whose texts got no vectors"] if done.dropped else []
+    return "\n".join([f"{done.documents} documents added", sinks.progress(done.chunks, done.chunks, done.seconds, done.failed), *lost, *bad])
 
 
 def search(args, catalog: Catalog, config: settings.Config) -> str:

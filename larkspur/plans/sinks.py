@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,6 +61,41 @@ def progress(done: int, total: int, seconds: float, failed: int = 0) -> str:
     return f"{done}/{total} chunks, {failed} failed batches, {rate:.1f} chunks/s, {left} left"
 
 
+def tasks_left(done: int, total: int, seconds: float) -> str:
+    """How far the running stages are, and the time that is left at the rate so far."""
+    left = duration(seconds / done * (total - done)) if done else "unknown"
+    return f"{done}/{total} tasks, {left} left"
+
+
+class Watch:
+    """Says every ``every`` seconds how far the jobs are that run meanwhile, by what Spark tells of its stages."""
+
+    def __init__(self, spark: SparkSession, say: Callable[[str], None], every: float = 5.0):
+        self.tracker, self.say, self.every, self.over = spark.sparkContext.statusTracker(), say, every, threading.Event()
+
+    def state(self) -> tuple[int, int]:
+        """(tasks that have ended, all tasks) of the running stages."""
+        stages = [i for i in map(self.tracker.getStageInfo, self.tracker.getActiveStageIds()) if i]
+        return sum(i.numCompletedTasks for i in stages), sum(i.numTasks for i in stages)
+
+    def __enter__(self) -> Watch:
+        began = time.monotonic()
+
+        def follow() -> None:
+            while not self.over.wait(self.every):
+                done, total = self.state()
+                if total:
+                    self.say(tasks_left(done, total, time.monotonic() - began))
+
+        self.thread = threading.Thread(target=follow, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.thread.join()
+
+
 def text_table(rows: list[dict], columns: dict[str, int]) -> str:
     """Rows as lines of columns of fixed widths."""
     line = lambda cells: "  ".join(str(c).ljust(w) for c, w in zip(cells, columns.values(), strict=True)).rstrip()

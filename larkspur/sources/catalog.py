@@ -21,7 +21,7 @@ from functools import reduce
 from typing import TypeVar
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.inverted import KeywordIndex, write_part
@@ -49,11 +49,16 @@ Log = list[dict]
 
 @dataclass(frozen=True)
 class Ingested:
-    """What an ingestion has done."""
+    """What an ingestion has done, as counted by the jobs that wrote it.
+
+    ``failed``: batches of texts that got no vectors; their documents, ``dropped``, are left out with all their chunks.
+    """
 
     documents: int
     chunks: int
     seconds: float
+    failed: int = 0
+    dropped: int = 0
 
     @property
     def rate(self) -> float:
@@ -109,8 +114,10 @@ class Catalog:
         return folder
 
     def _rows(self, df: DataFrame, name: str) -> dict:
-        """An entry that adds rows, and for chunks of an indexed catalog a part of their index."""
-        entry = {"add": self._written(df, name)}
+        """An entry that adds rows, and for chunks of an indexed catalog a part of their index; ``rows``: how many it wrote."""
+        seen = Observation()
+        entry = {"add": self._written(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)}
+        entry["rows"] = seen.get["rows"]
         if name == "chunks" and self.indexed:
             entry["terms"] = write_part(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{entry['add']}"), f"{self.base}/terms")
         return entry
@@ -339,7 +346,8 @@ class Catalog:
         """Documents with their chunks as one change, indexed; documents of a path that is there already are skipped.
 
         ``force``: they replace all of that path instead. ``keyword_only``: chunks get no vectors. If anything fails,
-        nothing has changed.
+        nothing has changed. Chunks of embed_chunks(tolerant=True) may come without vector: their documents are left out.
+        All counts are observed in the jobs that write; nothing is read again for them.
         """
         asked = self._shaped(documents, "documents")
         asked = asked.withColumn("id", F.coalesce("id", F.sha2(F.concat_ws("|", "file_path", "name"), 256))).withColumn("status", F.lit(INDEXED))
@@ -347,25 +355,37 @@ class Catalog:
         if keyword_only:
             parts = parts.withColumn("embedding", F.lit(None).cast("array<float>"))
 
-        began = time.monotonic()
+        began, failed, lost = time.monotonic(), 0, None
+        if "error" in chunks.columns:
+            # what came without vector is known once all chunks are there: a table, so that texts are sent once
+            told = Observation()
+            marked = chunks.observe(told, F.sum(F.col("batch_failed").cast("long")).alias("failed"))
+            staged = written(marked, "staged")
+            failed, parts = told.get["failed"] or 0, self._shaped(staged.drop("error", "batch_failed"), "chunks")
+            parts = parts.withColumn("id", F.coalesce("id", F.sha2(F.concat_ws("|", "document_id", "chunk_index"), 256)))
+            lost = staged.filter(F.col("error").isNotNull()).select(F.col("document_id").cast("string").alias("id")).distinct()
 
         def change(seen: int) -> Ingested:
             old = self.table("documents", seen)
             new = asked if force else asked.join(old.select("file_path").distinct(), "file_path", "left_anti").select(*old.columns)
+            dropped = 0
+            if failed:
+                dropped = new.join(lost, "id", "left_semi").count()
+                new = new.join(lost, "id", "left_anti")
             added = self._rows(new, "documents")
-            new = self.spark.read.schema(SCHEMAS["documents"]).parquet(f"{self.base}/{added['add']}")
-            n = new.count()
+            n = added["rows"]
             if not n:
-                return Ingested(0, 0, time.monotonic() - began)
+                return Ingested(0, 0, time.monotonic() - began, failed, dropped)
+            new = self.spark.read.schema(SCHEMAS["documents"]).parquet(f"{self.base}/{added['add']}")
             logs: dict[str, Log] = {"documents": [added], "chunks": [self._rows(parts.join(new.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*parts.columns), "chunks")]}
+            n_chunks = logs["chunks"][0]["rows"]
             if force:
                 replaced = old.join(new.select("file_path").distinct(), "file_path", "left_semi").select("id")
                 hidden = self._keys(replaced, "documents")
                 keys = self.spark.read.parquet(f"{self.base}/{hidden['hide']}")
                 logs = {"documents": [hidden, added], "chunks": [self._keys(keys, "chunks", "document_id"), *logs["chunks"]]}
             self._commit(logs, seen)
-            n_chunks = self.spark.read.parquet(f"{self.base}/{logs['chunks'][-1]['add']}").count()
-            return Ingested(n, n_chunks, time.monotonic() - began)
+            return Ingested(n, n_chunks, time.monotonic() - began, failed, dropped)
 
         return self._again(change)
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
 from larkspur.functions.text import let, tokenize
 from larkspur.functions.vectors import l2_normalized
@@ -143,18 +143,38 @@ def embed_text(embed: Embedder | None, text: str) -> list[float]:
     return list(vectors[0])
 
 
-def embed_chunks(chunks: DataFrame, embed: Embedder, text: str = "text") -> DataFrame:
-    """``chunks`` with embedding: each task sends its texts in batches as it reads them."""
-    names = [c for c in chunks.columns if c != "embedding"]
+def embed_chunks(chunks: DataFrame, embed: Embedder, text: str = "text", tolerant: bool = False, most: int = MAX_TEXTS) -> DataFrame:
+    """``chunks`` with embedding: each task sends its texts in batches as it reads them.
+
+    ``tolerant``: a batch of up to ``most`` texts that fails doesn't fail the job; its chunks get no vector but an error,
+    and its first one counts it (batch_failed is 1, else 0).
+    """
+    extra = ["embedding", "error", "batch_failed"] if tolerant else ["embedding"]
+    names = [c for c in chunks.columns if c not in extra]
     at = names.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = [np.asarray(v, dtype=np.float32) for v in embed([t or "" for t in b.column(at).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*names, "embedding"])
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            if not tolerant:
+                vectors = [np.asarray(v, dtype=np.float32) for v in embed(texts)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*names, "embedding"])
+                continue
+            vectors, errors, failed = [], [], []
+            for part in in_batches(texts, most):
+                try:
+                    vectors += [np.asarray(v, dtype=np.float32) for v in embed(part)]
+                    errors += [None] * len(part)
+                    failed += [0] * len(part)
+                except Exception as e:
+                    vectors += [None] * len(part)
+                    errors += [f"{type(e).__name__}: {e}"] * len(part)
+                    failed += [1, *[0] * (len(part) - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string()), pa.array(failed, pa.int32())], names=[*names, *extra])
 
     own = chunks.select(*names)
-    return mapped(own, run, StructType([*own.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
+    kinds = {"embedding": ArrayType(FloatType()), "error": StringType(), "batch_failed": IntegerType()}
+    return mapped(own, run, StructType([*own.schema.fields, *[StructField(c, kinds[c]) for c in extra]]))
 
 
 def ask(rows: DataFrame, complete: Callable[[str], str], prompt: str = "prompt") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from larkspur.functions.chunking import ChunkOptions, chunk_documents
-from larkspur.sources.catalog import Catalog
+from larkspur.sources.catalog import Catalog, Ingested
 from larkspur.sources.parsers import OK, parse_files
 from larkspur.sources.shared import discard, written
 
@@ -21,20 +23,47 @@ def as_documents(parsed: DataFrame) -> DataFrame:
     )
 
 
-def ingest_files(catalog: Catalog, files: DataFrame, options: ChunkOptions = ChunkOptions(), force: bool = False) -> int:
-    """Files (path, content) as documents and chunks for keyword search, one change of the catalog; how many were new."""
+def ingest_files(catalog: Catalog, files: DataFrame, options: ChunkOptions = ChunkOptions(), force: bool = False) -> Ingested:
+    """Files (path, content) as documents and chunks for keyword search, one change of the catalog; what it did."""
     # parsed once, though documents and chunks are made of it
     docs = written(as_documents(parse_files(files)).dropDuplicates(["id"]), "parsed")
-    n = catalog.ingest(docs, chunk_documents(docs, options), force=force, keyword_only=True)
+    done = catalog.ingest_measured(docs, chunk_documents(docs, options), force=force, keyword_only=True)
     discard(docs)
-    return n
+    return done
+
+
+class Batches(StreamingQueryListener):
+    """What a stream has done: its micro-batches' numbers, rows read and seconds, and how it ended."""
+
+    def __init__(self) -> None:
+        self.batches: list[tuple[int, int, float]] = []
+        self.error: str | None = None
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        if p.numInputRows:
+            self.batches.append((p.batchId, p.numInputRows, (p.durationMs.get("triggerExecution") or 0) / 1000))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.error = event.exception
+
 
+def follow_folder(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str, options: ChunkOptions = ChunkOptions(), force: bool = False, told: Callable[[int, Ingested], None] | None = None) -> StreamingQuery:
+    """A stream that ingests what a folder gets. A batch that runs again after a failure changes nothing: its paths are there.
 
-def follow_folder(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str, options: ChunkOptions = ChunkOptions(), force: bool = False) -> StreamingQuery:
-    """A stream that ingests what a folder gets. A batch that runs again after a failure changes nothing: its paths are there."""
+    ``told``: is told of each micro-batch what it did (number, Ingested).
+    """
     stream = spark.readStream.format("binaryFile").schema(FILES).load(folder)
 
-    def take(batch: DataFrame, _number: int) -> None:
-        ingest_files(catalog, batch.select("path", "content"), options, force)
+    def take(batch: DataFrame, number: int) -> None:
+        done = ingest_files(catalog, batch.select("path", "content"), options, force)
+        if told:
+            told(number, done)
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

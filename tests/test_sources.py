@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import time
 import zipfile
 import zlib
 
@@ -15,7 +16,7 @@ from larkspur.sources import models, office, parsers
 from larkspur.sources import pdf as pdf_reader
 from larkspur.sources.catalog import Catalog
 from larkspur.sources.ciphers import Aes, rc4
-from larkspur.streaming.ingest import follow_folder
+from larkspur.streaming.ingest import Batches, follow_folder
 
 
 def archive(**members):
@@ -270,9 +271,18 @@ def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     catalog = Catalog(spark, f"file://{tmp_path}/store")
+    seen, listener = [], Batches()
+    spark.streams.addListener(listener)
     for i in range(2):
         (folder / f"{i}.txt").write_text(f"text number {i}")
-        follow_folder(spark, f"file://{folder}", catalog, f"file://{tmp_path}/cp").awaitTermination()
+        follow_folder(spark, f"file://{folder}", catalog, f"file://{tmp_path}/cp", told=lambda n, done: seen.append((n, done.documents, done.chunks, done.failed))).awaitTermination()
+    assert seen == [(0, 1, 1, 0), (1, 1, 1, 0)]
+    for _ in range(100):
+        if len(listener.batches) == 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert [b[0] for b in listener.batches] == [0, 1] and all(b[1] > 0 and b[2] > 0 for b in listener.batches) and listener.error is None
     assert sorted(r.text for r in catalog.live_chunks().collect()) == ["text number 0", "text number 1"]
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import graph, hierarchy, listing, ordering
 from larkspur.operators.listing import DocumentQuery, page_offset, parse_filters
+from larkspur.plans import sinks
 from larkspur.sources.batching import batches, in_batches
 from larkspur.sources.catalog import Catalog, ConflictError, NotFoundError
-from larkspur.sources.models import hashed_embedding
+from larkspur.sources.models import embed_chunks, hashed_embedding
 
 DOCS = [("1", "annual-report.pdf", "docs/annual-report.pdf", "pdf", "indexed", 1), ("2", "meeting-notes.md", "notes/meeting-notes.md", "md", "indexed", 2), ("3", "50%_off.txt", "docs/50%_off.txt", "txt", "failed", 3)]
 
@@ -181,6 +182,37 @@ def test_ingest_skips_and_replaces(catalog, spark):
     assert [r.id for r in catalog.table("documents").collect()] == ["d2"]
 
 
+def test_failed_batches_leave_their_documents_out(spark, tmp_path):
+    store = Catalog(spark, f"file://{tmp_path}/failing", indexed=True)
+    docs = spark.createDataFrame([(f"d{i}", f"d{i}", f"p/{i}") for i in range(6)], "id string, name string, file_path string")
+    rows = [(f"d{i}", c, f"text {i} {c}" + (" poison" if (i, c) in ((1, 2), (4, 0)) else "")) for i in range(6) for c in range(4)]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_index int, text string").coalesce(1).sortWithinPartitions("document_id", "chunk_index")
+
+    def embed(texts):
+        if any("poison" in t for t in texts):
+            raise OSError("refused")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    told = embed_chunks(chunks, embed, tolerant=True, most=3)
+    assert told.agg(F.sum("batch_failed"), F.count("error")).first() == (2, 6)
+    done = store.ingest_measured(docs, told)
+    # batches of three: the poisoned ones hold chunks of d1 and d2, and of d3 and d4
+    assert (done.failed, done.dropped, done.documents, done.chunks) == (2, 4, 2, 8) and done.rate > 0
+    assert {r.id for r in store.table("documents").collect()} == {"d0", "d5"} and store.table("chunks").filter("embedding is null").count() == 0
+    assert store.keyword_index().lengths().count() == 8
+    with pytest.raises(Exception, match="refused"):
+        store.ingest_measured(docs.withColumn("file_path", F.concat(F.lit("q"), "id")).withColumn("id", F.concat(F.lit("x"), "id")), embed_chunks(chunks.withColumn("document_id", F.concat(F.lit("x"), "document_id")), embed))
+    assert store.table("documents").count() == 2
+
+
+def test_progress_is_told(spark):
+    said = []
+    with sinks.Watch(spark, said.append, every=0.05):
+        spark.range(0, 40, 1, 8).mapInPandas(lambda it: ([__import__("time").sleep(0.3), b][1] for b in it), "id long").count()
+    assert said and all(line.endswith(" left") and "/" in line for line in said)
+    assert sinks.tasks_left(3, 12, 6.0) == "3/12 tasks, 18s left" and sinks.tasks_left(0, 12, 6.0) == "0/12 tasks, unknown left"
+
+
 def test_wiki(catalog):
     one = catalog.add_index("b title", "about")
     catalog.add_index("a title", index_id="two")
