@@ -61,13 +61,25 @@ _CC = {
 }
 
 
+#: Families named without a version, which say less than a license of theirs: (category, names).
+_FAMILIES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "GPL": ("copyleft", ("gpl", "gnu gpl", "gnu general public license", "general public license", "gnu general public license gpl")),
+    "LGPL": ("copyleft", ("lgpl", "gnu lgpl", "gnu lesser general public license", "gnu library general public license", "lesser general public license", "gnu lesser general public license lgpl")),
+    "AGPL": ("copyleft", ("agpl", "gnu agpl", "gnu affero general public license", "affero general public license", "gnu affero general public license agpl")),
+    "Apache": ("permissive", ("apache", "apache license", "apache software license")),
+    "MPL": ("copyleft", ("mpl", "mozilla public license")),
+    "EPL": ("copyleft", ("epl", "eclipse public license")),
+    "BSD": ("permissive", ("bsd",)),
+}
+
+
 def _versioned(family: str, version: str) -> str:
     return f"{family}-{version.replace(' ', '.')}{'' if ' ' in version else '.0'}"
 
 
 def licenses() -> dict[str, tuple[str, tuple[str, ...]]]:
-    """LICENSES and the families that have versions."""
-    out = dict(LICENSES)
+    """LICENSES, the families that have versions, and what is named without one."""
+    out = LICENSES | _FAMILIES
     for family, (names, versions) in _GNU.items():
         for v in versions:
             forms = [f.format(v) for f in (_VERSIONS if " " not in v else _VERSIONS[::2])]
@@ -78,7 +90,33 @@ def licenses() -> dict[str, tuple[str, tuple[str, ...]]]:
         for v in ("3 0", "4 0"):
             long = [f"creative commons {n} {v}{w}" for n in names for w in ("", " international", " unported", " international public")]
             out[f"CC-{part}-{v.replace(' ', '.')}"] = kind, tuple(f"{n}{w}" for n in [f"cc {spoken} {v}", f"creative commons {spoken} {v}", *long] for w in ("", " license"))
-    return out
+        out[f"CC-{part}"] = kind, tuple(f"{n}{w}" for n in [f"cc {spoken}", f"creative commons {spoken}", *(f"creative commons {n}" for n in names)] for w in ("", " license"))
+    return {name: (kind, tuple(dict.fromkeys([*names, *_spoken(name)]))) for name, (kind, names) in out.items()}
+
+
+def _spoken(name: str) -> list[str]:
+    """A license's identifier as words, as it stands in fields."""
+    said = name.lower().replace("-", " ").replace(".", " ")
+    gnu, _, version = name.partition("-")
+    return [f"{said}{more}" for more in ("", " only", " or later", " plus")] if gnu in _GNU and version else [said]
+
+
+def shared(known: list[list[str]]) -> str:
+    """A pattern of all these word sequences that tries longer ones first; common beginnings are written once."""
+    by_word: dict[str, list[list[str]]] = {}
+    for ws in known:
+        if ws:
+            by_word.setdefault(ws[0], []).append(ws[1:])
+    parts = []
+    for word, rests in by_word.items():
+        rest = shared([r for r in rests if r])
+        parts.append(word + (f"(?: {rest})?" if rest and [] in rests else f" {rest}" if rest else ""))
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+
+
+#: Any license's name; one that says that it is one, which may stand alone.
+_NAMES = shared([n.split() for n in dict.fromkeys(n for _, names in licenses().values() for n in names)])
+_TITLES = shared([n.split() for n in dict.fromkeys(n for _, names in licenses().values() for n in names if "license" in n.split() and len(n.split()) > 1)])
 
 
 #: Sentences of texts and notices by identifier.
@@ -205,6 +243,14 @@ _TEXT_RULES = (
 LAST_RESORT = ("Proprietary", ("proprietary",))
 _CATEGORIES = {"HPND": "permissive", "Public-Domain": "permissive", "Proprietary": "restricted"}
 
+#: The same over lower-cased text, where lines and signs still tell fields, headings and alternatives.
+LINE_FORMS = (
+    # a field, as in a package's description or a tag of a source file
+    ("licen[sc]es?(?:[- ]identifier)?[\\x22\\x27]?[ \\t]*[:=]+[ \\t>\\x22\\x27({\\[]*", " licensed under "),
+    # a line that is nothing but a license's name
+    (f"(^|\\n)[^a-z0-9\\n]*(?:the )?({_TITLES.replace(' ', '[- .]+')})[^a-z0-9\\n]*(?:[(][a-z0-9 .-]+[)][^a-z0-9\\n]*)?(\\n|$)", "$1 licensed under $2 $3"),
+    ("\\b((?:mit|isc|bsd|l?gpl|apache)(?:[- ]?v?[0-9.]+)?)[ ]*/[ ]*(mit|isc|bsd|l?gpl|apache)\\b", "$1 or $2"),
+)
 #: (pattern, what takes its place) over normalised text, in order. Patterns are plain enough for other engines too.
 FORMS = (
     ("\\blicence", "license"),
@@ -217,6 +263,10 @@ FORMS = (
     ("confidential and proprietary information of [a-z0-9]+", "confidential and proprietary information of holder"),
     ("this [a-z0-9]+ is made available under the open database", "this holder is made available under the open database"),
     ("\\b(?:(?:licensed|released|distributed|available|published|provided|shared|offered) under|(?:licensed|covered|governed) by) (?:an? |the )?(?:terms (?:and conditions )?of )?(?:an? |the )?", "licensed under "),
+    # weaker leads count before a name that says that it is a license's
+    (f"\\b(?:see|uses?|using|subject to|under) (?:an? |the )?(?:terms (?:and conditions )?of )?(?:an? |the )?({_TITLES})\\b", "licensed under $1"),
+    # several names: each is one, three more at most
+    *[(f"\\b(licensed under {_NAMES}) (?:and or|or|and) (?:the |licensed under )?({_NAMES})\\b", "$1 licensed under $2")] * 3,
 )
 #: One of these begins a word in every text that has a known sentence.
 ANCHORS = "(?<![a-z0-9])(?:licen[sc]|permission|copyright|warrant|distribut|advertising|permitted|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|without[^a-z0-9]+restriction|(?:released|distributed|available|published|provided|shared|offered)[^a-z0-9]+under[^a-z0-9]|(?:covered|governed)[^a-z0-9]+by[^a-z0-9]|free[^a-z0-9]+software|cc0|misrepresented|liable|confidential|prohibited|reproduced|you[^a-z0-9]+want|spdx|documentation|derived|commercial[^a-z0-9]+use|exclusive|contributor|exercising)"
@@ -235,23 +285,16 @@ def _notices() -> dict[str, tuple[str, str]]:
     return out
 
 
-def _spdx(name: str) -> list[str]:
-    spoken = name.lower().replace("-", " ").replace(".", " ")
-    gnu = name.partition("-")[0] in _GNU
-    return [f"spdx license identifier {spoken}{more}" for more in (("", " only", " or later", " plus") if gnu else ("",))]
-
-
 def formed(sentence: str) -> str:
     """A normalised sentence in its one form."""
     for pattern, to in FORMS:
-        sentence = re.sub(pattern, to.replace("$1", r"\1"), sentence)
+        sentence = re.sub(pattern, re.sub(r"[$](\d)", r"\\\1", to), sentence)
     return sentence
 
 
 def sentences() -> dict[str, str]:
     """Normalised sentence in its one form: identifier, all of them."""
     out = {f"licensed under {n}": f"{name}-ref" for name, (_, names) in licenses().items() for n in names}
-    out |= {s: f"{name}-ref" for name in licenses() for s in _spdx(name)}
     out |= {s: i for s, (i, _) in _notices().items()}
     return {formed(s): i for s, i in (out | {s: i for i, s in TEXTS.items()}).items()}
 

@@ -3,7 +3,8 @@ r"""License scans: sentences become identifiers, identifier sequences meet order
 A text is normalised (lower case, runs of anything but a-z and 0-9 to one space, so that line wraps, comment marks and
 punctuation don't matter), and what differs between copies of a license is put in one form. A known sentence is found
 wherever its words stand in a row, the longest that begins at a word first; all of them are one pattern that shares the
-beginnings. The identifiers found, in order, are the text's sequence; words that belong to no known sentence break it, but
+beginnings. Fields (``License: MIT``), lines that are a license's name and lists of names are brought into the form of a
+reference first; a family named without its version is an identifier of its own. The identifiers found, in order, are the text's sequence; words that belong to no known sentence break it, but
 for list markers (a letter or a number of up to two digits). The rules are tried in order, longer texts before shorter
 ones and before references; a rule takes the identifiers that it matches, so a three-clause text isn't a two-clause one as
 well. "All rights reserved" counts only where nothing else is found.
@@ -14,11 +15,13 @@ any length is read whole; repeated rows are answered alike; an empty table gives
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import let
-from larkspur.llm.license_catalog import ANCHORS, FORMS, rules, sentences
+from larkspur.llm.license_catalog import ANCHORS, FORMS, LINE_FORMS, rules, sentences, shared
 
 SENTENCES = sentences()
 RULES = rules()
@@ -28,20 +31,7 @@ CATEGORIES = ("restricted", "copyleft", "permissive")
 MARKERS = "^ (?:(?:[0-9]{1,2}|[a-z]) )*$"
 
 
-def _shared(known: list[list[str]]) -> str:
-    """A pattern of all these word sequences that tries longer ones first; common beginnings are written once."""
-    by_word: dict[str, list[list[str]]] = {}
-    for ws in known:
-        if ws:
-            by_word.setdefault(ws[0], []).append(ws[1:])
-    parts = []
-    for word, rests in by_word.items():
-        rest = _shared([r for r in rests if r])
-        parts.append(word + (f"(?: {rest})?" if rest and [] in rests else f" {rest}" if rest else ""))
-    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
-
-
-PATTERN = f"(?<= ){_shared([s.split() for s in SENTENCES])}(?= )"
+PATTERN = f"(?<= ){shared([s.split() for s in SENTENCES])}(?= )"
 
 
 def _pattern(ids: tuple[str, ...]) -> str:
@@ -50,7 +40,10 @@ def _pattern(ids: tuple[str, ...]) -> str:
 
 def normalised(text: Column) -> Column:
     """The words of a text in their one form, a space before, between and after them."""
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
+    out = F.lower(text)
+    for pattern, to in LINE_FORMS:
+        out = F.regexp_replace(out, pattern, to)
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, "[^a-z0-9]+", " ")), F.lit(" "))
     for pattern, to in FORMS:
         out = F.regexp_replace(out, pattern, to)
     return out
@@ -99,9 +92,13 @@ def _sql() -> str:
     """Another way to the same rows: every known sentence is looked for in every text by itself, what lies in a longer one goes."""
     known = ",\n".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     tried = ",\n".join(f"({k}, '{name}', '{kind}', '{_pattern(ids)}')" for k, (name, kind, ids) in enumerate(RULES[:-1]))
-    words = "' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' '"
+    put = lambda to: re.sub(r"[$](\d)", r"\\\1", to)
+    words = "lower(coalesce(text, ''))"
+    for pattern, to in LINE_FORMS:
+        words = f"regexp_replace({words}, '{pattern}', '{put(to)}', 'g')"
+    words = f"' ' || trim(regexp_replace({words}, '[^a-z0-9]+', ' ', 'g')) || ' '"
     for pattern, to in FORMS:
-        words = f"regexp_replace({words}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+        words = f"regexp_replace({words}, '{pattern}', '{put(to)}', 'g')"
     case = " ".join(f"WHEN list_contains(kinds, '{c}') THEN '{c}'" for c in CATEGORIES)
     return rf"""
 WITH RECURSIVE known(s, id) AS (VALUES {known}),

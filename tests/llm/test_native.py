@@ -298,7 +298,7 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 def test_licenses_of_real_texts(spark):
     hashed = lambda t: "".join(f"# {line}\r\n" for line in t.split("\n"))
     whole = {
-        MIT: ("MIT", "mit-grant,mit-notice,as-is"), BSD: ("BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-endorse"),
+        MIT: ("MIT", "MIT-ref,mit-grant,mit-notice,as-is"), BSD: ("BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-endorse"),
         BSD[: BSD.index("3.")].replace("1.", "(a)").replace("2.", "(b)"): ("BSD-2-Clause", "bsd-grant,bsd-source,bsd-binary"), GPL: ("GPL-3.0", "gpl-3-notice,gnu-warranty"),
         APACHE: ("Apache-2.0", "apache-grant,apache-terms,apache-copy,apache-url"), MPL: ("MPL-2.0", "mpl-2-notice,mpl-2-copy"), "This is free and unencumbered software released into the public\ndomain.": ("Unlicense", "unlicense"),
         "This work is licensed under the GNU General Public License, version\n3.": ("GPL-3.0", "GPL-3.0-ref"), "Copyright 2020 A. All rights\nreserved.": ("Proprietary", "proprietary"),
@@ -310,6 +310,28 @@ def test_licenses_of_real_texts(spark):
     assert got == [*whole.values(), *whole.values(), ("", ""), ("", "bsd-grant,bsd-source,bsd-binary,bsd-endorse")]
 
 
+#: How licenses are named without a sentence about them, and what is no license's name.
+NAMED = {
+    "License: MIT": "MIT", "MIT License\n\nCopyright (c) 2020 A": "MIT", "# The MIT License (MIT)\n": "MIT", "see the MIT License for details": "MIT", "Subject to the terms of the MIT License": "MIT", "This project uses the MIT license.": "MIT",
+    "License: BSD-3-Clause": "BSD-3-Clause", 'license = "GPL-2.0-or-later"': "GPL-2.0", '{"license": "ISC"}': "ISC", "licensed under the GPL": "GPL", "Licensed under the GNU General Public License.": "GPL", "released under the LGPL": "LGPL",
+    "Licensed under the Apache License": "Apache", "licensed under CC BY-SA": "CC-BY-SA", "SPDX-License-Identifier: Apache-2.0 OR MIT": "Apache-2.0,MIT", "// SPDX-License-Identifier: (MIT OR Apache-2.0)": "Apache-2.0,MIT", "Licensed under MIT or Apache-2.0.": "Apache-2.0,MIT",
+    "Dual licensed under the MIT and GPL licenses.": "GPL,MIT", "licensed under MIT/Apache-2.0": "Apache-2.0,MIT", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0", "License: MIT or Apache-2.0 or BSD-2-Clause or ISC": "Apache-2.0,BSD-2-Clause,ISC,MIT",
+    "He works at MIT under license.": "", "The MIT campus uses the river.": "", "see the license for details": "", "a driving license: see page 3": "", "Apache helicopters, under the moon, see the gnu": "", "under the terms of the contract": "",
+}
+
+
+def test_names_of_licenses(spark):
+    assert dict(zip(NAMED, [name for name, _ in found(spark, list(NAMED))], strict=True)) == NAMED
+
+
+def test_named_licenses_like_sql(spark):
+    import duckdb
+
+    docs, other = texts(spark, list(NAMED)), duckdb.connect()
+    other.register("documents", docs.toPandas())
+    same_rows(licenses.digest(licenses.scan_licenses(docs)), other.sql(licenses.SQL))
+
+
 def test_licenses_odd(spark):
     got = licenses.digest(licenses.scan_licenses(odd_documents(spark))).collect()
     assert len(got) == len(TEXTS) and {r.category for r in got} == {"none"}
