@@ -148,11 +148,23 @@ def dedupe_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.first_of_text(_hits(spark, sf)).select("id", "document_id", F.round("score", 6).alias("score"))
 
 
+#: One word replaced, one added, one put for its kinds.
+RULES = rewrite.RewriteRules((("the", "a"),), (("and", "also"),), (("is", ("was", "be")),))
+
+
+def rewrite_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the table function, in SQL."""
+    from larkspur.sources import web
+
+    web.register(spark, RULES, "rewritten_by_rules")
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    return spark.sql("SELECT query_id, variant, rewritten AS query FROM {turns}, LATERAL rewritten_by_rules(query, 4)", turns=turns)
+
+
 def rewrite_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules over the words of all turns: one word replaced, one added, one put for its kinds."""
-    rules = rewrite.RewriteRules((("the", "a"),), (("and", "also"),), (("is", ("was", "be")),))
+    """Rules over the words of all turns."""
     turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    return rewrite.expand_queries(turns, rules, 4)
+    return rewrite.expand_queries(turns, RULES, 4)
 
 
 def quality_label(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,7 +200,7 @@ def hits_json(spark: SparkSession, sf: str) -> DataFrame:
     return hits_as_json(listing.with_document(hits, corpus.live_documents(spark, sf)).select("query_id", "rank", "document_id", "document_name", "file_path"))
 
 
-QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, phrase_by_filters, like_by_filters, keyword_any_term_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
+QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, phrase_by_filters, like_by_filters, keyword_any_term_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, rewrite_lateral, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
 
 
 def bm25_ctes(texts: str, queries: str, name: str = "") -> str:
@@ -264,3 +276,5 @@ SQL = {
     "hits_json": f"""WITH {COSINES}, {corpus.DOCUMENTS}, hits AS ({top_rows('cos', K)}), e AS (SELECT query_id, rank, h.id AS document_id, coalesce(name, '') AS document_name, coalesce(file_path, '') AS file_path FROM hits h LEFT JOIN (SELECT * FROM docs WHERE id % 7 <> 0) d ON d.id = h.id)
  SELECT query_id, count(*) AS count, '[' || string_agg('{{"rank":' || rank || ',"document_id":' || document_id || ',"document_name":"' || document_name || '","file_path":"' || file_path || '"}}', ',' ORDER BY rank) || ']' AS results FROM e GROUP BY query_id""",
 }
+
+SQL["rewrite_lateral"] = SQL["rewrite_rules"]

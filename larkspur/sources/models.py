@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from email.utils import parsedate_to_datetime
 
+from typing import TYPE_CHECKING
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,9 @@ from larkspur.sources.shipping import mapped
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
+if TYPE_CHECKING:
+    from larkspur.operators.rewrite import RewriteRules
+
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A unit vector of a text's tokens: each counts where its hash points, up or down. Native, deterministic."""
@@ -263,14 +268,14 @@ class HttpRewriter:
         return list(dict.fromkeys(q.strip() for q in answer.get("queries") or [] if q.strip()))[: most if most > 0 else 3]
 
 
-def rule_rewriter(query: str, most: int = 3) -> list[str]:
-    """The built-in rules, for one query on the driver."""
-    from larkspur.operators.rewrite import DERIVED, HYPONYMS, SYNONYMS, TERMS
+def rule_rewriter(query: str, most: int = 3, rules: RewriteRules | None = None) -> list[str]:
+    """What rules (the built-in ones) make of one query: the plain form of rewrites()."""
+    from larkspur.operators.rewrite import DERIVED, RewriteRules
 
-    q = query.strip()
-    out = [q.replace(a, b) for a, b in TERMS.items() if a in q and a + DERIVED not in q]
-    out += [f"{q} {b}" for a, b in SYNONYMS.items() if a in q]
-    out += [q.replace(a, b) for a, bs in HYPONYMS.items() if a in q for b in bs]
+    rules, q = rules or RewriteRules(), query.strip()
+    out = [q.replace(a, b) for a, b in rules.terms if a in q and a + DERIVED not in q]
+    out += [f"{q} {b}" for a, b in rules.synonyms if a in q]
+    out += [q.replace(a, b) for a, bs in rules.hyponyms if a in q for b in bs]
     return list(dict.fromkeys(x for x in out if x))[: most if most > 0 else 3]
 
 

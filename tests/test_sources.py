@@ -316,3 +316,39 @@ def test_stream_keeps_the_index(spark, tmp_path):
         plain.add_documents([{"id": "d", "name": "n", "file_path": "p"}])
         plain.add_chunks([{"document_id": "d", "chunk_index": 0, "text": "t"}])
         plain.keyword_index()
+
+
+def test_web_results_and_lateral_rewrites(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from larkspur.sources import web
+
+    class Answers(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(500 if "fail" in asked["query"] else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"results": [{"url": f"u/{asked['query']}/{i}", "title": f"t{i}", "score": 1 / (i + 1)} for i in range(4)]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    web.register(spark)
+    read = spark.read.format("web_results").option("url", f"http://127.0.0.1:{server.server_port}/s").option("top_k", 2).option("queries", json.dumps(["one", "fail", "two"]))
+    rows = read.load()
+    assert rows.rdd.getNumPartitions() == 3
+    assert [(r.query_id, r.id, r.document_id, r.score) for r in rows.orderBy("query_id", "id").collect() if r.error is None] == [(0, "web-0", "u/one/0", 1.0), (0, "web-1", "u/one/1", 0.5), (2, "web-0", "u/two/0", 1.0), (2, "web-1", "u/two/1", 0.5)]
+    assert [r.query for r in rows.filter("error is not null").collect()] == ["fail"]
+    with pytest.raises(Exception, match="500"):
+        read.option("strict", True).load().collect()
+    with pytest.raises(Exception, match="needs the options"):
+        spark.read.format("web_results").option("url", "x").load().collect()
+    rows.createOrReplaceTempView("found_pages")
+    assert spark.sql("SELECT count(*) FROM found_pages WHERE score > 0.6").first()[0] == 2
+    server.shutdown()
+    asked = spark.createDataFrame([(0, " 细胞的能量工厂是什么 "), (1, "plain"), (2, None), (3, "")], "query_id long, query string")
+    got = spark.sql("SELECT query_id, variant, rewritten FROM {asked}, LATERAL rewritten(query, 3) ORDER BY 1, 2", asked=asked).collect()
+    assert [tuple(r) for r in got] == [(0, 0, "细胞的能量工厂是什么"), (0, 1, "细胞的线粒体是什么"), (1, 0, "plain")]
