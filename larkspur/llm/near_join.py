@@ -13,8 +13,11 @@ repeated until a pair of similarity 0.8 meets with probability of at least ``REC
 all its buckets are large on every level.
 
 Sets that look alike (signatures of the picked tokens, sizes) are joined to candidate components, a crowd of sets that
-resemble each other at once, and within a component every pair is compared exactly, in pairs of blocks, by matrix
-products over shared tokens. A block is one row of at most about ``BLOCK`` sets and ``BLOCK_TOKENS`` tokens (of one set, if
+resemble each other at once, and so is a bucket that is still large on the last level. Within a component pairs are
+compared exactly, in pairs of blocks, by matrix products over shared tokens. A large component is split once more, on the
+tokens that fewest of its sets have: two sets of similarity 0.8 share one of each one's first fifth, so what a crowd has in
+common brings nobody together, and a crowd of any size costs about as much as its sets are many. A group of near copies is
+compared as a whole, since nearly all of its pairs are links. A block is one row of at most about ``BLOCK`` sets and ``BLOCK_TOKENS`` tokens (of one set, if
 that has more), and no pair of sets becomes a row: a block pair gives each of its sets the number of its links and the
 root of what it is linked to. Everything that tasks hold is bounded by two blocks; what is decided between steps is a
 table in the shared folder.
@@ -70,6 +73,8 @@ MOST_SENT = 200_000
 DENSE = 0.5
 #: Signatures (one token for each run and level) that agree, at least, where two sets are worth an exact comparison.
 ALIKE = 4 * RUNS * LEVELS // 9
+#: Times that a component's pairs must outnumber those of its buckets, for these to be compared.
+WORTH = 2
 CACHE_WORDS = 500_000
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -222,11 +227,11 @@ def leaves(sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         kept = written(rows.join(counts, ["run", "path"]), f"level{level}")
         discard(counts, rows)
         tables.append(kept)
-        # a crowd is a node of its own, which all its sets are connected with
-        crowds.append(kept.filter("crowd").select(F.col("set_key").alias("a"), F.unhex(F.lpad(F.hex("path"), 16, "0")).alias("b")))
+        # a crowd is a node of its own, which all its sets are connected with, and so is what is large on the last level
+        crowds.append(kept.filter(F.col("crowd") | F.lit(level == LEVELS) & (F.col("count") > LEAF)).select(F.col("set_key").alias("a"), F.unhex(F.lpad(F.hex("path"), 16, "0")).alias("b")))
         large = kept.filter((F.col("count") > LEAF) & ~F.col("crowd"))
         last = level == LEVELS
-        found.append(kept.filter(F.lit(last) & ~F.col("crowd") | (F.col("count") <= LEAF)).select("path", "set_key", "count"))
+        found.append(kept.filter(F.col("count") <= LEAF).select("path", "set_key", "count"))
         if last or large.isEmpty():
             break
         if level == 1:  # what is split on any further level is among these
@@ -368,11 +373,47 @@ def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
+def marked(inside: DataFrame, near: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """(c, token, set_key, prefix, count, total: buckets in which all pairs of ``near`` of a large component meet; c: the components that these are worth it for).
+
+    ``inside``: c, set_key, tokens, count of the sets of large components. In a component tokens are in order of how many of
+    its sets have them. Two sets as similar as ``near`` share one of the first tokens of each, as many as can be missing and
+    one more; of a crowd's sets these are what each has of its own, not what all have. Where they are shared by so many
+    that the buckets hold more pairs than the component (a group of near copies), the component is compared as it is.
+    """
+
+    def exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [np.frombuffer(t, dtype=np.int64) for t in part.column(2).to_pylist()]
+                n = np.array(list(map(len, sets)), dtype=np.int64)
+                of = pa.array(np.repeat(np.arange(len(sets)), n))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["c", "set_key", "n", "token"])
+
+    each = mapped(inside.select("c", "set_key", "tokens"), exploded, "c long, set_key binary, n long, token long")
+    common = each.groupBy("c", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    # tokens of one set alone come first in its order and are shared with none: they only count
+    ordered = each.join(common, ["c", "token"]).groupBy("c", "set_key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    left = F.floor((1 - near) * F.col("n") + 1e-6) + 1 - (F.col("n") - F.size("t"))
+    first = F.transform(F.slice("t", F.lit(1), F.greatest(left, F.lit(0)).cast("int")), lambda x: x["token"])
+    prefixes = written(ordered.select("c", "set_key", "n", first.alias("prefix")).filter(F.size("prefix") > 0), "prefixes")
+    rows = prefixes.select("c", F.explode("prefix").alias("token"), "set_key", "n", "prefix")
+    sized = written(rows.groupBy("c", "token").agg(F.count("*").alias("times"), F.sum("n").alias("total")), "sized")
+    cost = sized.groupBy("c").agg(F.sum(F.col("times") * F.col("times")).alias("cost"))
+    whole = inside.groupBy("c").agg(F.first("count").alias("count"))
+    worth = whole.join(cost, "c", "left").filter(WORTH * F.coalesce("cost", F.lit(0)) <= F.col("count") * F.col("count")).select("c")
+    worth = written(worth, "worth")
+    kept = rows.drop("n").join(sized.filter("times > 1"), ["c", "token"]).join(worth, "c", "left_semi").withColumnRenamed("times", "count")
+    return written(kept, "marked"), worth
+
+
 def exact_links(inside: DataFrame, n_sets: int, near: float = NEAR) -> DataFrame:
     """set_key, n_docs, n_texts, root: links within each block pair of a component; ``n_sets``: the rows of ``inside``.
 
     ``inside``: component, set_key, size (documents of the set), tokens (little-endian), count and total (sets and tokens
-    of the component).
+    of the component). Of a large component the pairs that marked() brings together are compared, each where the first
+    token is that both have in common there; where that isn't worth it, all.
     """
 
     def compare(asked: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch | None:
@@ -380,6 +421,13 @@ def exact_links(inside: DataFrame, n_sets: int, near: float = NEAR) -> DataFrame
         sets = [np.frombuffer(t, dtype=np.uint64) for t in columns[2].to_pylist()]
         n, both = np.array(list(map(len, sets))), shared_tokens(sets)
         linked = (both >= near * (n[:, None] + n[None, :] - both) - 1e-6) & asked
+        if len(columns) > 3:
+            # a pair that meets in several buckets counts in one of them
+            prefixes, own = [p.as_py() for p in columns[3]], columns[4].to_numpy()
+            have = list(map(set, prefixes))
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                if next(t for t in prefixes[i] if t in have[j]) != own[i]:
+                    linked[i, j] = False
         root = _roots(linked)
         some = np.flatnonzero(linked.any(axis=1))
         if not len(some):
@@ -389,10 +437,16 @@ def exact_links(inside: DataFrame, n_sets: int, near: float = NEAR) -> DataFrame
             names=["set_key", "n_docs", "n_texts", "root"],
         )
 
-    rows = inside.select(F.xxhash64("component").alias("c"), "set_key", "size", "tokens", "count", "total")
+    named = inside.select(F.xxhash64("component").alias("c"), "set_key", "size", "tokens", "count", "total")
+    buckets, worth = marked(named.filter(F.col("count") > LEAF).select("c", "set_key", "tokens", "count"), near)
+    rows = named.join(worth, "c", "left_anti")
+    of = named.select("set_key", "size", "tokens")
+    some = buckets.join(of, "set_key").select(F.xxhash64("c", "token", F.lit(3)).alias("bucket"), "set_key", "size", "tokens", "prefix", "token", "count", "total")
     few = (F.col("count") <= LEAF) & (F.col("total") <= 2 * BLOCK_TOKENS)
     n_blocks = F.when(few, 1).otherwise(F.ceil(F.greatest(F.col("count") / BLOCK, F.col("total") / BLOCK_TOKENS)))
-    return _compared(rows, n_sets, "c", ["size", "tokens"], n_blocks, compare, "set_key binary, n_docs long, n_texts long, root binary")
+    schema = "set_key binary, n_docs long, n_texts long, root binary"
+    by_bucket = _compared(some, buckets.count(), "bucket", ["size", "tokens", "prefix", "token"], n_blocks, compare, schema)
+    return _compared(rows, n_sets, "c", ["size", "tokens"], n_blocks, compare, schema).unionByName(by_bucket)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:

@@ -466,6 +466,29 @@ def test_pairs_in_a_template_crowd_meet(spark, monkeypatch):
     assert near_join.missed() ** near_join.RUNS <= 1 - near_join.RECALL
 
 
+@pytest.mark.parametrize("size", [300, 1200])
+def test_a_crowd_costs_what_its_sets_are_many(spark, monkeypatch, size):
+    """Sets that resemble each other by 0.6 and hold pairs from 0.8 on: all links, and few pairs are compared."""
+    monkeypatch.setattr(near_join, "BLOCK", 16)
+    monkeypatch.setattr(near_join, "LEAF", 32)
+    seen, plain = [], near_join.marked
+    monkeypatch.setattr(near_join, "marked", lambda *a: seen.append(plain(*a)) or seen[-1])
+    rnd = random.Random(size)
+    word = lambda: f"w{rnd.randint(0, 10**9)}"
+    template, values = [word() for _ in range(154)], []
+    for i in range(size // 3):
+        own, n = [word() for _ in range(50)], 24 + i % 25
+        values += [" ".join(template + own), " ".join(template + own[:n] + [word() for _ in range(50 - n)]), " ".join(template + [word() for _ in range(50)])]
+    assert 0.55 < jaccard(shingles_of(values[0]), shingles_of(values[2])) < 0.62
+    got = {r.doc_id: r for r in near_join.near_classes(texts(spark, values)).collect()}
+    near = {i: jaccard(shingles_of(values[i]), shingles_of(values[i + 1])) >= 0.8 for i in range(0, size, 3)}
+    assert 0.7 < sum(near.values()) / len(near) <= 1
+    for i, like in near.items():
+        assert (got[i].n_links, got[i + 1].n_links, got[i + 2].n_links) == (int(like), int(like), 0) and got[i + 1].class_id == (i if like else i + 1)
+    buckets = seen[0][0].groupBy("c", "token").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert seen[0][1].count() >= 1 and buckets < 60 * size
+
+
 def test_crowds_are_found_by_their_bits(spark):
     rnd = random.Random(13)
     word = lambda: f"w{rnd.randint(0, 10**9)}"
