@@ -71,9 +71,12 @@ def multi_query_bm25(chunks: DataFrame | KeywordIndex, variants: DataFrame, k: i
 def multi_query_vectors(chunks: DataFrame, variants: DataFrame, k: int = 5, most: int = 16, by_rank: bool = False) -> DataFrame:
     """``variants``: query_id (a whole number), variant (from 0, below ``most``), query_vec. All in one search.
 
-    A chunk's best score over a query's variants counts, or, ``by_rank``, the reciprocal ranks of its variants' lists.
+    A chunk's best score over a query's variants counts, or, ``by_rank``, the reciprocal ranks of its variants' lists. A
+    variant that isn't below ``most`` is an error.
     """
-    named = variants.select((F.col("query_id") * most + F.col("variant")).alias("query_id"), "query_vec")
+    wrong = F.raise_error(F.concat(F.lit(f"a variant isn't from 0 to {most - 1}: "), F.col("variant").cast("string")))
+    number = F.when(F.col("variant").between(0, most - 1), F.col("query_id") * most + F.col("variant")).otherwise(wrong.cast("long"))
+    named = variants.select(number.alias("query_id"), "query_vec")
     found = vector_search.vector_search(chunks, named, wide(k)).withColumn("query_id", F.floor(F.col("query_id") / most).cast("long"))
     if by_rank:
         return fusion.reciprocal_rank_fusion(found, found.limit(0), k=k)

@@ -37,6 +37,12 @@ def rewrites(query: Column, rules: RewriteRules = RewriteRules(), most: int = MA
     return F.slice(found, 1, most if most > 0 else MAX_QUERIES)
 
 
+def second_tries(query: Column, rules: RewriteRules = RewriteRules(), most: int = MAX_QUERIES) -> Column:
+    """What an uncertain result is searched by again: the rewrites, or the query asking for more where there are none."""
+    found = rewrites(query, rules, most)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.concat(clean_edges(F.coalesce(query, F.lit(""))), F.lit(MORE))))
+
+
 def query_set(query: Column, rules: RewriteRules = RewriteRules(), most: int = MAX_QUERIES) -> Column:
     """The query and its rewrites, each once."""
     return unique_strings(F.concat(F.array(clean_edges(query)), rewrites(query, rules, most)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -152,8 +153,19 @@ def list_(args, catalog: Catalog, config: settings.Config) -> str:
     query = DocumentQuery(args.search, parse_filters(args.filter), args.limit, offset)
     docs = catalog.table("documents")
     total = listing.count_documents(docs, query).first()["total"]
-    rows = [r.asDict() for r in listing.list_documents(docs, query).toLocalIterator()]
-    return sinks.documents_json(rows, total, offset) if args.json else sinks.text_table(rows, {"id": 18, "name": 30, "doc_type": 8, "status": 10})
+    rows = (r.asDict() for r in listing.list_documents(docs, query).toLocalIterator())
+    if args.json:
+        return sinks.documents_json(list(rows), total, offset)
+    return _lines(rows, {"id": 18, "name": 30, "doc_type": 8, "status": 10})
+
+
+def _lines(rows: Iterator[dict], columns: dict[str, int]) -> str:
+    """A table whose lines are printed as rows come, a partition of them at a time, but for the last, which is returned."""
+    last = sinks.text_table([], columns)
+    for row in rows:
+        print(last)
+        last = sinks.text_table([row], columns).split("\n", 1)[1]
+    return last
 
 
 def delete(args, catalog: Catalog, config: settings.Config) -> str:
@@ -177,7 +189,7 @@ COMMANDS = {"add": add, "search": search, "list": list_, "delete": delete, "gc":
 def wiki(args, catalog: Catalog) -> str:
     verb = args.wiki
     if verb == "index-list":
-        return sinks.text_table([r.asDict() for r in catalog.indexes().collect()], {"id": 34, "title": 30, "description": 40})
+        return _lines((r.asDict() for r in catalog.indexes().toLocalIterator()), {"id": 34, "title": 30, "description": 40})
     if verb == "index-create":
         return catalog.add_index(args.title, args.description)
     if verb == "index-delete":
@@ -188,7 +200,7 @@ def wiki(args, catalog: Catalog) -> str:
     if verb == "remember":
         return catalog.add_entry(args.index, args.title, body_of(args))
     if verb == "list":
-        return sinks.text_table([r.asDict() for r in catalog.entries(args.index).collect()], {"id": 34, "title": 30})
+        return _lines((r.asDict() for r in catalog.entries(args.index).toLocalIterator()), {"id": 34, "title": 30})
     entry = catalog.entry(args.id)
     if entry is None:
         raise NotFoundError(f"no entry {args.id}")

@@ -161,6 +161,22 @@ def rewrite_lateral(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT query_id, variant, rewritten AS query FROM {turns}, LATERAL rewritten_by_rules(query, 4)", turns=turns)
 
 
+def second_tries(spark: SparkSession, sf: str) -> DataFrame:
+    """By what turns are searched again where their results are uncertain."""
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.posexplode(rewrite.second_tries(F.col("text"), RULES, 4)).alias("variant", "query"))
+    return turns.select("query_id", F.col("variant").cast("long").alias("variant"), "query")
+
+
+def embedding_fails(spark: SparkSession, sf: str) -> DataFrame:
+    """A search whose query gets no vector: keywords alone, among the chunks that have one."""
+
+    def broken(texts: list[str]) -> list:
+        raise OSError("no model")
+
+    retriever = retrieval.Retriever(corpus.hybrid_chunks(spark, sf), embed=broken)
+    return retriever._ranked("where the contract ends", retrieval.SearchOptions(top_k=K).settled(retriever), K)
+
+
 def rewrite_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Rules over the words of all turns."""
     turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
@@ -200,7 +216,7 @@ def hits_json(spark: SparkSession, sf: str) -> DataFrame:
     return hits_as_json(listing.with_document(hits, corpus.live_documents(spark, sf)).select("query_id", "rank", "document_id", "document_name", "file_path"))
 
 
-QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, phrase_by_filters, like_by_filters, keyword_any_term_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, rewrite_lateral, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
+QUERIES = {f.__name__.rstrip("_"): f for f in (bm25_search, phrase_by_filters, like_by_filters, keyword_any_term_search, bm25_doc_scoped, bm25_multi_query, keyword_prefilter, keyword_any_term, keyword_raw_like, keyword_search, cosine_scores, vector_multi_query, vector_multi_query_ranks, vector_search_, vector_topk_dot, l2_normalize, hybrid_search, hybrid_doc_scoped, rrf_fusion, dedupe_keep_best, dedupe_first_wins, rewrite_rules, rewrite_lateral, second_tries, embedding_fails, quality_label, corrective_union, rerank, hits_enriched, hits_json)}
 
 
 def bm25_ctes(texts: str, queries: str, name: str = "") -> str:
@@ -278,3 +294,9 @@ SQL = {
 }
 
 SQL["rewrite_lateral"] = SQL["rewrite_rules"]
+SQL["embedding_fails"] = f"WITH {bm25_ctes(_HYBRID_TEXTS, "SELECT 0::BIGINT AS query_id, 'where the contract ends' AS query")} {top_rows('scored', K)}"
+SQL["second_tries"] = """WITH q AS (SELECT conv_id * 1000 + turn AS query_id, trim(text, ' ' || chr(10)) AS query FROM conversations),
+ r AS (SELECT query_id, 1 o, replace(query, 'the', 'a') query FROM q WHERE contains(query, 'the') AND NOT contains(query, 'the化') UNION ALL SELECT query_id, 2, query || ' also' FROM q WHERE contains(query, 'and')
+  UNION ALL SELECT query_id, 3, replace(query, 'is', 'was') FROM q WHERE contains(query, 'is') UNION ALL SELECT query_id, 4, replace(query, 'is', 'be') FROM q WHERE contains(query, 'is')),
+ u AS (SELECT query_id, query, min(o) o FROM r WHERE query <> '' GROUP BY query_id, query UNION ALL SELECT query_id, query || ' 详细解释', 1 FROM q WHERE query_id NOT IN (SELECT query_id FROM r WHERE query <> ''))
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS variant, query FROM u"""

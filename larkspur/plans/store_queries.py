@@ -15,7 +15,7 @@ from larkspur.plans.search_queries import TEXT_QUERIES, bm25_ctes, top_rows
 from larkspur.plans.tables import table
 from larkspur.plans.text_queries import EDGES
 from larkspur.sources.batching import batches
-from larkspur.sources.catalog import Catalog
+from larkspur.sources.catalog import Catalog, NotFoundError
 from larkspur.sources.shared import run_dir
 
 _LISTED = ("id", "name", "file_path", "doc_type", "status", "created_at")
@@ -351,6 +351,25 @@ def _layers(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.join(F.broadcast(paragraphs), "label", "left").select(F.col("vec_id").alias("id"), F.col("label").alias("document_id"), "layer", F.col("vec_id").cast("string").alias("text"), "embedding", parent.alias("parent"))
 
 
+def hier_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of one document's layer."""
+    return hierarchy.nodes_of(_layers(spark, sf), document_id=3, layer=2).select("id", "parent")
+
+
+def checked_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """A conversation deleted by its id, and one that isn't there, which is refused."""
+    store, turns = _catalog(spark), corpus.turns(spark, sf)
+    of = turns.select(F.col("document_id").alias("id")).distinct().withColumn("file_path", F.concat(F.lit("conversation/"), "id"))
+    store.add_documents(_text_id(of.withColumn("name", F.col("file_path"))))
+    store.add_chunks(_text_id(_text_id(turns), "document_id"))
+    gone = store.delete_checked("3")
+    try:
+        refused = store.delete_checked("nowhere") < 0
+    except NotFoundError:
+        refused = True
+    return store.table("chunks").agg(F.count("*").alias("turns"), F.countDistinct("document_id").alias("conversations")).select("*", F.lit(gone).cast("long").alias("deleted"), F.lit(refused).alias("refused"))
+
+
 def hier_search(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.hierarchical_search(_layers(spark, sf), corpus.vector_queries(spark, sf), 3).select("query_id", "id", "document_id", F.col("layer").cast("long").alias("layer"), "score", "rank")
 
@@ -364,7 +383,7 @@ def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        gc_counts, keyword_only_ingest, all_or_nothing, indexed_ingest, wiki_cascade,
+        hier_nodes, checked_delete, gc_counts, keyword_only_ingest, all_or_nothing, indexed_ingest, wiki_cascade,
         scan_documents, scan_live_chunks, list_search, list_filter_in, list_page, list_offset, list_count, chunk_by_index, chunks_of_document, embedded_only, orphan_chunks, orphan_count, gc_survivors,
         point_lookup, documents_at_path, hits_placeholder, document_texts, unique_words, orphan_relations, cascade_survivors, skip_duplicates, force_replace, status_update, wiki_list_indexes, wiki_list_entries, wiki_update, kg_find, kg_neighbors, kg_checked, kg_link, kg_subgraph, kg_subgraph_relations, kg_build, kg_build_relations, kg_ask, kg_upsert, hier_build, hier_search, embed_batches,
     )
@@ -408,6 +427,8 @@ SQL = {
     "embedded_only": "SELECT doc_id AS id, len(embedding) AS dimension FROM documents JOIN embeddings ON vec_id = doc_id",
     "orphan_chunks": f"{_D} SELECT vec_id AS id, vec_id AS document_id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM {_LIVE})",
     "orphan_count": f"{_D} SELECT count(*) AS orphans FROM embeddings WHERE vec_id NOT IN (SELECT id FROM {_LIVE})",
+    "hier_nodes": f"WITH {_TREE} SELECT id, parent FROM nodes WHERE document_id = 3 AND layer = 2",
+    "checked_delete": "SELECT count(*) FILTER (WHERE conv_id <> 3) AS turns, count(DISTINCT conv_id) FILTER (WHERE conv_id <> 3) AS conversations, count(*) FILTER (WHERE conv_id = 3) AS deleted, true AS refused FROM conversations",
     "gc_counts": "SELECT count(*) FILTER (WHERE vec_id % 7 = 0) AS orphans, count(*) FILTER (WHERE vec_id % 7 = 0) AS deleted, 0::BIGINT AS left_over, count(*) FILTER (WHERE vec_id % 7 <> 0) AS chunks FROM embeddings",
     "keyword_only_ingest": "SELECT true AS without_vector, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM documents",
     "all_or_nothing": "SELECT 0 AS chunk_index, count(*) AS chunks, true AS refused FROM documents WHERE doc_id % 2 = 0",

@@ -60,6 +60,8 @@ QUERIES = {
     "doc_freq": lambda spark, sf: bm25.document_frequencies(bm25.term_frequencies(corpus.texts(spark, sf))),
     "avg_doc_len": lambda spark, sf: bm25.corpus_statistics(corpus.texts(spark, sf)).select("n", F.round("avgdl", 6).alias("avgdl")),
     "paragraphs": lambda spark, sf: table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text")).select("conv_id", F.posexplode(t.index_paragraphs(F.col("text"), 200)).alias("n", "paragraph")).withColumn("n", F.col("n").cast("long")),
+    "unfenced": lambda spark, sf: table(spark, sf, "events").select("event_id", t.unfenced(F.concat(F.when(F.col("event_id") % 2 == 0, " ```json\n").otherwise("```"), "props", F.lit("\n``` "))).alias("answer")),
+    "escaped_like": lambda spark, sf: table(spark, sf, "events").select("event_id", t.escape_like(F.concat("event_type", F.lit("_50%\\"), "props")).alias("pattern")),
     "sentences": _docs(lambda: [F.posexplode(t.sentences(F.col("text"))).alias("n", "sentence")]),
     "hier_sentences": _docs(lambda: [F.posexplode(t.index_sentences(F.col("text"))).alias("n", "sentence")]),
     "chunk_documents": lambda spark, sf: chunk_documents(spread(table(spark, sf, "documents").select("doc_id", "text")), CHUNKS, "doc_id").select(F.col("document_id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "text"),
@@ -105,6 +107,8 @@ SQL = {
     "term_freq": f"WITH t AS (SELECT doc_id AS id, {TOKENS} ts FROM documents) SELECT id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT id, len(ts) dl, unnest(ts) term FROM t) GROUP BY id, term",
     "doc_freq": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS}) term FROM documents) GROUP BY term",
     "avg_doc_len": f"SELECT count(*) AS n, round(avg(len({TOKENS})), 6) AS avgdl FROM documents",
+    "unfenced": "SELECT event_id, trim(regexp_replace(props, '^\\s+|\\s+$', '', 'g')) AS answer FROM events",
+    "escaped_like": "SELECT event_id, replace(replace(replace(event_type || '_50%' || chr(92) || props, chr(92), chr(92) || chr(92)), '%', chr(92) || '%'), '_', chr(92) || '_') AS pattern FROM events",
     "paragraphs": f"""WITH p AS (SELECT conv_id, turn, trim(text) p, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) k FROM conversations WHERE trim(text) <> ''),
  cut AS (SELECT conv_id, turn, k, i, CASE WHEN octet_length(encode(p)) > 200 THEN substr(p, i, 200) ELSE p END AS paragraph FROM (SELECT *, {_PIECES} i FROM p) WHERE octet_length(encode(p)) > 200 OR i = 1)
  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k, i) - 1 AS n, paragraph FROM cut""",
