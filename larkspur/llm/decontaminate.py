@@ -11,7 +11,8 @@ Everything is column expressions and joins. Anchors are broadcast in blocks of a
 
 Defined cases: null and empty texts and items have no words; items without words match nothing; repeated rows get as many
 equal answers; texts and items of any length are read whole, a window never carries more than the 25 words around it; an
-empty benchmark hits nothing, an empty table gives no rows.
+empty benchmark hits nothing, an empty table gives no rows. Verdicts have columns of their own only, whatever the documents'
+are called; ``clean`` returns the documents' columns as they are.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ many distinct shingles there are. All of it is column expressions.
 Defined cases: a null text is an empty one; a text without words has the empty sketch; two empty sketches have
 resemblance 1, an empty and another one 0; a text of one to four words is a single shingle. With at most ``k`` distinct
 shingles a sketch holds them all and every estimate is exact. Texts of any length are read whole; a doc_id is a whole number
-or a string of one; an empty table gives no rows.
+or a string of one; ties in order of doc_id can't be, since rows that repeat one are one place; other columns are dropped,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

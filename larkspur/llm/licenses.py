@@ -10,7 +10,8 @@ ones and before references; a rule takes the identifiers that it matches, so a t
 well. "All rights reserved" counts only where nothing else is found.
 
 Defined cases: a null or empty text has no license, category "none", and so has a text without known sentences; a text of
-any length is read whole; repeated rows are answered alike; an empty table gives no rows.
+any length is read whole; repeated rows are answered alike; other columns are dropped, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ So no copy is missed, however alike the crowd around it is.
 
 Defined cases: a null text is an empty one (one empty line); lines are what stands between line feeds, compared byte by
 byte; lines of white space only are never boilerplate; a null site counts for no line; repeated rows are treated alike (and
-are copies of each other); texts of any length are read whole; an empty table has no boilerplate.
+are copies of each other); texts of any length are read whole; an empty table has no boilerplate; own columns
+that clash with the result's four are replaced, others are kept as they are.
 """
 
 from __future__ import annotations

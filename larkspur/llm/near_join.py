@@ -25,7 +25,9 @@ table in the shared folder.
 Defined cases: null and empty texts and texts without words have no set, no link and a class of their own; equal sets are
 linked with similarity 1; repeated rows are documents like others (and copies of each other); a null doc_id stays null
 and is no class's name while there is another; doc_id is a whole number or a string of one; a text of any length is a set
-of its own size, and the largest one bounds a task's memory from below.
+of its own size, and the largest one bounds a task's memory from below; ties go to the smaller doc_id, null last; classes have
+columns of their own only, whatever the documents' are called, and ``one_of_each`` returns the documents' as they are; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

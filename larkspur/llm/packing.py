@@ -11,7 +11,8 @@ No row is shuffled: each task encodes and packs its own input, holds one block,
 partition, so a task that runs again gives the same rows.
 
 Defined cases: a null text is an empty one, whose only id is the closing one; repeated rows are packed as often as they
-come; a document of any length is cut; an empty table has no pieces; doc_id is a whole number or a string of one.
+come; a document of any length is cut; an empty table has no pieces; doc_id is a whole number or a string of one;
+of sequences that cost the same the first is taken; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations

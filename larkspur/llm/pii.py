@@ -10,7 +10,8 @@ its task. The patterns are possessive and none begins inside of a run that it ha
 in time linear in it, without overflowing the stack.
 
 Defined cases: a null or empty text has no spans; positions are code points, the end exclusive; very long texts, and runs of
-a megabyte of digits in them, are read whole; repeated rows are answered alike; an empty table gives no rows.
+a megabyte of digits in them, are read whole; repeated rows are answered alike; other columns are dropped, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ documents that the field finds good are relabelled (never all of a document's) a
 
 Defined cases: a null text is an empty one; a text without lines that hold something has one empty line; repeated rows get
 the same score; without labels of both kinds every document scores 1 (but for rounding); texts of any length
-are scored whole; ids are whole numbers or strings of one; an empty table gives no rows.
+are scored whole; ids are whole numbers or strings of one; other columns are dropped by scores, whatever their names, and
+kept as they are by ``keep_good``; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ are made anew only when the blocks touched have grown to several times their siz
 Defined cases: a null text is an empty one of 0 tokens; edits apply in the order given, each to the text that the ones
 before left; positions beyond the text's end are its end, an end before its start is its start; null replacements are
 empty; a pre-token of any length (a run without blanks) is one leaf; repeated rows are answered alike; an empty table gives
-no rows; doc_id is a whole number or a string of one.
+no rows; doc_id is a whole number or a string of one; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ so that the cut lies at 0.3.
 
 Defined cases: a null text is an empty one; a text without words has no responses and scores as such; repeated rows get
 the same score; without labels of both kinds every document scores 0; texts of any length
-are scored whole; ids are whole numbers or strings of one; an empty table gives no rows.
+are scored whole; ids are whole numbers or strings of one; other columns are dropped, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
