@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the columns of documents (the
 last one: the pieces of the packed sequences). ``run`` writes every stage's rows as Parquet in the shared folder and
 reads them again for the next.
+
+Defined cases: every stage takes null, empty and very long texts and repeated rows as its operator does (a null text is an
+empty one, which the classifier scores like others; of rows that repeat doc_id and text one stays); extra columns of the
+documents, whatever their names, go through to the last stage, which returns pieces only; an empty table gives no pieces.
 """
 
 from __future__ import annotations
