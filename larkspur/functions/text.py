@@ -153,16 +153,21 @@ def tokenize(c: Column) -> Column:
     return let(runs, lambda r: F.when(c.rlike(CJK), F.flatten(F.transform(r, split))).otherwise(r))
 
 
-def term_counts(c: Column) -> Column:
-    """The distinct tokens of a text, in order, and how often each stands (term, tf): counted within the row."""
+def run_lengths(items: Column, item: str = "item", times: str = "times", kind: str = "string") -> Column:
+    """The distinct items of an array of ``kind``, in order, and how often each stands: (item, times)."""
 
     def counts(sorted_: Column) -> Column:
         n = F.size(sorted_)
         firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
-        each = let(firsts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(sorted_, i).alias("term"), (F.coalesce(F.get(at, j + 1), n) - i).alias("tf"))))
-        return F.when(n > 0, each).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+        each = let(firsts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(sorted_, i).alias(item), (F.coalesce(F.get(at, j + 1), n) - i).alias(times))))
+        return F.when(n > 0, each).otherwise(F.array().cast(f"array<struct<{item}:{kind},{times}:int>>"))
+
+    return let(F.array_sort(items), counts)
 
-    return let(F.array_sort(tokenize(c)), counts)
+
+def term_counts(c: Column) -> Column:
+    """The distinct tokens of a text, in order, and how often each stands (term, tf): counted within the row."""
+    return run_lengths(tokenize(c), "term", "tf")
 
 
 def estimated_tokens(c: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
-from larkspur.functions.text import let, tokenize
+from larkspur.functions.text import let, run_lengths, tokenize
 from larkspur.functions.vectors import l2_normalized
 from larkspur.operators.corrective import HIGH, LOW, UNCERTAIN
 from larkspur.sources.batching import MAX_TEXTS, in_batches
@@ -36,9 +36,11 @@ if TYPE_CHECKING:
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A unit vector of a text's tokens: each counts where its hash points, up or down. Native, deterministic."""
-    signed = F.transform(tokenize(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("by")))
-    total = lambda ts, i: F.aggregate(ts, F.lit(0.0), lambda s, w: s + F.when(w["at"] == i, w["by"]).otherwise(0.0))
-    return let(signed, lambda ts: l2_normalized(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: total(ts, i))))
+    place = lambda w: 2 * F.pmod(F.xxhash64(w), F.lit(size)) + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))
+    # each token is looked at once; what is looked through for each number has two entries for each at most
+    counted = F.map_from_entries(run_lengths(F.transform(tokenize(text), place), "at", "n", "bigint"))
+    times = lambda m, at: F.coalesce(F.try_element_at(m, at), F.lit(0))
+    return let(counted, lambda m: l2_normalized(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (times(m, (2 * i).cast("long")) - times(m, (2 * i + 1).cast("long"))).cast("double"))))
 
 
 class HttpError(RuntimeError):

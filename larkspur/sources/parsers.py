@@ -65,6 +65,10 @@ def parse_text_files(files: DataFrame, keep_paragraphs: bool = True) -> DataFram
     )
 
 
+#: Characters of texts that are put out at once.
+MOST_CHARS = 4 << 20
+
+
 def parse_binary(path: str, data: bytes) -> tuple:
     """A row of SCHEMA."""
     kind = path[path.rfind(".") :].lower()
@@ -90,10 +94,19 @@ def parse_binary_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.bool_() if c.split()[1] == "boolean" else pa.string() for c in SCHEMA.split(", ")]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
         for b in batches:
-            for i in range(b.num_rows):
-                row = parse_binary(b.column(0)[i].as_py(), b.column(1)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+            rows, held = [], 0
+            for path, data in zip(b.column(0), b.column(1), strict=True):
+                rows.append(parse_binary(path.as_py(), data.as_py()))
+                held += len(rows[-1][1] or "")
+                if held > MOST_CHARS:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
 
     parsed = mapped(files.select("path", "content"), run, SCHEMA)
     paged = F.col("file_type") == ".pdf"
