@@ -69,6 +69,8 @@ class Kind:
     score: float
     context: str
     base: bool = True
+    #: A short pattern without which a text has no valid match either: most texts are looked through for it alone.
+    look: str = ""
 
     def valid(self, m: Column) -> Column:
         if self.name == "ip":
@@ -93,9 +95,9 @@ _IBAN = "|".join([*(f"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, r"mail|contact|write|kontakt|correo|courriel|schreib"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|host|server|address|adresse|login"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.6, r"card|visa|master|amex|payment|karte|carte|tarjeta"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.6, r"card|visa|master|amex|payment|karte|carte|tarjeta", look=r"[0-9](?:[\x20-]?[0-9]){13}"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"phone|\btel|call|mobil|fax|anruf|appel|llam"),
-    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", "", 0.6, r"iban|account|bank|konto|compte|cuenta", False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", "", 0.6, r"iban|account|bank|konto|compte|cuenta", False, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9] ?[A-Z0-9]"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, r"\bssn\b|social security", False),
 )
 
@@ -132,7 +134,8 @@ def matches(text: Column, kind: Kind) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,text:string,near:string>>")
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     spans = let(found, lambda f: F.when(F.size(f) > 0, let(F.split(text, kind.pattern, -1), lambda g: let(parts(f, g), _scan))).otherwise(none))
-    some = F.when(F.contains(text, F.lit(kind.sign)), spans).otherwise(none) if kind.sign else spans
+    has = F.contains(text, F.lit(kind.sign)) if kind.sign else F.lit(True)
+    some = F.when(has & text.rlike(kind.look) if kind.look else has, spans).otherwise(none)
     return F.filter(some, lambda s: kind.valid(s["text"]))
 
 
