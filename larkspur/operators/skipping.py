@@ -9,6 +9,7 @@ large files, and they are read as a column of bits, in the JVM.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,8 @@ def literals(pattern: str) -> list[str]:
     return [x for x in [*out, now] if x]
 
 
-def write_filters(texts: DataFrame, folder: str, column: str = "text", bits: int = BITS) -> None:
+def write_filters(texts: DataFrame, folder: str, column: str | Column = "text", bits: int = BITS) -> None:
     """Filters of the files that ``texts`` is read from: file, words (64 bits each)."""
-    from functools import partial
 
     def merged(batches: Iterable[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
         """One filter for each file that a task sees, of texts or of filters of its parts."""
@@ -75,19 +75,19 @@ def write_filters(texts: DataFrame, folder: str, column: str = "text", bits: int
         return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([words.view(np.int64)], pa.list_(pa.int64()))], names=["file", "words"])
 
     schema = "file string, words array<long>"
-    parts = mapped(texts.select(F.col("_metadata.file_path").alias("file"), F.col(column)), partial(merged, kind="texts"), schema)
+    parts = mapped(texts.select(F.col("_metadata.file_path").alias("file"), (F.col(column) if isinstance(column, str) else column).alias("text")), partial(merged, kind="texts"), schema)
     mapped(parts.repartition("file"), partial(merged, kind="filters"), schema).write.mode("append").parquet(folder)
 
 
 class TextFilters:
-    """The filters in a folder, of tables of ``bits`` bits each."""
+    """The filters in some folders, of ``bits`` bits each."""
 
-    def __init__(self, spark: SparkSession, folder: str, bits: int = BITS):
-        self.spark, self.folder, self.bits = spark, folder, bits
+    def __init__(self, spark: SparkSession, *folders: str, bits: int = BITS):
+        self.spark, self.folders, self.bits = spark, folders, bits
 
     def files(self, strings: list[str]) -> DataFrame:
         """file: whose texts may hold all the strings (those shorter than a run say nothing)."""
-        filters = self.spark.read.schema("file string, words array<long>").parquet(self.folder)
+        filters = self.spark.read.schema("file string, words array<long>").parquet(*self.folders)
         found = F.lit(True)
         for bit in sorted({int(b) for s in strings for b in bits_of(s.encode().translate(_LOWER), self.bits)}):
             found = found & (F.shiftright(F.get("words", F.lit(bit >> 6)), bit & 63).bitwiseAND(F.lit(1)) == 1)

@@ -39,6 +39,8 @@ def retriever_of(config: settings.Config, catalog: Catalog) -> Retriever:
     retriever = Retriever(catalog.live_chunks(), rewrite_limit=q.max_queries)
     if e.api_key:
         retriever.embed = HttpEmbedder(e.url, e.model, e.api_key, e.max_batch)
+    elif catalog.has_index():
+        retriever.index = catalog.keyword_index()
     if r.enabled and r.url:
         retriever.reranker = HttpReranker(r.url, r.model, r.api_key)
     if q.enabled:
@@ -119,7 +121,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
         config.set(args.key, args.value)
         settings.save(config, args.config)
         return f"{args.key} = {config.display(args.key)}"
-    catalog = Catalog(spark or SparkSession.builder.getOrCreate(), config.storage.path)
+    catalog = Catalog(spark or SparkSession.builder.getOrCreate(), config.storage.path, indexed=True)
     return wiki(args, catalog) if args.verb == "wiki" else COMMANDS[args.verb](args, catalog, config)
 
 
@@ -153,7 +155,7 @@ def list_(args, catalog: Catalog, config: settings.Config) -> str:
     query = DocumentQuery(args.search, parse_filters(args.filter), args.limit, offset)
     docs = catalog.table("documents")
     total = listing.count_documents(docs, query).first()["total"]
-    rows = (r.asDict() for r in listing.list_documents(docs, query).toLocalIterator())
+    rows = (r.asDict() for r in catalog.list_documents(query).toLocalIterator())
     if args.json:
         return sinks.documents_json(list(rows), total, offset)
     return _lines(rows, {"id": 18, "name": 30, "doc_type": 8, "status": 10})

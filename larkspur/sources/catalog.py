@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.inverted import KeywordIndex, write_part
-from larkspur.operators.listing import live_chunks, orphan_chunks
+from larkspur.operators.listing import DocumentQuery, keyword_candidates, list_documents, live_chunks, orphan_chunks
+from larkspur.operators.skipping import TextFilters, literals, write_filters
 from larkspur.sources.shared import written
 
 SCHEMAS = {
@@ -39,6 +40,8 @@ INDEXING, INDEXED, FAILED = "indexing", "indexed", "failed"
 
 #: Keys, of all deletions of a table together, up to which they are broadcast to readers; above, the join is left to Spark.
 MAX_BROADCAST_KEYS = 200_000
+#: Columns that are searched for strings.
+SEARCHED = {"chunks": ("text",), "documents": ("name", "file_path")}
 #: Entries of a log from which ``compact`` is worth it.
 LONG_LOG = 40
 ATTEMPTS = 8
@@ -75,7 +78,11 @@ class ConflictError(RuntimeError):
 
 
 class Catalog:
-    """The tables under one base path. ``indexed``: every part of chunks that is added gets its postings beside it."""
+    """The tables under one base path.
+
+    ``indexed``: every part of chunks that is added gets its postings beside it, and parts of chunks and documents get the
+    filters of their files, by which searches for strings prune.
+    """
 
     def __init__(self, spark: SparkSession, base: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC), indexed: bool = False):
         self.spark, self.base, self.clock, self.closed, self.indexed = spark, base.rstrip("/"), clock, False, indexed
@@ -120,6 +127,9 @@ class Catalog:
         entry["rows"] = seen.get["rows"]
         if name == "chunks" and self.indexed:
             entry["terms"] = write_part(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{entry['add']}"), f"{self.base}/terms")
+        if name in SEARCHED and self.indexed:
+            entry["filters"] = f"filters-{uuid.uuid4().hex}"
+            write_filters(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{entry['add']}"), f"{self.base}/{entry['filters']}", F.concat_ws("\n", *SEARCHED[name]))
         return entry
 
     def _keys(self, keys: DataFrame | list, name: str, column: str = "id") -> dict:
@@ -180,8 +190,8 @@ class Catalog:
     def vacuum(self) -> int:
         """Delete parts and manifests that the last manifest doesn't name; their number. For when nobody reads or writes."""
         version = self.version()
-        named = {x for log in self._logs(version).values() for e in log for x in (e.get("add"), e.get("hide"))} | {f"manifest-{version:012d}.json"}
-        old = [p for p in self._listed() if p.getName() not in named and p.getName().partition("-")[0] in (*SCHEMAS, "manifest")]
+        named = {x for log in self._logs(version).values() for e in log for x in (e.get("add"), e.get("hide"), e.get("filters"))} | {f"manifest-{version:012d}.json"}
+        old = [p for p in self._listed() if p.getName() not in named and p.getName().partition("-")[0] in (*SCHEMAS, "manifest", "filters")]
         indexed = {f"part={e['terms']}" for log in self._logs(version).values() for e in log if "terms" in e}
         for kind in ("postings", "blocks"):
             old += [p for p in self._listed(f"terms/{kind}") if p.getName() not in indexed]
@@ -206,10 +216,21 @@ class Catalog:
         last = {by: reduce(DataFrame.unionByName, keys).groupBy("__key").agg(F.max("__until").alias("__until")) for by, keys in hidden.items()}
         return generations, last, sum(entry.get("keys", 0) for entry in log)
 
-    def table(self, name: str, version: int | None = None) -> DataFrame:
-        """A table as it is now, or was at a version."""
-        generations, hidden, n = self._parts(self._logs(self.version() if version is None else version).get(name, []))
-        parts = [self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.base}/{f}" for f in folders]).withColumn("__generation", F.lit(g)) for g, folders in enumerate(generations) if folders]
+    def table(self, name: str, version: int | None = None, holding: list[str] | None = None) -> DataFrame:
+        """A table as it is now, or was at a version; of an indexed one the files that may hold all of some strings.
+
+        ``holding`` prunes, it doesn't filter; parts without filters are read whole.
+        """
+        log = self._logs(self.version() if version is None else version).get(name, [])
+        generations, hidden, n = self._parts(log)
+        filters = {e["add"]: f"{self.base}/{e['filters']}" for e in log if "filters" in e}
+        may = F.lit(True)
+        if holding and filters:
+            # names of files that filters speak of and that they leave; as many as parts have files
+            known = TextFilters(self.spark, *filters.values())
+            left, told = {r.file for r in known.files(holding).collect()}, {r.file for r in known.files([]).collect()}
+            may = ~F.col("_metadata.file_path").isin(*sorted(told - left)) if told - left else may
+        parts = [self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.base}/{f}" for f in folders]).filter(may).withColumn("__generation", F.lit(g)) for g, folders in enumerate(generations) if folders]
         if not parts:
             return self.spark.createDataFrame([], SCHEMAS[name])
         out = reduce(DataFrame.unionByName, parts)
@@ -218,10 +239,14 @@ class Catalog:
             out = out.join(F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys, gone, "left_anti")
         return out.drop("__generation")
 
+    def has_index(self) -> bool:
+        """Whether every part of the chunks has its part of the index."""
+        return all("terms" in e for e in self._logs(self.version()).get("chunks", []) if "add" in e)
+
     def keyword_index(self) -> KeywordIndex:
         """The index of the chunks as they are now, of the parts that ingestion has written; texts aren't read."""
         log = self._logs(self.version()).get("chunks", [])
-        if any("add" in e and "terms" not in e for e in log):
+        if not self.has_index():
             raise ValueError("chunks were added without an index; compact them with indexed=True")
         generations, hidden, _ = self._parts(log, "terms")
         index = KeywordIndex(self.spark, f"{self.base}/terms", generations)
@@ -321,6 +346,18 @@ class Catalog:
     def live_chunks(self) -> DataFrame:
         return live_chunks(self.table("chunks"), self.table("documents"))
 
+    def chunks_containing(self, string: str) -> DataFrame:
+        """Chunks whose text holds the string, ASCII case aside."""
+        return keyword_candidates(self.table("chunks", holding=[string]), string, "phrase")
+
+    def chunks_like(self, pattern: str) -> DataFrame:
+        """Chunks whose text matches the LIKE pattern somewhere, ASCII case aside."""
+        return keyword_candidates(self.table("chunks", holding=literals(pattern)), pattern, "raw_like")
+
+    def list_documents(self, query: DocumentQuery = DocumentQuery()) -> DataFrame:
+        """The page asked for; what is searched for prunes files first."""
+        return list_documents(self.table("documents", holding=[query.search.strip()] if query.search.strip() else None), query)
+
     def count_orphans(self) -> int:
         return orphan_chunks(self.table("chunks"), self.table("documents")).count()
 

@@ -16,6 +16,22 @@ from larkspur.sources.models import embed_chunks, hashed_embedding
 DOCS = [("1", "annual-report.pdf", "docs/annual-report.pdf", "pdf", "indexed", 1), ("2", "meeting-notes.md", "notes/meeting-notes.md", "md", "indexed", 2), ("3", "50%_off.txt", "docs/50%_off.txt", "txt", "failed", 3)]
 
 
+def files_read(df):
+    """What the scans of a plan say when it has run once."""
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            plan.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            plan.append(node.plan())
+        elif node.metrics().contains("numFiles"):
+            found.append((node.toString(), node.metrics().apply("numFiles").value()))
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return sum(n for _, n in found)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(DOCS, "id string, name string, file_path string, doc_type string, status string, created_at int").cache()
@@ -213,6 +229,25 @@ def test_progress_is_told(spark):
     assert sinks.tasks_left(3, 12, 6.0) == "3/12 tasks, 18s left" and sinks.tasks_left(0, 12, 6.0) == "0/12 tasks, unknown left"
 
 
+def test_searches_prune_parts(spark, tmp_path):
+    store = Catalog(spark, f"file://{tmp_path}/filtered", indexed=True)
+    for n in range(4):
+        docs = spark.createDataFrame([(f"d{n}-{i}", f"name{n}-{i}.txt", f"folder{n}/{i}") for i in range(5)], "id string, name string, file_path string").coalesce(1)
+        store.ingest(docs, docs.select(F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit(f"Common words and Needle{n} "), "id").alias("text")).coalesce(1))
+    assert files_read(store.chunks_containing("nEEDLE2 d")) == 1
+    assert {r.document_id for r in store.chunks_containing("nEEDLE2 d").collect()} == {f"d2-{i}" for i in range(5)}
+    assert files_read(store.chunks_like("needle_ d%-3")) == 4 and {r.document_id for r in store.chunks_like("needle_ d%-3").collect()} == {f"d{n}-3" for n in range(4)}
+    assert files_read(store.chunks_containing("nowhere")) == 0 and store.chunks_containing("and").count() == 20
+    assert files_read(store.list_documents(DocumentQuery(search="FOLDER3"))) == 1
+    assert {r.id for r in store.list_documents(DocumentQuery(search="FOLDER3")).collect()} == {f"d3-{i}" for i in range(5)}
+    store.delete_documents(["d2-0", "d3-1"])
+    assert store.chunks_containing("needle2").count() == 4 and store.list_documents(DocumentQuery(search="folder3", limit=9)).count() == 4
+    store.compact("chunks", "documents")
+    store.vacuum()
+    assert store.chunks_containing("needle2").count() == 4 and files_read(store.chunks_containing("nowhere")) == 0
+    assert len([p for p in (tmp_path / "filtered").iterdir() if p.name.startswith("filters-")]) == 2
+
+
 def test_wiki(catalog):
     one = catalog.add_index("b title", "about")
     catalog.add_index("a title", index_id="two")
