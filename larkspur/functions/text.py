@@ -162,7 +162,8 @@ def run_lengths(items: Column, item: str = "item", times: str = "times", kind: s
         each = let(firsts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(sorted_, i).alias(item), (F.coalesce(F.get(at, j + 1), n) - i).alias(times))))
         return F.when(n > 0, each).otherwise(F.array().cast(f"array<struct<{item}:{kind},{times}:int>>"))
 
-    return let(F.array_sort(items), counts)
+    # not array_sort, whose order is a function called for every two items
+    return let(F.sort_array(items), counts)
 
 
 def term_counts(c: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import term_counts, tokenize
+from larkspur.functions.text import let, term_counts, tokenize
 from larkspur.operators.bounded import sent
 from larkspur.sources.shared import written
 
@@ -20,10 +20,15 @@ B = 0.75
 
 def term_frequencies(chunks: DataFrame, id_column: str = "id") -> DataFrame:
     """id, term, tf, dl (the chunk's tokens); a chunk's terms are counted within its row, so nothing is shuffled."""
-    counted = chunks.select(F.col(id_column).alias("id"), term_counts(F.col("text")).alias("__t"))
-    length = F.aggregate("__t", F.lit(0), lambda s, x: s + x["tf"]).cast("long")
-    each = counted.select("id", length.alias("dl"), F.inline("__t"))
-    return each.select("id", "term", F.col("tf").cast("long").alias("tf"), "dl")
+    each = counted_terms(chunks.select(F.col(id_column).alias("id"), "text")).select("id", "dl", F.inline("terms"))
+    return each.select("id", "term", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+
+
+def counted_terms(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with dl (tokens) and terms (array of term, tf) in place of text."""
+    whole = let(term_counts(F.col("text")), lambda t: F.struct(F.aggregate(t, F.lit(0), lambda s, x: s + x["tf"]).alias("dl"), t.alias("terms")))
+    # a row that makes one row, so that what follows doesn't count again for each term
+    return chunks.select(*[c for c in chunks.columns if c != "text"], F.inline(F.array(whole)))
 
 
 def document_frequencies(frequencies: DataFrame) -> DataFrame:

@@ -24,8 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import term_counts
-from larkspur.operators.bm25 import B, K1, query_terms, ranked
+from larkspur.operators.bm25 import B, K1, counted_terms, query_terms, ranked
 from larkspur.operators.bounded import sent
 from larkspur.sources.shared import written
 
@@ -47,9 +46,8 @@ def _class(dl: Column) -> Column:
 def postings_of(chunks: DataFrame, id_column: str = "id") -> DataFrame:
     """term, id, tf, dl, class, document_id of every chunk's terms, and of the term "" once; a chunk's terms never leave its row."""
     document = F.col("document_id") if "document_id" in chunks.columns else F.lit(None).cast("string")
-    counted = chunks.select(F.col(id_column).alias("id"), document.alias("document_id"), term_counts(F.col("text")).alias("__t"))
-    length = F.aggregate("__t", F.lit(0), lambda s, x: s + x["tf"])
-    each = counted.select("id", "document_id", length.alias("dl"), F.inline(F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("tf"))), "__t")))
+    counted = counted_terms(chunks.select(F.col(id_column).alias("id"), document.alias("document_id"), "text"))
+    each = counted.select("id", "document_id", "dl", F.inline(F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("tf"))), "terms")))
     return each.select("term", "id", "tf", "dl", _class(F.col("dl")).alias("class"), F.when(F.col("term") == "", F.col("document_id")).alias("document_id"))
 
 
@@ -109,11 +107,11 @@ class KeywordIndex:
 
     def _blocks(self, wanted: DataFrame, buckets: list[int]) -> DataFrame:
         """term, class, n and bounds of the terms ``wanted`` (term) over all parts; of chunks that are gone only the bounds remain."""
-        rows = self._read("blocks", BLOCKS).filter(F.col("bucket").isin(*buckets)).join(sent(wanted), "term", "left_semi")
+        rows = self._read("blocks", BLOCKS).filter(F.col("bucket").isin(*buckets)).join(wanted, "term", "left_semi")
         bounds = [F.max("max_tf").alias("max_tf"), F.min("min_tf").alias("min_tf"), F.max("max_dl").alias("max_dl"), F.min("min_dl").alias("min_dl")]
         if self.hidden is None:
             return rows.groupBy("term", "class").agg(F.sum("n").alias("n"), F.sum("total_dl").alias("total_dl"), *bounds)
-        gone = self._read("postings", POSTINGS).filter(F.col("bucket").isin(*buckets)).join(sent(wanted), "term", "left_semi").join(sent(self.hidden), ["generation", "id"], "left_semi")
+        gone = self._read("postings", POSTINGS).filter(F.col("bucket").isin(*buckets)).join(wanted, "term", "left_semi").join(sent(self.hidden), ["generation", "id"], "left_semi")
         less = gone.groupBy("term", "class").agg((-F.count("*")).alias("n"), (-F.sum(F.when(F.col("term") == "", F.col("dl")).otherwise(0))).alias("total_dl"))
         both = rows.select("term", "class", "n", "total_dl", "max_tf", "min_tf", "max_dl", "min_dl").unionByName(less, allowMissingColumns=True)
         return both.groupBy("term", "class").agg(F.sum("n").alias("n"), F.sum("total_dl").alias("total_dl"), *bounds).filter("n > 0")
@@ -132,8 +130,8 @@ class KeywordIndex:
         """id of the chunks that have one of these terms."""
         return self.postings(terms).select("id").distinct()
 
-    def plan(self, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-        """What a search of terms (query_id, term, qtf) has to read.
+    def plan(self, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame, list[int]]:
+        """What a search of terms (query_id, term, qtf) has to read, and in which buckets.
 
         (query_id, term, class, weight, avgdl: blocks that may lead to one of the ``k`` best, as ``lead``, or only add to
         what the others found; query_id, least, rest: the score that the k-th best reaches at least, and what the terms
@@ -162,26 +160,26 @@ class KeywordIndex:
         bounds = by_term.groupBy("query_id").agg(F.max("least").alias("least"), F.sum(F.when(F.col("leads"), 0.0).otherwise(F.col("most"))).alias("rest"))
         chosen = each.select("query_id", "term", "class", "high").join(by_term, ["query_id", "term"])
         may = F.col("leads") & (F.col("high") + F.col("total") - F.col("most") >= F.col("least"))
-        return chosen.filter(may | ~F.col("leads")).select("query_id", "term", "class", "weight", "avgdl", F.col("leads").alias("lead")), bounds
+        return chosen.filter(may | ~F.col("leads")).select("query_id", "term", "class", "weight", "avgdl", F.col("leads").alias("lead")), bounds, buckets
 
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """query_id, id, score, rank: the ``k`` best chunks of each query (query_id, query) by BM25."""
+        # tables of a few rows for each query: Spark knows their size and sends them to the postings if it is small
         terms = written(query_terms(queries), "terms")
-        asked, bounds = self.plan(terms, k)
+        asked, bounds, buckets = self.plan(terms, k)
         asked = written(asked, "asked")
-        buckets = sorted(r.b for r in asked.select(bucket_of(F.col("term"), self.buckets).alias("b")).distinct().collect())
         postings = self.postings(buckets=buckets).select("term", "class", "id", "tf", "dl")
 
         def scored(some: DataFrame) -> DataFrame:
-            found = postings.join(sent(some.drop("lead")), ["term", "class"])
+            found = postings.join(some.drop("lead"), ["term", "class"])
             return found.select("query_id", "id", (F.col("weight") * part(F.col("tf"), F.col("dl"))).alias("score"))
 
         first = scored(asked.filter("lead")).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
         more = asked.filter("not lead")
         if more.isEmpty():
             return ranked(first, k)
-        pool = written(first.join(sent(bounds), "query_id").filter(F.col("score") + F.col("rest") >= F.col("least")).select("query_id", "id", "score"), "pool")
-        rest = scored(more).join(sent(pool.select("query_id", "id")), ["query_id", "id"], "left_semi")
+        pool = written(first.join(bounds, "query_id").filter(F.col("score") + F.col("rest") >= F.col("least")).select("query_id", "id", "score"), "pool")
+        rest = scored(more).join(pool.select("query_id", "id"), ["query_id", "id"], "left_semi")
         return ranked(pool.unionByName(rest).groupBy("query_id", "id").agg(F.sum("score").alias("score")), k)
 
     def keyword_search(self, terms: list[str], k: int = 5) -> DataFrame:

@@ -259,7 +259,7 @@ def test_index_reads_its_terms_only(spark, tmp_path):
     assert len(read) == 1
     # chunks are only ranked that have the term which leads
     terms = bm25.query_terms(queries(spark, "rare common"))
-    asked, bounds = index.plan(terms, 3)
+    asked, bounds, _ = index.plan(terms, 3)
     assert {(r.term, r.lead) for r in asked.collect()} == {("rare", True), ("common", False)} and bounds.count() == 1
 
 
