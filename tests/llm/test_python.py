@@ -600,4 +600,4 @@ def test_pipeline_takes_odd_documents(spark):
 
 def test_all_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
