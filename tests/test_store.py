@@ -13,7 +13,7 @@ from larkspur.sources.batching import batches, in_batches
 from larkspur.sources.catalog import Catalog, ConflictError, NotFoundError
 from larkspur.sources.models import embed_chunks, hashed_embedding
 
-DOCS = [("1", "annual-report.pdf", "docs/annual-report.pdf", "pdf", "indexed", 1), ("2", "meeting-notes.md", "notes/meeting-notes.md", "md", "indexed", 2), ("3", "50%_off.txt", "docs/50%_off.txt", "txt", "failed", 3)]
+DOCS = [("1", "harbour-report.pdf", "docs/harbour-report.pdf", "pdf", "indexed", 1), ("2", "tide-table.md", "tables/tide-table.md", "md", "indexed", 2), ("3", "7%_salt.txt", "docs/7%_salt.txt", "txt", "failed", 3)]
 
 
 def files_read(df):
