@@ -11,7 +11,7 @@ A copy is proven by an equal text, or by a text of exactly computed similarity 0
 texts meet in buckets of two minima of their shingles' hashes, ``BUCKETS`` of them a text; each bucket has one member that
 the others are compared with, another one in every bucket: that proves nearly all members of large groups, and each costs
 a few comparisons. What isn't proven then is joined with all such texts by prefix: shingles in order of rarity, two texts
-of similarity 0.8 share one among each one's first fifth, and lengths and places in that order bound what they can share.
+of similarity 0.8 share one among each one's first fifth, and what follows the first that they share bounds how many more.
 So no copy is missed, however alike the crowd around it is.
 
 Defined cases: a null text is an empty one (one empty line); lines are what stands between line feeds, compared byte by
@@ -114,7 +114,8 @@ def _prefix_pairs(asked: DataFrame, each: DataFrame, near: float) -> DataFrame:
     first = F.slice("s", F.lit(1), F.least(F.size("s"), F.floor((1 - near) * F.col("n") + 1e-6).cast("int") + 1))
     prefixes = written(in_order.select("text_key", "n", F.posexplode(first).alias("at", "x")).filter("x.df > 1").select("text_key", "n", "at", F.col("x.shingle").alias("shingle")), "prefixes")
     theirs = prefixes.select(F.col("text_key").alias("other"), F.col("n").alias("n2"), F.col("at").alias("at2"), "shingle")
-    shared = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + F.least("at", "at2")
+    # no more than what follows, since each pair meets at the first shingle that it shares too: nothing before is shared there
+    shared = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
     may = (F.col("text_key") != F.col("other")) & (F.col("n2") >= near * F.col("n") - 1e-6) & (F.col("n") >= near * F.col("n2") - 1e-6) & (shared >= near / (1 + near) * (F.col("n") + F.col("n2")) - 1e-6)
     return prefixes.join(asked.select("text_key"), "text_key", "left_semi").join(theirs, "shingle").filter(may).select("text_key", "other").distinct()
 

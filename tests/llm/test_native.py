@@ -107,6 +107,15 @@ def test_no_copy_is_lost_in_a_crowd(spark):
     assert {r.doc_id for r in keys.collect() if r.text_key in found} == near
 
 
+def test_a_crowd_with_a_common_line_makes_no_pairs(spark):
+    """Texts that share twelve of fifteen shingles are of similarity 0.67; one of them has a copy of similarity 0.88."""
+    rows = [(i, [*range(12), *(1000 + 10 * i + k for k in range(3))]) for i in range(300)] + [(1000, [*range(11), 1000, 1001, 1002, 9999])]
+    each = spark.createDataFrame(rows, "text_key long, shingles array<long>")
+    pairs = line_dedup._prefix_pairs(each.select("text_key"), each, line_dedup.NEAR)
+    assert pairs.count() < 1000
+    assert {r.text_key for r in line_dedup._alike(pairs, each, line_dedup.NEAR).collect()} == {0, 1000}
+
+
 def test_line_dedup_odd(spark):
     docs = odd_documents(spark)
     for least in (1, 2):
