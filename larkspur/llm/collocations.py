@@ -1,12 +1,14 @@
 r"""Phrase collocation mining: the phrases of each language that are said together more often than their parts would meet.
 
-1. Sketches: every task counts hashes of runs of 1 to ``max_words`` words in count-min sketches of fixed size, which are
-   summed slot by slot. A sketch never counts too little, so runs with a slot below ``min_count`` are no candidates. Runs
-   are counted level by level, and a longer run only where its shorter parts may be candidates, as far as that is known.
+1. Sketches: every task counts hashes of runs of 1 to ``max_words`` words in count-min sketches, which are summed slot by
+   slot. A sketch never counts too little, so runs with a slot below ``min_count`` are no candidates. Runs are counted level
+   by level, and a longer run only where its shorter parts may be candidates, as far as that is known. ``min_count`` is the
+   same for any input, so sketches grow with the bytes of the texts (up to ``MOST_SLOTS``): full ones would leave all runs.
 2. Candidates: what all sketches leave is put out as sets, a task's and then all.
-3. Automata: candidates are dealt into blocks of at most about ``MOST_KEYS`` bytes, each of which becomes an Aho-Corasick
-   automaton for each language, whose keys have blanks at both ends, as do all words of a text. Every shard of the texts
-   runs through it and counts all matches, also overlapping ones; the counts are summed.
+3. Automata: candidates are dealt into blocks of at most about ``MOST_KEYS`` bytes, of one language or of several small
+   ones, each of which becomes an Aho-Corasick automaton for each language. A word is three signs in it, so it has few
+   nodes for a candidate, since what a candidate begins with is mostly one too. Every shard of the texts of the block's
+   languages runs through it and counts all matches, also overlapping ones; the counts are summed.
 4. Only then the threshold is applied, so the result is exact however full the sketches were. Cuts, scores and what longer
    phrases hold are joins of the counted phrases.
 
@@ -24,6 +26,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import batched, islice
+from math import ceil
 from operator import itemgetter
 
 import numpy as np
@@ -38,13 +41,16 @@ MAX_WORDS = 5
 TOP = 2000
 #: A phrase goes if a longer one that holds it is at least so many per cent as frequent.
 HELD_SHARE = 100
-#: Slots of a sketch's row (a power of two), and its rows.
+#: Slots of a sketch's row (powers of two): the least and most, and the bytes of texts for each between; and its rows.
 SLOTS = 1 << 23
+MOST_SLOTS = 1 << 26
+SLOT_BYTES = 128
 ROWS = 2
 #: Slots that are summed as one row.
 RANGE = 1 << 16
-#: Bytes of the candidates that are compiled at once: automata take up to sixty times as many.
-MOST_KEYS = 3 << 20
+#: Bytes of the candidates that are compiled at once, and words of a text that run through an automaton at once.
+MOST_KEYS = 16 << 20
+MOST_WORDS = 1 << 19
 #: Bytes of texts whose words are hashed at once, phrases that a task keeps, and rows that are put out at once.
 CHUNK = 2 << 20
 MOST_SEEN = 1_000_000
@@ -58,9 +64,14 @@ _ODD = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
 
+def words_of(text: str | None) -> list[list[bytes]]:
+    """The words of each of a text's pieces that has some."""
+    return [ws for p in (text or "").encode().translate(_LOWERED).split(b"\n") if (ws := p.split())]
+
+
 def normalized(text: str | None) -> tuple[bytes, int]:
     """A text's pieces, parted by line feeds, with one blank on both sides of every word; and how many words it has."""
-    pieces = [ws for p in (text or "").encode().translate(_LOWERED).split(b"\n") if (ws := p.split())]
+    pieces = words_of(text)
     return b"\n".join([b" " + b" ".join(ws) + b" " for ws in pieces]), sum(map(len, pieces))
 
 
@@ -175,18 +186,26 @@ def _add_part(total: np.ndarray, data: bytes, most: int) -> None:
         total[np.frombuffer(data, dtype="<u2", count=n, offset=1)] += np.frombuffer(data, dtype=kind, count=n, offset=1 + 2 * n)
 
 
+def slots_for(size: int) -> int:
+    """Slots of a sketch's row for texts of so many bytes."""
+    return min(MOST_SLOTS, max(SLOTS, 1 << (size // SLOT_BYTES).bit_length()))
+
+
 def sketched(docs: DataFrame, levels: tuple[int, ...], known: dict[int, np.ndarray], min_count: int = MIN_COUNT, slots: int = SLOTS) -> dict[int, np.ndarray]:
     """For each of ``levels`` the bits of the slots that runs of so many words may have filled to ``min_count``."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
     schema = "level int, row int, part int, data binary"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {k: np.zeros((ROWS, slots), dtype=np.uint32) for k in levels}
+        # counts stop at the kind's greatest, which is min_count at least
+        kind = np.min_scalar_type(min_count)
+        counters = {k: np.zeros((ROWS, slots), dtype=kind) for k in levels}
         for w in _words(batches):
             for k in levels:
                 h = w.hashes(k)[w.live(k, sent.value)]
                 for row in range(ROWS):
-                    np.add.at(counters[k][row], _slots(h, row, slots), 1)
+                    s, times = np.unique(_slots(h, row, slots), return_counts=True)
+                    counters[k][row][s] = np.minimum(counters[k][row][s] + times, np.iinfo(kind).max)
         for k in levels:
             for row in range(ROWS):
                 for part, data in _parts(counters[k][row], min_count):
@@ -196,13 +215,13 @@ def sketched(docs: DataFrame, levels: tuple[int, ...], known: dict[int, np.ndarr
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
             for *key, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                _add_part(sums.setdefault(tuple(key), np.zeros(min(RANGE, slots), dtype=np.uint64)), data, min_count)
+                _add_part(sums.setdefault(tuple(key), np.zeros(min(RANGE, slots), dtype=np.uint32)), data, min_count)
         for key, s in sums.items():
             bits = np.packbits(s >= min_count, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in key] + [pa.array([bits], pa.binary())], names=["level", "row", "part", "data"])
 
     flags = {k: np.zeros((ROWS, slots // 8), dtype=np.uint8) for k in levels}
-    # a bit a slot: as many as the sketches have, whatever the input
+    # a bit a slot: at most as many as MOST_SLOTS allows, whatever the input
     for r in mapped(mapped(docs, count, schema).repartition("level", "row", "part"), total, schema).collect():
         bits = np.frombuffer(r.data, dtype=np.uint8)
         at = r.part * min(RANGE, slots) // 8
@@ -253,8 +272,29 @@ def candidates(docs: DataFrame, flags: dict[int, np.ndarray]) -> DataFrame:
     return written(mapped(mapped(docs, find, schema).repartition("lang", "part"), unite, "lang string, phrase string"), "candidates")
 
 
+class _Signs(dict):
+    """Three characters for each word, each of an alphabet of its own; any other word and what parts pieces is "\\0".
+
+    Alphabets are small, since an automaton tries what may follow one by one.
+    """
+
+    def __init__(self, words: Iterable[bytes]):
+        found = sorted(set(words))
+        size = max(1, ceil(len(found) ** (1 / 3)))
+        first, second, third = ([chr(1 + 1000 * k + d) for d in range(size + 1)] for k in range(3))
+        super().__init__((w, first[i // size // size] + second[i // size % size] + third[i % size]) for i, w in enumerate(found))
+
+    def __missing__(self, word: bytes) -> str:
+        return "\0"
+
+
+def signs(pieces: list[list[bytes]], of: _Signs) -> str:
+    """A text's words as signs."""
+    return "\0".join(["".join(map(of.__getitem__, ws)) for ws in pieces])
+
+
 class _Automata:
-    """Automata of a block's languages, made when they are first needed; a process keeps one block's."""
+    """Automata of a block's languages and their words' signs, made when they are first needed; a process keeps one block's."""
 
     name, made = None, {}
 
@@ -265,17 +305,18 @@ class _Automata:
         if lang not in cls.made:
             import ahocorasick
 
+            keys = [p.encode().split(b" ") for p in phrases]
+            of = _Signs(w for ws in keys for w in ws)
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, p in enumerate(phrases):
-                # bytes as characters below 256: a text is looked through byte by byte
-                automaton.add_word(f" {p} ".encode().decode("latin-1"), i)
+            for i, ws in enumerate(keys):
+                automaton.add_word(signs([ws], of), i)
             automaton.make_automaton()
-            cls.made[lang] = automaton
+            cls.made[lang] = automaton, of
         return cls.made[lang]
 
 
 def matches(docs: DataFrame, block: dict[str, list[str]], name: str) -> DataFrame:
-    """lang, phrase, n: how often the texts hold each phrase of a block, overlaps included, and all words, as "" .
+    """lang, phrase, n: how often the texts hold each phrase of a block, overlaps included, and all words of its languages, as "" .
 
     A task's counts leave it as arrays over ranges of the block's phrases, which are added up range by range.
     """
@@ -288,15 +329,27 @@ def matches(docs: DataFrame, block: dict[str, list[str]], name: str) -> DataFram
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {lang: np.zeros(len(phrases), dtype=np.int64) for lang, phrases in sent.value.items()}
         words: dict[str, int] = {}
+        held: dict[str, list[str]] = {}
+        sizes: dict[str, int] = {}
+
+        def run(lang: str) -> None:
+            sizes[lang] = 0
+            found = map(itemgetter(1), _Automata.of(name, lang, sent.value[lang])[0].iter("\0".join(held.pop(lang))))
+            while len(some := np.fromiter(islice(found, 1 << 20), dtype=np.int64)):
+                np.add.at(counts[lang], some, 1)
+
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                norm, n = normalized(text.as_py())
-                words[lang] = words.get(lang, 0) + n
-                if n and lang in counts:
-                    found = map(itemgetter(1), _Automata.of(name, lang, sent.value[lang]).iter(norm.decode("latin-1")))
-                    while len(some := np.fromiter(islice(found, 1 << 20), dtype=np.int64)):
-                        ids, times = np.unique(some, return_counts=True)
-                        counts[lang][ids] += times
+                if lang in counts:
+                    pieces = words_of(text.as_py())
+                    held.setdefault(lang, []).append(signs(pieces, _Automata.of(name, lang, sent.value[lang])[1]))
+                    n = sum(map(len, pieces))
+                    words[lang] = words.get(lang, 0) + n
+                    sizes[lang] = sizes.get(lang, 0) + n + 1
+                    if sizes[lang] >= MOST_WORDS:
+                        run(lang)
+        for lang in list(held):
+            run(lang)
         for lang, n in words.items():
             yield row(lang, -1, np.array([n]))
         for lang, c in counts.items():
@@ -317,22 +370,38 @@ def matches(docs: DataFrame, block: dict[str, list[str]], name: str) -> DataFram
     return mapped(mapped(docs, count, schema).repartition("lang", "part"), total, "lang string, phrase string, n long")
 
 
+def _blocks(sizes: list[tuple[str, int]], most_keys: int) -> list[tuple[list[str], int, int]]:
+    """(languages, part, parts) of each block, of languages with so many bytes of phrases: a part of a large one, or some small ones."""
+    out, held = [], 0
+    for lang, size in sorted(sizes, key=itemgetter(1, 0)):
+        parts = max(1, ceil(size / most_keys))
+        if parts > 1 or not out or held + size > most_keys:
+            out += [([lang], part, parts) for part in range(parts)]
+            held = size
+        else:
+            out[-1][0].append(lang)
+            held += size
+    return out
+
+
 def counted(docs: DataFrame, wanted: DataFrame, min_count: int = MIN_COUNT, most_keys: int = MOST_KEYS) -> DataFrame:
     """lang, phrase, n: exact counts of the phrases ``wanted`` (lang, phrase), from ``min_count`` on, and of all words as "" .
 
-    One pass over the texts for each block of phrases.
+    One pass over the texts of its languages for each block of phrases; languages without phrases have no rows.
     """
-    size = wanted.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
-    blocks = max(1, -(-size // most_keys))
-    parts = []
-    for b in range(blocks):
+    # a row for each language
+    sizes = [tuple(r) for r in wanted.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 2)).collect()]
+    parts = [docs.sparkSession.createDataFrame([], "lang string, phrase string, n long")] if not sizes else []
+    for langs, part, of in _blocks(sizes, most_keys):
+        own = F.col("lang").isin(langs)
         block: dict[str, list[str]] = {}
         # about most_keys bytes
-        for r in wanted.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == b).collect():
-            block.setdefault(r.lang, []).append(r.phrase)
-        enough = (F.col("n") >= min_count) & (F.col("phrase") != "") | (F.col("phrase") == "") & (F.col("n") > 0) & F.lit(b == 0)
+        rows = wanted.filter(own & (F.pmod(F.xxhash64("lang", "phrase"), F.lit(of)) == part)).select("lang", "phrase").toArrow()
+        for lang, phrase in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+            block.setdefault(lang, []).append(phrase)
+        enough = (F.col("n") >= min_count) & (F.col("phrase") != "") | (F.col("phrase") == "") & (F.col("n") > 0) & F.lit(part == 0)
         # a table, so that no two blocks are in memory
-        parts.append(written(matches(docs, block, uuid.uuid4().hex).filter(enough), "counts"))
+        parts.append(written(matches(docs.filter(own), block, uuid.uuid4().hex).filter(enough), "counts"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -360,11 +429,16 @@ def scored(counts: DataFrame, held_share: int = HELD_SHARE) -> DataFrame:
     return kept.select("lang", "phrase", "a", "l", "r", "n", "score")
 
 
-def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, held_share: int = HELD_SHARE, slots: int = SLOTS, most_keys: int = MOST_KEYS) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases by score, a and phrase (by its bytes)."""
+def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, held_share: int = HELD_SHARE, slots: int | None = None, most_keys: int = MOST_KEYS) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases by score, a and phrase (by its bytes).
+
+    ``slots``: of the sketches' rows, a power of two; by default as the texts' bytes ask for.
+    """
     if min_count < 1 or max_words < 2:
         raise ValueError("a phrase has two words and stands once at least")
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    if slots is None:
+        slots = slots_for(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     flags: dict[int, np.ndarray] = {}
     # runs of three words and more are counted where all pairs in them may be candidates: most aren't
     for levels in ((1, 2), *(tuple(range(k, min(k + 3, max_words + 1))) for k in range(3, max_words + 1, 3))):

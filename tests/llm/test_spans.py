@@ -202,3 +202,25 @@ def test_scores_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", "", n), ("en", "a", left), ("en", "b", right), ("en", "a b", a)], "lang string, phrase string, n long")
     r = collocations.scored(counts).collect()[0]
     assert r.score == 1000 * a * n // (left * right) and (r.l, r.r) == (left, right)
+
+
+def test_sketches_grow_with_the_texts():
+    for size in (0, 500 << 20, 1 << 30, 6 << 30):
+        # slots that hold 128 bytes' words each stay far below min_count
+        assert collocations.slots_for(size) * 128 >= size
+
+
+def test_blocks_are_of_few_languages():
+    """Texts of a language don't run through another one's automata."""
+    blocks = collocations._blocks([("en", 100), ("de", 30), ("fr", 20), ("es", 9)], 30)
+    assert sorted(blocks) == [(["de"], 0, 1), (["en"], 0, 4), (["en"], 1, 4), (["en"], 2, 4), (["en"], 3, 4), (["es", "fr"], 0, 1)]
+
+
+def test_automata_of_words():
+    """Also of more words than one character or two of their alphabets are enough for."""
+    for more in (0, 5000):
+        phrases = ["a", "b", "a b", "b a b", "中 x", "x", "é", *(f"w{i}" for i in range(more))]
+        automaton, of = collocations._Automata.of(f"test-{more}", "en", phrases)
+        found = Counter(phrases[i] for _, i in automaton.iter(collocations.signs(collocations.words_of("A b a  b. b 中\tx, y é\n ab a"), of)))
+        assert found == {"a": 3, "b": 3, "a b": 2, "b a b": 1, "中 x": 1, "x": 1, "é": 1}
+        assert len(set(of.values())) == len(of)
