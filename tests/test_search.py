@@ -5,8 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions import text
 from larkspur.functions import vectors as v
-from larkspur.operators import bm25, corrective, fusion, listing, retrieval, rewrite, vector_search
+from larkspur.operators import bm25, corrective, fusion, inverted, listing, retrieval, rewrite, vector_search
 from larkspur.operators.inverted import KeywordIndex
 from larkspur.operators.retrieval import Retriever, SearchOptions
 from larkspur.operators.skipping import TextFilters, literals, write_filters
@@ -263,6 +264,24 @@ def test_index_reads_its_terms_only(spark, tmp_path):
     assert {(r.term, r.lead) for r in asked.collect()} == {("rare", True), ("common", False)} and bounds.count() == 1
 
 
+def test_index_in_segments(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    # texts are dealt out, postings are not
+    plan = inverted.postings_of(inverted.in_segments(docs, segment=20_000)).sortWithinPartitions("term")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    part = inverted.write_part(docs, f"{tmp_path}/index", segment=20_000)
+    index = KeywordIndex(spark, f"{tmp_path}/index", [[part]], types=("bigint", "string"))
+    segments = -(-docs.agg(F.sum(F.octet_length("text"))).first()[0] // 20_000)
+    assert segments > 4 and 4 < index.lengths().select(F.input_file_name()).distinct().count() <= segments
+    asked = docs.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring("text", 1, 300).alias("query"))
+    assert same_hits(index.search(asked, 5), bm25.bm25_search(docs, asked, 5))
+
+
+def test_signs_of_every_script_lie_in_the_quick_range(spark):
+    signs = spark.range(1, 0x30000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert signs.filter(F.col("c").rlike(text.CJK) & ~F.col("c").rlike(text._MAY_BE_CJK)).count() == 0 and signs.filter(F.col("c").rlike(text.CJK)).count() > 50_000
+
+
 def test_index_of_odd_chunks(spark, tmp_path):
     rows = [(1, None), (2, ""), (3, "机器学习 machine"), (4, "..."), (5, "machine " * 3000), (6, "Machine")]
     docs = spark.createDataFrame(rows, "id long, text string")
