@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.plans.tables import table
+from larkspur.plans.tables import by_work, table
 from larkspur.sources.parsers import parse_files
 
 
@@ -56,7 +56,8 @@ _FILES: dict[str, tuple[str, Callable[[], Column]]] = {
 def _read(extension: str, content: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         made = content()
-        files = table(spark, sf, "events").select(F.concat(F.lit("in/"), "event_id", F.lit(extension)).alias("path"), made.cast("binary").alias("content"))
+        events = by_work(table(spark, sf, "events").select("event_id", "event_type", "user_id"), "event_id")
+        files = events.select(F.concat(F.lit("in/"), "event_id", F.lit(extension)).alias("path"), made.cast("binary").alias("content"))
         return parse_files(files).select("path", "text", "title", "file_type", "status")
 
     return query

@@ -352,3 +352,22 @@ def test_web_results_and_lateral_rewrites(spark):
     asked = spark.createDataFrame([(0, " 细胞的能量工厂是什么 "), (1, "plain"), (2, None), (3, "")], "query_id long, query string")
     got = spark.sql("SELECT query_id, variant, rewritten FROM {asked}, LATERAL rewritten(query, 3) ORDER BY 1, 2", asked=asked).collect()
     assert [tuple(r) for r in got] == [(0, 0, "细胞的能量工厂是什么"), (0, 1, "细胞的线粒体是什么"), (1, 0, "plain")]
+
+
+def test_files_are_parsed_by_all_cores(spark):
+    from larkspur.plans import file_queries, tables
+
+    for name in ("pdf_files", "xlsx_files", "docx_files", "pptx_files"):
+        assert file_queries.QUERIES[name](spark, "/root/testdata/sf0.001").toDF("path", "text", "title", "file_type", "status")._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1
+    assert tables.by_work(spark.range(100), "id", rows=3).rdd.getNumPartitions() == 34
+
+
+def test_workbooks_are_opened_once(monkeypatch):
+    opened, whole = [], zipfile.ZipFile
+    data = io.BytesIO()
+    with whole(data, "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>a</t></si><si><t>b</t></si></sst>")
+        z.writestr("xl/worksheets/sheet2.xml", '<s><c t="s"><v>1</v></c></s>')
+        z.writestr("xl/worksheets/sheet1.xml", '<s><c t="s"><v>0</v></c><c><v>7</v></c></s>')
+    monkeypatch.setattr(office.zipfile, "ZipFile", lambda *a: opened.append(1) or whole(*a))
+    assert office.xlsx_text(data.getvalue()) == "a 7 b" and len(opened) == 1
