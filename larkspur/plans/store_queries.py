@@ -12,7 +12,7 @@ from larkspur.operators import graph, hierarchy, listing
 from larkspur.operators.listing import DocumentQuery
 from larkspur.plans import corpus
 from larkspur.plans.search_queries import TEXT_QUERIES, bm25_ctes, top_rows
-from larkspur.plans.tables import table
+from larkspur.plans.tables import by_work, table
 from larkspur.plans.text_queries import EDGES
 from larkspur.sources.batching import batches
 from larkspur.sources.catalog import Catalog, NotFoundError
@@ -330,11 +330,15 @@ def kg_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return graph.last_of(entities.withColumn("seq", F.lit(0)).unionByName(again.withColumn("seq", F.lit(1))), "seq").select("id", "name", "type")
 
 
+#: Turns whose nodes a task makes: a few MB of texts that take many seconds.
+TURNS_A_TASK = 5000
+
+
 def hier_build(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of every conversation, with the deterministic embedder's vectors."""
     from larkspur.sources.models import hashed_embedding
 
-    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text")
+    turns = by_work(table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text"), "document_id", TURNS_A_TASK)
     nodes = hierarchy.build_nodes(hierarchy.joined_chunks(turns), lambda c: hashed_embedding(c, 16))
     return nodes.select("id", "document_id", F.col("layer").cast("long").alias("layer"), "text", "parent")
 

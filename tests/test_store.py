@@ -428,3 +428,10 @@ def test_shared_tables(spark):
     discard(t, t, spark.range(1))
     with pytest.raises(Exception):
         spark.read.parquet(t.inputFiles()[0]).count()
+
+
+def test_nodes_are_made_by_all_cores(spark):
+    from larkspur.plans import store_queries
+
+    plan = store_queries.hier_build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
