@@ -277,6 +277,19 @@ def test_index_in_segments(spark, tmp_path):
     assert same_hits(index.search(asked, 5), bm25.bm25_search(docs, asked, 5))
 
 
+def test_index_is_one_table_of_packed_rows(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    index = KeywordIndex.of(docs, f"{tmp_path}/index")
+    assert [p.name for p in (tmp_path / "index").iterdir()] == ["postings"]
+    rows, plain = index._read().filter("term <> ''"), bm25.term_frequencies(docs)
+    assert rows.agg(F.sum("n"), F.sum(F.size("ids"))).first() == (plain.count(), plain.count())
+    assert same_hits(index.postings().filter("term <> ''").select("id", "term", "tf", "dl"), plain)
+    bounds = [f(c).alias(f"{c}{i}") for c in ("tf", "dl") for i, f in enumerate((F.max, F.min))]
+    told = rows.groupBy("term").agg(F.max("max_tf"), F.min("min_tf"), F.max("max_dl"), F.min("min_dl"))
+    assert same_hits(told, plain.groupBy("term").agg(*bounds))
+    assert index._read().agg(F.sum("total_dl")).first()[0] == index.lengths().agg(F.sum("dl")).first()[0]
+
+
 def test_signs_of_every_script_lie_in_the_quick_range(spark):
     signs = spark.range(1, 0x30000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
     assert signs.filter(F.col("c").rlike(text.CJK) & ~F.col("c").rlike(text._MAY_BE_CJK)).count() == 0 and signs.filter(F.col("c").rlike(text.CJK)).count() > 50_000
