@@ -11,6 +11,7 @@ from larkspur.operators import bm25, corrective, fusion, inverted, listing, retr
 from larkspur.operators.inverted import KeywordIndex
 from larkspur.operators.retrieval import Retriever, SearchOptions
 from larkspur.operators.skipping import TextFilters, literals, write_filters
+from larkspur.plans import search_queries
 from larkspur.sources.models import heuristic_evaluator, rule_rewriter
 
 CHUNKS = [(1, 10, 0, "machine learning is a subset", [1.0, 0.0, 0.0]), (2, 10, 1, "deep learning neural networks", [0.9, 0.1, 0.0]), (3, 11, 0, "cooking recipes for learning the machine", None), (4, 12, 0, "机器学习算法", [0.0, 1.0, 0.0])]
@@ -290,6 +291,12 @@ def test_index_is_one_table_of_packed_rows(spark, tmp_path):
     assert index._read().agg(F.sum("total_dl")).first()[0] == index.lengths().agg(F.sum("dl")).first()[0]
 
 
+def test_rerank_reads_texts_without_dealing_them_out(spark):
+    found = search_queries.rerank(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "Repartition" not in plan and "strategy=broadcast" in plan and found.count() == 10
+
+
 def test_signs_of_every_script_lie_in_the_quick_range(spark):
     signs = spark.range(1, 0x30000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
     assert signs.filter(F.col("c").rlike(text.CJK) & ~F.col("c").rlike(text._MAY_BE_CJK)).count() == 0 and signs.filter(F.col("c").rlike(text.CJK)).count() > 50_000
