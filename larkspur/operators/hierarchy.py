@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import index_paragraphs, index_sentences
-from larkspur.functions.vectors import cosine
+from larkspur.operators.bm25 import ranked
 from larkspur.operators.bounded import sent
 from larkspur.operators.fusion import first_of_text
-from larkspur.operators.vector_search import nearest
+from larkspur.operators.vector_search import nearest, nearest_within
 from larkspur.sources.shared import written
 
 SUMMARY, PARAGRAPH, SENTENCE = 0, 1, 2
@@ -67,18 +67,25 @@ def nodes_of(nodes: DataFrame, document_id=None, layer: int | None = None) -> Da
 def _best(nodes: DataFrame, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
     """The ``k`` nodes most like each query, of the children of ``within`` (query_id, id) where given.
 
-    Among all nodes of a layer they are found by tiles, of which a task keeps the best; so no pair becomes a row.
+    They are found by tiles, of a layer or of a parent's children, of which a task keeps the best; so no pair becomes a row.
     """
     if within is None:
         found = nearest(nodes, queries, k).drop("rank")
-        return nodes.select("id", "document_id", "layer", "text").join(sent(found), "id").select("query_id", "id", "document_id", "layer", "text", "score")
-    return _ranked(nodes.join(sent(within.select("query_id", F.col("id").alias("parent"))), "parent").join(sent(queries), "query_id"), k)
-
-
-def _ranked(pairs: DataFrame, k: int) -> DataFrame:
-    scored = pairs.select("query_id", "id", "document_id", "layer", "text", F.round(cosine(F.col("embedding"), F.col("query_vec")), 9).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k).drop("__n")
+    else:
+        asked = written(within.select("query_id", F.col("id").alias("grp")).join(sent(queries), "query_id"), "asked")
+        fit = nearest_within(nodes.select("id", F.col("parent").alias("grp"), "embedding"), asked, k)
+        found = written(ranked(fit.drop("rank").unionByName(_unlike(nodes, asked, k)), k, positive=False).drop("rank"), "found")
+    return nodes.select("id", "document_id", "layer", "text").join(sent(found), "id").select("query_id", "id", "document_id", "layer", "text", "score")
+
+
+def _unlike(nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score of children whose vector is null, empty or of another length than the query's: 0, so the first ``k`` by id
+    of a parent and length are enough."""
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    order = Window.partitionBy("parent", "size").orderBy("id")
+    first = nodes.select("id", "parent", size("embedding").alias("size")).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k)
+    other = (F.col("parent") == F.col("grp")) & ((F.col("size") != F.col("q_size")) | (F.col("size") == 0))
+    return asked.select("query_id", "grp", size("query_vec").alias("q_size")).join(first, other).select(F.col("query_id").cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"))
 
 
 def hierarchical_search(nodes: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

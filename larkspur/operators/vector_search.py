@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.bm25 import ranked
+from larkspur.operators.bounded import sent
 from larkspur.sources.shared import written
 from larkspur.sources.shipping import mapped
 
@@ -40,8 +41,10 @@ TILES = "tile long, size int, n int, high double, ids array<{kind}>, matrix bina
 def tiles(vectors: DataFrame, tile: int = TILE) -> DataFrame:
     """TILES of vectors (id, vector), by the length of the vectors; ids are whole numbers or strings.
 
-    Null and empty vectors are in none. ``high``: the greatest norm of a tile.
+    Null and empty vectors are in none. ``high``: the greatest norm of a tile. With a third column ``grp`` a tile is of one
+    group, which it says.
     """
+    grouped = vectors.columns[2:] == ["grp"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -53,14 +56,23 @@ def tiles(vectors: DataFrame, tile: int = TILE) -> DataFrame:
             sizes, flat = np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)
             for size in np.unique(sizes[sizes > 0]):
                 rows = np.flatnonzero(sizes == size)
-                for some in (rows[i : i + tile] for i in range(0, len(rows), tile)):
+                for some in (rows[i : i + tile] for rows in (_by_group(b.column(2), rows) if grouped else [rows]) for i in range(0, len(rows), tile)):
                     m = flat[offsets[:-1][some][:, None] + np.arange(size)].astype(np.float64)
                     columns = (number, pa.int64()), (int(size), pa.int32()), (len(some), pa.int32()), (float(np.sqrt((m * m).sum(axis=1).max())), pa.float64()), (m.tobytes(), pa.binary())
                     *others, matrix = [pa.array([x], t) for x, t in columns]
-                    yield pa.RecordBatch.from_arrays([*others, pa.ListArray.from_arrays([0, len(some)], ids.take(pa.array(some))), matrix], names=["tile", "size", "n", "high", "ids", "matrix"])
+                    of = {"grp": b.column(2).take(pa.array(some[:1]))} if grouped else {}
+                    yield pa.RecordBatch.from_arrays([*others, pa.ListArray.from_arrays([0, len(some)], ids.take(pa.array(some))), matrix, *of.values()], names=["tile", "size", "n", "high", "ids", "matrix", *of])
                     number += 1
 
-    return mapped(vectors.filter(F.size("vector") > 0), run, TILES.format(kind=dict(vectors.dtypes)["id"]))
+    types = dict(vectors.dtypes)
+    return mapped(vectors.filter(F.size("vector") > 0), run, TILES.format(kind=types["id"]) + (f", grp {types['grp']}" if grouped else ""))
+
+
+def _by_group(groups: pa.Array, rows: np.ndarray) -> list[np.ndarray]:
+    """``rows`` of each group."""
+    codes = groups.take(pa.array(rows)).dictionary_encode().indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    return np.split(rows[order], np.flatnonzero(np.diff(codes[order])) + 1)
 
 
 def _row(ids: np.ndarray) -> np.dtype:
@@ -192,6 +204,31 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, cosines: bool = True,
     return ranked(_scored(chunks, queries, k, None, cosines, digits), k, digits, positive=False)
 
 
+def nearest_within(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """nearest() among the vectors (id, grp, embedding) of the groups that a query (query_id, grp, query_vec) has rows of.
+
+    Tiles are of one group each and meet those of its queries. The grid of a group that isn't sent follows from its own
+    tiles, so a large group lies over many tasks, and a vector travels to the strips of its group alone.
+    """
+    chosen = lambda df, n, vector, kind: tiles(df.select(F.col(n).cast(kind).alias("id"), F.col(vector).cast("array<double>").alias("vector"), "grp").filter(F.col("grp").isNotNull()).sortWithinPartitions("grp"))
+    asked = written(chosen(queries, "query_id", "query_vec", "long"), "queries")
+    own = chosen(chunks, "id", "embedding", "string" if dict(chunks.dtypes)["id"] == "string" else "long")
+    named = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("tile", "ids", "matrix", "size", "grp")])
+    same = (F.col("size") == F.col("q_size")) & (F.col("grp") == F.col("q_grp"))
+    if (asked.agg(F.sum(F.col("n") * F.col("size").cast("long") * 8)).first()[0] or 0) <= MOST_SENT:
+        pairs = own.join(F.broadcast(named), same).withColumn("strip", F.lit(0))
+    else:
+        own = written(own, "vectors")
+        some = lambda t, most, n: t.groupBy("grp").agg(F.ceil(F.count("*") / most).cast("int").alias(n))
+        grids = written(some(asked, QUERY_STRIP, "strips").join(some(own, VECTOR_STRIP, "rows"), "grp"), "grids")
+        across = own.join(sent(grids), "grp").select(*own.columns, F.pmod(F.xxhash64("tile"), F.col("rows")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("number"))
+        down = named.join(sent(grids.withColumnRenamed("grp", "q_grp")), "q_grp")
+        down = down.select(*named.columns, F.pmod(F.xxhash64("q_tile"), F.col("strips")).cast("int").alias("q_number"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("q_row"))
+        cell = same & (F.col("row") == F.col("q_row")) & (F.col("number") == F.col("q_number"))
+        pairs = across.join(down.hint("merge"), cell).withColumn("strip", F.xxhash64("grp", "number"))
+    return ranked(_met(pairs, k, -np.inf, True, digits), k, digits, positive=False)
+
+
 def similar_pairs(chunks: DataFrame, queries: DataFrame, threshold: float, cosines: bool = True, digits: int = 9) -> DataFrame:
     """query_id, id, score of all pairs of equal length whose rounded score is at least ``threshold``."""
     scores = _scored(chunks, queries, None, threshold - 10.0**-digits, cosines, digits)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text
 from larkspur.functions import vectors as v
-from larkspur.operators import bm25, corrective, fusion, inverted, listing, retrieval, rewrite, vector_search
+from larkspur.operators import bm25, corrective, fusion, hierarchy, inverted, listing, retrieval, rewrite, vector_search
 from larkspur.operators.inverted import KeywordIndex
 from larkspur.operators.retrieval import Retriever, SearchOptions
 from larkspur.operators.skipping import TextFilters, literals, write_filters
@@ -230,6 +230,24 @@ def test_pipeline(chunks):
     assert SearchOptions(threshold=0.0).settled(Retriever(chunks)).threshold == 0.0 and SearchOptions(top_k=0).settled(Retriever(chunks)).top_k == 5
 
 
+@pytest.mark.parametrize("most_sent", [vector_search.MOST_SENT, 0])
+def test_children_by_tiles(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(vector_search, "MOST_SENT", most_sent)
+    monkeypatch.setattr(vector_search, "QUERY_STRIP", 1)
+    monkeypatch.setattr(vector_search, "VECTOR_STRIP", 1)
+    vector = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.xxhash64("id", i) % 7).cast("float"))
+    odd = F.when(F.col("id") % 97 == 0, F.lit(None)).when(F.col("id") % 89 == 0, F.array().cast("array<float>")).when(F.col("id") % 83 == 0, F.array(F.lit(1.0).cast("float"))).otherwise(vector)
+    nodes = spark.range(600).select("id", F.lit(0).alias("document_id"), F.lit(1).alias("layer"), F.col("id").cast("string").alias("text"), odd.alias("embedding"), F.when(F.col("id") % 11 > 0, F.col("id") % 3).alias("parent"))
+    asked = nodes.filter("id % 40 = 0 or id in (83, 97)").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    within = asked.select("query_id", F.explode(F.array(F.lit(0), F.col("query_id") % 2 + 1, F.lit(7)).cast("array<bigint>")).alias("id"))
+    got = hierarchy._best(nodes, asked, 4, within).select("query_id", "id", "score")
+    pairs = nodes.join(within.withColumnRenamed("id", "parent"), "parent").join(asked, "query_id").select("query_id", "id", v.cosine(F.col("embedding"), F.col("query_vec")).alias("score"))
+    assert same_hits(got, bm25.ranked(pairs, 4, positive=False).drop("rank")) and got.count() > 40
+    # pairs of tiles are rows, pairs of vectors are not
+    tiles = vector_search.nearest_within(nodes.withColumnRenamed("parent", "grp"), asked.join(within.withColumnRenamed("id", "grp"), "query_id"), 4)
+    assert "MapInArrow" in tiles._jdf.queryExecution().optimizedPlan().toString()
+
+
 # the inverted index
 
 
