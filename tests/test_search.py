@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text
 from larkspur.functions import vectors as v
-from larkspur.operators import bm25, corrective, fusion, hierarchy, inverted, listing, retrieval, rewrite, vector_search
+from larkspur.operators import bm25, corrective, fusion, hierarchy, inverted, listing, retrieval, rewrite, skipping, vector_search
 from larkspur.operators.inverted import KeywordIndex
 from larkspur.operators.retrieval import Retriever, SearchOptions
 from larkspur.operators.skipping import TextFilters, literals, write_filters
@@ -296,6 +296,29 @@ def test_index_in_segments(spark, tmp_path):
     assert same_hits(index.search(asked, 5), bm25.bm25_search(docs, asked, 5))
 
 
+@pytest.mark.parametrize("held", [inverted.MOST_HELD, 3000])
+def test_postings_are_packed_without_being_rows(spark, tmp_path, monkeypatch, held):
+    monkeypatch.setattr(inverted, "MOST_HELD", held)
+    monkeypatch.setattr(inverted, "AT_ONCE", 500)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.when(F.col("doc_id") % 9 > 0, F.concat(F.lit("f"), F.col("doc_id") % 5)).alias("document_id"), F.when(F.col("doc_id") % 50 > 0, F.initcap("text")).alias("text"))
+    index = KeywordIndex.of(docs, f"{tmp_path}/index")
+    assert same_hits(index.postings().select("term", "id", "tf", "dl", "class", "document_id"), inverted.postings_of(docs).select("term", "id", "tf", "dl", "class", "document_id"))
+    rows = index._read()
+    assert rows.filter("n <> size(ids) or n <> size(tfs) or n <> size(dls) or (term = '') <> (documents is not null)").count() == 0
+    # Spark sorts packed rows only: between texts and files no plan makes a row of a posting
+    seen, write = [], inverted.mapped
+    monkeypatch.setattr(inverted, "mapped", lambda df, run, schema: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, run, schema))
+    inverted.write_part(docs, f"{tmp_path}/more")
+    assert len(seen) == 1 and "Generate" not in seen[0] and "Sort" not in seen[0]
+
+
+def test_segments_keep_all_cores_busy(spark):
+    docs = spark.range(997).select("id", F.repeat(F.lit("a "), 500).alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    assert inverted.in_segments(docs, segment=1000 * 997 // (2 * cores + 1)).rdd.getNumPartitions() == 2 * cores
+    assert inverted.in_segments(docs, segment=1000 * 997 // (cores - 1) + 1).rdd.getNumPartitions() == cores - 1
+
+
 def test_index_is_one_table_of_packed_rows(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     index = KeywordIndex.of(docs, f"{tmp_path}/index")
@@ -320,6 +343,15 @@ def test_signs_of_every_script_lie_in_the_quick_range(spark):
     assert signs.filter(F.col("c").rlike(text.CJK) & ~F.col("c").rlike(text._MAY_BE_CJK)).count() == 0 and signs.filter(F.col("c").rlike(text.CJK)).count() > 50_000
 
 
+def test_only_what_is_not_ascii_is_looked_up_for_words(spark):
+    plain = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\p{P}\p{S}\p{Z}\x{80}-\x{9F}]+"
+    signs = spark.range(1, 0x110000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert signs.filter(F.col("c").rlike(plain) != F.col("c").rlike(text.NOT_WORD)).count() == 0
+    odd = spark.createDataFrame([("A b,C", "a b c"), ("Äb É机器X z", "Äb É 机 机器 器 x z"), (None, ""), ("…", "")], "text string, said string")
+    words = F.array_join(F.transform(text.tokenize(F.col("text"), lower=False), text.ascii_lower), " ")
+    assert odd.filter(~words.eqNullSafe(F.col("said")) | ~F.array_join(text.tokenize(F.col("text")), " ").eqNullSafe(F.col("said"))).count() == 0
+
+
 def test_index_of_odd_chunks(spark, tmp_path):
     rows = [(1, None), (2, ""), (3, "机器学习 machine"), (4, "..."), (5, "machine " * 3000), (6, "Machine")]
     docs = spark.createDataFrame(rows, "id long, text string")
@@ -374,5 +406,14 @@ def test_rare_strings_read_few_files(spark, tmp_path):
     assert files_read(hit) == 2 and {r.id for r in hit.collect()} == {3000, 9999}
 
 
+def test_filters_like_runs_of_each_text(spark, tmp_path):
+    spark.createDataFrame([("Needle in a stack",), (None,), ("abc",), ("ABCDabcdabcd",)], "text string").coalesce(1).write.parquet(f"{tmp_path}/texts")
+    write_filters(spark.read.parquet(f"{tmp_path}/texts"), f"{tmp_path}/filters", bits=1 << 12)
+    (row,) = spark.read.parquet(f"{tmp_path}/filters").collect()
+    set_ = {64 * i + b for i, w in enumerate(row.words) for b in range(64) if w >> b & 1}
+    runs = {t[i : i + 4].encode() for t in ("needle in a stack", "abcdabcdabcd") for i in range(len(t) - 3)}
+    assert len(row.words) == 64 and set_ == {(int.from_bytes(r, "little") * int(m) % (1 << 64) >> 40) % (1 << 12) for r in runs for m in skipping._MULTIPLY}
+
+
 def test_literals_of_patterns():
     assert literals("abc%de_f") == ["abc", "de", "f"] and literals(r"a\%b") == ["a", "b"] and literals("%_") == [] and literals("abc\\") == ["abc"]
