@@ -28,12 +28,12 @@ _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def bits_of(data: bytes, bits: int = BITS) -> np.ndarray:
-    """The bits that the runs of some lower-cased bytes set, once each."""
+    """The bits that the runs of some lower-cased bytes set, in no order and as often as they are set."""
     a = np.frombuffer(data, dtype=np.uint8).astype(np.uint32)
     if len(a) < GRAM:
         return np.empty(0, dtype=np.int64)
-    runs = np.unique(a[:-3] | a[1:-2] << 8 | a[2:-1] << 16 | a[3:] << 24).astype(np.uint64)
-    return np.unique(np.concatenate([(runs * m) >> np.uint64(40) for m in _MULTIPLY[:HASHES]]).astype(np.int64) % bits)
+    runs = (a[:-3] | a[1:-2] << 8 | a[2:-1] << 16 | a[3:] << 24).astype(np.uint64)
+    return np.concatenate([(runs * m) >> np.uint64(40) for m in _MULTIPLY[:HASHES]]).astype(np.int64) % bits
 
 
 def literals(pattern: str) -> list[str]:
@@ -58,20 +58,22 @@ def write_filters(texts: DataFrame, folder: str, column: str | Column = "text",
         made: dict[str, np.ndarray] = {}
         for b in batches:
             for file, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = made.setdefault(file, np.zeros(bits // 64, dtype=np.uint64))
+                if file not in made:
+                    made[file] = np.zeros(bits if kind == "texts" else bits // 8, dtype=np.uint8)
                 if kind == "texts":
-                    at = bits_of((value.as_py() or "").encode().translate(_LOWER), bits)
-                    np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+                    # a byte for each bit until the file is done: what is set again and again needs no order
+                    made[file][bits_of((value.as_py() or "").encode().translate(_LOWER), bits)] = 1
                 else:
-                    own |= value.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    made[file] |= value.values.to_numpy(zero_copy_only=False).view(np.uint8)
             while len(made) > 1 and kind == "texts":
                 # files come one after the other: only the last one may go on
-                yield one(*next(iter(made.items())))
+                yield one(*next(iter(made.items())), kind)
                 made.pop(next(iter(made)))
         for item in made.items():
-            yield one(*item)
+            yield one(*item, kind)
 
-    def one(file: str, words: np.ndarray) -> pa.RecordBatch:
+    def one(file: str, words: np.ndarray, kind: str) -> pa.RecordBatch:
+        words = np.packbits(words, bitorder="little") if kind == "texts" else words
         return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([words.view(np.int64)], pa.list_(pa.int64()))], names=["file", "words"])
 
     schema = "file string, words array<long>"
