@@ -371,3 +371,25 @@ def test_workbooks_are_opened_once(monkeypatch):
         z.writestr("xl/worksheets/sheet1.xml", '<s><c t="s"><v>0</v></c><c><v>7</v></c></s>')
     monkeypatch.setattr(office.zipfile, "ZipFile", lambda *a: opened.append(1) or whole(*a))
     assert office.xlsx_text(data.getvalue()) == "a 7 b" and len(opened) == 1
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2])
+def test_members_are_cut_out_of_archives(monkeypatch, method):
+    made, runs = io.BytesIO(), b"<w:d xmlns:w=\"u\">" + b"<w:t>r\xc3\xa4n </w:t>" * 50 + b"</w:d>"
+    with zipfile.ZipFile(made, "w", method) as z:
+        for name, content in (("a/\u00e4.txt", b"x"), ("word/document.xml", runs), ("word/other.xml", b"<o/>"), ("ppt/slides/slide1.xml", b"<a><t>1</t></a>"), ("ppt/slides/slide2.xml", b"<a/>")):
+            z.writestr(name, content)
+    data, opened, read = made.getvalue(), [], zipfile.ZipFile.read
+    monkeypatch.setattr(zipfile.ZipFile, "read", lambda self, *a: opened.append(a) or read(self, *a))
+    for some in (data, b"before it" + data):
+        assert office.docx_text(some) == "r\u00e4n " * 50 and office.pptx_text(some) == "1"
+    assert len(opened) == (6 if method == zipfile.ZIP_BZIP2 else 0)
+    # what is damaged is still told by zipfile: a sum, a name in the member's own head, a head that isn't there
+    at = data.index(b"word/document.xml")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        listed = data.index(b"word/document.xml", z.start_dir)
+    for where in (listed - 46 + 16, at, at - 30):
+        broken = bytearray(data)
+        broken[where] ^= 1
+        with pytest.raises(zipfile.BadZipFile):
+            office.docx_text(bytes(broken))
